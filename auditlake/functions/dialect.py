@@ -10,6 +10,8 @@ import re
 
 # Fixed value: the characters Python's str.strip() and \s treat as white space.
 WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Fixed value: what Python's str.splitlines() ends a line at.
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _WORD = r"\p{L}\p{N}_"
 _DIGIT = r"\p{Nd}"
 

@@ -50,11 +50,15 @@ def with_ext(files: DataFrame) -> DataFrame:
     return files if "ext" in files.columns else files.withColumn("ext", tx.file_ext(F.col("path")))
 
 
-def find_hits(files: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(project, path, content, rule_ord) for every file and rule that match at all."""
-    base = with_ext(files).select("project", "path", "content", "ext", tx.gate_text(F.col("content")).alias("lowered"))
+def find_hits(files: DataFrame, rules: tuple[Rule, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(project, path, content, kept columns, rule_ord) for every file and rule that match at all."""
+    base = with_ext(files).select(
+        "project", "path", "content", *keep, "ext", tx.gate_text(F.col("content")).alias("lowered")
+    )
     tests = ", ".join(f"CASE WHEN {rule_test(r)} THEN {r.rule_ord} END" for r in rules)
-    return base.select("project", "path", "content", F.expr(f"explode(array_compact(array({tests})))").alias("rule_ord"))
+    return base.select(
+        "project", "path", "content", *keep, F.expr(f"explode(array_compact(array({tests})))").alias("rule_ord")
+    )
 
 
 def first_and_count(matches: Column, rule_id: Column, marker: str) -> Column:
@@ -73,7 +77,7 @@ def first_and_count(matches: Column, rule_id: Column, marker: str) -> Column:
     return F.aggregate(matches, empty, add)
 
 
-def _to_findings(located: DataFrame, rows: Column) -> DataFrame:
+def _to_findings(located: DataFrame, rows: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows with catalog columns, and per hit an array of (line, raw, n, value) -> findings."""
     kept = [c for c in located.columns if c not in ("matches", "values")]
     bits = F.format_string(" (entropy=%.2f bits/char)", tx.shannon_entropy(F.col("value")))
@@ -82,7 +86,7 @@ def _to_findings(located: DataFrame, rows: Column) -> DataFrame:
     return (
         located.select(*kept, F.inline(rows))
         .filter(F.col("n") > 0)
-        .select(*finding_row(line=F.col("line"), raw=F.col("raw"), count=F.col("n"), description=description))
+        .select(*finding_row(line=F.col("line"), raw=F.col("raw"), count=F.col("n"), description=description), *keep)
     )
 
 
@@ -109,22 +113,27 @@ def _python_matches():
     return locate
 
 
-def detect_rules(files: DataFrame, rules: Iterable[Rule], marker: str = tx.DEFAULT_MARKER) -> DataFrame:
-    """Findings of the given rules: one row per file and rule; the entropy rule may give several."""
+def detect_rules(
+    files: DataFrame, rules: Iterable[Rule], marker: str = tx.DEFAULT_MARKER, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Findings of the given rules: one row per file and rule; the entropy rule may give several.
+
+    ``keep`` names columns of the files that the findings carry along, such as an event time.
+    """
     rules = tuple(rules)
     native = tuple(r for r in rules if jvm_pattern(r.pattern) is not None)
     other = tuple(r for r in rules if jvm_pattern(r.pattern) is None)
     parts = []
     if native or not other:
-        parts.append(_by_spark(files, native, marker))
+        parts.append(_by_spark(files, native, marker, keep))
     if other:
-        located = _by_python(files, other)
-        parts.append(_to_findings(located, F.array(first_and_count(F.col("matches"), F.col("rule_id"), marker))))
+        located = _by_python(files, other, keep)
+        parts.append(_to_findings(located, F.array(first_and_count(F.col("matches"), F.col("rule_id"), marker)), keep))
     return union_findings(*parts)
 
 
-def _by_spark(files: DataFrame, rules: tuple[Rule, ...], marker: str) -> DataFrame:
-    hits = find_hits(files, rules) if rules else _no_hits(files)
+def _by_spark(files: DataFrame, rules: tuple[Rule, ...], marker: str, keep: tuple[str, ...]) -> DataFrame:
+    hits = find_hits(files, rules, keep) if rules else _no_hits(files, keep)
     located = (
         hits.join(F.broadcast(jvm_catalog(files.sparkSession, rules)), "rule_ord")
         .withColumn("mark", tx.sentinel(F.col("content")))
@@ -132,24 +141,24 @@ def _by_spark(files: DataFrame, rules: tuple[Rule, ...], marker: str) -> DataFra
     )
     first = F.array(first_and_count(F.col("matches"), F.col("rule_id"), marker))
     if ENTROPY_RULE not in rules:
-        return _to_findings(located.drop("content", "pattern", "mark"), first)
+        return _to_findings(located.drop("content", "pattern", "mark"), first, keep)
     is_entropy = F.col("rule_ord") == ENTROPY_RULE.rule_ord
     found = entropy.candidates(F.col("matches"), F.regexp_extract_all(F.col("content"), F.col("pattern"), F.lit(1)))
     located = located.withColumn(
         "values", F.when(is_entropy, entropy.qualified(found, F.col("rule_id"), marker))
     ).drop("content", "pattern", "mark")
-    return _to_findings(located, F.when(is_entropy, entropy.first_per_line(F.col("values"))).otherwise(first))
+    return _to_findings(located, F.when(is_entropy, entropy.first_per_line(F.col("values"))).otherwise(first), keep)
 
 
-def _no_hits(files: DataFrame) -> DataFrame:
-    return files.select("project", "path", "content", F.lit(None).cast("int").alias("rule_ord")).filter(F.lit(False))
+def _no_hits(files: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    return files.select("project", "path", "content", *keep, F.lit(None).cast("int").alias("rule_ord")).filter(F.lit(False))
 
 
-def _by_python(files: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+def _by_python(files: DataFrame, rules: tuple[Rule, ...], keep: tuple[str, ...]) -> DataFrame:
     base = with_ext(files)
     wanted = ", ".join(f"CASE WHEN {applies(r)} THEN {r.rule_ord} END" for r in rules)
     pairs = base.select(
-        "project", "path", "content", F.expr(f"explode(array_compact(array({wanted})))").alias("rule_ord")
+        "project", "path", "content", *keep, F.expr(f"explode(array_compact(array({wanted})))").alias("rule_ord")
     )
     catalog = F.broadcast(rule_catalog(files.sparkSession, rules))
     return (
@@ -159,14 +168,14 @@ def _by_python(files: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     )
 
 
-def detect(files: DataFrame, config: ScanConfig | None = None) -> DataFrame:
+def detect(files: DataFrame, config: ScanConfig | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Findings of every selected catalog rule, the entropy rule and the custom patterns, in one pass."""
     config = config or ScanConfig()
     rules = select_rules(config.checks, config.exclude_rules)
     if not config.checks or "secrets" in config.checks:
         extra = config.custom_rules() + (ENTROPY_RULE,)
         rules += tuple(r for r in extra if r.rule_id not in config.exclude_rules)
-    return detect_rules(files, rules, config.marker)
+    return detect_rules(files, rules, config.marker, keep)
 
 
 def detect_family(files: DataFrame, family: str, marker: str = tx.DEFAULT_MARKER) -> DataFrame:

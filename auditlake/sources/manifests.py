@@ -6,16 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import text as tx
-from auditlake.functions.dialect import to_jvm
+from auditlake.functions.dialect import LINE_ENDS, to_jvm
 
 # Requirement line, dependency list and list entry formats.
 REQUIREMENT = r"^([a-zA-Z0-9_-]+)(?:\[.*\])?(?:([=<>!~]+)(.+))?"
 PROJECT_LIST = r"(?s)dependencies\s*=\s*\[(.*?)\]"
 PROJECT_ENTRY = r"""["']([a-zA-Z0-9_-]+)(?:[=<>!~]+([^"']+))?["']"""
 
-# Every character Python's splitlines() ends a line at.
-LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-
 PACKAGE_COLUMNS = ["project", "path", "ecosystem", "name", "original", "version", "pos"]
 
 
