@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType()}
 
 
-FILES = _struct("project string, path string, content string")
+def _flat(spec: str) -> T.StructType:
+    """Schema of plain columns, built without a session so that tasks can import this module."""
+    fields = (field.split() for field in spec.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
 
-FINDINGS = _struct(
+
+FILES = _flat("project string, path string, content string")
+
+FINDINGS = _flat(
     "project string, rule_id string, severity string, severity_rank int, category string, description string,"
     "file_path string, line_number int, code_snippet string, remediation string, cwe_id string, cwe_name string,"
     "owasp string, fix_hint string, confidence string, match_count bigint, fingerprint string,"
@@ -20,7 +25,7 @@ FINDINGS = _struct(
 )
 FINDING_COLUMNS = FINDINGS.fieldNames()
 
-DEPENDENCY_FINDINGS = _struct(
+DEPENDENCY_FINDINGS = _flat(
     "project string, package string, version string, issue_type string, severity string, description string,"
     "file_path string, remediation string, cve_id string, cvss_score double"
 )
@@ -31,22 +36,23 @@ HISTORY_COLUMNS = [
     "line_snippet", "fingerprint", "seq", "hit_ord",
 ]
 
-CUSTOM_PATTERN = _struct("rule_id string, pattern string, severity string, description string, remediation string")
+# Nested layouts, as DDL text for readers and from_json.
+CUSTOM_PATTERNS = (
+    "array<struct<rule_id string, pattern string, severity string, description string, remediation string>>"
+)
 
-CONFIG = _struct(
+CONFIG = (
     "checks array<string>, severity_threshold string, baseline string, exclude_paths array<string>,"
-    "exclude_rules string, fail_on string,"
-    "custom_patterns array<struct<rule_id string, pattern string, severity string, description string,"
-    "remediation string>>"
+    f"exclude_rules string, fail_on string, custom_patterns {CUSTOM_PATTERNS}"
 )
 
-BASELINE = _struct(
+BASELINE = (
     "version int, created string, files_scanned bigint, fingerprints array<string>,"
     "findings array<struct<rule_id string, severity string, file string, line int, snippet string,"
     "fingerprint string>>"
 )
 
-ADVISORY = _struct(
+ADVISORY = (
     "id string, aliases array<string>, summary string, database_specific struct<severity string>,"
     "affected array<struct<package struct<ecosystem string, name string>, versions array<string>,"
     "ranges array<struct<type string, events array<struct<introduced string, fixed string, last_affected string>>>>,"
@@ -66,7 +72,7 @@ def local_table(spark: SparkSession, rows: list[tuple], spec: str | T.StructType
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = _struct(spec) if isinstance(spec, str) else spec
+    schema = T.StructType.fromDDL(spec) if isinstance(spec, str) else spec
     arrow = to_arrow_schema(schema)
     columns = list(zip(*rows)) if rows else [[] for _ in arrow]
     table = pa.table([pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)], schema=arrow)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.dialect import tail_glob, whole_glob
-from auditlake.schema import BASELINE, CONFIG
+from auditlake.schema import BASELINE, CONFIG, CUSTOM_PATTERNS
 
 CONFIG_NAME = ".audit.json"
 BASELINE_NAME = ".audit-baseline.json"
@@ -37,7 +37,7 @@ def read_config(files: DataFrame, name: str = CONFIG_NAME) -> DataFrame:
         listed.alias("exclude_rules"),
         F.coalesce(F.col("c.fail_on"), F.lit("critical")).alias("fail_on"),
         F.coalesce(
-            F.col("c.custom_patterns"), F.array().cast(CONFIG["custom_patterns"].dataType)
+            F.col("c.custom_patterns"), F.array().cast(CUSTOM_PATTERNS)
         ).alias("custom_patterns"),
     )
 
