@@ -15,35 +15,49 @@ from auditlake.functions.dialect import to_jvm
 from auditlake.operators.detect import rule_test
 from auditlake.operators.entropy import is_random
 from auditlake.schema import HISTORY_COLUMNS
-from auditlake.sources.commit_log import BLOCK_LINES, CONTEXT, forward_fill, header_values, is_added, is_header, limit_commits
+from auditlake.sources.commit_log import (
+    BLOCK_LINES,
+    CONTEXT,
+    added_lines,
+    forward_fill,
+    header_values,
+    is_added,
+    is_header,
+    limit_commits,
+)
 
 HISTORY_RULES = tuple(r for r in RULES if r.in_history)
 
 
 def line_hits(lines: DataFrame) -> DataFrame:
-    """Adds ``hits``, an array of (hit_ord, rule_id, description), to rows with a ``content`` line.
+    """Hits in rows with a ``content`` line: the row's columns, then hit_ord, rule_id, description.
 
-    At most two: the first secret rule in catalog order, and the first random value.
+    A line gives at most two: the first secret rule in catalog order, and the first random value.
     """
     lowered = lines.withColumn("lowered", tx.gate_text(F.col("content")))
     cases = " ".join(f"WHEN {rule_test(r)} THEN {i}" for i, r in enumerate(HISTORY_RULES))
-    rule = F.expr(f"CASE {cases} END")
     values = F.when(
         F.expr(rule_test(ENTROPY_RULE)),
         F.filter(F.regexp_extract_all("content", F.lit(to_jvm(ENTROPY_RULE.pattern)), F.lit(1)), is_random),
     )
-    tested = lowered.select(*lines.columns, rule.alias("first_rule"), F.get(values, 0).alias("random"))
+    # one generator gives the rows with a hit, so each line is tested once
+    tests = F.array_compact(F.array(
+        F.when(F.expr(f"CASE {cases} END").isNotNull(), F.struct(
+            F.lit(0).alias("hit_ord"), F.expr(f"CASE {cases} END").alias("rule"), F.lit(None).cast("string").alias("value")
+        )),
+        F.when(F.get(values, 0).isNotNull(), F.struct(
+            F.lit(1).alias("hit_ord"), F.lit(None).cast("int").alias("rule"), F.get(values, 0).alias("value")
+        )),
+    ))
+    found = lowered.select(*lines.columns, F.inline(tests))
     ids = F.array(*[F.lit(r.rule_id) for r in HISTORY_RULES])
     descriptions = F.array(*[F.lit(r.description) for r in HISTORY_RULES])
-    by_rule = F.when(F.col("first_rule").isNotNull(), F.struct(
-        F.lit(0).alias("hit_ord"), F.get(ids, F.col("first_rule")).alias("rule_id"),
-        F.get(descriptions, F.col("first_rule")).alias("description"),
-    ))
-    bits = F.format_string("High-entropy secret in history (entropy=%.2f)", tx.shannon_entropy(F.col("random")))
-    by_entropy = F.when(F.col("random").isNotNull(), F.struct(
-        F.lit(1).alias("hit_ord"), F.lit(ENTROPY_RULE.rule_id).alias("rule_id"), bits.alias("description"),
-    ))
-    return tested.select(*lines.columns, F.array_compact(F.array(by_rule, by_entropy)).alias("hits"))
+    bits = F.format_string("High-entropy secret in history (entropy=%.2f)", tx.shannon_entropy(F.col("value")))
+    return found.select(
+        *lines.columns, "hit_ord",
+        F.coalesce(F.get(ids, F.col("rule")), F.lit(ENTROPY_RULE.rule_id)).alias("rule_id"),
+        F.coalesce(F.get(descriptions, F.col("rule")), bits).alias("description"),
+    )
 
 
 def history_findings(log: DataFrame, newest: int | None = None, block: int = BLOCK_LINES) -> DataFrame:
@@ -51,19 +65,18 @@ def history_findings(log: DataFrame, newest: int | None = None, block: int = BLO
     if newest is not None:
         log = limit_commits(log, newest)
     line = F.col("line")
-    content = F.when(is_added(line), F.substring(line, F.lit(2), F.char_length(line)))
-    wanted = log.filter(is_header(line) | is_added(line))
-    tested = line_hits(wanted.select("repo", "seq", "line", content.alias("content")))
-    kept = tested.filter(is_header(line) | (F.size("hits") > 0)).select(
-        "repo", "seq", "content", "hits", *header_values(line)
-    )
-    # the carried values are taken from the plain lines, so that the rules run once
-    headers = wanted.select("repo", "seq", *header_values(line))
-    filled = forward_fill(kept, "repo", "seq", CONTEXT, block, carry_from=headers)
-    rows = filled.select(
-        "repo", "seq", F.inline("hits"), F.left(tx.strip(F.col("content")), F.lit(tx.HISTORY_SNIPPET_CHARS)).alias("line_snippet"),
-        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in CONTEXT],
+    hits = line_hits(added_lines(log)).select(
+        "repo", "seq", "hit_ord", "rule_id", "description",
+        F.left(tx.strip(F.col("content")), F.lit(tx.HISTORY_SNIPPET_CHARS)).alias("line_snippet"),
+        *[F.lit(None).cast("string").alias(c) for c in CONTEXT],
     )
+    headers = log.filter(is_header(line)).select("repo", "seq", *header_values(line))
+    # every block of the log, found from the plain lines so that the rules run once
+    spans = log.filter(is_header(line) | is_added(line)).select("repo", "seq", *header_values(line))
+    filled = forward_fill(
+        hits.unionByName(headers, allowMissingColumns=True), "repo", "seq", CONTEXT, block, carry_from=spans
+    ).filter(F.col("rule_id").isNotNull())
+    rows = filled.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in CONTEXT else F.col(c) for c in filled.columns])
     identified = rows.withColumn(
         "fingerprint", tx.fingerprint(F.col("rule_id"), F.col("file_path"), F.col("line_snippet"), slash_paths=False)
     )

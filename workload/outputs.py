@@ -1,0 +1,255 @@
+"""Registered queries over sinks, per-project settings and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from auditlake.operators import baseline as bl
+from auditlake.operators import history as hi
+from auditlake.operators import rollup as ro
+from auditlake.operators.detect import detect
+from auditlake.operators.findings import min_severity
+from auditlake.plans.audit import audit_dependencies, checkpoint_folder, report_findings, scan_by_project, summarize
+from auditlake.sinks import documents as doc
+from auditlake.sinks import report as rp
+from auditlake.sources import settings as st
+from auditlake.streaming.scan import stream_new_findings, stream_scan, stream_severity_windows
+from workload import corpus as co
+from workload.oracle import findings_ctes
+from workload.queries import (
+    _ALL_FOUND,
+    _COUNTS_SQL,
+    _HISTORY_SQL,
+    _NEXT_FOUND,
+    _PROFILE_SQL,
+    _packages,
+    _profiles,
+    CORE,
+    CORE_SQL,
+    all_findings,
+    query,
+)
+
+_LEVEL_SQL = "CASE WHEN severity IN ('CRITICAL', 'HIGH') THEN 'error' ELSE 'warning' END"
+_ORDER_SQL = "file_path, check_ord, rule_ord, line_number, fingerprint"
+
+
+@query("sarif_rules", f"""WITH {_ALL_FOUND}, firsts AS (
+  SELECT *, row_number() OVER (PARTITION BY project, rule_id ORDER BY {_ORDER_SQL}) AS nth FROM found)
+SELECT project, rule_id, split_part(description, ' (and ', 1) AS name, {_LEVEL_SQL} AS level,
+  'https://cwe.mitre.org/data/definitions/' || replace(cwe_id, 'CWE-', '') || '.html' AS help_uri,
+  cwe_id || ': ' || cwe_name || '. ' || owasp AS full_description, cwe_id || ',' || split_part(owasp, ' – ', 1) AS tags
+FROM firsts WHERE nth = 1""")
+def sarif_rules(spark, sf_dir):
+    return doc.sarif_rules(all_findings(spark, sf_dir)).select(
+        "project", "rule_id", "name", "level", "help_uri", "full_description", F.array_join("tags", ",").alias("tags")
+    )
+
+
+@query("sarif_results", f"""WITH {_ALL_FOUND}
+SELECT project, rule_id, {_LEVEL_SQL} AS level, description || CASE WHEN fix_hint = '' THEN '' ELSE chr(10) || chr(10) || 'Fix hint:' || chr(10) || fix_hint END AS message,
+  replace(file_path, '\\', '/') AS uri, greatest(1, line_number) AS start_line FROM found""")
+def sarif_results(spark, sf_dir):
+    return doc.sarif_results(all_findings(spark, sf_dir)).select("project", "rule_id", "level", "message", "uri", "start_line")
+
+
+@query("sarif_document")
+def sarif_document(spark, sf_dir):
+    found = all_findings(spark, sf_dir)
+    projects = ro.files_scanned(co.corpus_files(spark, sf_dir)).select("project")
+    return doc.sarif(found, projects).select("project", "part", "text")
+
+
+@query("problem_lines", f"""WITH {_ALL_FOUND}
+SELECT project, file_path || ':' || CAST(line_number AS VARCHAR) || ': ' || {_LEVEL_SQL} || ': [' || rule_id || '] ' || description AS text FROM found""")
+def problem_lines(spark, sf_dir):
+    return doc.problem_lines(all_findings(spark, sf_dir)).select("project", "text")
+
+
+_MASKED_SQL = """CASE WHEN category = 'Secrets' THEN regexp_replace(regexp_replace(code_snippet, '"[A-Za-z0-9+/=_\\-\\.@]{8,}"', '"****"', 'g'),
+  '''[A-Za-z0-9+/=_\\-\\.@]{8,}''', '''****''', 'g') ELSE code_snippet END"""
+
+
+@query("findings_json", f"""WITH {_ALL_FOUND},
+counts AS (SELECT project, count(*) AS files_scanned FROM corpus_files GROUP BY project),
+totals AS (SELECT project, count(*) AS total, {_COUNTS_SQL} FROM found GROUP BY project),
+items AS (SELECT project, row_number() OVER (PARTITION BY project ORDER BY {_ORDER_SQL}) AS nth,
+  CAST(to_json({{'rule_id': rule_id, 'severity': severity, 'category': category, 'description': description, 'file': file_path, 'line': line_number,
+    'snippet': {_MASKED_SQL}, 'remediation': remediation, 'cwe_id': cwe_id, 'cwe_name': cwe_name, 'owasp': owasp, 'fix_hint': fix_hint, 'confidence': confidence}}) AS VARCHAR) AS j FROM found)
+SELECT project, 0 AS part, '{{"files_scanned":' || files_scanned || ',"total_findings":' || total || ',"suppressed_by_baseline":0,"grade":"' ||
+  CASE WHEN critical > 0 THEN 'F' WHEN high > 0 THEN 'D' WHEN medium > 0 THEN 'C' ELSE 'A' END || '","critical":' || critical || ',"high":' || high || ',"medium":' || medium || ',"low":' || low || ',"findings":[' AS text
+FROM counts JOIN totals USING (project)
+UNION ALL SELECT project, 1, CASE WHEN nth > 1 THEN ',' ELSE '' END || j FROM items
+UNION ALL SELECT project, 2, ']}}' FROM counts""")
+def findings_json(spark, sf_dir):
+    files = co.corpus_files(spark, sf_dir)
+    found = detect(files)
+    return doc.findings_json(found, ro.project_summary(found, files)).select("project", "part", "text")
+
+
+@query("baseline_document")
+def baseline_document(spark, sf_dir):
+    files = co.corpus_files(spark, sf_dir)
+    return doc.baseline_json(detect(files), ro.files_scanned(files)).select("project", "part", "text")
+
+
+@query("dependencies_document")
+def dependencies_document(spark, sf_dir):
+    manifests = co.manifests(spark, sf_dir)
+    found = audit_dependencies(manifests, co.advisory_rows(spark))
+    return doc.dependencies_json(found, manifests.select("project").distinct()).select("project", "part", "text")
+
+
+@query("history_document", f"""WITH {_HISTORY_SQL},
+items AS (SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY seq, hit_ord) AS nth, CAST(to_json({{'rule_id': rule_id, 'description': description,
+  'commit': sha1(CAST(doc_id AS VARCHAR)), 'date': CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INT) AS VARCHAR), 'author': lang, 'message': 'change ' || CAST(doc_id AS VARCHAR), 'file': path,
+  'snippet': regexp_replace(regexp_replace(line_snippet, '"[A-Za-z0-9+/=_\\-\\.@]{{8,}}"', '"****"', 'g'), '''[A-Za-z0-9+/=_\\-\\.@]{{8,}}''', '''****''', 'g'), 'still_present': still_present}}) AS VARCHAR) AS j FROM marked)
+SELECT repo AS project, 0 AS part, '{{"total_findings":' || count(*) || ',"still_present":' || count_if(still_present) || ',"findings":[' AS text FROM marked GROUP BY repo
+UNION ALL SELECT repo, 1, CASE WHEN nth > 1 THEN ',' ELSE '' END || j FROM items
+UNION ALL SELECT DISTINCT repo, 2, ']}}' FROM marked""")
+def history_document(spark, sf_dir):
+    found = hi.mark_still_present(hi.history_findings(co.commit_log(spark, sf_dir)), co.head_files(spark, sf_dir))
+    return doc.history_json(found, hi.history_counts(found)).select("project", "part", "text")
+
+
+@query("profile_document", f"""WITH {_PROFILE_SQL}, parts AS (
+  SELECT *, list_concat(
+    CASE WHEN list_contains(tools, 'lovable') THEN ['cloud'] ELSE [] END, ['secrets'], CASE WHEN len(databases) > 0 THEN ['injection'] ELSE [] END,
+    CASE WHEN list_has_any(frameworks, ['flask', 'django', 'fastapi', 'express', 'next.js', 'react', 'vue']) THEN ['xss', 'auth', 'cors'] ELSE [] END,
+    CASE WHEN len(clouds) > 0 OR list_has_any(databases, ['supabase', 'firebase']) THEN ['cloud'] ELSE [] END,
+    CASE WHEN list_contains(frameworks, 'django') THEN ['crypto'] ELSE [] END, CASE WHEN len(tools) > 0 THEN ['data'] ELSE [] END) AS c FROM profile)
+SELECT project, CAST(to_json({{'project_type': project_type, 'frameworks': frameworks, 'languages': languages, 'databases': databases, 'cloud_services': clouds,
+  'ai_tool_indicators': tools, 'recommended_checks': list_filter(c, lambda x, i: list_position(c, x) = i)}}) AS VARCHAR) AS text FROM parts""")
+def profile_document(spark, sf_dir):
+    return doc.profile_json(_profiles(spark, sf_dir))
+
+
+@query("report_sections", f"""WITH {_ALL_FOUND},
+counts AS (SELECT project, count(*) AS total, {_COUNTS_SQL} FROM found GROUP BY project),
+{_PROFILE_SQL.replace('files AS (', 'pfiles AS (', 1).replace('FROM files', 'FROM pfiles')}
+SELECT project, 1 AS section, 0 AS ord, CASE WHEN critical > 0 THEN 'Deployment blocked, critical findings: ' || critical WHEN high > 0 THEN 'Action required, high findings: ' || high
+  WHEN medium > 0 THEN 'Review needed, medium findings: ' || medium ELSE 'Passed, no critical or high findings' END AS text FROM counts
+UNION ALL SELECT project, 2, 0, 'Grade: ' || CASE WHEN critical > 0 THEN 'F' WHEN high > 0 THEN 'D' WHEN medium > 0 THEN 'C' ELSE 'A' END FROM counts
+UNION ALL SELECT project, 2, 1, 'Critical: ' || critical FROM counts UNION ALL SELECT project, 2, 2, 'High: ' || high FROM counts
+UNION ALL SELECT project, 2, 3, 'Medium: ' || medium FROM counts UNION ALL SELECT project, 2, 4, 'Low: ' || low FROM counts
+UNION ALL SELECT project, 2, 5, 'Dependencies: 0' FROM counts
+UNION ALL SELECT project, 3, 0, 'Type: ' || project_type FROM profile
+UNION ALL SELECT project, 3, 1, 'Languages: ' || CASE WHEN len(languages) = 0 THEN 'Unknown' ELSE array_to_string(languages, ', ') END FROM profile
+UNION ALL SELECT project, 3, 2, 'Frameworks: ' || CASE WHEN len(frameworks) = 0 THEN 'None' ELSE array_to_string(frameworks, ', ') END FROM profile
+UNION ALL SELECT project, 3, 3, 'Databases: ' || CASE WHEN len(databases) = 0 THEN 'None' ELSE array_to_string(databases, ', ') END FROM profile
+UNION ALL SELECT project, 3, 4, 'Cloud: ' || CASE WHEN len(clouds) = 0 THEN 'None' ELSE array_to_string(clouds, ', ') END FROM profile
+UNION ALL SELECT project, 3, 5, 'Assistants: ' || array_to_string(tools, ', ') FROM profile WHERE len(tools) > 0
+UNION ALL SELECT project, 4, CAST(4 - severity_rank AS INT), '[' || rule_id || '] ' || severity || ' ' || description || ' | ' || file_path || ':' || line_number || ' | ' || cwe_id || ' ' || owasp
+  || ' | ' || {_MASKED_SQL} || ' | ' || remediation FROM found
+UNION ALL SELECT project, 7, 0, '1: fix every critical finding before deployment' FROM counts WHERE critical > 0
+UNION ALL SELECT project, 7, 1, '2: schedule the high findings next' FROM counts WHERE high > 0""")
+def report_sections(spark, sf_dir):
+    files = co.corpus_files(spark, sf_dir)
+    found = detect(files)
+    none = audit_dependencies(files)
+    sections = rp.report_sections(found, ro.project_summary(found, files), none, _profiles(spark, sf_dir))
+    return sections.select("project", "section", "ord", "text")
+
+
+@query("report_findings", f"""WITH {_NEXT_FOUND}
+SELECT {CORE_SQL} FROM found f WHERE severity_rank >= 3 AND NOT EXISTS (SELECT 1 FROM known k WHERE k.project = f.project AND k.fingerprint = f.fingerprint)""")
+def reported(spark, sf_dir):
+    known = bl.baseline_snapshot(detect(co.corpus_next(spark, sf_dir)))
+    kept, _ = report_findings(all_findings(spark, sf_dir), "high", known)
+    return kept.select(*CORE)
+
+
+# --- settings that differ by project ------------------------------------------------------------
+
+# p0 selects checks, p1 drops a rule and paths, p2 raises the threshold and adds a pattern; others have none.
+_SETTINGS = {
+    0: '{"checks":["xss","crypto"]}',
+    1: '{"exclude_rules":"SEC-012","exclude_paths":["de/","*.yaml"]}',
+    2: '{"severity_threshold":"critical","custom_patterns":[{"pattern":"plain\\\\s+line","rule_id":"PLAIN-1","severity":"critical"}]}',
+}
+
+
+@query("scan_by_project", f"""WITH {_ALL_FOUND}, plain AS (
+  SELECT project, path, unnest(string_split(content, chr(10))) AS raw, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS line FROM corpus_files WHERE project = 'p2')
+SELECT project, file_path, rule_id, line_number, match_count FROM found
+WHERE CASE project WHEN 'p0' THEN category IN ('Injection (xss)', 'Cryptography') WHEN 'p1' THEN rule_id <> 'SEC-012' AND NOT starts_with(file_path, 'de/') AND NOT file_path LIKE '%.yaml'
+  WHEN 'p2' THEN severity = 'CRITICAL' ELSE true END
+UNION ALL SELECT project, path, 'PLAIN-1', CAST(min(line) AS INT), CAST(count(*) AS BIGINT) FROM plain WHERE raw = 'plain line' GROUP BY project, path""")
+def by_project(spark, sf_dir):
+    files = co.corpus_files(spark, sf_dir).select("project", "path", "content")
+    d = co.read(spark, sf_dir, "documents")
+    chosen = d.filter(F.col("doc_id") < len(_SETTINGS))
+    rows = chosen.select(
+        F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("project"), F.lit(st.CONFIG_NAME).alias("path"),
+        co._pick(tuple(_SETTINGS.values()), F.col("doc_id")).alias("content"),
+    )
+    found = scan_by_project(files, st.read_config(files.unionByName(rows)))
+    return found.select("project", "file_path", "rule_id", "line_number", "match_count")
+
+
+# --- streams ------------------------------------------------------------------------------------
+
+
+def _file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arriving as file versions, at the time of the event of the same number."""
+    layout = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    d = spark.readStream.schema(layout).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    times = co.read(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"))
+    i = F.col("doc_id")
+    files = d.select(
+        "doc_id", F.concat(F.lit("p"), (i % co.PROJECTS).cast("string")).alias("project"), co.log_path().alias("path"),
+        F.concat(F.col("text"), F.lit("\n"), co._pick(co.BLOCKS, i)).alias("content"),
+    )
+    return files.join(times, "doc_id")
+
+
+def _run(stream: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over what has arrived, into a table in the checkpoint folder, and read it."""
+    import uuid
+
+    spark = stream.sparkSession
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = f"{folder}/out"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        running = writer.format("parquet").start(out)
+    else:
+        running = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
+    running.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+_STREAM_FOUND = f"""{co.CORPUS_SQL},
+versions AS (SELECT project, 'src/f' || CAST(doc_id % {co.LOG_FILES} AS VARCHAR) || raw_ext AS path, raw_ext, content, e.ts
+  FROM corpus_files c JOIN events e ON e.event_id = c.doc_id),
+batch AS (SELECT * REPLACE (path || '@' || epoch_us(ts) AS path) FROM versions),
+{findings_ctes(entropy=True, files='batch')},
+arrived AS (SELECT f.* EXCLUDE (file_path, fingerprint), split_part(file_path, '@', 1) AS file_path,
+  left(sha1(rule_id || ':' || split_part(file_path, '@', 1) || ':' || trim(code_snippet)), 16) AS fingerprint,
+  make_timestamp(CAST(split_part(file_path, '@', 2) AS BIGINT)) AS ts FROM found f)"""
+
+
+@query("stream_scan", f"WITH {_STREAM_FOUND}\nSELECT project, file_path, rule_id, line_number, fingerprint, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS arrived_at FROM arrived")
+def streamed(spark, sf_dir):
+    found = stream_scan(_file_stream(spark, sf_dir))
+    return _run(found, "append").select(
+        "project", "file_path", "rule_id", "line_number", "fingerprint", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("arrived_at")
+    )
+
+
+@query("stream_new_findings", f"""WITH {_STREAM_FOUND}
+SELECT DISTINCT project, fingerprint, rule_id, file_path FROM arrived
+WHERE (project, fingerprint) NOT IN (SELECT (project, fingerprint) FROM arrived WHERE rule_id = 'SEC-001')""")
+def streamed_new(spark, sf_dir):
+    batch = co.file_versions(spark, sf_dir).select("project", "path", "content")
+    known = bl.baseline_snapshot(detect(batch)).filter(F.col("rule_id") == "SEC-001")
+    found = stream_new_findings(stream_scan(_file_stream(spark, sf_dir)), known)
+    return _run(found, "append").select("project", "fingerprint", "rule_id", "file_path")
+
+
+@query("stream_severity_windows", f"""WITH {_STREAM_FOUND}
+SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, severity, count(*) AS findings FROM arrived GROUP BY ALL""")
+def streamed_windows(spark, sf_dir):
+    counted = stream_severity_windows(stream_scan(_file_stream(spark, sf_dir)))
+    return _run(counted, "complete").select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "severity", "findings")

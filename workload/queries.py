@@ -250,8 +250,9 @@ def untracked_env(spark, sf_dir):
     return detect_untracked_env(_env_tree(spark, sf_dir)).select("project", "file_path", "code_snippet")
 
 
-@query("read_gitignore", f"""SELECT 'p' || CAST(doc_id AS VARCHAR) AS project, trim(unnest(string_split(({sql_list(IGNORES)})[CAST(doc_id AS INT) + 1], chr(10)))) AS pattern
-FROM documents WHERE doc_id < 5 QUALIFY pattern <> '' AND NOT starts_with(pattern, '#')""")
+@query("read_gitignore", f"""SELECT * FROM (
+  SELECT 'p' || CAST(doc_id AS VARCHAR) AS project, trim(unnest(string_split(({sql_list(IGNORES)})[CAST(doc_id AS INT) + 1], chr(10)))) AS pattern
+  FROM documents WHERE doc_id < 5) WHERE pattern <> '' AND NOT starts_with(pattern, '#')""")
 def read_gitignore(spark, sf_dir):
     return st.read_gitignore(_env_tree(spark, sf_dir))
 
