@@ -23,6 +23,7 @@ from auditlake.functions.dialect import to_jvm
 from auditlake.functions.scoring import rank_of
 from auditlake.operators import entropy
 from auditlake.operators.findings import finding_row, jvm_catalog, rule_catalog, union_findings
+from auditlake.operators.joins import join_bounded
 
 MATCHES = "array<struct<line:int,raw:string,n:bigint>>"
 
@@ -198,7 +199,7 @@ def detect_project_patterns(files: DataFrame, patterns: DataFrame, marker: str =
     rows. Patterns without a JVM form are matched by Python's engine.
     """
     compiled = patterns.select("project", compile_patterns()(F.col("custom_patterns")).alias("rules"))
-    base = files.select("project", "path", "content").join(compiled, "project")
+    base = join_bounded(files.select("project", "path", "content"), compiled, ["project"], "inner")
     hits = base.select(
         "project", "path", "content",
         F.inline(F.filter(F.col("rules"), lambda r: r["by_python"] | F.rlike(F.col("content"), r["pattern"]))),

@@ -13,7 +13,9 @@ from auditlake.catalog.rules import ENTROPY_RULE, RULES
 from auditlake.functions import text as tx
 from auditlake.functions.dialect import to_jvm
 from auditlake.operators.detect import rule_test
+from auditlake.operators.durable import durable
 from auditlake.operators.entropy import is_random
+from auditlake.operators.joins import join_bounded
 from auditlake.schema import HISTORY_COLUMNS
 from auditlake.sources.commit_log import (
     BLOCK_LINES,
@@ -93,9 +95,13 @@ def dedupe_history(hits: DataFrame) -> DataFrame:
 def mark_still_present(findings: DataFrame, head: DataFrame) -> DataFrame:
     """Adds ``still_present``: the snippet still occurs in the current version of its file.
 
-    ``head`` is (repo, path, content). Only files that hold a finding are wanted; the planner's
-    runtime filter on the join keys drops the others before their content is shuffled.
+    ``head`` is (repo, path, content). Findings are few next to head files, so they are written to
+    the checkpoint folder once, and head files without a finding are dropped by their keys before
+    any content is shuffled.
     """
+    findings = durable(findings)
+    keys = findings.select("repo", F.col("file_path").alias("path")).distinct()
+    head = join_bounded(head.select("repo", "path", "content"), keys, ["repo", "path"], "left_semi")
     current = head.select("repo", F.col("path").alias("file_path"), F.col("content").alias("head_content"))
     present = F.contains(F.col("head_content"), tx.strip(F.col("line_snippet")))
     return findings.join(current, ["repo", "file_path"], "left").select(

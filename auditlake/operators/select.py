@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import text as tx
 from auditlake.functions.dialect import glob_to_jvm, tail_glob
+from auditlake.operators.joins import join_bounded
 
 # File types a scan reads, besides names that start with .env
 SCANNABLE_EXTENSIONS = (
@@ -58,7 +59,7 @@ def restrict_to_changed(files: DataFrame, changed: DataFrame | None) -> DataFram
     """Only files named in ``changed`` (project, path); an empty table keeps none, ``None`` keeps all."""
     if changed is None:
         return files
-    return files.join(changed.select("project", "path"), ["project", "path"], "left_semi")
+    return join_bounded(files, changed.select("project", "path"), ["project", "path"], "left_semi")
 
 
 def select_files(
@@ -78,7 +79,7 @@ def exclude_paths_by_project(files: DataFrame, settings: DataFrame) -> DataFrame
         F.col("excludes"),
         lambda e: F.startswith(F.col("path"), e["prefix"]) | F.coalesce(F.rlike(F.col("path"), e["tail"]), F.lit(False)),
     )
-    joined = files.join(rules, "project", "left")
+    joined = join_bounded(files, rules, ["project"], "left")
     return joined.filter(~F.coalesce(covered, F.lit(False))).drop("excludes")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.catalog.rules import UNTRACKED_ENV_RULE_ID
@@ -13,6 +13,7 @@ from auditlake.operators import dependencies as deps
 from auditlake.operators.detect import detect, detect_project_patterns
 from auditlake.operators.findings import min_severity, union_findings
 from auditlake.operators.history import history_findings, mark_still_present
+from auditlake.operators.joins import salted_join
 from auditlake.operators.rollup import project_summary
 from auditlake.operators.select import exclude_paths_by_project, select_files
 from auditlake.operators.untracked import detect_untracked_env
@@ -40,24 +41,21 @@ def scan_by_project(files: DataFrame, settings: DataFrame, config: ScanConfig |
     chosen = exclude_paths_by_project(select_files(files, config.exclude_paths), settings)
     custom = detect_project_patterns(chosen, settings, config.marker)
     found = union_findings(detect(chosen, config), custom, detect_untracked_env(files))
-    checks = F.col("s.checks")
+    checks = F.col("checks")
     all_checks = checks.isNull() | (F.size(checks) == 0)
     # the check a finding belongs to, by category
     check_of = F.create_map(*[F.lit(v) for pair in _check_by_category().items() for v in pair])
-    check = F.element_at(check_of, F.col("f.category"))
+    check = F.element_at(check_of, F.col("category"))
     selected = all_checks | F.array_contains(checks, check) | (
         (check == "xss") & F.array_contains(checks, "injection")
     )
     kept = (
         F.coalesce(selected, F.lit(True))
-        & ~F.coalesce(F.array_contains("s.exclude_rules", F.col("f.rule_id")), F.lit(False))
-        & (F.col("f.severity_rank") >= F.coalesce(rank_of(F.col("s.severity_threshold")), F.lit(1)))
+        & ~F.coalesce(F.array_contains("exclude_rules", F.col("rule_id")), F.lit(False))
+        & (F.col("severity_rank") >= F.coalesce(rank_of(F.col("severity_threshold")), F.lit(1)))
     )
     rows = settings.select("project", "checks", "exclude_rules", "severity_threshold")
-    return (
-        found.alias("f").join(rows.alias("s"), F.col("f.project") == F.col("s.project"), "left")
-        .filter(kept).select("f.*")
-    )
+    return salted_join(found, rows, ["project"], "left").filter(kept).select(*found.columns)
 
 
 def _check_by_category() -> dict[str, str]:
@@ -99,26 +97,3 @@ def audit_dependencies(
 def audit_history(log: DataFrame, head: DataFrame, newest: int | None = 500) -> DataFrame:
     """History findings with ``still_present``; ``head`` is (repo, path, content)."""
     return mark_still_present(history_findings(log, newest), head)
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut a table's lineage where several outputs are made of it.
-
-    Written to the checkpoint folder, so it survives the loss of executors.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    return df.checkpoint()
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="auditlake-checkpoint-")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import scoring as sc
 from auditlake.functions import text as tx
+from auditlake.operators.joins import salted_join
 
 TOOL_NAME = "auditlake"
 TOOL_VERSION = "1.0.0"
@@ -48,7 +49,7 @@ def _with_commas(items: DataFrame) -> DataFrame:
     """
     first = items.groupBy("project").agg(F.min("key").alias("first_key"))
     comma = F.when(F.col("key") > F.col("first_key"), F.lit(",")).otherwise(F.lit(""))
-    return items.join(first, "project").select("project", "part", "key", F.concat(comma, F.col("text")).alias("text"))
+    return salted_join(items, first, ["project"], "inner").select("project", "part", "key", F.concat(comma, F.col("text")).alias("text"))
 
 
 def _line(projects: DataFrame, part: int, text: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import text as tx
 from auditlake.functions.dialect import LINE_ENDS, to_jvm
+from auditlake.operators.joins import join_bounded
 
 # The line formats of a log.
 FIELDS = {"commit_hash": "COMMIT:", "commit_author": "AUTHOR:", "commit_date": "DATE:", "commit_message": "MSG:"}
@@ -95,7 +96,8 @@ def limit_commits(log: DataFrame, newest: int) -> DataFrame:
     """Lines of each repository's newest commits, by the position of their first line.
 
     Only commit header lines are ranked; the rank filter is applied before their shuffle as well,
-    so a repository with many commits does not grow one task.
+    so a repository with many commits does not grow one task. The cut, a row per repository, is
+    measured and sent to the lines, which stay where they are.
     """
     heads = log.filter(F.startswith(F.col("line"), F.lit(FIELDS["commit_hash"]))).select("repo", "seq")
     rank = F.row_number().over(W.partitionBy("repo").orderBy("seq"))
@@ -103,7 +105,7 @@ def limit_commits(log: DataFrame, newest: int) -> DataFrame:
         heads.withColumn("nth", rank).filter(F.col("nth") <= newest + 1)
         .groupBy("repo").agg(F.max(F.when(F.col("nth") == newest + 1, F.col("seq"))).alias("end"))
     )
-    return log.join(cut, "repo", "left").filter(F.col("end").isNull() | (F.col("seq") < F.col("end"))).select(*log.columns)
+    return join_bounded(log, cut, ["repo"], "left").filter(F.col("end").isNull() | (F.col("seq") < F.col("end"))).select(*log.columns)
 
 
 def parse_commit_log(log: DataFrame, block: int = BLOCK_LINES) -> DataFrame:

@@ -10,7 +10,8 @@ from auditlake.operators import history as hi
 from auditlake.operators import rollup as ro
 from auditlake.operators.detect import detect
 from auditlake.operators.findings import min_severity
-from auditlake.plans.audit import audit_dependencies, checkpoint_folder, report_findings, scan_by_project, summarize
+from auditlake.operators.durable import checkpoint_folder
+from auditlake.plans.audit import audit_dependencies, report_findings, scan_by_project
 from auditlake.sinks import documents as doc
 from auditlake.sinks import report as rp
 from auditlake.sources import settings as st
