@@ -24,6 +24,7 @@ class UnsupportedPattern(ValueError):
 
 
 _REPEAT = re.compile(r"\{(?:\d+(?:,\d*)?|,\d*)\}")
+_UPPER_RANGE = re.compile("[A-Z]-[A-Z]")
 _OCTAL = re.compile(r"0[0-7]{0,2}|[0-3][0-7][0-7]")
 
 
@@ -50,6 +51,7 @@ def to_jvm(pattern: str, flags: str = JVM_FLAGS) -> str:
         "b": f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))",
         "B": f"(?:(?<=[{_WORD}])(?=[{_WORD}])|(?<![{_WORD}])(?![{_WORD}]))",
     }
+    folds = "i" in flags
     inside = {"s": WS, "w": _WORD, "d": _DIGIT, "b": r"\x08"}
     out, i, in_class, class_start = [], 0, False, -1
     while i < len(pattern):
@@ -79,6 +81,10 @@ def to_jvm(pattern: str, flags: str = JVM_FLAGS) -> str:
                 out.append("]")
             elif c in "[]&~":
                 out.append("\\" + c)
+            elif folds and _UPPER_RANGE.match(pattern, i):
+                # letters that fold to ASCII are compared in lower case only
+                out.append(pattern[i : i + 3] + pattern[i : i + 3].lower())
+                i += 2
             else:
                 out.append(c)
         elif c == "[":

@@ -120,7 +120,7 @@ NEGATIVE = {
     "INJ-020": ["box.innerHTML=''", "innerHTML"],
     "INJ-040": ["wait..."],
     "AUTH-020": ["@app.route('/a')\n@login\ndef a():"],
-    "CRYPTO-001": ["codes(k)", "nodes(k)", "d́DES(k)".replace("́", "")],
+    "CRYPTO-001": ["codes(k)", "nodes(k)", "\xe9DES(k)"],
     "DBG-002": ["MYDEBUG = True", "DEBUG = False", "_DEBUG=True"],
     "NET-001": ['"http://localhost:80/x"', '"http://127.0.0.1/x"', '"http://example.com/x"', '"https://a.org/x"'],
     "NET-003": ["sameSite: 'none', secure: true"],
