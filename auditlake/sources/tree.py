@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from auditlake.functions import text as tx
+from auditlake.sources.spread import spread
 
 LEAST_PARTITIONS = 64
 
@@ -104,4 +105,4 @@ def read_corpus(spark: SparkSession, path: str, format: str = "parquet") -> Data
     table = spark.read.format(format).load(path)
     content = F.col("content")
     text = tx.decode_text(content) if dict(table.dtypes)["content"] == "binary" else tx.normalize_newlines(content)
-    return table.select(*[c for c in table.columns if c != "content"], text.alias("content"))
+    return spread(table.select(*[c for c in table.columns if c != "content"], text.alias("content")), "path")

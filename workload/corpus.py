@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from auditlake.catalog.rules import ENTROPY_RULE_ID, FAMILIES
 from auditlake.functions.text import DEFAULT_MARKER
+from auditlake.sources.spread import spread
 from workload.samples import POSITIVE, RANDOM32
 
 EXTENSIONS = (".py", ".js", ".json", ".yaml", ".env")
@@ -38,8 +39,13 @@ def _block(family) -> str:
 BLOCKS = tuple(_block(f) for f in FAMILIES) + ("def clean():\n    return 1",)
 
 
+# Tables whose rows are whole texts, with their key.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df, TEXT_TABLES[table]) if table in TEXT_TABLES else df
 
 
 def _pick(values: tuple[str, ...], key: Column) -> Column:
