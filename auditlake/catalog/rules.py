@@ -5,7 +5,8 @@ Patterns are written in Python ``re`` syntax, the form users write custom rules
 
 ``gate`` / ``need`` are ours: lower-case literals of which any one (``gate``) and every one
 (``need``) must occur in the lower-cased text for the pattern to be able to match. They let the
-scan skip nearly all regular expressions on nearly all files.
+scan skip nearly all regular expressions on nearly all files. ``near`` is a cheap pattern over the
+lower-cased text that any match also satisfies, for rules whose literals are common in prose.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ class Rule:
     description: str
     gate: tuple[str, ...] = ()
     need: tuple[str, ...] = ()
+    near: str = ""
     extensions: tuple[str, ...] | None = None
     confidence: str = "HIGH"
     cwe: int | None = None
@@ -224,7 +226,7 @@ FAMILIES: tuple[Family, ...] = (
     Family("crypto", "crypto", "Cryptography", "HIGH",
            "Use an authenticated modern cipher and a cryptographic random source", (
         Rule("CRYPTO-001", r"""\bDES\s*\(""",
-             "DES cipher", gate=("des",), need=("(",), cwe=327, fix_hint=_HINT_AEAD),
+             "DES cipher", gate=("des",), need=("(",), near=r"des\s*\(", cwe=327, fix_hint=_HINT_AEAD),
         Rule("CRYPTO-002", r"""\bBlowfish\s*\(""",
              "Blowfish cipher", gate=("blowfish",), cwe=327, fix_hint=_HINT_AEAD),
         Rule("CRYPTO-003", r"""\bRC4\s*\(""",
@@ -368,6 +370,7 @@ ENTROPY_PATTERN = (
     r"""jwt[_-]?secret|hmac[_-]?key)\s*[=:]\s*["']([A-Za-z0-9+/=_\-]{20,})["']"""
 )
 ENTROPY_GATE = ("key", "secret", "token", "bearer")
+ENTROPY_NEAR = r"""(?:key|secret|token|bearer)\s*[=:]\s*["']"""
 
 # Fixed value: quoted runs replaced when a secret is shown.
 MASK_PATTERN = r"""(["'])([A-Za-z0-9+/=_\-\.@]{8,})\1"""
@@ -393,7 +396,7 @@ SECRETS = FAMILIES[0]
 
 # Rules that are not a plain pattern match; they share the finding layout.
 ENTROPY_RULE = Rule(
-    ENTROPY_RULE_ID, ENTROPY_PATTERN, "High-entropy secret string", gate=ENTROPY_GATE, confidence="MEDIUM", cwe=798,
+    ENTROPY_RULE_ID, ENTROPY_PATTERN, "High-entropy secret string", gate=ENTROPY_GATE, near=ENTROPY_NEAR, confidence="MEDIUM", cwe=798,
     fix_hint=RULE_BY_ID["SEC-013"].fix_hint, family="secrets", check="secrets", category="Secrets",
     severity="CRITICAL", remediation=SECRETS.remediation, check_ord=len(FAMILIES), rule_ord=len(RULES),
     in_history=True,

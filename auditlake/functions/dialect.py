@@ -24,6 +24,7 @@ class UnsupportedPattern(ValueError):
 
 
 _REPEAT = re.compile(r"\{(?:\d+(?:,\d*)?|,\d*)\}")
+_LETTER = re.compile(r"[A-Za-z0-9_](?![?*{])")
 _UPPER_RANGE = re.compile("[A-Z]-[A-Z]")
 _OCTAL = re.compile(r"0[0-7]{0,2}|[0-3][0-7][0-7]")
 
@@ -54,8 +55,10 @@ def to_jvm(pattern: str, flags: str = JVM_FLAGS) -> str:
     folds = "i" in flags
     inside = {"s": WS, "w": _WORD, "d": _DIGIT, "b": r"\x08"}
     out, i, in_class, class_start = [], 0, False, -1
+    after_letter = False  # the atom just written is a plain word character
     while i < len(pattern):
         c = pattern[i]
+        was_letter, after_letter = after_letter, False
         if c == "\\":
             if i + 1 >= len(pattern):
                 raise UnsupportedPattern("trailing backslash")
@@ -69,6 +72,10 @@ def to_jvm(pattern: str, flags: str = JVM_FLAGS) -> str:
                 else:
                     text, i = _escape(pattern, i - 2)
                     out.append(text)
+            elif e == "b" and was_letter:
+                out.append(f"(?![{_WORD}])")
+            elif e == "b" and _LETTER.match(pattern, i):
+                out.append(f"(?<![{_WORD}])")
             elif e in outside:
                 out.append(outside[e])
             else:
@@ -119,6 +126,7 @@ def to_jvm(pattern: str, flags: str = JVM_FLAGS) -> str:
                 out.append(r"\{")
         else:
             out.append(c)
+            after_letter = c == "_" or (c.isascii() and c.isalnum())
         i += 1
     return flags + "".join(out)
 

@@ -76,15 +76,19 @@ def display_snippet(category: Column, code: Column) -> Column:
 
 
 def shannon_entropy(text: Column) -> Column:
-    """Bits per character; 0 for the empty string."""
+    """Bits per character; 0 for the empty string.
+
+    The characters are sorted, so that equal ones form runs and each run is one term of the sum.
+    """
     size = F.char_length(text)
+    ordered = F.array_join(F.sort_array(F.split(text, "")), "")
+    runs = F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1*"), F.lit(0))
 
-    def part(total: Column, ch: Column) -> Column:
-        p = (size - F.char_length(F.replace(text, ch, F.lit("")))) / size
+    def part(total: Column, run: Column) -> Column:
+        p = F.char_length(run) / size
         return total - p * F.log2(p)
 
-    letters = F.array_distinct(F.split(text, ""))
-    return F.when(size == 0, F.lit(0.0)).otherwise(F.aggregate(letters, F.lit(0.0), part))
+    return F.when(size == 0, F.lit(0.0)).otherwise(F.aggregate(runs, F.lit(0.0), part))
 
 
 def is_suppressed(line: Column, rule_id: Column, marker: str = DEFAULT_MARKER) -> Column:

@@ -43,6 +43,8 @@ def rule_test(rule: Rule) -> str:
     tests += [f"contains(lowered, {tx.sql_literal(text)})" for text in rule.need]
     if rule.gate:
         tests.append("(" + " OR ".join(f"contains(lowered, {tx.sql_literal(text)})" for text in rule.gate) + ")")
+    if rule.near:
+        tests.append(f"rlike(lowered, {tx.sql_literal(to_jvm(rule.near, flags='(?d)'))})")
     tests.append(f"rlike(content, {tx.sql_literal(to_jvm(rule.pattern))})")
     return " AND ".join(tests)
 

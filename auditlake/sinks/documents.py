@@ -3,7 +3,7 @@
 A document is a table of text lines (project, part, key, text). Written in that order, the lines of a
 project make up its document. A project may hold any number of findings, so no document is ever
 built as one value: rows are range partitioned, and a large project is spread over many tasks and
-files.
+files. A document reads its findings more than once: pass a written table or ``durable(findings)``.
 """
 
 from __future__ import annotations

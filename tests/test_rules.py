@@ -170,13 +170,14 @@ def test_bad_custom_pattern_is_refused():
 
 def test_gates_never_hide_a_match():
     """Each pattern without its gate finds nothing more, on text built to match."""
-    for rule in RULES:
+    for rule in RULES + (ENTROPY_RULE,):
         text = POSITIVE[rule.rule_id]
         for variant in (text, text.swapcase(), text.upper()):
             if re.search(rule.pattern, variant, brute.FLAGS):
                 low = variant.lower()
                 assert not rule.gate or any(g in low for g in rule.gate), rule.rule_id
                 assert all(n in low for n in rule.need), rule.rule_id
+                assert not rule.near or re.search(rule.near, low), rule.rule_id
 
 
 def test_result_does_not_depend_on_partitions(spark, corpus):

@@ -10,7 +10,7 @@ from auditlake.operators import history as hi
 from auditlake.operators import rollup as ro
 from auditlake.operators.detect import detect
 from auditlake.operators.findings import min_severity
-from auditlake.operators.durable import checkpoint_folder
+from auditlake.operators.durable import checkpoint_folder, durable
 from auditlake.plans.audit import audit_dependencies, report_findings, scan_by_project
 from auditlake.sinks import documents as doc
 from auditlake.sinks import report as rp
@@ -57,7 +57,7 @@ def sarif_results(spark, sf_dir):
 
 @query("sarif_document")
 def sarif_document(spark, sf_dir):
-    found = all_findings(spark, sf_dir)
+    found = durable(all_findings(spark, sf_dir))
     projects = ro.files_scanned(co.corpus_files(spark, sf_dir)).select("project")
     return doc.sarif(found, projects).select("project", "part", "text")
 
@@ -85,20 +85,20 @@ UNION ALL SELECT project, 1, CASE WHEN nth > 1 THEN ',' ELSE '' END || j FROM it
 UNION ALL SELECT project, 2, ']}}' FROM counts""")
 def findings_json(spark, sf_dir):
     files = co.corpus_files(spark, sf_dir)
-    found = detect(files)
+    found = durable(detect(files))
     return doc.findings_json(found, ro.project_summary(found, files)).select("project", "part", "text")
 
 
 @query("baseline_document")
 def baseline_document(spark, sf_dir):
     files = co.corpus_files(spark, sf_dir)
-    return doc.baseline_json(detect(files), ro.files_scanned(files)).select("project", "part", "text")
+    return doc.baseline_json(durable(detect(files)), ro.files_scanned(files)).select("project", "part", "text")
 
 
 @query("dependencies_document")
 def dependencies_document(spark, sf_dir):
     manifests = co.manifests(spark, sf_dir)
-    found = audit_dependencies(manifests, co.advisory_rows(spark))
+    found = durable(audit_dependencies(manifests, co.advisory_rows(spark)))
     return doc.dependencies_json(found, manifests.select("project").distinct()).select("project", "part", "text")
 
 
@@ -111,6 +111,7 @@ UNION ALL SELECT repo, 1, CASE WHEN nth > 1 THEN ',' ELSE '' END || j FROM items
 UNION ALL SELECT DISTINCT repo, 2, ']}}' FROM marked""")
 def history_document(spark, sf_dir):
     found = hi.mark_still_present(hi.history_findings(co.commit_log(spark, sf_dir)), co.head_files(spark, sf_dir))
+    found = durable(found)
     return doc.history_json(found, hi.history_counts(found)).select("project", "part", "text")
 
 
@@ -147,7 +148,7 @@ UNION ALL SELECT project, 7, 0, '1: fix every critical finding before deployment
 UNION ALL SELECT project, 7, 1, '2: schedule the high findings next' FROM counts WHERE high > 0""")
 def report_sections(spark, sf_dir):
     files = co.corpus_files(spark, sf_dir)
-    found = detect(files)
+    found = durable(detect(files))
     none = audit_dependencies(files)
     sections = rp.report_sections(found, ro.project_summary(found, files), none, _profiles(spark, sf_dir))
     return sections.select("project", "section", "ord", "text")
