@@ -109,6 +109,12 @@ def mark_still_present(findings: DataFrame, head: DataFrame) -> DataFrame:
     )
 
 
+def classify_changes(findings: DataFrame) -> DataFrame:
+    """Adds ``status``: secrets still in the current files must be fixed, removed ones rotated."""
+    status = F.when(F.col("still_present"), "still present").otherwise("removed")
+    return findings.withColumn("status", status)
+
+
 def history_counts(findings: DataFrame) -> DataFrame:
     """(repo, total, still_present, removed)."""
     return findings.groupBy("repo").agg(

@@ -184,7 +184,7 @@ def dependencies_json(findings: DataFrame, projects: DataFrame) -> DataFrame:
         "package", "version", F.col("issue_type").alias("type"), "severity", "description",
         F.col("file_path").alias("file"), "remediation", "cve_id", "cvss_score",
     ))
-    identity = F.sha1(F.concat_ws("\u0000", "issue_type", "package", "version", "description", "file_path"))
+    identity = F.sha1(F.concat_ws("|", "issue_type", "package", "version", "description", "file_path"))
     key = _key(F.col("file_path"), F.lit(0), F.lit(0), F.lit(0), identity)
     return (
         _line(totals, 0, F.concat(F.lit('{"total_findings":'), F.col("n").cast("string"), F.lit(',"findings":[')))

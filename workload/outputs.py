@@ -9,7 +9,6 @@ from auditlake.operators import baseline as bl
 from auditlake.operators import history as hi
 from auditlake.operators import rollup as ro
 from auditlake.operators.detect import detect
-from auditlake.operators.findings import min_severity
 from auditlake.operators.durable import checkpoint_folder, durable
 from auditlake.plans.audit import audit_dependencies, report_findings, scan_by_project
 from auditlake.sinks import documents as doc
@@ -19,12 +18,13 @@ from auditlake.streaming.scan import stream_new_findings, stream_scan, stream_se
 from workload import corpus as co
 from workload.oracle import findings_ctes
 from workload.queries import (
+    _ADVISORY_SQL,
     _ALL_FOUND,
     _COUNTS_SQL,
     _HISTORY_SQL,
+    _KNOWN_SQL,
     _NEXT_FOUND,
     _PROFILE_SQL,
-    _packages,
     _profiles,
     CORE,
     CORE_SQL,
@@ -55,7 +55,21 @@ def sarif_results(spark, sf_dir):
     return doc.sarif_results(all_findings(spark, sf_dir)).select("project", "rule_id", "level", "message", "uri", "start_line")
 
 
-@query("sarif_document")
+@query("sarif_document", f"""WITH {_ALL_FOUND}, firsts AS (
+  SELECT *, row_number() OVER (PARTITION BY project, rule_id ORDER BY {_ORDER_SQL}) AS nth FROM found),
+rules AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY {_ORDER_SQL}) AS place FROM firsts WHERE nth = 1),
+results AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY {_ORDER_SQL}) AS place FROM found),
+projects AS (SELECT DISTINCT project FROM corpus_files)
+SELECT project, 0 AS part, '{{"$schema":"{doc.SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{doc.TOOL_NAME}","version":"{doc.TOOL_VERSION}","rules":[' AS text FROM projects
+UNION ALL SELECT project, 1, CASE WHEN place > 1 THEN ',' ELSE '' END || CAST(to_json({{'id': rule_id, 'name': split_part(description, ' (and ', 1),
+  'shortDescription': {{'text': split_part(description, ' (and ', 1)}}, 'defaultConfiguration': {{'level': {_LEVEL_SQL}}},
+  'helpUri': 'https://cwe.mitre.org/data/definitions/' || replace(cwe_id, 'CWE-', '') || '.html', 'fullDescription': {{'text': cwe_id || ': ' || cwe_name || '. ' || owasp}},
+  'properties': {{'tags': [cwe_id, split_part(owasp, ' – ', 1)]}}}}) AS VARCHAR) FROM rules
+UNION ALL SELECT project, 2, ']}}}},"results":[' FROM projects
+UNION ALL SELECT project, 3, CASE WHEN place > 1 THEN ',' ELSE '' END || CAST(to_json({{'ruleId': rule_id, 'level': {_LEVEL_SQL},
+  'message': {{'text': description || CASE WHEN fix_hint = '' THEN '' ELSE chr(10) || chr(10) || 'Fix hint:' || chr(10) || fix_hint END}},
+  'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': file_path}}, 'region': {{'startLine': line_number}}}}}}]}}) AS VARCHAR) FROM results
+UNION ALL SELECT project, 4, ']}}]}}' FROM projects""")
 def sarif_document(spark, sf_dir):
     found = durable(all_findings(spark, sf_dir))
     projects = ro.files_scanned(co.corpus_files(spark, sf_dir)).select("project")
@@ -89,13 +103,47 @@ def findings_json(spark, sf_dir):
     return doc.findings_json(found, ro.project_summary(found, files)).select("project", "part", "text")
 
 
-@query("baseline_document")
+@query("baseline_document", f"""WITH {_ALL_FOUND},
+placed AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY {_ORDER_SQL}) AS place FROM found),
+counts AS (SELECT project, count(*) AS files_scanned FROM corpus_files GROUP BY project)
+SELECT project, 0 AS part, '{{"version":1,"created":"","files_scanned":' || files_scanned || ',"fingerprints":[' AS text FROM counts
+UNION ALL SELECT project, 1, CASE WHEN place > 1 THEN ',' ELSE '' END || '"' || fingerprint || '"' FROM placed
+UNION ALL SELECT project, 2, '],"findings":[' FROM counts
+UNION ALL SELECT project, 3, CASE WHEN place > 1 THEN ',' ELSE '' END || CAST(to_json({{'rule_id': rule_id, 'severity': severity, 'file': file_path, 'line': line_number,
+  'snippet': code_snippet, 'fingerprint': fingerprint}}) AS VARCHAR) FROM placed
+UNION ALL SELECT project, 4, ']}}' FROM counts""")
 def baseline_document(spark, sf_dir):
+    """Baseline documents, with the time of the run left out."""
     files = co.corpus_files(spark, sf_dir)
-    return doc.baseline_json(durable(detect(files)), ro.files_scanned(files)).select("project", "part", "text")
+    return doc.baseline_json(durable(detect(files)), ro.files_scanned(files)).select(
+        "project", "part", F.regexp_replace("text", '"created":"[^"]*"', '"created":""').alias("text")
+    )
 
 
-@query("dependencies_document")
+def _dependency_sql() -> str:
+    """Every dependency finding of the manifests, then its document."""
+    return f"""WITH {co.MANIFEST_SQL}, {_KNOWN_SQL}, {_ADVISORY_SQL},
+every AS (
+  SELECT project, original AS package, CAST(NULL AS VARCHAR) AS version, issue_type, 'CRITICAL' AS severity,
+    '"' || original || CASE WHEN issue_type = 'hallucinated' THEN '" is a name assistants invent; it may not exist'
+      WHEN meant IS NULL THEN '" is abandoned or malicious' ELSE '" looks like a stand-in for "' || meant || '"' END AS description, path AS file_path,
+    CASE WHEN issue_type = 'hallucinated' THEN 'Look the package up on ' || CASE ecosystem WHEN 'npm' THEN 'npmjs.com' ELSE 'pypi.org' END || ' before installing it'
+      WHEN meant IS NULL THEN 'Remove "' || original || '" and pick a maintained package' ELSE 'Check the name; "' || meant || '" may be meant' END AS remediation, CAST(NULL AS VARCHAR) AS cve_id
+  FROM packages JOIN known_names USING (ecosystem, name)
+  UNION ALL SELECT project, original, version, 'suspicious', 'MEDIUM', '"' || original || '" has no fixed version: "' || version || '"', path,
+    'npm install ' || original || '@<version> --save-exact', NULL FROM packages WHERE ecosystem = 'npm' AND version IN ('*', 'latest', '')
+  UNION ALL SELECT project, original, version, 'vulnerable', severity, cve_id || ': ' || summary, path,
+    CASE ecosystem WHEN 'npm' THEN 'npm update ' ELSE 'pip install --upgrade ' END || original, cve_id
+  FROM packages JOIN advisory USING (ecosystem, name) WHERE coalesce(version, '') = '' OR list_contains(versions, version)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY file_path, sha1(concat_ws('|', issue_type, package, version, description, file_path))) AS place FROM every),
+totals AS (SELECT project, count(e.package) AS n FROM (SELECT DISTINCT project FROM manifests) LEFT JOIN every e USING (project) GROUP BY project)
+SELECT project, 0 AS part, '{{"total_findings":' || n || ',"findings":[' AS text FROM totals
+UNION ALL SELECT project, 1, CASE WHEN place > 1 THEN ',' ELSE '' END || CAST(to_json({{'package': package, 'version': version, 'type': issue_type, 'severity': severity,
+  'description': description, 'file': file_path, 'remediation': remediation, 'cve_id': cve_id, 'cvss_score': NULL}}) AS VARCHAR) FROM placed
+UNION ALL SELECT project, 2, ']}}' FROM totals"""
+
+
+@query("dependencies_document", _dependency_sql())
 def dependencies_document(spark, sf_dir):
     manifests = co.manifests(spark, sf_dir)
     found = durable(audit_dependencies(manifests, co.advisory_rows(spark)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.catalog.packages import ECOSYSTEMS, HALLUCINATED, TYPOSQUATS
@@ -284,14 +284,18 @@ def custom_token(spark, sf_dir):
 _PAGES_SQL = "page_files AS (SELECT 'web' AS project, 'page' || CAST(page_id AS VARCHAR) || '.html' AS path, '.html' AS raw_ext, html AS content FROM pages)"
 
 
-@query("scan_pages", f"WITH {_PAGES_SQL},\n{findings_ctes(files='page_files', entropy=True)}\nSELECT {CORE_SQL} FROM found")
+_INLINE = {"pattern": r"<script>.*?</script>", "rule_id": "PAGE-1", "description": "Inline script", "severity": "medium"}
+_INLINE_RULES = ScanConfig(custom_patterns=(_INLINE,)).custom_rules()
+
+
+@query("scan_pages", f"WITH {_PAGES_SQL},\n{findings_ctes(RULES + _INLINE_RULES, files='page_files', entropy=True)}\nSELECT {CORE_SQL} FROM found")
 def scan_pages(spark, sf_dir):
-    """The whole catalog over the raw web pages."""
+    """The whole catalog and one added pattern over the raw web pages."""
     pages = co.read(spark, sf_dir, "pages").select(
         F.lit("web").alias("project"), F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
         F.col("html").alias("content"),
     )
-    return detect(pages).select(*CORE)
+    return detect(pages, ScanConfig(custom_patterns=(_INLINE,))).select(*CORE)
 
 
 # --- text functions -----------------------------------------------------------------------------
