@@ -47,9 +47,14 @@ def decode_text(raw: Column) -> Column:
     return normalize_newlines(F.when(F.contains(marked, F.lit("\ufffd")), restored).otherwise(text))
 
 
+# A run of one character.
+RUNS = r"(?s)(.)\1*"
+_ENDS = rf"\A[{WS}]+|[{WS}]+\z"
+
+
 def strip(text: Column) -> Column:
     """White space off both ends, in the Unicode sense."""
-    return F.regexp_replace(text, rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.regexp_replace(text, _ENDS, "")
 
 
 def snippet(line: Column, chars: int = SNIPPET_CHARS) -> Column:
@@ -75,33 +80,48 @@ def display_snippet(category: Column, code: Column) -> Column:
     return F.when(category == "Secrets", mask_secret(code)).otherwise(code)
 
 
-def shannon_entropy(text: Column) -> Column:
-    """Bits per character; 0 for the empty string.
+def entropy_sql(text: str) -> str:
+    """Bits per character; 0 for the empty string. Takes and gives SQL text.
 
     The characters are sorted, so that equal ones form runs and each run is one term of the sum.
     """
-    size = F.char_length(text)
-    ordered = F.array_join(F.sort_array(F.split(text, "")), "")
-    runs = F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1*"), F.lit(0))
+    size = f"char_length({text})"
+    runs = f"regexp_extract_all(array_join(sort_array(split({text}, '')), ''), {sql_literal(RUNS)}, 0)"
+    share = f"char_length(run) / {size}"
+    return (
+        f"CASE WHEN {size} = 0 THEN 0D ELSE "
+        f"aggregate({runs}, 0D, (total, run) -> total - ({share}) * log2({share})) END"
+    )
+
+
+def shannon_entropy(text: str) -> Column:
+    """``entropy_sql`` as a column."""
+    return F.expr(entropy_sql(text))
 
-    def part(total: Column, run: Column) -> Column:
-        p = F.char_length(run) / size
-        return total - p * F.log2(p)
 
-    return F.when(size == 0, F.lit(0.0)).otherwise(F.aggregate(runs, F.lit(0.0), part))
+def strip_sql(text: str) -> str:
+    return f"regexp_replace({text}, {sql_literal(_ENDS)}, '')"
 
 
-def is_suppressed(line: Column, rule_id: Column, marker: str = DEFAULT_MARKER) -> Column:
-    """True if the line carries the marker after ``#`` or ``//``, bare or followed by the rule's id."""
+def suppressed_sql(line: str, rule_id: str, marker: str = DEFAULT_MARKER) -> str:
+    """Whether a line carries the marker after ``#`` or ``//``, bare or followed by the rule's id.
 
-    def after(comment: str) -> Column:
+    Takes and gives SQL text, as it is mostly used inside lambdas over a file's lines.
+    """
+
+    def after(comment: str) -> str:
         tag = f"{comment} {marker}"
-        at = F.instr(line, tag)
-        rest = strip(F.substring(line, at + F.lit(len(tag)), F.char_length(line)))
-        covers = (rest == "") | F.array_contains(F.split(rest, f"[{WS}]+"), rule_id)
-        return F.when(at > 0, covers).otherwise(F.lit(False))
+        at = f"instr({line}, {sql_literal(tag)})"
+        rest = strip_sql(f"substring({line}, {at} + {len(tag)}, char_length({line}))")
+        words = f"split({rest}, {sql_literal(f'[{WS}]+')})"
+        return f"CASE WHEN {at} > 0 THEN {rest} = '' OR array_contains({words}, {rule_id}) ELSE false END"
+
+    return f"(contains({line}, {sql_literal(marker)}) AND ({after('#')} OR {after('//')}))"
 
-    return F.contains(line, F.lit(marker)) & (after("#") | after("//"))
+
+def is_suppressed(line: str, rule_id: str, marker: str = DEFAULT_MARKER) -> Column:
+    """``suppressed_sql`` as a column."""
+    return F.expr(suppressed_sql(line, rule_id, marker))
 
 
 def describe_count(description: Column, count: Column) -> Column:
@@ -144,19 +164,17 @@ def sentinel(content: Column) -> Column:
     )
 
 
-def match_lines(content: Column, pattern: Column, mark: Column) -> Column:
-    """Lines on which matches start, in order: array of (line, raw, n).
+def match_lines(content: str = "content", pattern: str = "pattern", mark: str = "mark") -> Column:
+    """Lines on which matches start, in order: array of (line, raw, n). Arguments are SQL text.
 
     Matches run over the whole text and may span lines. Each gets ``mark`` put before its start;
     splitting at line ends then tells the start line and the number of matches on it.
     """
-    marked = F.regexp_replace(content, pattern, F.concat(mark, F.lit("$0")))
-    numbered = F.transform(F.split(marked, "\n", -1), lambda text, i: F.struct((i + 1).alias("line"), text.alias("text")))
-    hit = F.filter(numbered, lambda x: F.contains(x["text"], mark))
-
-    def clean(x: Column) -> Column:
-        raw = F.replace(x["text"], mark, F.lit(""))
-        n = F.char_length(x["text"]) - F.char_length(raw)
-        return F.struct(x["line"].alias("line"), raw.alias("raw"), n.cast("long").alias("n"))
-
-    return F.transform(hit, clean)
+    return F.expr(f"""
+        transform(
+          filter(
+            transform(split(regexp_replace({content}, {pattern}, concat({mark}, '$0')), '\\n', -1),
+                      (text, i) -> named_struct('line', i + 1, 'text', text)),
+            x -> contains(x.text, {mark})),
+          x -> named_struct('line', x.line, 'raw', replace(x.text, {mark}, ''),
+                            'n', bigint(char_length(x.text) - char_length(replace(x.text, {mark}, '')))))""")

@@ -64,26 +64,21 @@ def find_hits(files: DataFrame, rules: tuple[Rule, ...], keep: tuple[str, ...] =
     )
 
 
-def first_and_count(matches: Column, rule_id: Column, marker: str) -> Column:
-    """Struct (line, raw, n, value): earliest unsuppressed line and number of unsuppressed matches."""
-    empty = F.expr("named_struct('line', int(null), 'raw', string(null), 'n', bigint(0), 'value', string(null))")
-
-    def add(acc: Column, x: Column) -> Column:
-        more = F.struct(
-            F.coalesce(acc["line"], x["line"]).alias("line"),
-            F.coalesce(acc["raw"], x["raw"]).alias("raw"),
-            (acc["n"] + x["n"]).alias("n"),
-            acc["value"].alias("value"),
-        )
-        return F.when(tx.is_suppressed(x["raw"], rule_id, marker), acc).otherwise(more)
-
-    return F.aggregate(matches, empty, add)
+def first_and_count(marker: str) -> Column:
+    """Array of one (line, raw, n, value): a hit's earliest unsuppressed line and number of unsuppressed matches."""
+    return F.expr(f"""
+        array(aggregate(
+          matches,
+          named_struct('line', int(null), 'raw', string(null), 'n', bigint(0), 'value', string(null)),
+          (acc, x) -> CASE WHEN {tx.suppressed_sql('x.raw', 'rule_id', marker)} THEN acc
+            ELSE named_struct('line', coalesce(acc.line, x.line), 'raw', coalesce(acc.raw, x.raw),
+                              'n', acc.n + x.n, 'value', acc.value) END))""")
 
 
 def _to_findings(located: DataFrame, rows: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows with catalog columns, and per hit an array of (line, raw, n, value) -> findings."""
     kept = [c for c in located.columns if c not in ("matches", "values")]
-    bits = F.format_string(" (entropy=%.2f bits/char)", tx.shannon_entropy(F.col("value")))
+    bits = F.format_string(" (entropy=%.2f bits/char)", tx.shannon_entropy("value"))
     described = tx.describe_count(F.col("description"), F.col("n"))
     description = F.when(F.col("value").isNotNull(), F.concat(F.col("description"), bits)).otherwise(described)
     return (
@@ -131,7 +126,7 @@ def detect_rules(
         parts.append(_by_spark(files, native, marker, keep))
     if other:
         located = _by_python(files, other, keep)
-        parts.append(_to_findings(located, F.array(first_and_count(F.col("matches"), F.col("rule_id"), marker)), keep))
+        parts.append(_to_findings(located, first_and_count(marker), keep))
     return union_findings(*parts)
 
 
@@ -140,17 +135,15 @@ def _by_spark(files: DataFrame, rules: tuple[Rule, ...], marker: str, keep: tupl
     located = (
         hits.join(F.broadcast(jvm_catalog(files.sparkSession, rules)), "rule_ord")
         .withColumn("mark", tx.sentinel(F.col("content")))
-        .withColumn("matches", tx.match_lines(F.col("content"), F.col("pattern"), F.col("mark")))
+        .withColumn("matches", tx.match_lines())
     )
-    first = F.array(first_and_count(F.col("matches"), F.col("rule_id"), marker))
+    first = first_and_count(marker)
     if ENTROPY_RULE not in rules:
         return _to_findings(located.drop("content", "pattern", "mark"), first, keep)
-    is_entropy = F.col("rule_ord") == ENTROPY_RULE.rule_ord
-    found = entropy.candidates(F.col("matches"), F.regexp_extract_all(F.col("content"), F.col("pattern"), F.lit(1)))
-    located = located.withColumn(
-        "values", F.when(is_entropy, entropy.qualified(found, F.col("rule_id"), marker))
-    ).drop("content", "pattern", "mark")
-    return _to_findings(located, F.when(is_entropy, entropy.first_per_line(F.col("values"))).otherwise(first), keep)
+    # values first, as a column of their own: the step that picks one per line reads them repeatedly
+    located = located.withColumn("values", entropy.qualified(marker)).drop("content", "pattern", "mark")
+    rows = F.when(F.col("rule_ord") == ENTROPY_RULE.rule_ord, entropy.first_per_line()).otherwise(first)
+    return _to_findings(located, rows, keep)
 
 
 def _no_hits(files: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -217,10 +210,10 @@ def detect_project_patterns(files: DataFrame, patterns: DataFrame, marker: str =
         rows = described.filter(F.col("by_python") == by_python)
         matches = (
             _python_matches()(F.col("content"), F.col("pattern")) if by_python
-            else tx.match_lines(F.col("content"), F.col("pattern"), F.col("mark"))
+            else tx.match_lines()
         )
         located = rows.withColumn("matches", matches).drop("content", "pattern", "mark")
-        parts.append(_to_findings(located, F.array(first_and_count(F.col("matches"), F.col("rule_id"), marker))))
+        parts.append(_to_findings(located, first_and_count(marker)))
     return union_findings(*parts)
 
 

@@ -5,52 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from auditlake.catalog.rules import ENTROPY_BITS
+from auditlake.catalog.rules import ENTROPY_BITS, ENTROPY_RULE
 from auditlake.functions import text as tx
 
 
-def is_random(value: Column) -> Column:
+def is_random_sql(value: str) -> str:
     """Entropy at or above the threshold; rounded so that exact sums are not lost to the last digit."""
-    return F.round(tx.shannon_entropy(value), 12) >= ENTROPY_BITS
-
-
-def candidates(matches: Column, values: Column) -> Column:
-    """Array of (pos, line, raw, value) from the match lines and the captured values, both in text order."""
-    starts = F.flatten(
-        F.transform(
-            matches,
-            lambda x: F.array_repeat(F.struct(x["line"].alias("line"), x["raw"].alias("raw")), x["n"].cast("int")),
-        )
-    )
-    return F.transform(
-        F.arrays_zip(starts.alias("at"), values.alias("value")),
-        lambda x, i: F.struct(
-            i.alias("pos"), x["at"]["line"].alias("line"), x["at"]["raw"].alias("raw"), x["value"].alias("value")
-        ),
-    )
-
-
-def qualified(found: Column, rule_id: Column, marker: str) -> Column:
-    """Unsuppressed candidates that look random, as (raw, pos, line, value) sorted by line text and position."""
-    kept = F.filter(found, lambda x: is_random(x["value"]) & ~tx.is_suppressed(x["raw"], rule_id, marker))
-    return F.array_sort(
-        F.transform(
-            kept,
-            lambda x: F.struct(
-                tx.strip(x["raw"]).alias("raw"), x["pos"].alias("pos"), x["line"].alias("line"), x["value"].alias("value")
-            ),
-        )
-    )
-
-
-def first_per_line(ordered: Column) -> Column:
-    """First value of each distinct line text, as (line, raw, n, value)."""
-    first = F.filter(
-        ordered, lambda x, i: (i == 0) | (F.get(ordered, F.greatest(i - 1, F.lit(0)))["raw"] != x["raw"])
-    )
-    return F.transform(
-        first,
-        lambda x: F.struct(
-            x["line"].alias("line"), x["raw"].alias("raw"), F.lit(1).cast("long").alias("n"), x["value"].alias("value")
-        ),
-    )
+    return f"round({tx.entropy_sql(value)}, 12) >= {ENTROPY_BITS}D"
+
+
+def qualified(marker: str) -> Column:
+    """Unsuppressed random values of an entropy hit, as (raw, pos, line, value) sorted by line text and position.
+
+    Reads the columns content, pattern, matches and rule_id; null for hits of other rules. The n-th
+    captured value belongs to the n-th match, whose line ``matches`` tells.
+    """
+    return F.expr(f"""
+        CASE WHEN rule_ord = {ENTROPY_RULE.rule_ord} THEN array_sort(transform(
+          filter(
+            transform(
+              zip_with(
+                flatten(transform(matches, x -> array_repeat(named_struct('line', x.line, 'raw', x.raw), int(x.n)))),
+                regexp_extract_all(content, pattern, 1),
+                (at, value) -> named_struct('line', at.line, 'raw', at.raw, 'value', value)),
+              (x, i) -> named_struct('pos', i, 'line', x.line, 'raw', x.raw, 'value', x.value)),
+            x -> {is_random_sql('x.value')} AND NOT {tx.suppressed_sql('x.raw', 'rule_id', marker)}),
+          x -> named_struct('raw', {tx.strip_sql('x.raw')}, 'pos', x.pos, 'line', x.line, 'value', x.value)))
+        END""")
+
+
+def first_per_line() -> Column:
+    """First value of each distinct line text in ``values``, as (line, raw, n, value)."""
+    return F.expr("""
+        transform(
+          filter(values, (x, i) -> i = 0 OR get(values, greatest(i - 1, 0)).raw <> x.raw),
+          x -> named_struct('line', x.line, 'raw', x.raw, 'n', bigint(1), 'value', x.value))""")

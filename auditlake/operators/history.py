@@ -14,7 +14,7 @@ from auditlake.functions import text as tx
 from auditlake.functions.dialect import to_jvm
 from auditlake.operators.detect import rule_test
 from auditlake.operators.durable import durable
-from auditlake.operators.entropy import is_random
+from auditlake.operators.entropy import is_random_sql
 from auditlake.operators.joins import join_bounded
 from auditlake.schema import HISTORY_COLUMNS
 from auditlake.sources.commit_log import (
@@ -38,10 +38,10 @@ def line_hits(lines: DataFrame) -> DataFrame:
     """
     lowered = lines.withColumn("lowered", tx.gate_text(F.col("content")))
     cases = " ".join(f"WHEN {rule_test(r)} THEN {i}" for i, r in enumerate(HISTORY_RULES))
-    values = F.when(
-        F.expr(rule_test(ENTROPY_RULE)),
-        F.filter(F.regexp_extract_all("content", F.lit(to_jvm(ENTROPY_RULE.pattern)), F.lit(1)), is_random),
-    )
+    pattern = tx.sql_literal(to_jvm(ENTROPY_RULE.pattern))
+    values = F.expr(f"""
+        CASE WHEN {rule_test(ENTROPY_RULE)}
+             THEN filter(regexp_extract_all(content, {pattern}, 1), v -> {is_random_sql('v')}) END""")
     # one generator gives the rows with a hit, so each line is tested once
     tests = F.array_compact(F.array(
         F.when(F.expr(f"CASE {cases} END").isNotNull(), F.struct(
@@ -54,7 +54,7 @@ def line_hits(lines: DataFrame) -> DataFrame:
     found = lowered.select(*lines.columns, F.inline(tests))
     ids = F.array(*[F.lit(r.rule_id) for r in HISTORY_RULES])
     descriptions = F.array(*[F.lit(r.description) for r in HISTORY_RULES])
-    bits = F.format_string("High-entropy secret in history (entropy=%.2f)", tx.shannon_entropy(F.col("value")))
+    bits = F.format_string("High-entropy secret in history (entropy=%.2f)", tx.shannon_entropy("value"))
     return found.select(
         *lines.columns, "hit_ord",
         F.coalesce(F.get(ids, F.col("rule")), F.lit(ENTROPY_RULE.rule_id)).alias("rule_id"),
@@ -65,7 +65,7 @@ def line_hits(lines: DataFrame) -> DataFrame:
 def history_findings(log: DataFrame, newest: int | None = None, block: int = BLOCK_LINES) -> DataFrame:
     """First occurrence, in log order, of every secret in a log table (repo, seq, line)."""
     if newest is not None:
-        log = limit_commits(log, newest)
+        log = limit_commits(log, newest, block)
     line = F.col("line")
     hits = line_hits(added_lines(log)).select(
         "repo", "seq", "hit_ord", "rule_id", "description",
@@ -101,7 +101,7 @@ def mark_still_present(findings: DataFrame, head: DataFrame) -> DataFrame:
     """
     findings = durable(findings)
     keys = findings.select("repo", F.col("file_path").alias("path")).distinct()
-    head = join_bounded(head.select("repo", "path", "content"), keys, ["repo", "path"], "left_semi")
+    head = join_bounded(head.select("repo", "path", "content"), keys, ["repo", "path"], "left_semi", hot_keys=False)
     current = head.select("repo", F.col("path").alias("file_path"), F.col("content").alias("head_content"))
     present = F.contains(F.col("head_content"), tx.strip(F.col("line_snippet")))
     return findings.join(current, ["repo", "file_path"], "left").select(

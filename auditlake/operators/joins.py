@@ -15,16 +15,18 @@ def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return (size or 0) <= limit
 
 
-def join_bounded(large: DataFrame, small: DataFrame, on: list[str], how: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+def join_bounded(
+    large: DataFrame, small: DataFrame, on: list[str], how: str, limit: int = BROADCAST_BYTES, hot_keys: bool = True
+) -> DataFrame:
     """Join that keeps the large side where it is if the small side, measured, fits in memory.
 
     For large sides that carry file contents or log lines: a planner estimate would shuffle them,
     since it cannot know that a filter or aggregate left little. Beyond the limit both sides are
-    shuffled, with the keys salted.
+    shuffled, with the keys salted unless ``hot_keys`` says that no key of the large side repeats.
     """
     if fits(small, limit):
         return large.join(F.broadcast(small), on, how)
-    return salted_join(large, small, on, how)
+    return salted_join(large, small, on, how) if hot_keys else large.join(small, on, how)
 
 
 def salted_join(large: DataFrame, small: DataFrame, on: list[str], how: str, salts: int = SALTS) -> DataFrame:

@@ -25,9 +25,11 @@ SKIP_DIRS = (
 
 
 def filter_scannable(files: DataFrame) -> DataFrame:
+    """Files of a scanned type or named ``.env*``. Stored ``ext`` and ``name`` columns reach the scan's filter."""
     path = F.col("path")
     ext = F.col("ext") if "ext" in files.columns else tx.file_ext(path)
-    return files.filter(ext.isin(*SCANNABLE_EXTENSIONS) | F.startswith(tx.file_name(path), F.lit(".env")))
+    name = F.col("name") if "name" in files.columns else tx.file_name(path)
+    return files.filter(ext.isin(*SCANNABLE_EXTENSIONS) | F.startswith(name, F.lit(".env")))
 
 
 def under_dirs(path: Column, names: Iterable[str]) -> Column:
@@ -59,7 +61,7 @@ def restrict_to_changed(files: DataFrame, changed: DataFrame | None) -> DataFram
     """Only files named in ``changed`` (project, path); an empty table keeps none, ``None`` keeps all."""
     if changed is None:
         return files
-    return join_bounded(files, changed.select("project", "path"), ["project", "path"], "left_semi")
+    return join_bounded(files, changed.select("project", "path"), ["project", "path"], "left_semi", hot_keys=False)
 
 
 def select_files(

@@ -92,18 +92,26 @@ def forward_fill(
     )
 
 
-def limit_commits(log: DataFrame, newest: int) -> DataFrame:
+def limit_commits(log: DataFrame, newest: int, block: int = BLOCK_LINES) -> DataFrame:
     """Lines of each repository's newest commits, by the position of their first line.
 
-    Only commit header lines are ranked; the rank filter is applied before their shuffle as well,
-    so a repository with many commits does not grow one task. The cut, a row per repository, is
-    measured and sent to the lines, which stay where they are.
+    Commits are counted per block of the log; the running count over blocks, a row each, tells in
+    which block a repository's last wanted commit ends, and only that block is ranked. The cut, a
+    row per repository, is measured and sent to the lines, which stay where they are.
     """
-    heads = log.filter(F.startswith(F.col("line"), F.lit(FIELDS["commit_hash"]))).select("repo", "seq")
-    rank = F.row_number().over(W.partitionBy("repo").orderBy("seq"))
+    heads = log.filter(F.startswith(F.col("line"), F.lit(FIELDS["commit_hash"]))).select(
+        "repo", "seq", F.floor(F.col("seq") / block).cast("long").alias("block")
+    )
+    earlier = W.partitionBy("repo").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    counted = heads.groupBy("repo", "block").agg(F.count("*").alias("n"))
+    ending = counted.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).filter(
+        (F.col("before") <= newest) & (F.col("before") + F.col("n") > newest)
+    )
+    rank = F.row_number().over(W.partitionBy("repo", "block").orderBy("seq"))
     cut = (
-        heads.withColumn("nth", rank).filter(F.col("nth") <= newest + 1)
-        .groupBy("repo").agg(F.max(F.when(F.col("nth") == newest + 1, F.col("seq"))).alias("end"))
+        heads.join(ending, ["repo", "block"]).withColumn("nth", rank)
+        .filter(F.col("nth") + F.col("before") == newest + 1)
+        .select("repo", F.col("seq").alias("end"))
     )
     return join_bounded(log, cut, ["repo"], "left").filter(F.col("end").isNull() | (F.col("seq") < F.col("end"))).select(*log.columns)
 

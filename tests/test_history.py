@@ -81,8 +81,12 @@ def test_skipped_rules_and_first_rule(spark):
 def test_limit_commits(spark):
     lines = [line for n in range(6) for line in commit(n, "diff --git a/x b/x", f"+password = 'p{n}'")]
     log = log_of(spark, {"r": lines, "s": lines[:8]})
-    rows = hi.history_findings(log, newest=2).collect()
-    assert sorted((r.repo, r.line_snippet) for r in rows) == [("r", "password = 'p0'"), ("r", "password = 'p1'"), ("s", "password = 'p0'")]
+    for block in (3, 1 << 20):
+        rows = hi.history_findings(log, newest=2, block=block).collect()
+        assert sorted((r.repo, r.line_snippet) for r in rows) == [("r", "password = 'p0'"), ("r", "password = 'p1'"), ("s", "password = 'p0'")]
+        for newest in range(8):
+            left = cl.limit_commits(log, newest, block).filter("line like 'COMMIT:%'").groupBy("repo").count().collect()
+            assert {r.repo: r["count"] for r in left} == ({"r": min(newest, 6), "s": min(newest, 2)} if newest else {})
 
 
 def test_fingerprint_same_across_commits(spark):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditlake import ScanConfig, profile_projects, read_corpus, read_tree, scan, summarize
+from auditlake.operators import select as se
 from auditlake.operators.detect import detect
 from auditlake.operators.durable import checkpoint_folder, durable
 from auditlake.operators.rollup import files_scanned
@@ -157,6 +158,16 @@ def test_read_corpus(spark, folder):
     assert read_corpus(spark, f"{folder}/t", "json").first().content == "x\ny"
 
 
+def test_scan_reads_little(spark, folder):
+    rows = [("p", "a.py", "a.py", ".py", "x"), ("p", "b.md", "b.md", ".md", "y")]
+    spark.createDataFrame(rows, "project string, path string, name string, ext string, content string").write.parquet(folder + "/f")
+    files = read_corpus(spark, folder + "/f")
+    plan = detect(files.transform(se.filter_scannable))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(In(ext" in plan
+    names = profile_projects(files)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<project:string,path:string>" in names
+
+
 def test_checkpoints_use_the_named_folder(spark):
     from types import SimpleNamespace
 

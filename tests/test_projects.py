@@ -137,6 +137,7 @@ def test_joins_agree(spark, how):
     assert sorted(map(str, salted_join(big, small, ["k"], how).collect())) == plain
     assert sorted(map(str, join_bounded(big, small, ["k"], how).collect())) == plain
     assert sorted(map(str, join_bounded(big, small, ["k"], how, limit=1).collect())) == plain
+    assert sorted(map(str, join_bounded(big, small, ["k"], how, limit=1, hot_keys=False).collect())) == plain
 
 
 def test_dependencies_of_a_corpus(corpus, spark):

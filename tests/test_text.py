@@ -53,7 +53,7 @@ def test_mask(spark):
 
 def test_entropy(spark):
     values = ["", "a", "ab", "aab", "0123456789abcdef", "zażółć😀", "AAAAbbbbCCCCdddd1234"]
-    got = results(column(spark, values), tx.shannon_entropy(F.col("v")))
+    got = results(column(spark, values), tx.shannon_entropy("v"))
     assert got == pytest.approx([brute.entropy(v) for v in values], abs=1e-12)
 
 
@@ -61,9 +61,9 @@ def test_suppression(spark):
     lines = ["x # audit-ignore", "x // audit-ignore", "x #audit-ignore", "x # audit-ignore R-1 R-2", "x # audit-ignore\tR-2",
              "x # audit-ignore because", "x # audit-ignored", "// audit-ignore R-9 # audit-ignore", "audit-ignore",
              "x # audit-ignore R-9 # audit-ignore R-1", "# audit-ignore   ", "x // audit-ignore R-10"]
-    got = results(column(spark, lines), tx.is_suppressed(F.col("v"), F.lit("R-1")))
+    got = results(column(spark, lines), tx.is_suppressed("v", "'R-1'"))
     assert got == [brute.suppressed(line, "R-1") for line in lines]
-    mine = results(column(spark, ["x # skip-it R-1"]), tx.is_suppressed(F.col("v"), F.lit("R-1"), "skip-it"))
+    mine = results(column(spark, ["x # skip-it R-1"]), tx.is_suppressed("v", "'R-1'", "skip-it"))
     assert mine == [True]
 
 
@@ -89,7 +89,7 @@ TEXTS = ["cat concat  x\ny,y", "A1 22 \xe933 \u0663\u0664", "\xe1bc a\nc aXc\nab
 def test_dialect_same_as_python(spark):
     cases = [(i, p, t) for i, (p, t) in enumerate(itertools.product(PATTERNS, TEXTS))]
     df = spark.createDataFrame([(i, to_jvm(p), t) for i, p, t in cases], "i int, p string, t string")
-    rows = {r.i: [(m.line, m.n) for m in r.m] for r in df.select("i", tx.match_lines(F.col("t"), F.col("p"), F.lit("\x02")).alias("m")).collect()}
+    rows = {r.i: [(m.line, m.n) for m in r.m] for r in df.select("i", tx.match_lines("t", "p", "'\x02'").alias("m")).collect()}
     for i, p, t in cases:
         lines = [t.count("\n", 0, m.start()) + 1 for m in re.finditer(p, t, brute.FLAGS)]
         assert rows[i] == [(n, lines.count(n)) for n in dict.fromkeys(lines)], (p, t)

@@ -202,8 +202,8 @@ def suppress_inline(spark, sf_dir):
     )
     return lines.filter(F.contains("raw", F.lit(tx.DEFAULT_MARKER))).select(
         "project", "path", (F.col("pos") + 1).alias("line"),
-        tx.is_suppressed(F.col("raw"), F.lit("SEC-001")).alias("sec_001"),
-        tx.is_suppressed(F.col("raw"), F.lit("JWT-005")).alias("jwt_005"),
+        tx.is_suppressed("raw", "'SEC-001'").alias("sec_001"),
+        tx.is_suppressed("raw", "'JWT-005'").alias("jwt_005"),
     )
 
 
@@ -217,7 +217,7 @@ def entropy(spark, sf_dir):
 
 @query("shannon_entropy", "SELECT doc_id, round(list_entropy(string_split(text, '')), 6) AS bits FROM documents")
 def shannon(spark, sf_dir):
-    return co.read(spark, sf_dir, "documents").select("doc_id", F.round(tx.shannon_entropy(F.col("text")), 6).alias("bits"))
+    return co.read(spark, sf_dir, "documents").select("doc_id", F.round(tx.shannon_entropy("text"), 6).alias("bits"))
 
 
 def _env_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
