@@ -95,7 +95,7 @@ FAMILIES: tuple[Family, ...] = (
              "Tutorial placeholder used as signing secret", gate=('"your', "'your"), need=("256",),
              confidence="MEDIUM", cwe=798),
         Rule("SEC-008", r"""["']secret["']""",
-             "The word secret used as a value", gate=('"secret', "'secret"), confidence="MEDIUM", cwe=798),
+             "The word secret used as a value", gate=("secret",), near=r"""["']secret["']""", confidence="MEDIUM", cwe=798),
         Rule("SEC-009", r"""["']password123["']""",
              "Guessable password literal", gate=("password123",), confidence="MEDIUM", cwe=521),
         Rule("SEC-010", r"""["']admin@example\.com["']""",
@@ -106,17 +106,17 @@ FAMILIES: tuple[Family, ...] = (
              "Password assigned from a literal", gate=("password",), confidence="MEDIUM", cwe=798,
              fix_hint="password = os.environ['APP_PASSWORD']"),
         Rule("SEC-013", r"""["']?api[_-]?key["']?\s*[=:]\s*["'][a-zA-Z0-9]{16,}["']""",
-             "API key assigned from a literal", gate=("api_key", "api-key", "apikey"),
+             "API key assigned from a literal", gate=("api",), near=r"api[_-]?key",
              confidence="MEDIUM", cwe=798, fix_hint="api_key = os.environ['SERVICE_API_KEY']"),
         Rule("SEC-017", r"""["']?api[_-]?secret["']?\s*[=:]\s*["'][a-zA-Z0-9]{16,}["']""",
-             "API secret assigned from a literal", gate=("api_secret", "api-secret", "apisecret"),
+             "API secret assigned from a literal", gate=("api",), near=r"api[_-]?secret",
              confidence="MEDIUM", cwe=798, fix_hint="api_secret = os.environ['SERVICE_API_SECRET']"),
         Rule("SEC-018", r"""["'](?:PK|AK)[A-Z0-9]{20,}["']""",
-             "Brokerage API key in source", gate=('"pk', "'pk", '"ak', "'ak"), cwe=798),
+             "Brokerage API key in source", near=r"""["'][pa]k[a-z0-9]{20}""", cwe=798),
         Rule("SEC-019", r"""["']sk-ant-[a-zA-Z0-9_-]{40,}["']""",
              "Model provider key (sk-ant form) in source", gate=("sk-ant-",), cwe=798),
         Rule("SEC-020", r"""["']sk-[a-zA-Z0-9]{48}["']""",
-             "Model provider key (sk form) in source", gate=('"sk-', "'sk-"), cwe=798),
+             "Model provider key (sk form) in source", gate=("sk-",), near=r"""["']sk-""", cwe=798),
         Rule("SEC-021", r"""^[A-Z_]*(?:KEY|SECRET|TOKEN|PASSWORD)[A-Z_]*=[A-Za-z0-9+/]{16,}$""",
              "Bare secret in an environment or config file", gate=("key", "secret", "token", "password"),
              need=("=",), cwe=798),
@@ -165,7 +165,7 @@ FAMILIES: tuple[Family, ...] = (
     Family("path_traversal", "injection", "Injection (path_traversal)", "HIGH",
            "Resolve the path and require it to stay inside the base directory", (
         Rule("INJ-040", r"""\.\.[\\/]""",
-             "Parent directory step in a path", gate=("../", "..\\"), confidence="LOW", cwe=22, fix_hint=_HINT_PATH),
+             "Parent directory step in a path", gate=("..",), near=r"\.\.[\\/]", confidence="LOW", cwe=22, fix_hint=_HINT_PATH),
         Rule("INJ-041", r"""os\.path\.join\s*\([^)]*(?:request\.|req\.|input\(|user_)""",
              "Path joined with input", gate=("os.path.join",), extensions=PY, cwe=22, fix_hint=_HINT_PATH),
         Rule("INJ-042", r"""open\s*\(\s*(?:request\.|req\.|input\(|user_)""",
@@ -248,7 +248,7 @@ FAMILIES: tuple[Family, ...] = (
         Rule("CLOUD-002", r"""supabase\s*=\s*createClient\s*\([^)]*anon[^)]*\)""",
              "Anonymous client key in use; row policies must hold", gate=("supabase",), need=("anon",), cwe=732),
         Rule("CLOUD-003", r"""service[_-]?role[_-]?key""",
-             "Service role key mentioned", gate=("service_role", "service-role", "servicerole"), cwe=798),
+             "Service role key mentioned", gate=("service",), near=r"service[_-]?role", cwe=798),
         Rule("CLOUD-010", r"""cors\s*\(\s*\{\s*origin\s*:\s*["']?\*["']?""",
              "CORS open to every origin", gate=("cors",), need=("*",), cwe=346),
         Rule("CLOUD-011", r"""Access-Control-Allow-Origin.*\*""",
@@ -283,7 +283,7 @@ FAMILIES: tuple[Family, ...] = (
         Rule("DBG-002", r"""(?<!\w)DEBUG\s*=\s*True""",
              "DEBUG flag set to True", gate=("debug",), need=("true",), extensions=PY, cwe=215),
         Rule("DBG-003", r"""["']debug["']\s*:\s*true""",
-             "Debug switched on in configuration", gate=('"debug', "'debug"), confidence="LOW", cwe=215),
+             "Debug switched on in configuration", gate=("debug",), near=r"""["']debug["']""", confidence="LOW", cwe=215),
         Rule("DBG-004", r"""console\.log\s*\([^)]*(?:password|token|secret|key|auth|credential)""",
              "Sensitive value logged to the console", gate=("console.log",), extensions=JS, cwe=215),
         Rule("DBG-005", r"""print\s*\([^)]*(?:password|token|secret|api_key|credential)""",
@@ -292,7 +292,7 @@ FAMILIES: tuple[Family, ...] = (
     Family("https", "https", "Network", "MEDIUM",
            "Use HTTPS, and mark cookies Secure and HttpOnly", (
         Rule("NET-001", r"""["']http://(?!localhost|127\.|0\.0\.0\.0|10\.|192\.168\.|example\.com)[a-zA-Z0-9][^"']{4,}["']""",
-             "Plain HTTP address in a literal", gate=('"http://', "'http://"), confidence="MEDIUM", cwe=319),
+             "Plain HTTP address in a literal", gate=("http://",), near=r"""["']http://""", confidence="MEDIUM", cwe=319),
         Rule("NET-002", r"""httpOnly\s*[=:]\s*false""",
              "Cookie readable by scripts", gate=("httponly",), need=("false",), cwe=614),
         Rule("NET-003", r"""sameSite\s*[=:]\s*["']?none["']?(?!.*[Ss]ecure)""",
@@ -317,7 +317,7 @@ FAMILIES: tuple[Family, ...] = (
              confidence="MEDIUM", cwe=918),
         Rule("SSRF-005", r"""http(?:s)?\.(?:get|request)\s*\(\s*(?:req\b|request\b|user|params)""",
              "Outgoing request to an address from input (http module)",
-             gate=("http.get", "http.request", "https.get", "https.request"), extensions=JS,
+             gate=("http",), near=r"https?\.(?:get|request)", extensions=JS,
              confidence="MEDIUM", cwe=918),
     )),
     Family("jwt", "jwt", "JWT", "CRITICAL",

@@ -197,7 +197,7 @@ def detect_project_patterns(files: DataFrame, patterns: DataFrame, marker: str =
     base = join_bounded(files.select("project", "path", "content"), compiled, ["project"], "inner")
     hits = base.select(
         "project", "path", "content",
-        F.inline(F.filter(F.col("rules"), lambda r: r["by_python"] | F.rlike(F.col("content"), r["pattern"]))),
+        F.inline(F.expr("filter(rules, r -> r.by_python OR rlike(content, r.pattern))")),
     )
     described = hits.select(
         "*", F.lit("Secrets").alias("category"), rank_of(F.col("severity")).alias("severity_rank"),
@@ -205,16 +205,12 @@ def detect_project_patterns(files: DataFrame, patterns: DataFrame, marker: str =
         *[F.lit("").alias(c) for c in ("cwe_id", "cwe_name", "owasp", "fix_hint")],
         tx.sentinel(F.col("content")).alias("mark"),
     )
-    parts = []
-    for by_python in (False, True):
-        rows = described.filter(F.col("by_python") == by_python)
-        matches = (
-            _python_matches()(F.col("content"), F.col("pattern")) if by_python
-            else tx.match_lines()
-        )
-        located = rows.withColumn("matches", matches).drop("content", "pattern", "mark")
-        parts.append(_to_findings(located, first_and_count(marker)))
-    return union_findings(*parts)
+    # texts go to Python only for the patterns that need it
+    by_python = _python_matches()(F.when(F.col("by_python"), F.col("content")), F.col("pattern"))
+    located = described.withColumn("found", by_python).withColumn(
+        "matches", F.when(F.col("by_python"), F.col("found")).otherwise(tx.match_lines())
+    )
+    return _to_findings(located.drop("content", "pattern", "mark", "found"), first_and_count(marker))
 
 
 def compile_patterns():

@@ -11,6 +11,7 @@ from auditlake.functions.scoring import rank_of
 from auditlake.operators import baseline as bl
 from auditlake.operators import dependencies as deps
 from auditlake.operators.detect import detect, detect_project_patterns
+from auditlake.operators.durable import durable
 from auditlake.operators.findings import min_severity, union_findings
 from auditlake.operators.history import history_findings, mark_still_present
 from auditlake.operators.joins import salted_join
@@ -34,9 +35,11 @@ def scan_by_project(files: DataFrame, settings: DataFrame, config: ScanConfig |
     """``scan`` where each project's own settings row (see ``read_config``) narrows the run.
 
     Path excludes are applied before matching; checks, rule excludes and the severity threshold are
-    per-project filters on the findings, so one plan serves every project.
+    per-project filters on the findings, so one plan serves every project. The settings, a row per
+    project, are written once, so that the corpus is not searched for them at each use.
     """
     config = config or ScanConfig()
+    settings = durable(settings)
     # .env findings look at every file of a project, whatever its settings exclude
     chosen = exclude_paths_by_project(select_files(files, config.exclude_paths), settings)
     custom = detect_project_patterns(chosen, settings, config.marker)
