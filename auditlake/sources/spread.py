@@ -13,6 +13,7 @@ def spread(table: DataFrame, *keys: str) -> DataFrame:
     returned as it is and never shuffled.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    if len(table.inputFiles()) >= cores:
+    # the array is only counted; DataFrame.inputFiles() would bring every name over
+    if len(table._jdf.inputFiles()) >= cores:
         return table
     return table.repartition(2 * cores, *keys)

@@ -164,13 +164,31 @@ def test_dependencies_of_a_corpus(corpus, spark):
     assert packages["requirements.txt", "a"] is None and packages["requirements.txt", "sp"] is None
 
 
+def test_advisory_entries_of_one_package_are_merged(spark):
+    from auditlake.operators.dependencies import match_advisories
+    from auditlake.sources.advisories import advisories_from_json, read_advisories
+
+    def entry(name, eco="PyPI", **more):
+        return {"package": {"ecosystem": eco, "name": name}, **more}
+
+    gap = [{"type": "SEMVER", "events": [{"introduced": "2"}, {"fixed": "2.5"}]}, {"type": "GIT", "events": [{"introduced": "0"}]}]
+    record = {"id": "X-1", "aliases": ["CVE-1"], "affected": [entry("Lib", versions=["1.0"]), entry("lib", versions=["1.1"], ranges=gap), entry("lib", "npm")]}
+    table = read_advisories(advisories_from_json(spark.createDataFrame([(json.dumps(record),), ('{"id": "X-2"}',)], "payload string")))
+    assert table.count() == 2
+    rows = [("p", f"r{i}.txt", "python", "lib", "lib", v, 0) for i, v in enumerate(["1.0", "1.1", "1.2", "2.2", None])]
+    packages = spark.createDataFrame(rows, "project string, path string, ecosystem string, name string, original string, version string, pos int")
+    assert sorted(r.file_path for r in match_advisories(packages, table).collect()) == ["r0.txt", "r1.txt", "r4.txt"]
+    assert sorted(r.file_path for r in match_advisories(packages, table, ranges=True).collect()) == ["r0.txt", "r1.txt", "r3.txt", "r4.txt"]
+
+
 def test_version_ranges(spark):
     from auditlake.operators.dependencies import in_ranges
 
-    spec = "v string, e array<struct<introduced:string,fixed:string,last_affected:string>>"
+    spec = "v string, e array<array<struct<introduced:string,fixed:string,last_affected:string>>>"
     between = [("1.2", None, None), (None, "1.10.0", None)]
-    cases = [("1.2", between, True), ("1.9.9", between, True), ("1.10", between, False), ("1.1", between, False), ("1.2.0", between, True),
-             ("2.0", between + [("2", None, None)], True), ("0.1", [("0", None, None), (None, None, "0.1")], True),
-             ("0.2", [("0", None, None), (None, None, "0.1")], False), ("v1.3-rc1", between, True)]
+    upto = [("0", None, None), (None, None, "0.1")]
+    cases = [("1.2", [between], True), ("1.9.9", [between], True), ("1.10", [between], False), ("1.1", [between], False), ("1.2.0", [between], True),
+             ("2.0", [between + [("2", None, None)]], True), ("0.1", [upto], True), ("0.2", [upto], False), ("v1.3-rc1", [between], True),
+             ("1.5", [between, upto], True), ("1.5", [upto, between], True), ("0.5", [between, upto], False), ("1", [], False), ("1", None, False)]
     df = spark.createDataFrame([(v, e) for v, e, _ in cases], spec)
     assert [r[0] for r in df.select(in_ranges(F.col("v"), F.col("e"))).collect()] == [c[2] for c in cases]

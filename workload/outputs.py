@@ -212,7 +212,7 @@ def reported(spark, sf_dir):
 
 # --- settings that differ by project ------------------------------------------------------------
 
-# p0 selects checks, p1 drops a rule and paths, p2 raises the threshold and adds a pattern; others have none.
+# p0 selects checks, p1 drops a rule and paths, p2 raises the threshold and adds a pattern; the others' files are empty.
 _SETTINGS = {
     0: '{"checks":["xss","crypto"]}',
     1: '{"exclude_rules":"SEC-012","exclude_paths":["de/","*.yaml"]}',
@@ -228,12 +228,10 @@ WHERE CASE project WHEN 'p0' THEN category IN ('Injection (xss)', 'Cryptography'
 UNION ALL SELECT project, path, 'PLAIN-1', CAST(min(line) AS INT), CAST(count(*) AS BIGINT) FROM plain WHERE raw = 'plain line' GROUP BY project, path""")
 def by_project(spark, sf_dir):
     files = co.corpus_files(spark, sf_dir).select("project", "path", "content")
-    d = co.read(spark, sf_dir, "documents")
-    chosen = d.filter(F.col("doc_id") < len(_SETTINGS))
-    rows = chosen.select(
-        F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("project"), F.lit(st.CONFIG_NAME).alias("path"),
-        co._pick(tuple(_SETTINGS.values()), F.col("doc_id")).alias("content"),
-    )
+    content = F.lit("{}")
+    for number, text in _SETTINGS.items():
+        content = F.when(F.col("project") == f"p{number}", text).otherwise(content)
+    rows = files.select("project").distinct().select("project", F.lit(st.CONFIG_NAME).alias("path"), content.alias("content"))
     found = scan_by_project(files, st.read_config(files.unionByName(rows)))
     return found.select("project", "file_path", "rule_id", "line_number", "match_count")
 

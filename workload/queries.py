@@ -221,28 +221,30 @@ def shannon(spark, sf_dir):
 
 
 def _env_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Environment files by document, and ignore files for five of the projects."""
+    """Projects of seven files, most of them environment files; five projects in nine have an ignore file."""
     d = co.read(spark, sf_dir, "documents")
     i = F.col("doc_id")
-    project = F.concat(F.lit("p"), (i % co.PROJECTS).cast("string")).alias("project")
-    names = co._pick(ENV_NAMES, i)
-    folder = co._pick(ENV_DIRS, i)
-    envs = d.select(project, F.concat(folder, F.lit("f"), i.cast("string"), F.lit("/"), names).alias("path"), F.col("text").alias("content"))
-    # one ignore file per project with id below nine; four projects have none
-    ignores = d.filter(i < 5).select(project, F.lit(".gitignore").alias("path"), co._pick(IGNORES, i).alias("content"))
+    number = F.floor(i / len(ENV_NAMES))
+    project = F.concat(F.lit("p"), number.cast("string")).alias("project")
+    path = F.concat(co._pick(ENV_DIRS, i + number), F.lit("f"), (i % 10).cast("string"), F.lit("/"), co._pick(ENV_NAMES, i))
+    envs = d.select(project, path.alias("path"), F.col("text").alias("content"))
+    ignores = d.filter((i % len(ENV_NAMES) == 0) & (number % co.PROJECTS < len(IGNORES))).select(
+        project, F.lit(st.IGNORE_NAME).alias("path"), F.get(F.array(*[F.lit(x) for x in IGNORES]), (number % co.PROJECTS).cast("int")).alias("content")
+    )
     return envs.unionByName(ignores)
 
 
 ENV_NAMES = (".env", ".env.local", ".env.example", "main.py", ".env.prod", ".envrc", ".env.test")
 ENV_DIRS = ("", "api/", "web/app/", "env/")
 IGNORES = (".env\n", "# none\n*.local\n/.env\n", "web/*\n.env.[pl]*\n", "\n  api/f?/.env  \n!x\n", "f*/.env.pro?\n")
+_ENV_COUNT = len(ENV_NAMES)
 
 
 @query("detect_untracked_env", f"""WITH envs AS (
-  SELECT doc_id % {co.PROJECTS} AS p, ({sql_list(ENV_NAMES)})[CAST(doc_id % {len(ENV_NAMES)} AS INT) + 1] AS name,
-         ({sql_list(ENV_DIRS)})[CAST(doc_id % {len(ENV_DIRS)} AS INT) + 1] || 'f' || CAST(doc_id AS VARCHAR) || '/' || name AS path FROM documents),
-kept AS (SELECT * FROM envs WHERE (name = '.env' OR starts_with(name, '.env.')) AND name NOT IN ('.env.example', '.env.test'))
-SELECT 'p' || CAST(p AS VARCHAR) AS project, path AS file_path, path || ' (not in the ignore file)' AS code_snippet FROM kept
+  SELECT doc_id // {_ENV_COUNT} AS number, ({sql_list(ENV_NAMES)})[CAST(doc_id % {_ENV_COUNT} AS INT) + 1] AS name,
+         ({sql_list(ENV_DIRS)})[CAST((doc_id + doc_id // {_ENV_COUNT}) % {len(ENV_DIRS)} AS INT) + 1] || 'f' || CAST(doc_id % 10 AS VARCHAR) || '/' || name AS path FROM documents),
+kept AS (SELECT *, number % {co.PROJECTS} AS p FROM envs WHERE (name = '.env' OR starts_with(name, '.env.')) AND name NOT IN ('.env.example', '.env.test'))
+SELECT 'p' || CAST(number AS VARCHAR) AS project, path AS file_path, path || ' (not in the ignore file)' AS code_snippet FROM kept
 WHERE NOT (CASE p WHEN 0 THEN name = '.env' WHEN 1 THEN path LIKE '%.local' OR name = '.env'
   WHEN 2 THEN path LIKE 'web/%' OR regexp_matches(name, '^\\.env\\.[pl]')
   WHEN 3 THEN regexp_matches(path, '^api/f./\\.env$') WHEN 4 THEN regexp_matches(path, '^f.*/\\.env\\.pro.$') ELSE false END)""")
@@ -250,9 +252,11 @@ def untracked_env(spark, sf_dir):
     return detect_untracked_env(_env_tree(spark, sf_dir)).select("project", "file_path", "code_snippet")
 
 
-@query("read_gitignore", f"""SELECT * FROM (
-  SELECT 'p' || CAST(doc_id AS VARCHAR) AS project, trim(unnest(string_split(({sql_list(IGNORES)})[CAST(doc_id AS INT) + 1], chr(10)))) AS pattern
-  FROM documents WHERE doc_id < 5) WHERE pattern <> '' AND NOT starts_with(pattern, '#')""")
+@query("read_gitignore", f"""WITH ignores AS (
+  SELECT doc_id // {_ENV_COUNT} AS number, ({sql_list(IGNORES)})[CAST(number % {co.PROJECTS} AS INT) + 1] AS content FROM documents
+  WHERE doc_id % {_ENV_COUNT} = 0 AND number % {co.PROJECTS} < {len(IGNORES)})
+SELECT * FROM (SELECT 'p' || CAST(number AS VARCHAR) AS project, trim(unnest(string_split(content, chr(10)))) AS pattern FROM ignores)
+WHERE pattern <> '' AND NOT starts_with(pattern, '#')""")
 def read_gitignore(spark, sf_dir):
     return st.read_gitignore(_env_tree(spark, sf_dir))
 
