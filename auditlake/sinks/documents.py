@@ -45,11 +45,17 @@ def _finding_key() -> Column:
 def _with_commas(items: DataFrame) -> DataFrame:
     """(project, part, key, text) rows as JSON array items: a comma before every item but the first.
 
-    The first item is found by a merged minimum per project, not by numbering the items.
+    The first item is found by a merged minimum per project, not by numbering the items. Equal rows
+    are counted, merged before the shuffle, and written out again, so that only one can be first.
     """
-    first = items.groupBy("project").agg(F.min("key").alias("first_key"))
-    comma = F.when(F.col("key") > F.col("first_key"), F.lit(",")).otherwise(F.lit(""))
-    return salted_join(items, first, ["project"], "inner").select("project", "part", "key", F.concat(comma, F.col("text")).alias("text"))
+    place = F.struct("key", "text")
+    first = items.groupBy("project").agg(F.min(place).alias("first"))
+    counted = items.groupBy("project", "part", "key", "text").agg(F.count("*").alias("copies"))
+    rows = salted_join(counted, first, ["project"], "inner").select(
+        "*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    )
+    comma = F.when((place > F.col("first")) | (F.col("copy") > 1), F.lit(",")).otherwise(F.lit(""))
+    return rows.select("project", "part", "key", F.concat(comma, F.col("text")).alias("text"))
 
 
 def _line(projects: DataFrame, part: int, text: Column) -> DataFrame:

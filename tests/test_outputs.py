@@ -79,6 +79,14 @@ def test_findings_document(spark, corpus, folder):
                                      "cwe_id", "cwe_name", "owasp", "fix_hint", "confidence"}
 
 
+def test_documents_keep_equal_rows(spark, corpus, folder):
+    files = corpus(FILES)
+    found = scan(files)
+    twice = found.unionByName(found).unionByName(found)
+    docs = {p: json.loads(t) for p, t in written(spark, doc.findings_json(twice, summarize(files, twice)), folder).items()}
+    assert [f["rule_id"] for f in docs["a"]["findings"]] == ["SEC-012"] * 3 + ["INJ-010"] * 3 + ["INJ-020"] * 3
+
+
 def test_sarif_document(spark, corpus, folder):
     files = corpus(FILES | {("a", "z.py"): "os.system(1)"})
     found = scan(files)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.catalog.packages import ECOSYSTEMS, HALLUCINATED, TYPOSQUATS
+from auditlake.catalog.packages import HALLUCINATED, TYPOSQUATS
 from auditlake.catalog.rules import ENTROPY_RULE, FAMILIES, RULES, select_rules
 from auditlake.config import ScanConfig
 from auditlake.functions import scoring as sc
