@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -18,15 +19,16 @@ from auditlake.functions import text as tx
 from auditlake.sources.spread import spread
 
 LEAST_PARTITIONS = 64
+MOST_PARTITIONS = 4096
+BATCH_BYTES = 16 << 20
 
 
 class TreePart(InputPartition):
-    """One directory: its own files only, or everything below it."""
+    """Directories listed by one task: (folder, whether everything below it is included)."""
 
-    def __init__(self, folder: str, recursive: bool):
-        super().__init__((folder, recursive))
-        self.folder = folder
-        self.recursive = recursive
+    def __init__(self, folders: list[tuple[str, bool]]):
+        super().__init__(folders)
+        self.folders = folders
 
 
 class TreeReader(DataSourceReader):
@@ -34,49 +36,45 @@ class TreeReader(DataSourceReader):
         self.root = options["path"].rstrip("/")
         self.by_project = options.get("layout", "projects") == "projects"
         self.skip = {d for d in options.get("skip", "").split(",") if d}
-        self.least = int(options.get("partitions", LEAST_PARTITIONS))
 
     def _subfolders(self, folder: str) -> list[str]:
         with os.scandir(folder) as entries:
             return sorted(e.path for e in entries if e.is_dir(follow_symlinks=False) and e.name not in self.skip)
 
     def partitions(self):
-        """Directories to read in parallel, opened level by level until there are enough.
+        """Directories to list in parallel, opened level by level until there are enough.
 
-        Only directory names are listed here; files are found by the tasks.
+        Only directory names are read here; files are found by the tasks.
         """
         flat, deep = [], [self.root]
-        while deep and len(flat) + len(deep) < self.least:
+        while deep and len(flat) + len(deep) < LEAST_PARTITIONS:
             below = [sub for folder in deep for sub in self._subfolders(folder)]
             flat += deep
             deep = below
-        return [TreePart(f, False) for f in flat] + [TreePart(f, True) for f in deep]
+        folders = [(f, False) for f in flat] + [(f, True) for f in deep]
+        return [TreePart(folders[i::MOST_PARTITIONS]) for i in range(min(MOST_PARTITIONS, len(folders)))]
 
-    def _files(self, part: TreePart) -> Iterator[str]:
-        for folder, subs, names in os.walk(part.folder):
-            subs[:] = [s for s in subs if s not in self.skip] if part.recursive else []
+    def _files(self, folder: str, recursive: bool) -> Iterator[str]:
+        for at, subs, names in os.walk(folder):
+            subs[:] = [s for s in subs if s not in self.skip] if recursive else []
             for name in names:
-                yield os.path.join(folder, name)
+                yield os.path.join(at, name)
 
     def read(self, partition):
-        for file in self._files(partition):
-            inner = os.path.relpath(file, self.root).replace(os.sep, "/")
-            if self.by_project:
-                project, _, path = inner.partition("/")
-                if not path:
-                    continue
-            else:
-                project, path = os.path.basename(self.root), inner
-            try:
-                with open(file, "rb") as f:
-                    raw = f.read()
-            except OSError:
-                raw = None
-            yield project, path, raw
+        for folder, recursive in partition.folders:
+            for file in self._files(folder, recursive):
+                inner = os.path.relpath(file, self.root).replace(os.sep, "/")
+                if self.by_project:
+                    project, _, path = inner.partition("/")
+                    if not path:
+                        continue
+                else:
+                    project, path = os.path.basename(self.root), inner
+                yield project, path, file
 
 
 class SourceTree(DataSource):
-    """``format("source_tree")``: (project, path, raw) of the files under ``path``.
+    """``format("source_tree")``: (project, path, file) of the files under ``path``.
 
     ``layout=projects`` takes each first-level directory as a project, ``layout=single`` the root.
     ``skip`` is a comma-separated list of directory names never entered.
@@ -87,17 +85,44 @@ class SourceTree(DataSource):
         return "source_tree"
 
     def schema(self):
-        return "project string, path string, raw binary"
+        return "project string, path string, file string"
 
     def reader(self, schema):
         return TreeReader(self.options)
 
 
-def read_tree(spark: SparkSession, root: str, layout: str = "projects", skip: tuple[str, ...] = ()) -> DataFrame:
-    """Corpus (project, path, content) of a mounted source tree. A file that cannot be read is empty."""
+def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds the bytes of each listed file, in batches of bounded size. A file that cannot be read is empty."""
+    for listed in batches:
+        rows, size = [], 0
+        for project, path, file in listed.itertuples(index=False):
+            try:
+                with open(file, "rb") as f:
+                    raw = f.read()
+            except OSError:
+                raw = b""
+            rows.append((project, path, raw))
+            size += len(raw)
+            if size >= BATCH_BYTES:
+                yield pd.DataFrame(rows, columns=["project", "path", "raw"])
+                rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["project", "path", "raw"])
+
+
+def read_tree(
+    spark: SparkSession, root: str, layout: str = "projects", skip: tuple[str, ...] = (), partitions: int | None = None
+) -> DataFrame:
+    """Corpus (project, path, content) of a mounted source tree.
+
+    Files are listed first and their names hashed over ``partitions`` tasks that read them, so that
+    one project with most of the files is read by many tasks.
+    """
     spark.dataSource.register(SourceTree)
-    raw = spark.read.format("source_tree").option("layout", layout).option("skip", ",".join(skip)).load(root)
-    return raw.select("project", "path", F.coalesce(tx.decode_text(F.col("raw")), F.lit("")).alias("content"))
+    listed = spark.read.format("source_tree").option("layout", layout).option("skip", ",".join(skip)).load(root)
+    tasks = partitions or 8 * spark.sparkContext.defaultParallelism
+    raw = listed.repartition(tasks, "file").mapInPandas(_read_files, "project string, path string, raw binary")
+    return raw.select("project", "path", tx.decode_text(F.col("raw")).alias("content"))
 
 
 def read_corpus(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
