@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.packing import pack_documents
+from auditlake.llm.quality import judge_quality
 from auditlake.llm.sharding import shard_documents
+from auditlake.llm.warc import archive_pages
 
 BUILDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,3 +46,84 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = shard_documents(table(spark, folder, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(
+    """
+    WITH p AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+    ), f AS (
+        SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN first <> page_id THEN first END AS refers_to
+    FROM p LEFT JOIN f USING (payload_digest)
+    """
+)
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    records = archive_pages(table(spark, folder, "pages"))
+    own = F.col("payload").isNotNull()
+    return records.select(
+        "page_id",
+        F.when(own, F.length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(own, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+@query(
+    r"""
+    WITH w AS (
+        SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+        FROM documents
+    ), g AS (
+        SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+        FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 1))) AS i FROM w)
+    ), r AS (
+        SELECT doc_id, count(DISTINCT p) AS n FROM (
+            SELECT doc_id, unnest([i, i + 1, i + 2]) AS p
+            FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c >= 2
+        ) GROUP BY doc_id
+    ), f AS (
+        SELECT w.doc_id, lang, source, len(words) AS n_words,
+            coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+            length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+            len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines
+        FROM w LEFT JOIN r USING (doc_id)
+    ), b AS (
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
+    ), v AS (
+        SELECT doc_id, lang, source, base_failed, unnest([
+            {'rate': 'word_length', 'v': CASE WHEN n_words > 0 THEN word_chars * 4096 // n_words ELSE 0 END, 'least': 410},
+            {'rate': 'symbols', 'v': CASE WHEN n_words > 0 THEN n_symbols * 4096 // n_words ELSE 0 END, 'least': 66},
+            {'rate': 'dup_lines', 'v': CASE WHEN n_lines > 0 THEN n_dup_lines * 4096 // n_lines ELSE 0 END, 'least': 164},
+            {'rate': 'repeats', 'v': CASE WHEN n_words > 0 THEN n_repeat_words * 4096 // n_words ELSE 0 END, 'least': 131}
+        ], recursive := true) FROM b
+    ), s AS (
+        SELECT lang, source, rate, least, (v >> greatest(length(bin(v)) - 8, 0)) << greatest(length(bin(v)) - 8, 0) AS low FROM v WHERE NOT base_failed
+    ), l AS (
+        SELECT 0 AS level, * FROM s UNION ALL SELECT 1, lang, '', rate, least, low FROM s UNION ALL SELECT 2, '', '', rate, least, low FROM s
+    ), q AS (
+        SELECT level, lang, source, rate, least, count(*) AS n, quantile_disc(low, 0.25) AS q1, quantile_disc(low, 0.5) AS q2, quantile_disc(low, 0.75) AS q3
+        FROM l GROUP BY ALL
+    ), h AS (
+        SELECT level, lang, source, rate, n, q2 - 15 * greatest(least(q2 - q1, q3 - q2), least) AS low, q2 + 15 * greatest(least(q2 - q1, q3 - q2), least) AS high FROM q
+    ), k AS (
+        SELECT doc_id, bool_and(v.v <= x.high AND (v.rate <> 'word_length' OR v.v >= x.low)) AS ok
+        FROM v LEFT JOIN h h0 ON h0.level = 0 AND h0.lang = v.lang AND h0.source = v.source AND h0.rate = v.rate
+        LEFT JOIN h h1 ON h1.level = 1 AND h1.lang = v.lang AND h1.rate = v.rate
+        LEFT JOIN h h2 ON h2.level = 2 AND h2.rate = v.rate,
+        LATERAL (SELECT CASE WHEN h0.n >= 100 THEN h0.high WHEN h1.n >= 100 THEN h1.high ELSE h2.high END AS high,
+            CASE WHEN h0.n >= 100 THEN h0.low WHEN h1.n >= 100 THEN h1.low ELSE h2.low END AS low) x
+        GROUP BY doc_id
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, NOT base_failed AND ok AS kept
+    FROM b JOIN k USING (doc_id)
+    """
+)
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_quality(table(spark, folder, "documents"))
