@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.llm.language import held_out, identify_languages
 from auditlake.llm.packing import pack_documents
 from auditlake.llm.quality import judge_quality
 from auditlake.llm.sharding import shard_documents
@@ -127,3 +128,10 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judge_quality(table(spark, folder, "documents"))
+
+
+@query()
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = identify_languages(docs, F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"))
+    return found.select("doc_id", "held_out", "_found.lang_pred", "_found.score")
