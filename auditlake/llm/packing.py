@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.shared import map_rows, slices
-from auditlake.llm.tokens import PieceEncoder
+from auditlake.llm.tokens import ByteEncoder
 
 SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())]
@@ -129,7 +129,7 @@ def pack_documents(
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        encoder, end = PieceEncoder(tokenizer), int(end_id).to_bytes(4, "little")
+        encoder, end = ByteEncoder(tokenizer), int(end_id).to_bytes(4, "little")
         packer = Packer(TaskContext.get().partitionId() << 40, capacity, block, linear, quadratic)
         for part in slices(batches):
             keys, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
