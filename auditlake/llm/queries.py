@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.embeddings import near_vectors
 from auditlake.llm.language import held_out, identify_languages
+from auditlake.llm.line_dedup import remove_boilerplate
 from auditlake.llm.packing import pack_documents
 from auditlake.llm.quality import judge_quality
 from auditlake.llm.sharding import shard_documents
@@ -156,3 +157,27 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op9_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+@query(
+    r"""
+    WITH d AS (
+        SELECT doc_id, text, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+        FROM documents
+    ), t AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM d),
+    s AS (
+        SELECT bare FROM t WHERE len(regexp_extract_all(bare, '[^\x20\x09-\x0D]+')) >= 3 GROUP BY bare HAVING count(DISTINCT site) >= 5
+    ), m AS (
+        SELECT t.*, s.bare IS NOT NULL AS gone FROM t LEFT JOIN s ON t.bare = s.bare
+    ), g AS (
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_gone, 2 * sum(CASE WHEN gone THEN length(line) ELSE 0 END) > sum(length(line)) AS copy,
+            array_to_string(list(line ORDER BY pos) FILTER (WHERE NOT gone), chr(10)) AS rest
+        FROM m GROUP BY doc_id
+    )
+    SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN n_lines IS NULL OR copy THEN 0 ELSE n_gone END AS n_removed,
+        CASE WHEN copy THEN text WHEN n_lines IS NOT NULL THEN coalesce(rest, '') END AS text
+    FROM documents LEFT JOIN g USING (doc_id)
+    """
+)
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_boilerplate(table(spark, folder, "documents")).select(F.col("_doc.doc_id").cast("long").alias("doc_id"), "_cut.*")
