@@ -13,6 +13,7 @@ from auditlake.llm.line_dedup import remove_boilerplate
 from auditlake.llm.packing import pack_documents
 from auditlake.llm.quality import judge_quality
 from auditlake.llm.sharding import shard_documents
+from auditlake.llm.tree_bpe import encode_documents
 from auditlake.llm.warc import archive_pages
 
 BUILDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +182,9 @@ def op9_embeddings(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_boilerplate(table(spark, folder, "documents")).select(F.col("_doc.doc_id").cast("long").alias("doc_id"), "_cut.*")
+
+
+@query()
+def op5_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = encode_documents(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
