@@ -12,6 +12,7 @@ from auditlake.llm.language import held_out, identify_languages
 from auditlake.llm.line_dedup import remove_boilerplate
 from auditlake.llm.packing import pack_documents
 from auditlake.llm.quality import judge_quality
+from auditlake.llm.separators import document_tokens
 from auditlake.llm.sharding import shard_documents
 from auditlake.llm.tree_bpe import encode_documents
 from auditlake.llm.warc import archive_pages
@@ -188,3 +189,8 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op5_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
     encoded = encode_documents(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op3_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return document_tokens(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), end_id=50256)

@@ -30,16 +30,18 @@ class ByteEncoder:
     """Ids of texts for a byte-level vocabulary, as bytes (``as_bytes``).
 
     Where the merges of the file are in the order of their ids, as ranks are, tiktoken encodes with
-    them; texts that hold a special token or an endless word, and other files, take the tokenizers library.
+    them; texts that hold a special token or an endless word, and other files, take the tokenizers
+    library. With ``special=False`` the names of special tokens are text like any other.
     """
 
     LONG = re.compile(r"\S{1000}|\s{1000}")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         self.tokenizer = load(path)
+        self.tokenizer.encode_special_tokens = not special
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
-        self.special = [t["content"] for t in parts["added_tokens"]]
+        self.special = [t["content"] for t in parts["added_tokens"] if special]
         self.fast = self.by_rank(parts)
 
     @staticmethod
