@@ -14,6 +14,7 @@ from auditlake.llm.packing import pack_documents
 from auditlake.llm.quality import judge_quality
 from auditlake.llm.separators import document_tokens
 from auditlake.llm.sharding import shard_documents
+from auditlake.llm.shingle_join import link_documents
 from auditlake.llm.tree_bpe import encode_documents
 from auditlake.llm.warc import archive_pages
 
@@ -194,3 +195,25 @@ def op5_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op3_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
     return document_tokens(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), end_id=50256)
+
+
+@query(
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, CASE WHEN len(words) < 4 THEN array_to_string(words, ' ') ELSE array_to_string(words[i : i + 3], ' ') END AS shingle
+        FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM w WHERE len(words) > 0)
+    ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+    ), l AS (
+        SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+    ), r AS (
+        SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.seen
+    )
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+    FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY node) ON node = doc_id
+    """
+)
+def op6_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
+    return link_documents(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
