@@ -145,10 +145,12 @@ def compare(classes: DataFrame, axes: dict[int, np.ndarray], threshold: float, t
     firsts = {dim: a[:, 0].tolist() for dim, a in axes.items()}
     on_first = F.lit(0.0)
     for dim, axis in firsts.items():
-        dot = F.aggregate(F.zip_with("vector", F.lit(axis), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+        dot = F.aggregate(F.zip_with("scaled", F.lit(axis), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
         on_first = F.when(F.col("dim") == dim, dot / norm).otherwise(on_first)
-    placed = classes.withColumn("cell", F.floor(on_first / width))
+    largest = F.array_max(F.transform("vector", F.abs))  # as in unit()
+    scaled = classes.withColumn("largest", largest).withColumn("scaled", F.transform("vector", lambda x: x / F.col("largest")))
+    placed = scaled.withColumn("cell", F.floor(on_first / width)).drop("scaled", "largest")
     cells = durable(placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / F.lit(tile_rows)).alias("tiles")))
     near = cells.alias("c")
     for name, step in (("below", -1), ("above", 1)):

@@ -335,7 +335,7 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return map_rows(small_or_salted(docs.select("text", "text_hash"), nodes, ["text_hash"], "inner").select("text", *known), work, schema)
 
 
-def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, tile_shingles: int = TILE) -> DataFrame:
     """Documents (doc_id, text) that link when their ``n``-word shingle sets share ``percent`` of their union.
 
     1. Texts become sets of shingle hashes, dealt by hash into groups (``Levels``); sets that share an
@@ -364,8 +364,8 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     named = each.where("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.max("n_shingles").alias("n"))
     members = durable(supers.withColumnRenamed("component", "super").join(named, "node"))
     total = members.agg(F.sum("n")).first()[0] or 0
-    tiles = members.groupBy("super").agg(F.ceil(F.sum("n") / F.lit(TILE)).cast("long").alias("tiles"))
-    tasks = durable(members.join(tiles, "super").withColumn("whole", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("super"), F.lit(total // TILE * 4 + 64)))))
+    tiles = members.groupBy("super").agg(F.ceil(F.sum("n") / F.lit(tile_shingles)).cast("long").alias("tiles"))
+    tasks = durable(members.join(tiles, "super").withColumn("whole", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("super"), F.lit(total // tile_shingles * 4 + 64)))))
     sets = candidate_sets(rows, tasks.select("text_hash", "node", "super", "whole", "tiles"), n)
     tile = F.pmod(F.xxhash64("node"), F.col("tiles"))
     step = F.struct(F.least(F.col("tile"), F.col("k")).alias("i"), F.greatest(F.col("tile"), F.col("k")).alias("j"))
