@@ -56,6 +56,7 @@ def to_jvm(pattern: str, flags: str = JVM_FLAGS) -> str:
     inside = {"s": WS, "w": _WORD, "d": _DIGIT, "b": r"\x08"}
     out, i, in_class, class_start = [], 0, False, -1
     after_letter = False  # the atom just written is a plain word character
+    groups: dict[str, str] = {}  # JVM group names have no underscore
     while i < len(pattern):
         c = pattern[i]
         was_letter, after_letter = after_letter, False
@@ -105,11 +106,14 @@ def to_jvm(pattern: str, flags: str = JVM_FLAGS) -> str:
         elif c == "(" and pattern.startswith("(?", i):
             rest = pattern[i + 2 :]
             if rest.startswith("P<"):
-                out.append("(?<")
-                i += 3
+                end = pattern.index(">", i)
+                out.append("(?<" + groups.setdefault(pattern[i + 4 : end], f"g{len(groups)}") + ">")
+                i = end
             elif rest.startswith("P="):
                 end = pattern.index(")", i)
-                out.append(r"\k<" + pattern[i + 4 : end] + ">")
+                if pattern[i + 4 : end] not in groups:
+                    raise UnsupportedPattern("reference to an unknown group")
+                out.append(r"\k<" + groups[pattern[i + 4 : end]] + ">")
                 i = end
             elif rest[:1] in ("P", "(", "#") or re.match(r"[a-zA-Z]*[aLx]", rest):
                 raise UnsupportedPattern("group form without a JVM equivalent")

@@ -187,13 +187,15 @@ def detect_entropy(files: DataFrame, marker: str = tx.DEFAULT_MARKER) -> DataFra
     return detect_rules(files, (ENTROPY_RULE,), marker)
 
 
-def detect_project_patterns(files: DataFrame, patterns: DataFrame, marker: str = tx.DEFAULT_MARKER) -> DataFrame:
+def detect_project_patterns(
+    files: DataFrame, patterns: DataFrame, marker: str = tx.DEFAULT_MARKER, compat: bool = False
+) -> DataFrame:
     """Findings of patterns that differ by project: ``patterns`` is (project, custom_patterns array).
 
     Each project's patterns travel as one array, so a file is joined once and only its hits become
     rows. Patterns without a JVM form are matched by Python's engine.
     """
-    compiled = patterns.select("project", compile_patterns()(F.col("custom_patterns")).alias("rules"))
+    compiled = patterns.select("project", compile_patterns(compat)(F.col("custom_patterns")).alias("rules"))
     base = join_bounded(files.select("project", "path", "content"), compiled, ["project"], "inner")
     hits = base.select(
         "project", "path", "content",
@@ -213,7 +215,7 @@ def detect_project_patterns(files: DataFrame, patterns: DataFrame, marker: str =
     return _to_findings(located.drop("content", "pattern", "mark", "found"), first_and_count(marker))
 
 
-def compile_patterns():
+def compile_patterns(compat: bool = False):
     """Settings' custom patterns with defaults filled in and patterns in JVM syntax; bad ones are dropped."""
 
     @F.pandas_udf(
@@ -225,8 +227,8 @@ def compile_patterns():
             out = []
             for entry in entries if entries is not None else []:
                 try:
-                    rule = custom_rule(entry)
-                except (ValueError, TypeError):
+                    rule = custom_rule(entry, compat=compat)
+                except (ValueError, TypeError, AttributeError):
                     continue
                 native = jvm_pattern(rule.pattern)
                 out.append({

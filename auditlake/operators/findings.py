@@ -49,7 +49,8 @@ def finding_row(
         "line_number": line,
         "code_snippet": code,
         "match_count": count,
-        "fingerprint": tx.fingerprint(F.col("rule_id"), F.col("path"), code),
+        # the whole line, so that a baseline hides no other secret with the same beginning
+        "fingerprint": tx.fingerprint(F.col("rule_id"), F.col("path"), raw),
     }
     return [values.get(name, F.col(name)).cast(FINDINGS[name].dataType).alias(name) for name in FINDING_COLUMNS]
 

@@ -7,6 +7,7 @@ work out which commit and file each hit belongs to.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditlake.catalog.rules import ENTROPY_RULE, RULES
@@ -29,34 +30,31 @@ from auditlake.sources.commit_log import (
 )
 
 HISTORY_RULES = tuple(r for r in RULES if r.in_history)
+LINES_A_ROW = 10_000
 
 
 def line_hits(lines: DataFrame) -> DataFrame:
     """Hits in rows with a ``content`` line: the row's columns, then hit_ord, rule_id, description.
 
-    A line gives at most two: the first secret rule in catalog order, and the first random value.
+    A line gives every secret rule that matches, in catalog order, then every random value.
     """
     lowered = lines.withColumn("lowered", tx.gate_text(F.col("content")))
-    cases = " ".join(f"WHEN {rule_test(r)} THEN {i}" for i, r in enumerate(HISTORY_RULES))
+    rules = ", ".join(
+        f"CASE WHEN {rule_test(r)} THEN named_struct('hit_ord', {i}, 'rule', {i}, 'value', string(null)) END" for i, r in enumerate(HISTORY_RULES)
+    )
     pattern = tx.sql_literal(to_jvm(ENTROPY_RULE.pattern))
-    values = F.expr(f"""
-        CASE WHEN {rule_test(ENTROPY_RULE)}
-             THEN filter(regexp_extract_all(content, {pattern}, 1), v -> {is_random_sql('v')}) END""")
     # one generator gives the rows with a hit, so each line is tested once
-    tests = F.array_compact(F.array(
-        F.when(F.expr(f"CASE {cases} END").isNotNull(), F.struct(
-            F.lit(0).alias("hit_ord"), F.expr(f"CASE {cases} END").alias("rule"), F.lit(None).cast("string").alias("value")
-        )),
-        F.when(F.get(values, 0).isNotNull(), F.struct(
-            F.lit(1).alias("hit_ord"), F.lit(None).cast("int").alias("rule"), F.get(values, 0).alias("value")
-        )),
-    ))
-    found = lowered.select(*lines.columns, F.inline(tests))
+    found = lowered.select(*lines.columns, F.expr(f"""
+        inline(array_compact(concat(array({rules}),
+          CASE WHEN {rule_test(ENTROPY_RULE)}
+               THEN transform(filter(regexp_extract_all(content, {pattern}, 1), v -> {is_random_sql('v')}),
+                              (v, i) -> named_struct('hit_ord', {len(HISTORY_RULES)} + i, 'rule', int(null), 'value', v))
+               ELSE array() END)))"""))
     ids = F.array(*[F.lit(r.rule_id) for r in HISTORY_RULES])
     descriptions = F.array(*[F.lit(r.description) for r in HISTORY_RULES])
     bits = F.format_string("High-entropy secret in history (entropy=%.2f)", tx.shannon_entropy("value"))
     return found.select(
-        *lines.columns, "hit_ord",
+        *lines.columns, "hit_ord", "value",
         F.coalesce(F.get(ids, F.col("rule")), F.lit(ENTROPY_RULE.rule_id)).alias("rule_id"),
         F.coalesce(F.get(descriptions, F.col("rule")), bits).alias("description"),
     )
@@ -68,8 +66,7 @@ def history_findings(log: DataFrame, newest: int | None = None, block: int = BLO
         log = limit_commits(log, newest, block)
     line = F.col("line")
     hits = line_hits(added_lines(log)).select(
-        "repo", "seq", "hit_ord", "rule_id", "description",
-        F.left(tx.strip(F.col("content")), F.lit(tx.HISTORY_SNIPPET_CHARS)).alias("line_snippet"),
+        "repo", "seq", "hit_ord", "rule_id", "description", "value", tx.strip(F.col("content")).alias("line_text"),
         *[F.lit(None).cast("string").alias(c) for c in CONTEXT],
     )
     headers = log.filter(is_header(line)).select("repo", "seq", *header_values(line))
@@ -79,9 +76,12 @@ def history_findings(log: DataFrame, newest: int | None = None, block: int = BLO
         hits.unionByName(headers, allowMissingColumns=True), "repo", "seq", CONTEXT, block, carry_from=spans
     ).filter(F.col("rule_id").isNotNull())
     rows = filled.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c in CONTEXT else F.col(c) for c in filled.columns])
-    identified = rows.withColumn(
-        "fingerprint", tx.fingerprint(F.col("rule_id"), F.col("file_path"), F.col("line_snippet"), slash_paths=False)
-    )
+    # the whole line is the identity of a hit, for random values with the value; only what is shown is cut
+    code = F.concat_ws("\n", "line_text", "value")
+    identified = rows.withColumns({
+        "fingerprint": tx.fingerprint(F.col("rule_id"), F.col("file_path"), code, slash_paths=False),
+        "line_snippet": F.left("line_text", F.lit(tx.HISTORY_SNIPPET_CHARS)),
+    }).drop("value")
     return dedupe_history(identified).select(*HISTORY_COLUMNS)
 
 
@@ -93,19 +93,22 @@ def dedupe_history(hits: DataFrame) -> DataFrame:
 
 
 def mark_still_present(findings: DataFrame, head: DataFrame) -> DataFrame:
-    """Adds ``still_present``: the snippet still occurs in the current version of its file.
+    """Adds ``still_present``: the line still occurs in the current version of its file.
 
     ``head`` is (repo, path, content). Findings are few next to head files, so they are written to
-    the checkpoint folder once, and head files without a finding are dropped by their keys before
-    any content is shuffled.
+    the checkpoint folder once. A head file meets the lines of its findings as one row of parts of
+    ``LINES_A_ROW`` lines at most, so its content is joined a few times and not once per finding;
+    only lines that are present come out and are joined to the findings.
     """
     findings = durable(findings)
-    keys = findings.select("repo", F.col("file_path").alias("path")).distinct()
-    head = join_bounded(head.select("repo", "path", "content"), keys, ["repo", "path"], "left_semi", hot_keys=False)
-    current = head.select("repo", F.col("path").alias("file_path"), F.col("content").alias("head_content"))
-    present = F.contains(F.col("head_content"), tx.strip(F.col("line_snippet")))
-    return findings.join(current, ["repo", "file_path"], "left").select(
-        *findings.columns, F.coalesce(present, F.lit(False)).alias("still_present")
+    lines = findings.select("repo", F.col("file_path").alias("path"), "line_text").distinct()
+    part = F.floor(F.row_number().over(W.partitionBy("repo", "path").orderBy("line_text")) / LINES_A_ROW)
+    wanted = lines.withColumn("part", part).groupBy("repo", "path", "part").agg(F.collect_list("line_text").alias("lines"))
+    joined = join_bounded(head.select("repo", "path", "content"), wanted.drop("part"), ["repo", "path"], "inner")
+    there = F.filter("lines", lambda line: F.contains(F.col("content"), line))
+    found = joined.select("repo", F.col("path").alias("file_path"), F.explode(there).alias("line_text")).distinct().withColumn("still_present", F.lit(True))
+    return findings.join(found, ["repo", "file_path", "line_text"], "left").select(
+        *findings.columns, F.coalesce("still_present", F.lit(False)).alias("still_present")
     )
 
 

@@ -5,42 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.operators.durable import durable
+
 BROADCAST_BYTES = 64 << 20
-SALTS = 16
 
 
 def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a table is small enough to send to every executor. Runs a job that sums its size."""
+    """Whether a written table is small enough to send to every executor. Runs a job that sums its size."""
     size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("size")).first()["size"]
     return (size or 0) <= limit
 
 
-def join_bounded(
-    large: DataFrame, small: DataFrame, on: list[str], how: str, limit: int = BROADCAST_BYTES, hot_keys: bool = True
-) -> DataFrame:
+def join_bounded(large: DataFrame, small: DataFrame, on: list[str], how: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join that keeps the large side where it is if the small side, measured, fits in memory.
 
     For large sides that carry file contents or log lines: a planner estimate would shuffle them,
-    since it cannot know that a filter or aggregate left little. Beyond the limit both sides are
-    shuffled, with the keys salted unless ``hot_keys`` says that no key of the large side repeats.
+    since it cannot know that a filter or aggregate left little. The small side is written once, so
+    that measuring it does not compute it twice. Beyond the limit both sides are shuffled.
     """
+    small = durable(small)
     if fits(small, limit):
         return large.join(F.broadcast(small), on, how)
-    return salted_join(large, small, on, how) if hot_keys else large.join(small, on, how)
+    return skewed_join(large, small, on, how)
 
 
-def salted_join(large: DataFrame, small: DataFrame, on: list[str], how: str, salts: int = SALTS) -> DataFrame:
-    """Shuffle join in which one key of the large side is spread over several tasks.
+def skewed_join(large: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join in which one key may hold a large share of the large side's rows.
 
-    Rows of the large side get a salt from their content, the small side is repeated per salt. A
-    right or full join would repeat unmatched rows and is not offered.
+    As a sort-merge join, adaptive execution measures the shuffled partitions and divides those that
+    are far larger than the others into as many tasks as their size asks for. Only the left side of
+    these join types can be divided; a right or full join is not offered.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"join type {how!r} cannot be salted")
-    spread = large.withColumn("_salt", F.pmod(F.xxhash64(*_hashable(large)), F.lit(salts)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(repeated, [*on, "_salt"], how).drop("_salt")
-
-
-def _hashable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if not f.dataType.simpleString().startswith(("map", "variant"))]
+        raise ValueError(f"join type {how!r} would not divide the large side")
+    return large.join(small, on, how)

@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from auditlake.functions import text as tx
 from auditlake.operators.select import under_dirs
 
-# Directories a profile never enters, root manifests it samples (in this order) and
-# the number of characters it reads of each.
+# Directories a profile never enters and root manifests it reads (in this order).
 PROFILE_SKIP_DIRS = ("node_modules", ".git", "__pycache__", ".venv", "venv")
 SAMPLED = (
     "package.json", "requirements.txt", "pyproject.toml", "Gemfile", "pom.xml", "go.mod", "Cargo.toml",
     ".env.example", "docker-compose.yml",
 )
-SAMPLE_CHARS = 5000
 
 # Indicators. Framework indicators equal a file name or path, or occur in the sample.
 FRAMEWORKS = {
@@ -87,13 +85,11 @@ def profiled(files: DataFrame) -> DataFrame:
 
 
 def content_sample(files: DataFrame) -> DataFrame:
-    """(project, sample): the first characters of the root manifests, in fixed order, joined by line ends.
+    """(project, sample): the root manifests, whole, in fixed order, joined by line ends.
 
     One slot per manifest name keeps the aggregate to nine texts, whatever the corpus holds.
     """
-    cut = files.filter(F.col("path").isin(*SAMPLED)).select(
-        "project", "path", F.left("content", F.lit(SAMPLE_CHARS)).alias("text")
-    )
+    cut = files.filter(F.col("path").isin(*SAMPLED)).select("project", "path", F.col("content").alias("text"))
     slots = [F.max(F.when(F.col("path") == name, F.col("text"))).alias(f"s{i}") for i, name in enumerate(SAMPLED)]
     grouped = cut.groupBy("project").agg(*slots)
     return grouped.select("project", F.concat_ws("\n", *[f"s{i}" for i in range(len(SAMPLED))]).alias("sample"))

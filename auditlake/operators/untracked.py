@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from auditlake.catalog.rules import UNTRACKED_ENV_RULE
 from auditlake.functions import text as tx
 from auditlake.operators.findings import finding_row, rule_catalog
-from auditlake.operators.joins import salted_join
+from auditlake.operators.joins import skewed_join
 from auditlake.sources.settings import read_ignore_rules
 
 # Words that mark an environment file as a template
@@ -38,7 +38,7 @@ def detect_untracked_env(files: DataFrame) -> DataFrame:
         | (F.col("path") == p["plain"]) | (F.col("name") == p["plain"]),
     )
     open_files = (
-        salted_join(env_files(files), read_ignore_rules(files), ["project"], "left")
+        skewed_join(env_files(files), read_ignore_rules(files), ["project"], "left")
         .filter(~F.coalesce(covered, F.lit(False)))
         .select("project", "path", F.lit(UNTRACKED_ENV_RULE.rule_ord).alias("rule_ord"))
     )

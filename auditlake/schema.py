@@ -33,7 +33,7 @@ DEPENDENCY_COLUMNS = DEPENDENCY_FINDINGS.fieldNames()
 
 HISTORY_COLUMNS = [
     "repo", "rule_id", "description", "commit_hash", "commit_date", "commit_author", "commit_message", "file_path",
-    "line_snippet", "fingerprint", "seq", "hit_ord",
+    "line_snippet", "line_text", "fingerprint", "seq", "hit_ord",
 ]
 
 # Nested layouts, as DDL text for readers and from_json.

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.dialect import tail_glob, whole_glob
+from auditlake.operators.joins import join_bounded
 from auditlake.schema import BASELINE, CONFIG, CUSTOM_PATTERNS
 
 CONFIG_NAME = ".audit.json"
@@ -50,6 +51,8 @@ def path_excludes():
         def one(values):
             out = []
             for v in values if values is not None else []:
+                if not isinstance(v, str):  # a settings file may hold anything
+                    continue
                 prefix = v.rstrip("/")
                 out.append({"prefix": prefix, "tail": tail_glob(v) if prefix and not v.startswith("/") else None})
             return out
@@ -67,6 +70,14 @@ def read_baseline(files: DataFrame, name: str = BASELINE_NAME) -> DataFrame:
     return parsed.select("project", F.explode("b.fingerprints").alias("fingerprint")).distinct()
 
 
+def read_project_baselines(files: DataFrame, settings: DataFrame) -> DataFrame:
+    """Distinct (project, fingerprint) of the baseline file that each project's settings name."""
+    named = settings.filter(F.col("baseline").isNotNull()).select("project", F.col("baseline").alias("path")).distinct()
+    chosen = join_bounded(files.select("project", "path", "content"), named, ["project", "path"], "left_semi")
+    parsed = chosen.select("project", F.from_json(F.col("content"), BASELINE, {"mode": "PERMISSIVE"}).alias("b"))
+    return parsed.select("project", F.explode("b.fingerprints").alias("fingerprint")).distinct()
+
+
 def load_baseline(spark: SparkSession, path: str) -> DataFrame:
     """Distinct (project, fingerprint) of a baseline written by ``write_baseline``."""
     return spark.read.parquet(path).select("project", "fingerprint").distinct()

@@ -28,7 +28,7 @@ def random_log(seed, commits=30):
             path = f"d/f{rng.randrange(4)}.py"
             lines += [f"diff --git a/{path} b/{path}", f"+++ b/{path}"]
             for _ in range(rng.randrange(12)):
-                text = rng.choice([KEY, POSITIVE["SEC-012"], f"hmac_key = '{RANDOM32}'", f"api_key='{RANDOM32}'", "x = 1", "'secret'", "MSG:no", "  "])
+                text = rng.choice([KEY, POSITIVE["SEC-012"], f"hmac_key = '{RANDOM32}'", f"api_key='{RANDOM32}'", "x = 1", "'secret'", f"api_key='{RANDOM32}' token = '{RANDOM32[::-1]}'", "x" * 130 + KEY, "MSG:no", "  "])
                 lines.append(rng.choice("++ -") + text)
     return lines
 
@@ -51,13 +51,12 @@ def expected_history(lines):
 
     seen, out = set(), []
     for content, c, a, d, m, f in brute.log_context(lines):
-        hits = [r.rule_id for r in hi.HISTORY_RULES if re.search(r.pattern, content, re.I)][:1]
-        if any(brute.entropy(v) >= 4.5 for v in re.findall(ENTROPY_RULE.pattern, content, re.I)):
-            hits.append("SEC-ENT")
-        for rule_id in hits:
-            key = (rule_id, f, content.strip()[:120])
-            if key not in seen:
-                seen.add(key)
+        hits = [(r.rule_id, None) for r in hi.HISTORY_RULES if re.search(r.pattern, content, re.I)]
+        hits += [("SEC-ENT", v) for v in re.findall(ENTROPY_RULE.pattern, content, re.I) if brute.entropy(v) >= 4.5]
+        for rule_id, value in hits:
+            key = (rule_id, f, content.strip())
+            if (key, value) not in seen:
+                seen.add((key, value))
                 out.append((*key, c))
     return sorted(out)
 
@@ -68,14 +67,14 @@ def test_findings_same_as_reading_in_order(spark):
     for block in (5, 1 << 20):
         rows = hi.history_findings(log, block=block).collect()
         for repo, lines in repos.items():
-            got = sorted((r.rule_id, r.file_path, r.line_snippet, r.commit_hash) for r in rows if r.repo == repo)
+            got = sorted((r.rule_id, r.file_path, r.line_text, r.commit_hash) for r in rows if r.repo == repo)
             assert got == expected_history(lines)
 
 
 def test_skipped_rules_and_first_rule(spark):
     lines = commit(1, "diff --git a/x b/x", "+'secret' 'changeme' 'password123' \"admin@example.com\"", f"+password='x' {KEY}", f"+password = 'y' # api_key='{ALNUM24}'")
     rows = hi.history_findings(log_of(spark, {"r": lines})).orderBy("seq", "hit_ord").collect()
-    assert [r.rule_id for r in rows] == ["SEC-001", "SEC-012", "SEC-ENT"]
+    assert [r.rule_id for r in rows] == ["SEC-001", "SEC-012", "SEC-012", "SEC-013", "SEC-ENT"]
 
 
 def test_limit_commits(spark):
@@ -104,6 +103,24 @@ def test_still_present_and_counts(spark):
     assert [tuple(r) for r in hi.history_counts(marked).collect()] == [("r", 3, 1, 2)]
 
 
+def test_secrets_after_a_long_beginning(spark):
+    lead = "x = 1; " * 30
+    lines = commit(2, "diff --git a/x b/x", f"+{lead}password = 'one'", f"+{lead}password = 'two'") + commit(1, "diff --git a/x b/x", f"+{lead}password = 'one'")
+    head = spark.createDataFrame([("r", "x", f"{lead}password = 'two'\n{lead}password = env"), ("r", "y", "")], "repo string, path string, content string")
+    marked = hi.mark_still_present(hi.history_findings(log_of(spark, {"r": lines})), head).collect()
+    assert sorted((r.line_text[-5:], r.still_present) for r in marked) == [("'one'", False), ("'two'", True)]
+    assert len({r.fingerprint for r in marked}) == 2 and {len(r.line_snippet) for r in marked} == {120}
+
+
+def test_no_commit_is_left_out_unless_asked(spark):
+    from auditlake import audit_history
+
+    lines = [line for n in range(600) for line in commit(n, "diff --git a/x b/x", f"+password = 'p{n}'")]
+    head = spark.createDataFrame([("r", "x", "password = 'p599'")], "repo string, path string, content string")
+    assert audit_history(log_of(spark, {"r": lines}), head).count() == 600
+    assert audit_history(log_of(spark, {"r": lines}), head, newest=3).count() == 3
+
+
 def test_whole_logs_are_split_like_python(spark):
     text = "COMMIT:1\r\nAUTHOR:a\x0bDATE:d\x85MSG:m END_META\n+x\n"
     rows = cl.log_lines(spark.createDataFrame([("r", text)], "repo string, content string")).orderBy("seq").collect()

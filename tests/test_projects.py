@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from auditlake import ScanConfig, audit_dependencies, report_findings, scan, scan_by_project, summarize
 from auditlake.operators import baseline as bl
+from auditlake.operators import dependencies as dep
 from auditlake.operators import rollup as ro
 from auditlake.operators import select as se
 from auditlake.operators.findings import min_severity, order_by_severity
-from auditlake.operators.joins import join_bounded, salted_join
+from auditlake.operators.joins import join_bounded, skewed_join
 from auditlake.operators.untracked import detect_untracked_env
+from auditlake.plans.audit import gate_by_project
 from auditlake.sources import settings as st
+from workload.samples import POSITIVE
 
 
 def paths(df):
@@ -134,10 +137,85 @@ def test_joins_agree(spark, how):
     big = spark.range(200).select((F.col("id") % 3).alias("k"), "id", F.array(F.col("id")).alias("v"))
     small = spark.createDataFrame([(0, "x"), (1, "y"), (7, "z")], "k long, s string")
     plain = sorted(map(str, big.join(small, ["k"], how).collect()))
-    assert sorted(map(str, salted_join(big, small, ["k"], how).collect())) == plain
+    assert sorted(map(str, skewed_join(big, small, ["k"], how).collect())) == plain
     assert sorted(map(str, join_bounded(big, small, ["k"], how).collect())) == plain
     assert sorted(map(str, join_bounded(big, small, ["k"], how, limit=1).collect())) == plain
-    assert sorted(map(str, join_bounded(big, small, ["k"], how, limit=1, hot_keys=False).collect())) == plain
+
+
+def test_hot_keys_are_divided_by_size(spark):
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+            "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        big = spark.range(0, 60_000, 1, 8).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(7).alias("k"), F.sha1(F.col("id").cast("string").cast("binary")).alias("v"))
+        joined = skewed_join(big, spark.range(0, 100).select(F.col("id").alias("k"), F.lit("x").alias("s")), ["k"], "left")
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_version_order(spark):
+    order = [("0", "0.0.1-alpha"), ("0.0.1-alpha", "0.0.1"), ("1.0.0-alpha", "1.0.0-beta"), ("1.0.0-beta", "1.0.0-rc.2"), ("1.0.0-rc.2", "1.0.0-rc.10"),
+             ("1.0.0-rc.10", "1.0"), ("1.0.0rc1", "1.0.0"), ("1.0.dev3", "1.0"), ("1.0", "1.0.1"), ("1.2", "1.10"), ("9.9", "10.0.0b1"), ("10.0.0b1", "10")]
+    same = [("1", "1.0.0"), ("^1.2.0", "1.2"), ("~1.2", ">=1.2"), ("v1.2", "==1.2.0"), ("1.2+build5", "1.2")]
+    rows = spark.createDataFrame([(*p, True) for p in order] + [(*p, False) for p in same], "a string, b string, less boolean")
+    got = rows.select("a", "b", "less", (dep.version_key(F.col("a")) < dep.version_key(F.col("b"))).alias("lt"), (dep.version_key(F.col("a")) == dep.version_key(F.col("b"))).alias("eq")).collect()
+    assert [(r.a, r.b) for r in got if (r.lt, r.eq) != (r.less, not r.less)] == []
+
+
+def test_version_ranges(spark):
+    ranges = [[{"fixed": "1.0.0"}, {"introduced": "0"}], [{"last_affected": "2.5"}, {"introduced": "2.0.0-rc.1"}, {"fixed": "3.1"}, {"introduced": "3"}]]
+    want = {"0.5": True, "^0.9": True, "1.0.0-rc1": True, "1.0.0": False, "~1.4": False, "2.0.0-beta": False, "2.0.0-rc.2": True, ">=2.5": True, "2.5.1": False,
+            "3.0.9": True, "3.1": False, "latest": False, "*": False, "": False, None: False}
+    event = "struct<introduced: string, fixed: string, last_affected: string>"
+    rows = spark.createDataFrame([(v, ranges) for v in want], f"v string, r array<array<{event}>>")
+    got = {r.v: r.hit for r in rows.select("v", dep.in_ranges(F.col("v"), F.col("r")).alias("hit")).collect()}
+    assert got == want
+
+
+HOSTILE = {
+    "a": '{"custom_patterns": [{"pattern": "(?P<api_key>tok_[a-z]+)-(?P=api_key)", "rule_id": "NAMED"}]}',
+    "b": '{"exclude_paths": [null, 3, {"x": 1}], "exclude_rules": [null], "checks": null}',
+    "c": '{"custom_patterns": [null, {"pattern": null}, {"pattern": "("}, 5, {"pattern": "(?<=x|yy)z"}, {"rule_id": "NO-PATTERN"}]}',
+    "d": "[]", "e": "{", "f": '"text"', "g": '{"exclude_paths": "src", "custom_patterns": "x", "checks": "secrets", "fail_on": 4, "baseline": ["x"]}',
+    "h": '{"custom_patterns": [{"pattern": "(?P<n>q)?(?(n)w|v)x", "rule_id": "PYTHON"}]}',
+}
+
+
+def test_bad_settings_stop_nothing(corpus):
+    text = f"tok_ab-tok_ab\nqwx vx\n{POSITIVE['SEC-001']}\n"
+    files = corpus({(p, n): t for p, s in [*HOSTILE.items(), ("plain", "{}")] for n, t in ((".audit.json", s), ("src/x.py", text))})
+    got = scan_by_project(files, st.read_config(files)).collect()
+    by = {p: sorted(r.rule_id for r in got if r.project == p and r.file_path == "src/x.py") for p in [*HOSTILE, "plain"]}
+    assert by.pop("a") == ["NAMED", "SEC-001"] and by.pop("h") == ["PYTHON", "SEC-001"]
+    assert set(map(tuple, by.values())) == {("SEC-001",)}
+    assert gate_by_project(files, st.read_config(files)).count() == 9
+
+
+def test_run_settings_hold_for_every_project(corpus):
+    files = corpus({("p", ".env"): "A=1", ("p", "x.py"): f"tok_1\n{POSITIVE['SEC-001']}", ("p", ".audit.json"): '{"custom_patterns": [{"pattern": "tok_[0-9]", "rule_id": "TOK", "severity": "low"}]}'})
+    rules = lambda **kw: sorted({(r.rule_id, r.severity) for r in scan_by_project(files, st.read_config(files), ScanConfig(**kw)).collect()})
+    every = rules()
+    assert [r for r, _ in every] == ["GIT-001", "SEC-001", "TOK"] and ("TOK", "LOW") in every
+    assert [r for r, _ in rules(exclude_rules={"GIT-001", "TOK"})] == ["SEC-001"]
+    assert rules(checks=("xss",)) == []
+    assert ("TOK", "CRITICAL") in rules(compat=True)
+
+
+def test_gate_by_project(corpus):
+    key, weak = POSITIVE["SEC-001"], "h = hashlib.md5(x)"
+    base = corpus({("p", "x.py"): key})
+    known = [r.fingerprint for r in scan(base).collect()]
+    settings = {"p": '{"baseline": "ci/known.json"}', "q": '{"fail_on": "none"}', "r": '{"fail_on": "high"}', "s": "{}", "t": '{"fail_on": "LOW"}'}
+    files = {(p, ".audit.json"): s for p, s in settings.items()} | {(p, "x.py"): key for p in "pqs"} | {("r", "x.py"): weak, ("t", "x.py"): "x = 1", ("u", "x.py"): key}
+    files[("p", "ci/known.json")] = json.dumps({"version": 1, "fingerprints": known, "findings": []})
+    got = {r.project: (r.findings > 0, r.failed) for r in gate_by_project(corpus(files), st.read_config(corpus(files))).collect()}
+    assert {p: got[p][1] for p in "pqstu"} == {"p": False, "q": False, "s": True, "t": False, "u": True}
+    assert got["p"] == (False, False) and got["q"][0] and got["r"][0]
 
 
 def test_dependencies_of_a_corpus(corpus, spark):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from auditlake.catalog.rules import ENTROPY_RULE_ID, FAMILIES
 from auditlake.functions.text import DEFAULT_MARKER
-from auditlake.sources.spread import spread
+from workload.spread import spread
 from workload.samples import POSITIVE, RANDOM32
 
 EXTENSIONS = (".py", ".js", ".json", ".yaml", ".env")

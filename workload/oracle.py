@@ -60,7 +60,7 @@ def findings_ctes(rules=RULES, files: str = "corpus_files", entropy: bool = Fals
     columns = (
         "project, path AS file_path, rule_id, severity, severity_rank, category, description, line_number, match_count, "
         "code_snippet, remediation, cwe_id, cwe_name, owasp, fix_hint, confidence, check_ord, rule_ord, "
-        "left(sha1(rule_id || ':' || path || ':' || trim(code_snippet)), 16) AS fingerprint"
+        "left(sha1(rule_id || ':' || path || ':' || code_text), 16) AS fingerprint"
     )
     text = f"""{name}_marked AS (
     {union}),
@@ -69,7 +69,7 @@ def findings_ctes(rules=RULES, files: str = "corpus_files", entropy: bool = Fals
   FROM (SELECT *, unnest(parts) AS x, unnest(range(1, len(parts) + 1)) AS line FROM {name}_marked)
   WHERE contains(x, chr(1))),
 {name}_first AS (
-  SELECT * EXCLUDE (raw, n, line, base_description), CAST(line AS INT) AS line_number, left(trim(raw), 100) AS code_snippet,
+  SELECT * EXCLUDE (raw, n, line, base_description), CAST(line AS INT) AS line_number, left(trim(raw), 100) AS code_snippet, trim(raw) AS code_text,
          CAST(sum(n) OVER w AS BIGINT) AS match_count, row_number() OVER (PARTITION BY project, path, rule_id ORDER BY line) AS nth,
          base_description || CASE WHEN sum(n) OVER w > 1 THEN ' (and ' || CAST(sum(n) OVER w - 1 AS BIGINT) || ' more in this file)' ELSE '' END AS description
   FROM {name}_lines WHERE NOT {suppressed()}
@@ -95,7 +95,7 @@ def findings_ctes(rules=RULES, files: str = "corpus_files", entropy: bool = Fals
   SELECT *, row_number() OVER (PARTITION BY project, path, trim(raw) ORDER BY line, pos) AS nth,
          '{r.severity}' AS severity, {r.severity_rank} AS severity_rank, '{r.category}' AS category,
          {quote(r.description)} || ' (entropy=' || printf('%.2f', bits) || ' bits/char)' AS description, CAST(line AS INT) AS line_number,
-         CAST(1 AS BIGINT) AS match_count, left(trim(raw), 100) AS code_snippet, {quote(r.remediation)} AS remediation,
+         CAST(1 AS BIGINT) AS match_count, left(trim(raw), 100) AS code_snippet, trim(raw) AS code_text, {quote(r.remediation)} AS remediation,
          {quote(cwe_id)} AS cwe_id, {quote(cwe_name)} AS cwe_name, {quote(owasp)} AS owasp, {quote(r.fix_hint)} AS fix_hint,
          '{r.confidence}' AS confidence, {r.check_ord} AS check_ord, {r.rule_ord} AS rule_ord
   FROM {name}_random),

@@ -10,7 +10,7 @@ from auditlake.operators import history as hi
 from auditlake.operators import rollup as ro
 from auditlake.operators.detect import detect
 from auditlake.operators.durable import checkpoint_folder, durable
-from auditlake.plans.audit import audit_dependencies, report_findings, scan_by_project
+from auditlake.plans.audit import audit_dependencies, gate_by_project, report_findings, scan_by_project
 from auditlake.sinks import documents as doc
 from auditlake.sinks import report as rp
 from auditlake.sources import settings as st
@@ -21,10 +21,12 @@ from workload.queries import (
     _ADVISORY_SQL,
     _ALL_FOUND,
     _COUNTS_SQL,
+    _GRADED_SQL,
     _HISTORY_SQL,
     _KNOWN_SQL,
     _NEXT_FOUND,
     _PROFILE_SQL,
+    _graded,
     _profiles,
     CORE,
     CORE_SQL,
@@ -236,6 +238,23 @@ def by_project(spark, sf_dir):
     return found.select("project", "file_path", "rule_id", "line_number", "match_count")
 
 
+@query("gate_by_project", f"""WITH {_GRADED_SQL}, named AS (
+  SELECT project, severity_rank FROM found WHERE project <> 'g5'),
+counts AS (SELECT project, count(*) AS findings, max(severity_rank) AS worst FROM named GROUP BY project)
+SELECT project, coalesce(findings, 0) AS findings, coalesce(CASE CAST(substr(project, 2) AS INT) % 4 WHEN 0 THEN false WHEN 1 THEN worst >= 1 WHEN 2 THEN worst >= 3 ELSE worst >= 4 END, false) AS failed
+FROM (SELECT DISTINCT project FROM graded) LEFT JOIN counts USING (project)""")
+def gates(spark, sf_dir):
+    """Each project by its own settings; one names a baseline file that holds all its findings."""
+    files = _graded(spark, sf_dir)
+    i = F.substring("project", 2, 9).cast("int")
+    fail_on = F.when(i % 4 == 0, "none").when(i % 4 == 1, "low").when(i % 4 == 2, "High")
+    settings = F.to_json(F.struct(fail_on.alias("fail_on"), F.when(i == 5, "ci/known.json").alias("baseline")))
+    rows = files.select("project").distinct().select("project", F.lit(st.CONFIG_NAME).alias("path"), settings.alias("content"))
+    known = detect(files.filter("project = 'g5'")).groupBy("project").agg(F.collect_set("fingerprint").alias("fingerprints"))
+    baseline = known.select("project", F.lit("ci/known.json").alias("path"), F.to_json(F.struct("fingerprints")).alias("content"))
+    return gate_by_project(files.unionByName(baseline), st.read_config(rows))
+
+
 # --- streams ------------------------------------------------------------------------------------
 
 

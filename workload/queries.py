@@ -581,6 +581,29 @@ def advised_ranges(spark, sf_dir):
     return dep.match_advisories(_packages(spark, sf_dir), co.advisory_rows(spark), ranges=True).select(*_ADVISED)
 
 
+_OPERATORS = ("", "^", "~", ">=", "v", "==", " ~> ")
+_TAGS = ("", "-rc.1", "+b5", "beta", ".dev2")
+
+
+@query("version_ranges", f"""WITH v AS (
+  SELECT event_id, event_id % 4 AS a, (event_id // 4) % 7 AS b, event_id % 3 AS c, ({sql_list(_OPERATORS)})[CAST(event_id % {len(_OPERATORS)} AS INT) + 1] AS operator,
+    ({sql_list(_TAGS)})[CAST(event_id % {len(_TAGS)} AS INT) + 1] AS tag, event_id % 50 = 0 AS none FROM events),
+n AS (SELECT *, CASE WHEN none THEN 'latest' ELSE operator || a || '.' || b || '.' || c || tag END AS version,
+    a * 10000 + b * 100 + c - CASE WHEN tag IN ('', '+b5') THEN 0 ELSE 0.5 END AS place FROM v)
+SELECT event_id, version, NOT none AND (place >= 10200 AND place < 20300 OR place >= 30401 AND place <= 30500 OR place < 1) AS affected FROM n""")
+def version_ranges(spark, sf_dir):
+    """Requirements and releases of many forms against ranges whose events are not in order."""
+    i = F.col("event_id")
+    numbers = F.concat_ws(".", (i % 4).cast("string"), (F.floor(i / 4) % 7).cast("string"), (i % 3).cast("string"))
+    version = F.when(i % 50 == 0, "latest").otherwise(F.concat(co._pick(_OPERATORS, i), numbers, co._pick(_TAGS, i)))
+    event = "named_struct('introduced', {}, 'fixed', {}, 'last_affected', {})"
+    ranges = F.expr("array(array({}, {}), array({}, {}, {}, {}))".format(
+        event.format("null", "'2.3'", "null"), event.format("'1.2.0'", "null", "null"), event.format("'3.4.1'", "null", "null"),
+        event.format("null", "null", "'3.5'"), event.format("null", "'0.0.1'", "null"), event.format("'0'", "null", "null"),
+    ))
+    return co.read(spark, sf_dir, "events").select("event_id", version.alias("version"), dep.in_ranges(version, ranges).alias("affected"))
+
+
 @query("advisory_severity", """SELECT event_id, CASE WHEN l = 'MODERATE' THEN 'MEDIUM' WHEN l = 'IMPORTANT' THEN 'HIGH' WHEN l = 'NEGLIGIBLE' THEN 'LOW'
   WHEN l IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW') THEN l ELSE 'HIGH' END AS severity,
   CASE event_id % 3 WHEN 0 THEN 'CVE-' || CAST(event_id AS VARCHAR) WHEN 1 THEN 'A-' || CAST(event_id AS VARCHAR) ELSE 'UNKNOWN' END AS cve_id
@@ -611,6 +634,7 @@ def dep_counts(spark, sf_dir):
 
 @query("ingest_pip_audit", """SELECT 's' || CAST(s_suppkey AS VARCHAR) AS project, 'lib' || CAST(s_suppkey AS VARCHAR) AS package, '1.' || CAST(s_nationkey AS VARCHAR) AS version,
   'HIGH' AS severity, 'V-' || CAST(s_suppkey AS VARCHAR) AS cve_id, 'V-' || CAST(s_suppkey AS VARCHAR) || ' (via pip-audit)' AS description FROM supplier
+UNION ALL SELECT 's' || CAST(s_suppkey AS VARCHAR), 'lib' || CAST(s_suppkey AS VARCHAR), '1.' || CAST(s_nationkey AS VARCHAR), 'HIGH', 'V-0', 'V-0 (via pip-audit)' FROM supplier
 UNION ALL SELECT 's' || CAST(s_suppkey AS VARCHAR), 'unknown', NULL, 'HIGH', 'Unknown', 'Unknown (via pip-audit)' FROM supplier""")
 def pip_audit(spark, sf_dir):
     s = co.read(spark, sf_dir, "supplier")
@@ -625,6 +649,7 @@ def pip_audit(spark, sf_dir):
 
 @query("ingest_npm_audit", """WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS k FROM supplier)
 SELECT 's' || k AS project, 'a' || k AS package, '<' || k AS version, 'MODERATE' AS severity, 'title ' || k || ' (via npm audit)' AS description FROM s
+UNION ALL SELECT 's' || k, 'a' || k, '<' || k, 'MODERATE', 'second (via npm audit)' FROM s
 UNION ALL SELECT 's' || k, 'b', NULL, 'HIGH', '[''a' || k || ''', ''c''] (via npm audit)' FROM s
 UNION ALL SELECT 's' || k, 'd', '*', 'LOW', 'Security vulnerability (via npm audit)' FROM s""")
 def npm_audit(spark, sf_dir):
@@ -632,7 +657,7 @@ def npm_audit(spark, sf_dir):
     k = F.col("s_suppkey").cast("string")
     payload = F.concat(
         F.lit('{"vulnerabilities":{"a'), k, F.lit('":{"severity":"moderate","range":"<'), k, F.lit('","via":[{"title":"title '), k,
-        F.lit('"},"x"]},"b":{"via":["a'), k, F.lit('","c"]},"d":{"severity":"low","range":"*","via":[{"source":1}]}}}'),
+        F.lit('"},"x",{"title":"second"}]},"b":{"via":["a'), k, F.lit('","c"]},"d":{"severity":"low","range":"*","via":[{"source":1}]}}}'),
     )
     reports = s.select(F.concat(F.lit("s"), k).alias("project"), payload.alias("payload"))
     return adv.ingest_npm_audit(reports).select("project", "package", "version", "severity", "description")
@@ -681,25 +706,26 @@ def limited(spark, sf_dir):
 
 
 def _history_sql() -> str:
-    cases = " ".join(f"WHEN regexp_matches(content, {quote('(?i)' + r.pattern)}) THEN {i}" for i, r in enumerate(hi.HISTORY_RULES))
+    cases = ", ".join(f"CASE WHEN regexp_matches(content, {quote('(?i)' + r.pattern)}) THEN {i} END" for i, r in enumerate(hi.HISTORY_RULES))
     ids = sql_list([r.rule_id for r in hi.HISTORY_RULES])
     descriptions = sql_list([r.description for r in hi.HISTORY_RULES])
     pattern = quote("(?i)" + ENTROPY_RULE.pattern)
     return f"""{_LOG_CTES}, tested AS (
-  SELECT *, CASE {cases} END AS r,
+  SELECT *, list_filter([{cases}], lambda x: x IS NOT NULL) AS rs,
     list_filter(regexp_extract_all(content, {pattern}, 1), lambda v: round(list_entropy(string_split(v, '')), 9) >= 4.5) AS vals FROM added),
 history_hits AS (
-  SELECT *, 0 AS hit_ord, ({ids})[r + 1] AS rule_id, ({descriptions})[r + 1] AS description FROM tested WHERE r IS NOT NULL
-  UNION ALL SELECT *, 1, '{ENTROPY_RULE.rule_id}', 'High-entropy secret in history (entropy=' || printf('%.2f', list_entropy(string_split(vals[1], ''))) || ')' FROM tested WHERE len(vals) > 0),
+  SELECT * EXCLUDE (r), r AS hit_ord, ({ids})[r + 1] AS rule_id, ({descriptions})[r + 1] AS description, CAST(NULL AS VARCHAR) AS value FROM (SELECT *, unnest(rs) AS r FROM tested)
+  UNION ALL SELECT * EXCLUDE (v, i), {len(hi.HISTORY_RULES)} + i, '{ENTROPY_RULE.rule_id}', 'High-entropy secret in history (entropy=' || printf('%.2f', list_entropy(string_split(v, ''))) || ')', v
+  FROM (SELECT *, unnest(vals) AS v, unnest(range(0, len(vals))) AS i FROM tested)),
 identified AS (
-  SELECT *, left(trim(content), 120) AS line_snippet, left(sha1(rule_id || ':' || path || ':' || trim(left(trim(content), 120))), 16) AS fingerprint FROM history_hits),
+  SELECT *, left(trim(content), 120) AS line_snippet, trim(content) AS line_text, left(sha1(rule_id || ':' || path || ':' || trim(content) || coalesce(chr(10) || value, '')), 16) AS fingerprint FROM history_hits),
 history AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, fingerprint ORDER BY seq, hit_ord) AS nth FROM identified) WHERE nth = 1),
 head AS (
   SELECT project AS repo, path, CASE WHEN doc_id % 11 = 0 THEN text ELSE content END AS content
   FROM (SELECT *, row_number() OVER (PARTITION BY project, path ORDER BY doc_id DESC) AS nth FROM file_versions) WHERE nth = 1),
 marked AS (
-  SELECT h.* EXCLUDE (content), coalesce(contains(d.content, trim(h.line_snippet)), false) AS still_present
+  SELECT h.* EXCLUDE (content), coalesce(contains(d.content, h.line_text), false) AS still_present
   FROM history h LEFT JOIN head d ON d.repo = h.repo AND d.path = h.path)"""
 
 
@@ -708,7 +734,7 @@ _HISTORY_SQL = _history_sql()
 
 @query("history_findings", f"""WITH {_HISTORY_SQL}
 SELECT repo, rule_id, description, sha1(CAST(doc_id AS VARCHAR)) AS commit_hash, CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INT) AS VARCHAR) AS commit_date,
-  lang AS commit_author, 'change ' || CAST(doc_id AS VARCHAR) AS commit_message, path AS file_path, line_snippet, fingerprint, seq, hit_ord FROM history""")
+  lang AS commit_author, 'change ' || CAST(doc_id AS VARCHAR) AS commit_message, path AS file_path, line_snippet, line_text, fingerprint, seq, hit_ord FROM history""")
 def history(spark, sf_dir):
     return hi.history_findings(co.commit_log(spark, sf_dir))
 
@@ -733,7 +759,6 @@ ROOT_NAMES = ("package.json", "requirements.txt", "app.py", "Gemfile", "main.go"
               "node_modules/vue/package.json", "lovable.json", "src/main.rs", "Cargo.toml")
 WORDS = ("flask", "pymongo", "@aws-sdk", "redis", "react", "supabase", "azure", "sqlite3", "@nestjs", "nothing",
          "psycopg2", "express", "boto3")
-PROFILE_PROJECTS = 97
 
 
 def profile_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -758,7 +783,7 @@ def _profile_sql() -> str:
     fw = ", ".join(f"{named(w)} AS fw{i}" for i, w in enumerate(pf.FRAMEWORKS.values()))
     ai = ", ".join(f"bool_or({any_word(w, 'path')}) AS ai{i}" for i, w in enumerate(pf.AI_TOOLS.values()))
     langs = ", ".join(f"bool_or(ext = '{e}') AS lang{i}" for i, e in enumerate(pf.LANGUAGES))
-    samples = ", ".join(f"max(CASE WHEN path = '{n}' THEN left(content, 5000) END)" for n in pf.SAMPLED)
+    samples = ", ".join(f"max(CASE WHEN path = '{n}' THEN content END)" for n in pf.SAMPLED)
 
     def listed(flags):
         return "list_filter([" + ", ".join(f"CASE WHEN {f} THEN '{n}' END" for n, f in flags.items()) + "], lambda x: x IS NOT NULL)"
