@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from auditlake.llm.shared import components, map_rows, slices, small_or_salted, staged
 from auditlake.operators.durable import durable
 
-#: Growth of the size classes, and empty groups that are allowed for (see ``Levels``).
-GROWTH, SLACK, SLACK_SHARE = 1.5, 2, 0.12
+#: Growth of the size classes, and parts of a group (see ``Levels``).
+GROWTH, PARTS = 1.25, 3
 #: Documents whose group hashes are put together before the shuffle, and words remembered by a task.
 BATCH, WORDS = 4096, 2_000_000
-#: Shingles of a tile of candidates, entries of a tree node, and shingles that a count stands for on average.
-TILE, FANOUT, PER_COUNT = 2_000_000, 32, 16
+#: Counts of a document's point, points and shingles of a tile, and entries of a tree node.
+COUNTS, TILE_POINTS, TILE, FANOUT = 128, 8192, 2_000_000, 32
 
-PARTS = pa.schema(
+PACKED = pa.schema(
     [("bucket", pa.int32()), ("kind", pa.int32()), ("left", pa.binary()), ("right", pa.binary())]
     + [("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("text_hash", pa.int64())]
 )
-FOUND = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("text_hash", pa.int64()), ("other", pa.int64())])
+FOUND = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("text_hash", pa.int64()), ("other", pa.int64()), ("counts", pa.binary())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 HASHES, DOCUMENT, EDGES = 0, 1, 2
 
@@ -85,15 +86,24 @@ def shingle_sets(texts: list[str | None], n: int, known: Words) -> tuple[np.ndar
     return h[first], starts
 
 
+def group_counts(h: np.ndarray, starts: np.ndarray, groups: int = COUNTS) -> np.ndarray:
+    """For each set, how many of its shingles fall into each of ``groups`` hashed groups."""
+    part = ((h >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+    sets = len(starts) - 1
+    return np.bincount(part + np.repeat(np.arange(sets), np.diff(starts)) * groups, minlength=sets * groups).reshape(sets, groups)
+
+
 class Levels:
     """Size classes, and the number of hashed groups in which sets of a class are compared.
 
     Sets of sizes a and b link if ``percent`` of their union is shared, so they differ in at most
-    (a + b)(100 - percent) / (100 + percent) shingles. If shingles are dealt by their hash into more
-    groups than that, at least one group is the same set on both sides: documents that share no
-    equal group cannot link. Groups that are equal because both are empty don't count: with ``slack``
-    more groups than needed, a set with up to that many empty groups has an equal one that is not
-    empty; sets with more empty groups give those as well.
+    d = (a + b)(100 - percent) / (100 + percent) shingles. If shingles are dealt by their hash into
+    more than d / 2 groups, some group differs in one shingle at most; if each group is divided into
+    PARTS parts, all parts of it but one are the same on both sides. So documents that link share,
+    for some group, all parts but one: that is what is compared. Parts that agree because they are
+    empty don't count: with ``spare`` groups more than needed, a set with up to that many groups
+    where all parts but one may be empty still agrees elsewhere; sets with more such groups give the
+    empty ones as well.
 
     A pair is compared in the class of its larger set; a set that may be the smaller one of a pair of
     the next class is also compared there.
@@ -106,8 +116,9 @@ class Levels:
             edges.append(max(edges[-1] + 1, int(edges[-1] * max(GROWTH, 100 / percent))))
         self.edges = np.array(edges, np.int64)
         most = 2 * (self.edges[1:] - 1) * (100 - percent) // (100 + percent)
-        self.slack = SLACK + np.ceil(SLACK_SHARE * (most + 1)).astype(np.int64)
-        self.groups = most + 1 + self.slack
+        needed = most // 2 + 1
+        self.spare = np.array([spare_groups(int(n), int(e) * percent / 100) for n, e in zip(needed, self.edges[:-1], strict=True)], np.int64)
+        self.groups = needed + self.spare
 
     def of(self, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Rows of sets with a class to compare them in: their own, and for some the next."""
@@ -117,25 +128,42 @@ class Levels:
         return [(some, own[some]), (border, own[border] + 1)]
 
 
+def spare_groups(needed: int, size: float) -> int:
+    """So many more groups that few sets have more groups with empty parts; any number gives right results."""
+    best, least = 0, 2.0
+    for spare in range(12):
+        groups = needed + spare
+        empty = min(1.0, PARTS * math.exp(-size / groups * (PARTS - 1) / PARTS))
+        more = 1 - sum(math.comb(groups, k) * empty**k * (1 - empty) ** (groups - k) for k in range(spare + 1)) if groups < 1000 else float(groups * empty > spare)
+        if more < min(least, 1e-2):
+            return spare
+        best, least = (spare, more) if more < least else (best, least)
+    return best
+
+
 def group_hashes(h: np.ndarray, starts: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the groups of every set in its classes, and the set each belongs to."""
+    """Hashes of each group of every set without one of its parts, and the set each belongs to."""
     sizes, hashes, rows = np.diff(starts), [], []
     for which, level in levels.of(sizes):
         if not len(which):
             continue
-        own = sizes[which]
+        own, groups = sizes[which], levels.groups[level]
         at = np.repeat(starts[which] - np.concatenate(([0], np.cumsum(own)[:-1])), own) + np.arange(own.sum())
-        set_of, groups = np.repeat(np.arange(len(which)), own), levels.groups[level]
-        part = (((h[at] >> np.uint64(32)) * np.repeat(groups, own).astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        begin = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (set_of[1:] != set_of[:-1]))))
-        name = lambda p, lv: mixed(p.astype(np.uint64) * MIX[2] + lv.astype(np.uint64) * MIX[5] + MIX[6])
-        hashes.append(mixed(np.add.reduceat(mixed(h[at] * MIX[1]), begin) + name(part[begin], level[set_of[begin]])))
-        rows.append(which[set_of[begin]])
-        filled = np.bincount(set_of[begin], minlength=len(which))
-        for k in np.flatnonzero(groups - filled > levels.slack[level]).tolist():
-            empty = np.setdiff1d(np.arange(groups[k]), part[begin][set_of[begin] == k])
-            hashes.append(mixed(name(empty, np.full(len(empty), level[k])) ^ MIX[3]))
-            rows.append(np.full(len(empty), which[k]))
+        base = np.concatenate(([0], np.cumsum(groups * PARTS)))
+        part = (((h[at] >> np.uint64(32)) * np.repeat(groups * PARTS, own).astype(np.uint64)) >> np.uint64(32)).astype(np.int64) + np.repeat(base[:-1], own)
+        begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        sums, counts = np.zeros(base[-1], np.uint64), np.zeros(base[-1], np.int64)
+        sums[part[begin]] = np.add.reduceat(mixed(h[at] * MIX[1]), begin)
+        counts[part[begin]] = np.diff(np.append(begin, len(part)))
+        sums, counts, of = sums.reshape(-1, PARTS), counts.reshape(-1, PARTS), np.repeat(np.arange(len(which)), groups)
+        number = np.arange(len(of)) - np.repeat(base[:-1] // PARTS, groups)
+        name = mixed(((number << 8) + np.repeat(level, groups)).astype(np.uint64) * MIX[2] + MIX[6])
+        found = mixed(sums.sum(axis=1, dtype=np.uint64)[:, None] - sums + name[:, None] + np.arange(PARTS, dtype=np.uint64) * MIX[5])
+        empty = counts.sum(axis=1)[:, None] == counts
+        few = np.bincount(of, weights=empty.any(axis=1), minlength=len(which)) <= levels.spare[level]
+        keep = ~empty | ~few[of][:, None]
+        hashes.append(found[keep])
+        rows.append(np.repeat(which[of], PARTS).reshape(-1, PARTS)[keep])
     return (np.concatenate(hashes), np.concatenate(rows)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
@@ -198,9 +226,10 @@ def hash_documents(batches: Iterator[pa.RecordBatch], n: int, percent: int, buck
         kept.append((hashes[mine], nodes[rows[mine]]))
         some = [None if s == 0 else x for x, s in zip(nodes.tolist(), sizes.tolist(), strict=True)]
         keys, text_hash = part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist()
-        yield [((count + k) % buckets, DOCUMENT, None, None, *r) for k, r in enumerate(zip(keys, some, sizes.tolist(), text_hash, strict=True))]
+        points = [c.tobytes() if x else None for c, x in zip(group_counts(h, starts).astype(np.uint32), new.tolist(), strict=True)]
+        yield [((count + k) % buckets, DOCUMENT, p, None, *r) for k, (p, *r) in enumerate(zip(points, keys, some, sizes.tolist(), text_hash, strict=True))]
         count += len(texts)
-        if sum(len(k[0]) for k in kept) > BATCH * 200:
+        if sum(len(k[0]) for k in kept) > BATCH * 300:
             yield packed()
             kept = []
     if kept:
@@ -213,10 +242,11 @@ def join_bucket(group: pa.Table) -> pa.Table:
     read = lambda name, kind, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in group.column(name).filter(pa.array(kinds == kind)).to_pylist())])
     _, _, a, b = stars(read("left", HASHES, np.uint64), read("right", HASHES, np.int64))
     a, b = distinct_pairs(np.concatenate([a, read("left", EDGES, np.int64)]), np.concatenate([b, read("right", EDGES, np.int64)]))
-    docs = group.filter(pa.array(kinds == DOCUMENT)).select(["kind", "doc_id", "node", "n_shingles", "text_hash"])
+    docs = group.filter(pa.array(kinds == DOCUMENT))
     none = lambda k: pa.nulls(k, pa.int64())
-    docs = docs.append_column("other", none(docs.num_rows)).cast(FOUND)
-    edges = pa.table([pa.array(np.full(len(a), EDGES), pa.int32()), none(len(a)), pa.array(a), none(len(a)), none(len(a)), pa.array(b)], schema=FOUND)
+    docs = pa.table([*(docs.column(c) for c in FOUND.names[:5]), none(docs.num_rows), docs.column("left")], schema=FOUND)
+    edges = [pa.array(np.full(len(a), EDGES), pa.int32()), none(len(a)), pa.array(a), none(len(a)), none(len(a)), pa.array(b), pa.nulls(len(a), pa.binary())]
+    edges = pa.table(edges, schema=FOUND)
     return pa.concat_tables([docs, edges])
 
 
@@ -257,23 +287,18 @@ def shared_counts(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return sums[ends] - sums[np.concatenate(([0], ends[:-1]))]
 
 
-def linked_sets(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect what links connect: pairs of places in ``sets``, none between places that others connect already.
+def spanning_links(counts: np.ndarray, sizes: np.ndarray, sides: np.ndarray, percent: int, confirm=None) -> list[tuple[int, int]]:
+    """Links that connect what links connect: pairs of places, none between places that others connect already.
 
-    Sides 0 and 1 are compared with each other, side 2 with itself. Points nearest to the middle come
+    Sides 0 and 1 are compared with each other, side 2 with itself. A link is a pair that passes the
+    bound of the tree and that ``confirm`` (place, places) confirms. Points nearest to the middle come
     first, as the text that others were copied from tends to be there and its links leave little to do.
     """
-    sizes = np.array([len(s) for s in sets])
-    enough = lambda shared, k, others: (100 + percent) * shared >= percent * (sizes[k] + sizes[others])
-    if len(sets) == 2:
-        return [(0, 1)] if enough(shared_counts(sets[0], sets[1:]), 0, np.array([1]))[0] else []
-    groups = int(np.clip(np.median(sizes) / PER_COUNT, 8, 256))
-    counts = np.stack([np.bincount(((s >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64), minlength=groups) for s in sets])
     middle = np.abs(counts - np.median(counts, axis=0)).sum(axis=1)
     both = sides[0] == 2
-    points = np.arange(len(sets)) if both else np.flatnonzero(sides == 1)
+    points = np.arange(len(counts)) if both else np.flatnonzero(sides == 1)
     tree = CountTree(counts[points], sizes[points])
-    root, done, links = np.arange(len(sets)), np.zeros(len(sets), bool), []
+    root, done, links = np.arange(len(counts)), np.zeros(len(counts), bool), []
 
     def find(k: int) -> int:
         while root[k] != k:
@@ -281,7 +306,7 @@ def linked_sets(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list
             k = int(root[k])
         return k
 
-    asking = np.arange(len(sets)) if both else np.flatnonzero(sides == 0)
+    asking = np.arange(len(counts)) if both else np.flatnonzero(sides == 0)
     for k in asking[np.argsort(middle[asking], kind="stable")].tolist():
         done[k] = True
         near = points[tree.candidates(counts[k], int(sizes[k]), percent)]
@@ -290,7 +315,7 @@ def linked_sets(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list
         near = near[(root[near] != root[k]) & ~done[near]]
         for at in range(0, len(near), 1024):
             some = near[at : at + 1024]
-            for j in some[enough(shared_counts(sets[k], [sets[x] for x in some.tolist()]), k, some)].tolist():
+            for j in (some[confirm(k, some)] if confirm else some).tolist():
                 u, v = find(k), find(j)
                 if u != v:
                     root[max(u, v)] = min(u, v)
@@ -298,24 +323,62 @@ def linked_sets(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list
     return links
 
 
-def verify(group: pa.Table, percent: int) -> pa.Table:
+def linked_points(counts: list[bytes], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Spanning links by the bound alone."""
+    points = np.stack([np.frombuffer(c, np.uint32) for c in counts]).astype(np.int64)
+    return spanning_links(points, points.sum(axis=1), sides, percent)
+
+
+def linked_sets(hashes: list[bytes], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Spanning links of sets that share ``percent`` of their union."""
+    sets = [np.frombuffer(x, np.uint64) for x in hashes]
+    sizes = np.array([len(s) for s in sets])
+
+    def confirm(k: int, others: np.ndarray) -> np.ndarray:
+        return (100 + percent) * shared_counts(sets[k], [sets[x] for x in others.tolist()]) >= percent * (sizes[k] + sizes[others])
+
+    if len(sets) == 2:
+        return [(0, 1)] if confirm(0, np.array([1]))[0] else []
+    counts = group_counts(np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes))))
+    return spanning_links(counts, sizes, sides, percent, confirm)
+
+
+def link_groups(group: pa.Table, column: str, linked, percent: int) -> pa.Table:
     """Links within the groups of candidates (or between the two tiles of one) that a task holds."""
     group = group.combine_chunks()
     super_, node, side = (group.column(c).to_numpy() for c in ("super", "node", "side"))
-    hashes = group.column("hashes")
+    values = group.column(column)
     order = np.lexsort((node, super_))
     cuts = np.flatnonzero(np.concatenate(([True], super_[order][1:] != super_[order][:-1], [True])))
     a, b = [], []
     for i, j in zip(cuts, cuts[1:], strict=False):
         own = order[i:j]
         own = own[np.concatenate(([True], node[own][1:] != node[own][:-1]))]  # a set may come from several tasks
-        if len(own) > 1:
-            for x, y in linked_sets([np.frombuffer(hashes[k].as_py(), np.uint64) for k in own.tolist()], side[own], percent):
+        if len(own) > 1 and (side[own[0]] == 2 or len(set(side[own].tolist())) == 2):
+            for x, y in linked([values[k].as_py() for k in own.tolist()], side[own], percent):
                 a.append(node[own[x]])
                 b.append(node[own[y]])
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=LINKS)
 
 
+def tasks_of(members: DataFrame, weight: Column, most: int) -> DataFrame:
+    """Written members (node, super, ...) with their task: small groups share one, a group of more than ``most`` weight is cut into tiles."""
+    total = members.agg(F.sum(weight)).first()[0] or 0
+    tiles = members.groupBy("super").agg(F.ceil(F.sum(weight) / F.lit(most)).cast("long").alias("tiles")).where("tiles > 1")
+    together = F.pmod(F.xxhash64("super"), F.lit(total // most * 2 + 16))
+    return small_or_salted(members, durable(tiles), ["super"], "left").withColumns({"whole": F.when(F.col("tiles").isNull(), together), "tiles": F.coalesce("tiles", F.lit(1))})
+
+
+def links_of(rows: DataFrame, column: str, linked, percent: int) -> DataFrame:
+    """Spanning links of rows with the columns of ``tasks_of`` and one to compare by. Every two tiles of a group meet in one task."""
+    tile = F.pmod(F.xxhash64("node"), F.col("tiles"))
+    step = F.struct(F.least(F.col("tile"), F.col("k")).alias("i"), F.greatest(F.col("tile"), F.col("k")).alias("j"))
+    dealt = rows.withColumn("tile", tile).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumn("t", step)
+    side = F.when(F.col("t.i") == F.col("t.j"), 2).when(F.col("tile") == F.col("t.i"), 0).otherwise(1)
+    dealt = dealt.select(F.coalesce("whole", "super").alias("task"), F.col("whole").isNull().alias("tiled"), "t.i", "t.j", side.alias("side"), "super", "node", column)
+    return dealt.groupBy("task", "tiled", "i", "j").applyInArrow(lambda group: link_groups(group, column, linked, percent), from_arrow_schema(LINKS))
+
+
 def candidate_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """Shingle sets of the nodes (node, text_hash, ...): their texts are found by hash and shingled again, a copy once per task."""
     known = ("node", "super", "whole", "tiles")
@@ -335,15 +398,16 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return map_rows(small_or_salted(docs.select("text", "text_hash"), nodes, ["text_hash"], "inner").select("text", *known), work, schema)
 
 
-def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, tile_shingles: int = TILE) -> DataFrame:
+def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, tile_points: int = TILE_POINTS, tile_shingles: int = TILE) -> DataFrame:
     """Documents (doc_id, text) that link when their ``n``-word shingle sets share ``percent`` of their union.
 
-    1. Texts become sets of shingle hashes, dealt by hash into groups (``Levels``); sets that share an
-       equal group are candidates. Group hashes are shuffled packed, each once per batch.
+    1. Texts become sets of shingle hashes, dealt by hash into groups (``Levels``); sets that agree in
+       nearly all of a group are candidates. Group hashes are shuffled packed, each once per batch.
     2. Candidates are put together as connected components of that relation, which holds every link.
-    3. The sets of each component are fetched. Their group counts are points of an R-tree; the sum of
-       the smaller counts bounds the overlap, and pairs that pass are compared exactly, unless links
-       found before connect them. Components with many shingles are compared tile by tile.
+       The group counts of their sets are points of an R-tree in each component; the sum of the
+       smaller counts bounds the overlap. Pairs that pass the bound make narrower components.
+    3. The sets of those are fetched, and pairs that pass the bound are compared exactly, unless links
+       found before connect them. Components with many points or shingles are compared tile by tile.
     4. Links give the final components.
 
     Gives a row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by
@@ -356,23 +420,16 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, tile_shingles
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hashed = map_rows(rows, partial(hash_documents, n=n, percent=percent, buckets=buckets), PARTS)
+    hashed = map_rows(rows, partial(hash_documents, n=n, percent=percent, buckets=buckets), PACKED)
     found = staged(hashed.groupBy("bucket").applyInArrow(join_bucket, from_arrow_schema(FOUND)), "shingles")
     each = found.where(F.col("kind") == DOCUMENT).select("doc_id", "node", "n_shingles", "text_hash")
     supers = components(found.where(F.col("kind") == EDGES).select(F.col("node").alias("a"), F.col("other").alias("b")))
-    # a text for each node, and tasks: small groups of candidates share one, large ones are cut into tiles
-    named = each.where("node is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.max("n_shingles").alias("n"))
-    members = durable(supers.withColumnRenamed("component", "super").join(named, "node"))
-    total = members.agg(F.sum("n")).first()[0] or 0
-    tiles = members.groupBy("super").agg(F.ceil(F.sum("n") / F.lit(tile_shingles)).cast("long").alias("tiles"))
-    tasks = durable(members.join(tiles, "super").withColumn("whole", F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("super"), F.lit(total // tile_shingles * 4 + 64)))))
-    sets = candidate_sets(rows, tasks.select("text_hash", "node", "super", "whole", "tiles"), n)
-    tile = F.pmod(F.xxhash64("node"), F.col("tiles"))
-    step = F.struct(F.least(F.col("tile"), F.col("k")).alias("i"), F.greatest(F.col("tile"), F.col("k")).alias("j"))
-    dealt = sets.withColumn("tile", tile).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumn("t", step)
-    side = F.when(F.col("t.i") == F.col("t.j"), 2).when(F.col("tile") == F.col("t.i"), 0).otherwise(1)
-    dealt = dealt.select(F.coalesce("whole", "super").alias("task"), F.col("whole").isNull().alias("tiled"), "t.i", "t.j", side.alias("side"), "super", "node", "hashes")
-    links = staged(dealt.groupBy("task", "tiled", "i", "j").applyInArrow(lambda group: verify(group, percent), from_arrow_schema(LINKS)), "links")
+    points = found.where("counts is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.max("n_shingles").alias("n"), F.max("counts").alias("counts"))
+    members = durable(supers.withColumnRenamed("component", "super").join(points, "node"))
+    near = staged(links_of(tasks_of(members, F.lit(1), tile_points), "counts", linked_points, percent), "near")
+    groups = components(near).withColumnRenamed("component", "super")
+    tasks = durable(tasks_of(durable(groups.join(members.select("node", "n", "text_hash"), "node")), F.col("n"), tile_shingles))
+    links = staged(links_of(candidate_sets(rows, tasks.drop("n"), n), "hashes", linked_sets, percent), "links")
     reached = durable(components(links))
     grouped = durable(small_or_salted(each, reached, ["node"], "left").withColumn("component", F.coalesce("component", "node")))
     smallest = durable(grouped.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id")))

@@ -184,7 +184,7 @@ def test_shingle_join(spark, seed, n, percent, tile):
     for i, g in group.items():
         ids[g].append(rows[i][0])
     smallest = {g: min((x for x in v if x is not None), default=None) for g, v in ids.items()}
-    got = shingle_join.link_documents(docs, n, percent, tile).collect()
+    got = shingle_join.link_documents(docs, n, percent, max(3, tile // 50), tile).collect()
     want = Counter((rows[i][0], len(sets[i]), smallest[g]) for i, g in group.items())
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
     assert shingle_join.link_documents(docs.limit(0), n, percent).count() == 0
