@@ -104,10 +104,10 @@ def stitch(found: DataFrame) -> DataFrame:
     groups = groups.select("file", "group", over_groups[0].alias("group_ends"), over_groups[1].alias("group_last"))
     carried = brief.select("file", "group", "block", over_blocks[0].alias("ends"), over_blocks[1].alias("last")).join(groups, ["file", "group"])
     carried = carried.select("file", "block", (F.col("ends") + F.col("group_ends")).alias("base"), (F.coalesce("last", "group_last", F.lit(-1)) + 1).alias("open"))
-    starts = F.concat(F.array("open"), F.transform("at", lambda p: p + 1))
-    each = found.where(F.size("at") > 0).join(carried, ["file", "block"]).select("file", "base", starts.alias("starts"), F.posexplode("at").alias("i", "end"))
-    begin = F.get("starts", F.col("i"))
-    ended = each.select("file", (F.col("base") + F.col("i")).alias("ordinal"), begin.alias("start"), (F.col("end") - begin).alias("n_tokens"), F.lit(True).alias("ended"))
+    # documents are made inside the array, so that no row carries the positions of its block
+    begin = lambda i: F.when(i == 0, F.col("open")).otherwise(F.get("at", i - 1) + 1)
+    docs = F.transform("at", lambda end, i: F.struct((F.col("base") + i).alias("ordinal"), begin(i).alias("start"), (end - begin(i)).alias("n_tokens")))
+    ended = found.join(carried, ["file", "block"]).select("file", F.inline(docs)).withColumn("ended", F.lit(True))
     files = brief.groupBy("file").agg(F.sum("tokens").alias("tokens"), F.sum("ends").alias("ordinal"), (F.coalesce(F.max("last"), F.lit(-1)) + 1).alias("start"))
     rest = files.where("start < tokens").select("file", "ordinal", "start", (F.col("tokens") - F.col("start")).alias("n_tokens"), F.lit(False).alias("ended"))
     return ended.unionByName(rest)
