@@ -15,6 +15,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
 from auditlake.catalog.taxonomy import SEVERITY_RANK, weakness
+from auditlake.functions.onepass import one_pass
 
 JS = (".js", ".ts", ".jsx", ".tsx", ".vue", ".svelte", ".html", ".htm")
 PY = (".py",)
@@ -41,6 +42,14 @@ class Rule:
     check_ord: int = 0
     rule_ord: int = 0
     in_history: bool = False
+    # whether the pattern is ours to rewrite; users' patterns are matched as they are
+    linear: bool = True
+
+    @property
+    def scanned(self) -> tuple[str, bool]:
+        """The pattern as it is matched, and whether that is a form with groups (``one_pass``)."""
+        form = one_pass(self.pattern) if self.linear else None
+        return (form, True) if form else (self.pattern, False)
 
     @property
     def severity_rank(self) -> int:

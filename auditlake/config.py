@@ -64,7 +64,7 @@ def custom_rule(entry: Mapping[str, str], index: int = 0, compat: bool = False)
         fix_hint=known.fix_hint if known else "",
         family="secrets", check="secrets", category="Secrets", severity=severity,
         remediation=SECRETS.remediation if compat else entry.get("remediation") or SECRETS.remediation,
-        check_ord=0, rule_ord=CUSTOM_ORD + index,
+        check_ord=0, rule_ord=CUSTOM_ORD + index, linear=False,
     )
 
 

@@ -164,16 +164,18 @@ def sentinel(content: Column) -> Column:
     )
 
 
-def match_lines(content: str = "content", pattern: str = "pattern", mark: str = "mark") -> Column:
+def match_lines(content: str = "content", pattern: str = "pattern", mark: str = "mark", grouped: str = "false") -> Column:
     """Lines on which matches start, in order: array of (line, raw, n). Arguments are SQL text.
 
     Matches run over the whole text and may span lines. Each gets ``mark`` put before its start;
-    splitting at line ends then tells the start line and the number of matches on it.
+    splitting at line ends then tells the start line and the number of matches on it. A ``grouped``
+    pattern has the text before the match as its first group.
     """
+    marked = f"concat(IF({grouped}, '$1', ''), {mark}, IF({grouped}, '$2$3', '$0'))"
     return F.expr(f"""
         transform(
           filter(
-            transform(split(regexp_replace({content}, {pattern}, concat({mark}, '$0')), '\\n', -1),
+            transform(split(regexp_replace({content}, {pattern}, {marked}), '\\n', -1),
                       (text, i) -> named_struct('line', i + 1, 'text', text)),
             x -> contains(x.text, {mark})),
           x -> named_struct('line', x.line, 'raw', replace(x.text, {mark}, ''),

@@ -45,7 +45,7 @@ def rule_test(rule: Rule) -> str:
         tests.append("(" + " OR ".join(f"contains(lowered, {tx.sql_literal(text)})" for text in rule.gate) + ")")
     if rule.near:
         tests.append(f"rlike(lowered, {tx.sql_literal(to_jvm(rule.near, flags='(?d)'))})")
-    tests.append(f"rlike(content, {tx.sql_literal(to_jvm(rule.pattern))})")
+    tests.append(f"rlike(content, {tx.sql_literal(to_jvm(rule.scanned[0]))})")
     return " AND ".join(tests)
 
 
@@ -135,7 +135,8 @@ def _by_spark(files: DataFrame, rules: tuple[Rule, ...], marker: str, keep: tupl
     located = (
         hits.join(F.broadcast(jvm_catalog(files.sparkSession, rules)), "rule_ord")
         .withColumn("mark", tx.sentinel(F.col("content")))
-        .withColumn("matches", tx.match_lines())
+        .withColumn("matches", tx.match_lines(grouped="grouped"))
+        .drop("grouped")
     )
     first = first_and_count(marker)
     if ENTROPY_RULE not in rules:

@@ -32,10 +32,12 @@ def rule_catalog(spark: SparkSession, rules: tuple[Rule, ...] | None = None) ->
 
 
 def jvm_catalog(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
-    """``rule_catalog`` with the patterns in JVM syntax, for matching."""
+    """``rule_catalog`` with the patterns in JVM syntax as they are matched, and whether they have groups."""
     from dataclasses import replace
 
-    return rule_catalog(spark, tuple(replace(r, pattern=to_jvm(r.pattern)) for r in rules))
+    catalog = rule_catalog(spark, tuple(replace(r, pattern=to_jvm(r.scanned[0])) for r in rules))
+    grouped = [r.rule_ord for r in rules if r.scanned[1]]
+    return catalog.withColumn("grouped", F.col("rule_ord").isin(grouped) if grouped else F.lit(False))
 
 
 def finding_row(
