@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import scoring as sc
 from auditlake.functions import text as tx
-from auditlake.operators.joins import salted_join
+from auditlake.operators.joins import skewed_join
 
 TOOL_NAME = "auditlake"
 TOOL_VERSION = "1.0.0"
@@ -51,7 +51,7 @@ def _with_commas(items: DataFrame) -> DataFrame:
     place = F.struct("key", "text")
     first = items.groupBy("project").agg(F.min(place).alias("first"))
     counted = items.groupBy("project", "part", "key", "text").agg(F.count("*").alias("copies"))
-    rows = salted_join(counted, first, ["project"], "inner").select(
+    rows = skewed_join(counted, first, ["project"], "inner").select(
         "*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
     )
     comma = F.when((place > F.col("first")) | (F.col("copy") > 1), F.lit(",")).otherwise(F.lit(""))
