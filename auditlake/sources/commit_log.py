@@ -6,12 +6,13 @@ A log is the text of ``git log -p --date=short`` with the format
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditlake.functions import text as tx
 from auditlake.functions.dialect import LINE_ENDS, to_jvm
+from auditlake.operators.durable import durable
 from auditlake.operators.joins import join_bounded
 
 # The line formats of a log.
@@ -29,6 +30,24 @@ def log_lines(logs: DataFrame) -> DataFrame:
     )
 
 
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """(repo, seq, line) of log files, one per repository and named for it (``repo.log``).
+
+    Files are cut into splits like any text, so a log of any size is read by many tasks. ``seq`` is
+    the place of the line's split in the file plus the number of the line in the split: a split
+    holds no more lines than bytes, so the numbers rise through the file, with gaps.
+    """
+    lines = spark.read.text(path).select(
+        F.regexp_extract(F.col("_metadata.file_name"), r"(?s)^(.*?)(?:\.[^.]*)?$", 1).alias("repo"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("number"), F.col("value").alias("line"),
+    )
+    # the first number of each split: a row per split
+    first = durable(lines.groupBy("file", "start").agg(F.min("number").alias("first")))
+    return lines.join(F.broadcast(first), ["file", "start"]).select(
+        "repo", (F.col("start") + F.col("number") - F.col("first")).alias("seq"), "line"
+    )
+
+
 def header_values(line: Column) -> list[Column]:
     """For each context column the value a line sets, or null if the line does not set it."""
     out = [

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import text as tx
 from auditlake.functions.dialect import LINE_ENDS, to_jvm
+from auditlake.operators.durable import durable
 
 # Requirement line, dependency list and list entry formats.
 REQUIREMENT = r"^([a-zA-Z0-9_-]+)(?:\[.*\])?(?:([=<>!~]+)(.+))?"
@@ -100,9 +101,13 @@ def parse_package_json(manifests: DataFrame) -> DataFrame:
 
 
 def read_packages(files: DataFrame) -> DataFrame:
-    """(project, path, ecosystem, name, original, version, pos) of every manifest in a corpus."""
-    manifests = select_manifests(files)
-    return (
+    """(project, path, ecosystem, name, original, version, pos) of every manifest in a corpus.
+
+    The manifests, a small part of a corpus, are written once, so that three parsers and their
+    consumers do not read the corpus again.
+    """
+    manifests = durable(select_manifests(files).select("project", "path", "content", "kind"))
+    return durable(
         parse_requirements(manifests)
         .unionByName(parse_pyproject(manifests))
         .unionByName(parse_package_json(manifests))

@@ -127,6 +127,22 @@ def test_whole_logs_are_split_like_python(spark):
     assert [r.line for r in rows if r.line] == text.splitlines()
 
 
+def test_log_files_are_numbered_in_parallel(spark, tmp_path):
+    logs = {f"r{k}": random_log(20 + k, commits=40) for k in range(3)}
+    for name, lines in logs.items():
+        (tmp_path / f"{name}.log").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        log = cl.read_logs(spark, str(tmp_path))
+        assert log.rdd.getNumPartitions() > 6
+        rows = log.orderBy("repo", "seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {name: [r.line for r in rows if r.repo == name] for name in logs} == logs
+    assert len({(r.repo, r.seq) for r in rows}) == len(rows)
+
+
 def test_hot_repository_is_cut_into_blocks(spark):
     log = log_of(spark, {"r": random_log(3)})
     plan = cl.parse_commit_log(log, 16)._jdf.queryExecution().executedPlan().toString()

@@ -218,6 +218,14 @@ def test_gate_by_project(corpus):
     assert got["p"] == (False, False) and got["q"][0] and got["r"][0]
 
 
+def test_manifests_are_read_once(spark, tmp_path):
+    rows = [("p", "requirements.txt", "requets==1\nflask"), ("p", "web/package.json", '{"dependencies": {"lodahs": "*"}}'), ("q", "x.py", "x")]
+    spark.createDataFrame(rows, "project string, path string, content string").write.parquet(f"{tmp_path}/corpus")
+    found = audit_dependencies(spark.read.parquet(f"{tmp_path}/corpus"))
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted({r.package for r in found.collect()}) == ["lodahs", "requets"]
+
+
 def test_dependencies_of_a_corpus(corpus, spark):
     files = corpus({
         "requirements.txt": "Requests==2.0\nflask[async]>=1\n\n# x\n-e .\nhuggingface-cli\nrequests==3.0\na.b==1\nsp >= 1\nreqeusts",
