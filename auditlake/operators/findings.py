@@ -5,11 +5,13 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditlake.catalog.rules import ENTROPY_RULE, RULES, UNTRACKED_ENV_RULE, Rule
 from auditlake.functions import text as tx
 from auditlake.functions.dialect import to_jvm
+from auditlake.operators.durable import durable
 from auditlake.schema import FINDING_COLUMNS, FINDINGS, local_table
 
 _CATALOG = (
@@ -97,3 +99,20 @@ def order_by_emission(findings: DataFrame) -> DataFrame:
 
 def order_by_severity(findings: DataFrame) -> DataFrame:
     return findings.orderBy(F.col("severity_rank").desc(), *EMISSION_ORDER)
+
+
+def with_place(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """Adds each row's place, from 1, in the order the table is in.
+
+    The sort's partitions are in order, so a row's place is its number in the partition plus the
+    rows of the partitions before: a row per partition is summed, and no window holds all rows.
+    """
+    numbered = durable(ordered.withColumn("_number", F.monotonically_increasing_id()))
+    part = F.shiftright("_number", 33)
+    counts = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    before = counts.select("_part", (F.sum("n").over(W.orderBy("_part")) - F.col("n")).alias("_before"))
+    inside = F.col("_number").bitwiseAND((1 << 33) - 1)
+    return (
+        numbered.withColumn("_part", part).join(F.broadcast(before), "_part")
+        .select(*ordered.columns, (F.col("_before") + inside + 1).alias(name))
+    )

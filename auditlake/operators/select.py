@@ -92,13 +92,6 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     """
     old = before.select("project", "path", F.sha2(F.col("content"), 256).alias("old_digest"))
     new = after.select("project", "path", F.sha2(F.col("content"), 256).alias("new_digest"))
-    change = (
-        F.when(F.col("old_digest").isNull(), "added")
-        .when(F.col("new_digest").isNull(), "deleted")
-        .when(F.col("old_digest") != F.col("new_digest"), "modified")
-    )
-    return (
-        old.join(new, ["project", "path"], "full_outer")
-        .select("project", "path", change.alias("change"))
-        .filter(F.col("change").isin("added", "modified"))
-    )
+    change = F.when(F.col("old_digest").isNull(), "added").when(F.col("old_digest") != F.col("new_digest"), "modified")
+    joined = new.join(old, ["project", "path"], "left").select("project", "path", change.alias("change"))
+    return joined.filter(F.col("change").isNotNull())

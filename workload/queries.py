@@ -23,8 +23,10 @@ from auditlake.operators.findings import (
     enrich_cwe,
     enrich_fix_hint,
     min_severity,
+    order_by_emission,
     order_by_severity,
     rule_catalog,
+    with_place,
 )
 from auditlake.operators.select import (
     SCANNABLE_EXTENSIONS,
@@ -483,14 +485,17 @@ def rollup(spark, sf_dir):
 
 
 @query("order_by_severity", f"""WITH {_ALL_FOUND}
-SELECT {CORE_SQL}, row_number() OVER (PARTITION BY project, file_path ORDER BY severity_rank DESC, check_ord, rule_ord, line_number) AS place FROM found""")
+SELECT {CORE_SQL}, row_number() OVER (ORDER BY severity_rank DESC, project, file_path, check_ord, rule_ord, line_number) AS place FROM found""")
 def ordered(spark, sf_dir):
-    """Findings in report order with their place within the file."""
-    from pyspark.sql import Window as W
+    """Findings in report order, with the place that the sort gave them."""
+    return with_place(order_by_severity(all_findings(spark, sf_dir))).select(*CORE, "place")
 
-    found = order_by_severity(all_findings(spark, sf_dir))
-    place = F.row_number().over(W.partitionBy("project", "file_path").orderBy(F.col("severity_rank").desc(), "check_ord", "rule_ord", "line_number"))
-    return found.select(*CORE, place.cast("long").alias("place"))
+
+@query("order_by_emission", f"""WITH {_ALL_FOUND}
+SELECT {CORE_SQL}, row_number() OVER (ORDER BY project, file_path, check_ord, rule_ord, line_number) AS place FROM found""")
+def emitted(spark, sf_dir):
+    """Findings file by file, with the place that the sort gave them."""
+    return with_place(order_by_emission(all_findings(spark, sf_dir))).select(*CORE, "place")
 
 
 @query("scan_config", f"""WITH {co.CORPUS_SQL},
