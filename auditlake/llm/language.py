@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 
+from auditlake.llm.shared import small_batches
+
 #: Bounds of the training sample: languages, rows of each, characters of a row, characters of all languages together.
 LANGUAGES, SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 64, 64, 512, 1 << 17
 #: Letters with a class of their own; characters of a text that are parsed on their own.
@@ -178,6 +180,7 @@ def identify_languages(docs: DataFrame, *keep: Column) -> DataFrame:
     all texts where nothing could be learnt get ``und`` and 0. Rows that repeat get equal results;
     an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     samples = sample_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")))
     return docs.select(*keep, predict_language(F.col("text"), samples).alias("_found"))
 

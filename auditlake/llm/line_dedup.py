@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.shared import BROADCAST_ROWS, staged
+from auditlake.llm.shared import BROADCAST_ROWS, small_batches, staged
 from auditlake.operators.durable import durable
 
 #: Sites from which on a line is boilerplate, and words from which on a line is looked at.
@@ -85,6 +85,7 @@ def cut_text(text: str | None, flagged: set[tuple[int, int]], most_removed: floa
 def cut_in_place(docs: DataFrame, flagged: DataFrame, most_removed: float) -> DataFrame:
     """For few flagged lines, which every worker can hold: texts are cut where they are."""
     spark = docs.sparkSession
+    small_batches(spark)
     known = spark.sparkContext.broadcast([(r["k0"], r["k1"]) for r in flagged.select("k0", "k1").collect()])
     kind = pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())])
 

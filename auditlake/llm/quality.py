@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.shared import small_or_salted
+from auditlake.llm.shared import small_batches, small_or_salted
 from auditlake.operators.durable import durable
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -139,6 +139,7 @@ def verdict(counts: Column, bounds: Column) -> Column:
 
 def counted(docs: DataFrame, *keep: Column) -> DataFrame:
     """``keep``, and for each row its group and its counts."""
+    small_batches(docs.sparkSession)
     group = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return docs.select(*keep, group("lang").alias("_lang"), group("source").alias("_source"), text_counts(F.col("text")).alias("_counts"))
 

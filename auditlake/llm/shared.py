@@ -14,6 +14,8 @@ from auditlake.operators.durable import checkpoint_folder, durable
 
 #: A table may be sent to every executor up to this many rows of a few numbers.
 BROADCAST_ROWS = 500_000
+#: Texts in an Arrow batch.
+TEXT_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -28,6 +30,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold TEXT_ROWS rows at most: a batch of whole texts is held several times over, by the JVM and by its Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)
+
+
 def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[list[tuple]]], schema: pa.Schema) -> DataFrame:
     """``mapInArrow`` for a function that reads batches and gives lists of rows, over one partition at a time."""
 
@@ -37,6 +46,7 @@ def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[
                 columns = zip(zip(*rows, strict=True), schema.types, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], schema=schema)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, from_arrow_schema(schema))
 
 
