@@ -17,10 +17,10 @@ from auditlake.operators.durable import durable
 
 #: Growth of the size classes, and parts of a group (see ``Levels``).
 GROWTH, PARTS = 1.25, 3
-#: Documents whose group hashes are put together before the shuffle, and words remembered by a task.
-BATCH, WORDS = 4096, 2_000_000
+#: Group hashes that are put together before the shuffle, and words and sets that a task remembers.
+BATCH, WORDS = 600_000, 300_000
 #: Counts of a document's point, points and shingles of a tile, and entries of a tree node.
-COUNTS, TILE_POINTS, TILE, FANOUT = 128, 8192, 2_000_000, 32
+COUNTS, TILE_POINTS, TILE, FANOUT = 512, 8192, 2_000_000, 32
 
 PACKED = pa.schema(
     [("bucket", pa.int32()), ("kind", pa.int32()), ("left", pa.binary()), ("right", pa.binary())]
@@ -209,7 +209,9 @@ def hash_documents(batches: Iterator[pa.RecordBatch], n: int, percent: int, buck
         a, b = distinct_pairs(a, b)
         bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        rows = [(k, HASHES, hashes[i:j].tobytes(), nodes[i:j].tobytes(), None, None, None, None) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
+        # the upper half of a hash says the bucket; the lower half tells hashes of a bucket apart well enough for candidates
+        low = hashes.astype(np.uint32)
+        rows = [(k, HASHES, low[i:j].tobytes(), nodes[i:j].tobytes(), None, None, None, None) for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
         spread = max(1, -(-len(a) // buckets))
         rows += [(k, EDGES, a[i : i + spread].tobytes(), b[i : i + spread].tobytes(), None, None, None, None) for k, i in enumerate(range(0, len(a), spread))]
         return rows
@@ -226,10 +228,10 @@ def hash_documents(batches: Iterator[pa.RecordBatch], n: int, percent: int, buck
         kept.append((hashes[mine], nodes[rows[mine]]))
         some = [None if s == 0 else x for x, s in zip(nodes.tolist(), sizes.tolist(), strict=True)]
         keys, text_hash = part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist()
-        points = [c.tobytes() if x else None for c, x in zip(group_counts(h, starts).astype(np.uint32), new.tolist(), strict=True)]
+        points = [c.astype(np.uint8 if c.max() < 256 else np.uint32).tobytes() if x else None for c, x in zip(group_counts(h, starts), new.tolist(), strict=True)]
         yield [((count + k) % buckets, DOCUMENT, p, None, *r) for k, (p, *r) in enumerate(zip(points, keys, some, sizes.tolist(), text_hash, strict=True))]
         count += len(texts)
-        if sum(len(k[0]) for k in kept) > BATCH * 300:
+        if sum(len(k[0]) for k in kept) > BATCH:
             yield packed()
             kept = []
     if kept:
@@ -240,7 +242,7 @@ def join_bucket(group: pa.Table) -> pa.Table:
     """Documents as they are, and edges between nodes that share a group hash: those of the rows, and those found here."""
     kinds = group.column("kind").to_numpy()
     read = lambda name, kind, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(x, t) for x in group.column(name).filter(pa.array(kinds == kind)).to_pylist())])
-    _, _, a, b = stars(read("left", HASHES, np.uint64), read("right", HASHES, np.int64))
+    _, _, a, b = stars(read("left", HASHES, np.uint32), read("right", HASHES, np.int64))
     a, b = distinct_pairs(np.concatenate([a, read("left", EDGES, np.int64)]), np.concatenate([b, read("right", EDGES, np.int64)]))
     docs = group.filter(pa.array(kinds == DOCUMENT))
     none = lambda k: pa.nulls(k, pa.int64())
@@ -294,7 +296,8 @@ def spanning_links(counts: np.ndarray, sizes: np.ndarray, sides: np.ndarray, per
     bound of the tree and that ``confirm`` (place, places) confirms. Points nearest to the middle come
     first, as the text that others were copied from tends to be there and its links leave little to do.
     """
-    middle = np.abs(counts - np.median(counts, axis=0)).sum(axis=1)
+    counts = counts.astype(np.int32)
+    middle = np.abs(counts - np.median(counts, axis=0).astype(np.int32)).sum(axis=1)
     both = sides[0] == 2
     points = np.arange(len(counts)) if both else np.flatnonzero(sides == 1)
     tree = CountTree(counts[points], sizes[points])
@@ -325,8 +328,8 @@ def spanning_links(counts: np.ndarray, sizes: np.ndarray, sides: np.ndarray, per
 
 def linked_points(counts: list[bytes], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Spanning links by the bound alone."""
-    points = np.stack([np.frombuffer(c, np.uint32) for c in counts]).astype(np.int64)
-    return spanning_links(points, points.sum(axis=1), sides, percent)
+    points = np.stack([np.frombuffer(c, np.uint8 if len(c) == COUNTS else np.uint32) for c in counts])
+    return spanning_links(points, points.sum(axis=1, dtype=np.int64), sides, percent)
 
 
 def linked_sets(hashes: list[bytes], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
