@@ -6,6 +6,7 @@ import json
 import os
 import re
 from array import array
+from functools import cached_property
 
 #: Pieces and characters that one encoder remembers before it starts anew.
 PIECES, CHARS = 400_000, 16_000_000
@@ -37,13 +38,19 @@ class ByteEncoder:
     LONG = re.compile(r"\S{1000}|\s{1000}")
 
     def __init__(self, path: str, special: bool = True):
-        self.tokenizer = load(path)
-        self.tokenizer.encode_special_tokens = not special
+        self.path, self.keep_special = path, special
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
         self.special = [t["content"] for t in parts["added_tokens"] if special]
         self.fast = self.by_rank(parts)
 
+    @cached_property
+    def tokenizer(self):
+        """The library's own, which takes memory and is seldom needed."""
+        tokenizer = load(self.path)
+        tokenizer.encode_special_tokens = not self.keep_special
+        return tokenizer
+
     @staticmethod
     def by_rank(parts: dict):
         model, splits = parts["model"], parts["pre_tokenizer"] or {}
