@@ -6,7 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.shared import BROADCAST_ROWS, small_batches, staged
+from auditlake.llm.shared import BROADCAST_ROWS, small_batches, small_or_salted, staged
+from auditlake.llm.shingle_join import link_documents
 from auditlake.operators.durable import durable
 
 #: Sites from which on a line is boilerplate, and words from which on a line is looked at.
@@ -15,6 +16,8 @@ LEAST_SITES, LEAST_WORDS = 5, 3
 DEVIATION, BAND = 0.1, 4.0
 #: Part of a document's characters; where more would go, the document is a copy and not one with boilerplate.
 MOST_REMOVED = 0.5
+#: Part of a document's characters from which on it is looked at whether it is a copy; near copies of documents over MOST_REMOVED are well above it.
+COPY_PART = 0.25
 
 SPACES = " \t\x0b\x0c\r"
 SALTS = ("line", "line again")
@@ -57,10 +60,14 @@ def spread_lines(docs: DataFrame, least_sites: int = LEAST_SITES, deviation: flo
     )
     sure = F.col("estimate") > least_sites * (1 + margin)
     near = sketched.where(~sure).select("k0", "k1")
-    few = near.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    counted = pairs.join(F.broadcast(near) if few else near.hint("merge"), ["k0", "k1"], "left_semi").groupBy("k0", "k1", "site").agg(F.lit(1).alias("one"))
-    exact = counted.groupBy("k0", "k1").agg(F.count("*").alias("sites")).where(F.col("sites") >= least_sites)
-    return durable(sketched.where(sure).select("k0", "k1", F.col("estimate").alias("sites")).unionByName(exact))
+    return durable(sketched.where(sure).select("k0", "k1", F.col("estimate").alias("sites")).unionByName(count_sites(pairs, near, least_sites)))
+
+
+def count_sites(pairs: DataFrame, some: DataFrame, least_sites: int) -> DataFrame:
+    """Those of some written lines (k0, k1) that stand on at least ``least_sites`` sites of ``pairs``, counted exactly."""
+    few = some.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    counted = pairs.join(F.broadcast(some) if few else some.hint("merge"), ["k0", "k1"], "left_semi").groupBy("k0", "k1", "site").agg(F.lit(1).alias("one"))
+    return counted.groupBy("k0", "k1").agg(F.count("*").alias("sites")).where(F.col("sites") >= least_sites)
 
 
 def cut_text(text: str | None, flagged: set[tuple[int, int]], most_removed: float) -> tuple[str | None, int, int]:
@@ -129,12 +136,45 @@ def remove_boilerplate(docs: DataFrame, least_sites: int = LEAST_SITES, most_rem
     Null text stays null with no lines; null sources are one site; rows that repeat are cut alike;
     an empty table gives no rows.
     """
-    flagged = spread_lines(docs.select("text", "source"), least_sites)
+    return cut_lines(docs, spread_lines(docs.select("text", "source"), least_sites), most_removed, in_place)
+
+
+def cut_lines(docs: DataFrame, flagged: DataFrame, most_removed: float, in_place: int = BROADCAST_ROWS) -> DataFrame:
     few = flagged.limit(in_place + 1).count() <= in_place
     return (cut_in_place if few else cut_by_join)(docs, flagged, most_removed)
 
 
+def copies_as_one_site(docs: DataFrame, flagged: DataFrame, n: int, percent: int, in_place: int) -> DataFrame:
+    """(text, source) of ``docs``, where near copies that flagged lines make up a good part of have the smallest source of their group."""
+    own = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
+    cut = cut_lines(own, flagged, 1.0, in_place)
+    chars = lambda text, n_lines: F.length(text) - F.greatest(n_lines - 1, F.lit(0))
+    all_, kept = chars(F.col("_doc.text"), F.col("_cut.n_lines")), chars(F.col("_cut.text"), F.col("_cut.n_lines") - F.col("_cut.n_removed"))
+    rich = staged(cut.where(all_ - kept > F.lit(COPY_PART) * all_).select("_doc.*"), "line-rich")
+    if rich.isEmpty():
+        return own.select("text", "source")
+    groups = durable(link_documents(rich, n, percent).where("component is not null").select("text_hash", "component").distinct())
+    sites = rich.groupBy(F.xxhash64("text").alias("text_hash")).agg(F.min("source").alias("source")).join(groups, "text_hash")
+    site = sites.groupBy("component").agg(F.min("source").alias("site"))
+    known = durable(groups.join(site, "component").select("text_hash", "site"))
+    placed = small_or_salted(own.withColumn("text_hash", F.xxhash64("text")), known, ["text_hash"], "left")
+    return placed.select("text", F.coalesce("site", "source").alias("source"))
+
+
+def remove_all_boilerplate(docs: DataFrame, least_sites: int = LEAST_SITES, n: int = 5, percent: int = 80, in_place: int = BROADCAST_ROWS) -> DataFrame:
+    """``remove_boilerplate`` that spares no document: flagged lines go whatever part of a text they are.
+
+    What is copied is told from boilerplate by what makes it a copy: documents that flagged lines make
+    up more than COPY_PART of are linked by their ``n``-word shingles (``percent`` of the union), and a
+    group of near copies counts as one site. So lines that are on many sites only because their text
+    is stay, and lines that are in many different texts go from the copies too.
+    """
+    flagged = spread_lines(docs.select("text", "source"), least_sites)
+    spread = count_sites(site_lines(copies_as_one_site(docs, flagged, n, percent, in_place)), flagged.select("k0", "k1"), least_sites)
+    return cut_lines(docs, durable(spread), 1.0, in_place)
+
+
 def without_boilerplate(docs: DataFrame) -> DataFrame:
     """``docs`` with cut texts, all rows and columns."""
-    cut = remove_boilerplate(docs)
+    cut = remove_all_boilerplate(docs)
     return cut.select(*[F.col("_cut.text").alias(c) if c == "text" else F.col(f"_doc.`{c}`") for c in docs.columns])

@@ -204,6 +204,35 @@ def test_line_removal(spark, in_place):
     assert line_dedup.remove_boilerplate(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("in_place", [0, 1000])
+def test_line_removal_spares_copies_only(spark, in_place):
+    rnd = random.Random(9)
+    words = lambda k: " ".join(rnd.choice("abcdefghijklmnop") + str(rnd.randrange(500)) for _ in range(k))
+    menu = [f"menu {k} " + words(12) for k in range(6)]
+    own = [words(40) for _ in range(20)]
+    rows = [(k, "\n".join([own[k], *rnd.sample(menu, 5)]), f"s{k}") for k in range(20)]  # mostly menu, no copies
+    article = [words(15) for _ in range(8)]
+    rows += [(100 + k, "\n".join([*article, menu[0]]), f"s{k}") for k in range(9)]  # copies, with a line of the menu
+    rows += [(200 + k, "\n".join([words(3), *article]), f"t{k}") for k in range(9)]  # near copies
+    rows += [(300, None, "a"), (301, "", "b"), (302, "\n".join(menu), None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, _doc string").repartition(3)
+    got = {r["doc_id"]: r for r in line_dedup.remove_all_boilerplate(docs, in_place=in_place).select("_doc.doc_id", "_cut.*").collect()}
+    assert len(got) == len(rows)
+    for k, text, _ in rows:
+        left = None if text is None else "\n".join(x for x in text.split("\n") if x not in menu)
+        assert got[k]["text"] == left and got[k]["n_removed"] == sum(x in menu for x in (text or "").split("\n"))
+    assert line_dedup.without_boilerplate(docs.limit(0)).count() == 0
+
+
+def test_line_removal_of_the_pipeline(spark):
+    menu = [f"menu {k} of all these many sites" for k in range(6)]
+    rows = [(k, "\n".join([f"own {k} words", *menu]), f"s{k}") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert line_dedup.without_boilerplate(docs.limit(4)).where("text not like '%menu%'").count() == 0
+    varied = docs.withColumn("text", F.concat(F.repeat(F.concat(F.col("source"), F.lit(" x ")), 40), F.lit("\n"), F.substring_index("text", "\n", -6), F.repeat(F.lit("\nmenu 0 of all these many sites"), 50)))
+    assert [r["text"].count("menu") for r in line_dedup.without_boilerplate(varied).collect()] == [0] * 5
+
+
 def test_sketches_only_decide_far_from_the_threshold(spark):
     rows = [(k, f"a line on {n} sites", f"s{k}") for n in (5, 18, 19, 20, 21, 400) for k in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
