@@ -41,6 +41,10 @@ def sample_texts(docs: DataFrame, languages: int = LANGUAGES, rows: int = SAMPLE
     return {r["lang"]: r["text"][: chars // len(names)] for r in sorted(parts.collect(), key=lambda r: r["lang"])}
 
 
+def learnt_samples(docs: DataFrame) -> dict[str, str]:
+    return sample_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")))
+
+
 class Classes:
     """Texts as arrays of classes: 0 for what is no letter (runs count once), 1 for rare letters, and one for each other letter."""
 
@@ -157,6 +161,12 @@ class CrossParser:
             out.append((self.names[order[0]], 1.0 if len(p) == 1 else float(1 - p[order[0]] / p[order[1]])))
         return out
 
+    def tell(self, texts: list[str | None]) -> list[bool]:
+        """Whether texts have a letter and, if more than one character, a phrase of more than one in some language."""
+        classes = [self.classes.of(t or "") for t in texts]
+        phrases = self.phrases(classes)
+        return [bool(c.any()) and (not len(p) or len(c) == 1 or int(p.min()) < len(c)) for c, p in zip(classes, phrases, strict=True)]
+
 
 def predict_language(text: Column, samples: dict[str, str]) -> Column:
     """Struct of lang_pred and score for a text column; score is by how much the best language needs fewer phrases than the next."""
@@ -181,11 +191,22 @@ def identify_languages(docs: DataFrame, *keep: Column) -> DataFrame:
     an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    samples = sample_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")))
-    return docs.select(*keep, predict_language(F.col("text"), samples).alias("_found"))
+    return docs.select(*keep, predict_language(F.col("text"), learnt_samples(docs)).alias("_found"))
+
+
+def filter_language(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose language can be told, with all their columns.
+
+    Texts go that have no letter (nulls too), or of which no two neighbours are in any language's
+    sample (``CrossParser.tell``). Languages that are close to each other, or labels of equal ones,
+    take no document out, and where nothing could be learnt all texts with a letter stay.
+    """
+    small_batches(docs.sparkSession)
+    samples = learnt_samples(docs)
 
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        parser = CrossParser(samples)
+        for texts in batches:
+            yield pa.array([t for at in range(0, len(texts), 256) for t in parser.tell(texts.slice(at, 256).to_pylist())], pa.bool_())
 
-def filter_language(docs: DataFrame, least_score: float = 0.01) -> DataFrame:
-    """Rows of ``docs`` whose language was found with at least ``least_score``, with all their columns."""
-    found = identify_languages(docs, F.struct("*").alias("_doc"))
-    return found.where((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= least_score)).select("_doc.*")
+    return docs.where(F.arrow_udf(work, "boolean", ArrowUDFType.SCALAR_ITER)(F.col("text").cast("string")))

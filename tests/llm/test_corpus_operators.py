@@ -149,6 +149,15 @@ def test_language_of_odd_rows(spark):
     assert language.identify_languages(docs.limit(0), F.col("doc_id")).count() == 0
 
 
+def test_language_filter_keeps_close_languages(spark):
+    rnd = random.Random(12)
+    rows = [(k, good(rnd, 60), rnd.choice(["en", "en-GB"])) for k in range(60)] + [(100, "a", None), (101, "12 !!", "en"), (102, None, "en"), (103, "漢字 漢字", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    assert sorted(r["doc_id"] for r in language.filter_language(docs).collect()) == [*range(60), 100]
+    nothing = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(r["doc_id"] for r in language.filter_language(nothing).collect()) == [*range(60), 100, 103]
+
+
 def shingles(text, n):
     words = [w.lower() if w.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(text or "")]
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else ({tuple(words)} if words else set())
