@@ -13,8 +13,10 @@ from pyspark.sql.functions import ArrowUDFType
 
 from auditlake.llm.shared import small_batches
 
-#: Bounds of the training sample: languages, rows of each, characters of a row, characters of all languages together.
-LANGUAGES, SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 64, 64, 512, 1 << 17
+#: Bounds of the training sample of a language: rows, characters of a row, characters of all rows together.
+SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 64, 512, 1 << 15
+#: Languages whose automata are in memory at once.
+TOGETHER = 4
 #: Letters with a class of their own; characters of a text that are parsed on their own.
 LETTERS, PARSED = 200, 1024
 
@@ -23,22 +25,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def sample_texts(docs: DataFrame, languages: int = LANGUAGES, rows: int = SAMPLE_ROWS, row_chars: int = ROW_CHARS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Up to ``rows`` labelled texts of each language, those with the lowest hashes of text and id, cut to ``row_chars`` each.
+def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, row_chars: int = ROW_CHARS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
+    """Up to ``rows`` labelled texts of every language, those with the lowest hashes of text and id, cut to ``row_chars`` each and ``chars`` in all.
 
-    Held-out rows and rows without text or language are not learnt from. Of more than ``languages``
-    values the most frequent are learnt (ties: by name); every language gets an equal part of ``chars``.
+    Held-out rows and rows without text or language are not learnt from.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     place = Window.partitionBy("lang").orderBy(F.xxhash64("text", "doc_id"), "doc_id")
-    drawn = (
-        known.where(F.col("lang").isin(names))
-        .select("lang", F.row_number().over(place).alias("n"), F.substring("text", 1, row_chars).alias("part"))
-        .where(F.col("n") <= rows)
-    )
+    drawn = known.select("lang", F.row_number().over(place).alias("n"), F.substring("text", 1, row_chars).alias("part")).where(F.col("n") <= rows)
     parts = drawn.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]), "\n").alias("text"))
-    return {r["lang"]: r["text"][: chars // len(names)] for r in sorted(parts.collect(), key=lambda r: r["lang"])}
+    return {r["lang"]: r["text"] for r in sorted(parts.select("lang", F.substring("text", 1, chars).alias("text")).collect(), key=lambda r: r["lang"])}
 
 
 def learnt_samples(docs: DataFrame) -> dict[str, str]:
@@ -67,7 +63,7 @@ class Classes:
 
 
 def automaton(text: list[int], classes: int) -> np.ndarray:
-    """Suffix automaton of a sequence: next state by state and class, 0 (the root's own number) where no phrase goes on."""
+    """Suffix automaton of a sequence: its number of states, then the state * ``classes`` + class of every step, then where each leads."""
     follow, link, length, last = [{}], [-1], [0], 0
     for c in text:
         state = len(follow)
@@ -92,11 +88,8 @@ def automaton(text: list[int], classes: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[state] = clone
         last = state
-    table = np.zeros((len(follow), classes), np.int32)
-    for s, out in enumerate(follow):
-        for c, t in out.items():
-            table[s, c] = t
-    return table
+    at = [s * classes + c for s, out in enumerate(follow) for c in out]
+    return np.array([len(follow), *at, *(t for out in follow for t in out.values())], np.int32)
 
 
 class CrossParser:
@@ -107,24 +100,24 @@ class CrossParser:
     ``PARSED`` characters side by side, one array step per character; a stretch begins a new phrase.
     """
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, str], automata: list[np.ndarray] | None = None):
         self.names = list(samples)
         self.classes = Classes(list(samples.values()))
         width, steps, roots, sizes, base = self.classes.count, [], [], [], 0
-        for text in samples.values():
-            known = self.classes.of(text)
-            table = automaton([c for c in known.tolist() if c != 1], width)
-            root = table[0]
-            missing = table == 0
+        known = [self.classes.of(text) for text in samples.values()]
+        self.automata = automata or [automaton([c for c in k.tolist() if c != 1], width) for k in known]
+        for k, found in zip(known, self.automata, strict=True):
+            states, (at, to) = int(found[0]), found[1:].reshape(2, -1)
             # a walk that can't go on starts a phrase with the character at hand; at the root every character does
-            goes = np.where(missing, root, table) + base
-            begins = missing.copy()
-            begins[0] = True
-            steps.append((goes.astype(np.int64) * width << 1 | begins).astype(np.int32))
+            root = np.zeros(width, np.int32)
+            root[at[at < width]] = to[at < width]
+            step = np.tile((root + base) * width << 1 | 1, states)
+            step[at] = (to + base) * width << 1 | (at < width)
+            steps.append(step)
             roots.append(base * width)
-            sizes.append(max(2, len(known)))
-            base += len(table)
-        self.step = np.concatenate(steps).ravel() if steps else np.zeros(0, np.int32)
+            sizes.append(max(2, len(k)))
+            base += states
+        self.step = np.concatenate(steps) if steps else np.zeros(0, np.int32)
         self.roots, self.bits = np.array(roots, np.int32), np.log2(np.array(sizes, float))
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -149,23 +142,62 @@ class CrossParser:
         np.add.at(found, np.array([k for k, _ in lanes]), counts.T)
         return found
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        classes = [self.classes.of(t or "") for t in texts]
-        phrases = self.phrases(classes) * self.bits
+
+class Parsers:
+    """Cross-parsing by any number of languages, TOGETHER at a time; the automata of the others wait in a temporary file, a few hundred KB each."""
+
+    def __init__(self, samples: dict[str, str]):
+        self.names = list(samples)
+        self.parts = [{k: samples[k] for k in self.names[at : at + TOGETHER]} for at in range(0, len(self.names), TOGETHER)]
+        self.only = CrossParser(samples) if len(self.parts) < 2 else None
+        if self.only is None:
+            import tempfile
+
+            self.file, self.lengths = tempfile.TemporaryFile(), []
+            for part in self.parts:
+                automata = CrossParser(part).automata
+                self.lengths.append([len(x) for x in automata])
+                for x in automata:
+                    self.file.write(x.tobytes())
+
+    def parsers(self) -> Iterator[CrossParser]:
+        if self.only is not None:
+            yield self.only
+            return
+        self.file.seek(0)
+        for part, lengths in zip(self.parts, self.lengths, strict=True):
+            yield CrossParser(part, [np.frombuffer(self.file.read(4 * n), np.int32) for n in lengths])
+
+    def found(self, texts: pa.Array) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
+        """For each text its characters, whether it has a letter, and its phrases by language, plain and normalised."""
+        sizes, letters, phrases, bits = [], [], [], []
+        for parser in self.parsers():
+            sizes, letters, counts = [], [], []
+            for at in range(0, len(texts), 256):
+                classes = [parser.classes.of(t or "") for t in texts.slice(at, 256).to_pylist()]
+                counts.append(parser.phrases(classes))
+                sizes += map(len, classes)
+                letters += [bool(c.any()) for c in classes]
+            if counts:
+                phrases.append(np.concatenate(counts))
+                bits.append(parser.bits)
+        if sizes:
+            plain = np.concatenate(phrases, axis=1)
+            yield from zip(sizes, letters, plain, plain * np.concatenate(bits), strict=True)
+
+    def predict(self, texts: pa.Array) -> list[tuple[str, float]]:
         out = []
-        for c, p in zip(classes, phrases, strict=True):
-            if not len(p) or not c.any():
+        for _, letter, _, p in self.found(texts):
+            if not len(p) or not letter:
                 out.append(("und", 0.0))
                 continue
             order = np.argsort(p, kind="stable")
             out.append((self.names[order[0]], 1.0 if len(p) == 1 else float(1 - p[order[0]] / p[order[1]])))
         return out
 
-    def tell(self, texts: list[str | None]) -> list[bool]:
+    def tell(self, texts: pa.Array) -> list[bool]:
         """Whether texts have a letter and, if more than one character, a phrase of more than one in some language."""
-        classes = [self.classes.of(t or "") for t in texts]
-        phrases = self.phrases(classes)
-        return [bool(c.any()) and (not len(p) or len(c) == 1 or int(p.min()) < len(c)) for c, p in zip(classes, phrases, strict=True)]
+        return [letter and (not len(p) or size == 1 or int(p.min()) < size) for size, letter, p, _ in self.found(texts)]
 
 
 def predict_language(text: Column, samples: dict[str, str]) -> Column:
@@ -173,10 +205,9 @@ def predict_language(text: Column, samples: dict[str, str]) -> Column:
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        parser = CrossParser(samples)
+        parser = Parsers(samples)
         for texts in batches:
-            rows = [r for at in range(0, len(texts), 256) for r in parser.predict(texts.slice(at, 256).to_pylist())]
-            yield pa.array([{"lang_pred": a, "score": b} for a, b in rows], kind)
+            yield pa.array([{"lang_pred": a, "score": b} for a, b in parser.predict(texts)], kind)
 
     return F.arrow_udf(work, "struct<lang_pred: string, score: double>", ArrowUDFType.SCALAR_ITER)(text.cast("string"))
 
@@ -198,15 +229,15 @@ def filter_language(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose language can be told, with all their columns.
 
     Texts go that have no letter (nulls too), or of which no two neighbours are in any language's
-    sample (``CrossParser.tell``). Languages that are close to each other, or labels of equal ones,
+    sample (``Parsers.tell``). Languages that are close to each other, or labels of equal ones,
     take no document out, and where nothing could be learnt all texts with a letter stay.
     """
     small_batches(docs.sparkSession)
     samples = learnt_samples(docs)
 
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        parser = CrossParser(samples)
+        parser = Parsers(samples)
         for texts in batches:
-            yield pa.array([t for at in range(0, len(texts), 256) for t in parser.tell(texts.slice(at, 256).to_pylist())], pa.bool_())
+            yield pa.array(parser.tell(texts), pa.bool_())
 
     return docs.where(F.arrow_udf(work, "boolean", ArrowUDFType.SCALAR_ITER)(F.col("text").cast("string")))

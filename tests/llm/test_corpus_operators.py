@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -149,6 +150,37 @@ def test_language_of_odd_rows(spark):
     assert language.identify_languages(docs.limit(0), F.col("doc_id")).count() == 0
 
 
+def test_every_language_is_learnt(spark):
+    rnd = random.Random(13)
+    vocab = {f"l{k:02}": ["".join(rnd.choice("abcdefghijklmno") for _ in range(rnd.randint(3, 7))) for _ in range(30)] for k in range(70)}
+    text = lambda name: " ".join(rnd.choice(vocab[name]) for _ in range(60))
+    names = [n for k, n in enumerate(vocab) for _ in range(8 if k < 64 else 6)]
+    rows = [(k, text(n), n) for k, n in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    got = language.identify_languages(docs, F.col("lang"), language.held_out(F.col("doc_id")).alias("held")).select("*", "_found.lang_pred").collect()
+    assert {r["lang"] for r in got if r["held"]} > {f"l{k}" for k in range(64, 70)}
+    assert all(r["lang"] == r["lang_pred"] for r in got)
+
+
+def test_sample_of_a_language_does_not_depend_on_others(spark):
+    rnd = random.Random(14)
+    docs = spark.createDataFrame([(k, good(rnd, 120), f"l{k % 6}") for k in range(600)], "doc_id long, text string, lang string")
+    alone = language.sample_texts(docs.where("lang = 'l3'"))
+    assert language.sample_texts(docs)["l3"] == alone["l3"] and len(alone["l3"]) > 30_000
+
+
+def test_languages_in_parts_same_as_together(monkeypatch):
+    rnd = random.Random(15)
+    samples = {f"l{k}": "".join(rnd.choice("abcdefghij "[k % 5 :]) for _ in range(400)) for k in range(7)}
+    texts = pa.array([None, "", "12", "x", *("".join(rnd.choice("abcdefghijxyz, ") for _ in range(rnd.randint(0, 90))) for _ in range(600))])
+    monkeypatch.setattr(language, "TOGETHER", 100)
+    want = language.Parsers(samples)
+    monkeypatch.setattr(language, "TOGETHER", 3)
+    got = language.Parsers(samples)
+    for _ in range(2):
+        assert got.predict(texts) == want.predict(texts) and got.tell(texts) == want.tell(texts)
+
+
 def test_language_filter_keeps_close_languages(spark):
     rnd = random.Random(12)
     rows = [(k, good(rnd, 60), rnd.choice(["en", "en-GB"])) for k in range(60)] + [(100, "a", None), (101, "12 !!", "en"), (102, None, "en"), (103, "漢字 漢字", None)]
