@@ -19,8 +19,10 @@ from auditlake.operators.durable import durable
 DICTIONARY_MAGIC = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-#: Records that train the dictionary, bytes of each that it sees, and its size.
+#: Records that train the dictionary, bytes of the stretch of each that it sees, and its size.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 16 << 10, 64 << 10
+#: With fewer records or bytes than these, training may fail.
+LEAST_RECORDS, LEAST_BYTES = 8, 4096
 #: A new archive is begun once one has so many bytes.
 ARCHIVE_BYTES = 32 << 20
 
@@ -48,15 +50,24 @@ def record_types(pages: DataFrame, least_bytes: int) -> DataFrame:
 
 
 def train(rows: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from at most ``sample`` records, those with the lowest hashes of their payload; empty if they are too few."""
+    """A dictionary from at most ``sample`` records, those with the lowest hashes of their payload; empty if they are too few to train on.
+
+    Of a payload longer than ``sample_bytes`` a stretch of that length is seen, which begins where
+    another hash of the payload says. Training that fails on enough records stops the job.
+    """
     import zstandard
 
-    drawn = rows.where("bytes > 0 and to_row is null").select(F.xxhash64("digest").alias("h"), "row", F.substring("payload", 1, sample_bytes).alias("p"))
+    begin = F.pmod(F.xxhash64("digest", F.lit("stretch")), F.greatest(F.col("bytes") - sample_bytes + 1, F.lit(1)))
+    stretch = F.substring("payload", (begin + 1).cast("int"), F.lit(sample_bytes))
+    drawn = rows.where("bytes > 0 and to_row is null").select(F.xxhash64("digest").alias("h"), "row", stretch.alias("p"))
     parts = [bytes(r["p"]) for r in drawn.orderBy("h", "row").limit(sample).collect()]
+    total = sum(map(len, parts))
     try:
-        return zstandard.train_dictionary(min(size, max(256, sum(map(len, parts)) // 8)), parts).as_bytes()
+        return zstandard.train_dictionary(min(size, max(256, total // 8)), parts).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        if len(parts) < LEAST_RECORDS or total < LEAST_BYTES:
+            return b""
+        raise
 
 
 def record_id(page_id: int | None, row: int) -> str:

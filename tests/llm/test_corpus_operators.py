@@ -337,6 +337,22 @@ def test_archives(spark):
             assert head.startswith(b"WARC/1.1\r\nWARC-Type: " + r["record_type"].encode()) and r["record_id"].encode() in head
 
 
+def test_dictionary_sees_all_parts_of_long_pages(spark, monkeypatch):
+    rnd = random.Random(16)
+    foot = good(rnd, 300)
+    pages = spark.createDataFrame([(k, "u", good(rnd, 900) + foot) for k in range(60)], "page_id long, url string, html string")
+    rows = warc.record_types(pages, 100)
+    assert any(foot[at : at + 40].encode() in warc.train(rows, sample_bytes=2000) for at in range(len(foot) - 40))
+
+    def fail(*_):
+        raise zstandard.ZstdError("no")
+
+    monkeypatch.setattr(zstandard, "train_dictionary", fail)
+    with pytest.raises(zstandard.ZstdError):
+        warc.train(rows)
+    assert warc.train(rows.limit(3)) == b""
+
+
 def test_archives_of_few_pages(spark):
     pages = spark.createDataFrame([(1, "u", "one"), (2, None, None)], "page_id long, url string, html string")
     assert sorted((r["page_id"], bytes(r["payload"])) for r in warc.archive_pages(pages).collect()) == [(1, b"one"), (2, b"")]
