@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.embeddings import near_vectors
+from auditlake.llm.filter_audit import audit_filters
 from auditlake.llm.language import held_out, identify_languages
 from auditlake.llm.line_dedup import remove_boilerplate
 from auditlake.llm.packing import pack_documents
@@ -217,3 +218,35 @@ def op3_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op6_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return link_documents(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query(
+    r"""
+    WITH w AS (
+        SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+    ), m AS (
+        SELECT w.doc_id, part, [
+            len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words),
+            100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'),
+            coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false)] AS fails, coalesce(good, false) AS good, coalesce(bad, false) AS toxic
+        FROM w LEFT JOIN (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS bad FROM labels GROUP BY doc_id) l ON l.doc_id = w.doc_id
+    ), g AS (SELECT part, fails, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+    l(c, i) AS (VALUES ('A', 1), ('B', 2), ('C', 3), ('D', 4), ('E', 5)), o AS (
+        SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS idx FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+    ), s AS (
+        SELECT filter_order, step, idx[step] AS own, idx[1 : step - 1] AS before FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM o)
+    ), x AS (
+        SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS failed, len(list_filter(before, lambda f: fails[f])) > 0 AS gone, len(list_filter(fails, lambda f: f)) = 1 AS single
+        FROM g, s
+    ), c AS (
+        SELECT part, filter_order, step, own,
+            coalesce(sum(n) FILTER (WHERE NOT gone AND NOT failed), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE failed AND NOT gone), 0)::BIGINT AS removed,
+            coalesce(sum(n) FILTER (WHERE failed AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE failed AND single), 0)::BIGINT AS unique_fails,
+            coalesce(sum(n) FILTER (WHERE failed AND NOT gone AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (WHERE failed AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost
+        FROM x GROUP BY ALL
+    )
+    SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM c
+    """
+)
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
