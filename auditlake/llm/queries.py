@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.llm.alignment import align_documents
 from auditlake.llm.embeddings import near_vectors
 from auditlake.llm.filter_audit import audit_filters
 from auditlake.llm.language import held_out, identify_languages
@@ -250,3 +251,9 @@ def op6_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = align_documents(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+    return aligned.withColumnRenamed("groups", "groups_sha256")
