@@ -17,6 +17,7 @@ from auditlake.llm.quality import judge_quality
 from auditlake.llm.separators import document_tokens
 from auditlake.llm.sharding import shard_documents
 from auditlake.llm.shingle_join import link_documents
+from auditlake.llm.suffix_dedup import remove_repeats
 from auditlake.llm.tree_bpe import encode_documents
 from auditlake.llm.warc import archive_pages
 
@@ -253,6 +254,39 @@ def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query(
+    r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    c AS (
+        SELECT doc_id, base, substr(h, (2 * base + 1)::BIGINT, 4198) AS piece
+        FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0), 2000)) AS base FROM d)
+    ), w AS (
+        SELECT doc_id, base + i AS start, hash(substr(piece, (2 * i + 1)::BIGINT, 200)) AS k, substr(piece, (2 * i + 1)::BIGINT, 200) AS s
+        FROM (SELECT doc_id, base, piece, unnest(range(0, least(length(piece) // 2 - 99, 2000))) AS i FROM c)
+    ), m AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+    f AS (
+        SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY s ORDER BY doc_id, start) AS n FROM w SEMI JOIN m USING (k)) WHERE n > 1
+    ), r AS (
+        SELECT doc_id, start, sum(CASE WHEN start <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start) AS run
+        FROM (SELECT *, lag(start, 1, -1000) OVER (PARTITION BY doc_id ORDER BY start) AS before FROM f)
+    ), g AS (SELECT doc_id, run, min(start) AS begin, max(start) + 100 AS stop FROM r GROUP BY doc_id, run),
+    e AS (
+        SELECT doc_id, begin, stop, lag(stop, 1, 0) OVER (PARTITION BY doc_id ORDER BY begin) AS kept_from FROM g
+    ), k AS (
+        SELECT e.doc_id, count(*) AS n_spans, sum(stop - begin)::BIGINT AS n_removed,
+            string_agg(substr(h, 2 * kept_from + 1, 2 * (begin - kept_from)), '' ORDER BY begin) || substr(any_value(h), 2 * max(stop) + 1) AS kept
+        FROM e JOIN d USING (doc_id) GROUP BY e.doc_id
+    )
+    SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+    FROM d LEFT JOIN k USING (doc_id)
+    """
+)
+def op11_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = remove_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     aligned = align_documents(table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
