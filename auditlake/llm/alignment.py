@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from auditlake.llm.shared import map_rows, slices, small_batches, staged
-from auditlake.llm.tokens import ByteEncoder
+from auditlake.llm.tokens import ByteEncoder, as_bytes
 
 #: Characters of text of a block, whose distinct id pairs are counted before any shuffle.
 BLOCK = 4 << 20
 #: Links made at once, and the most of a group that are made one by one; larger groups are counted by distinct ids.
 LINKS, SINGLE = 1 << 20, 4096
+#: Chunks of text that a task remembers.
+CHUNKS_KNOWN = 300_000
 #: Bytes of rows with blocks that go to a Python worker at once.
 BATCH = "16m"
 
@@ -76,6 +78,52 @@ class PieceSide(Side):
         return self.processor.encode(text)
 
 
+#: What may be encoded otherwise in a chunk of its own than in its text: signs that libraries take for white space or not, and endless words.
+ODD = re.compile("[\x00\x1c-\x1f▁]|\\S{1000}|\\s{1000}")
+#: White space and the word after it. Both vocabularies begin anew there, so chunks repeat with the same ids.
+CHUNKS = re.compile(r"\s*\S+|\s+")
+
+
+class Speller:
+    """Ids of texts by two sides; None where one doesn't spell a text byte by byte.
+
+    The byte-level pattern never joins other signs with white space after them, and pieces have none
+    after their first sign (texts with what some have are encoded as wholes), so the ids of a text are
+    those of its chunks. Chunks repeat; each is encoded, and its bytes compared, once and then remembered.
+    """
+
+    def __init__(self, a: ByteSide, b: PieceSide):
+        self.a, self.b, self.known = a, b, {}
+        names = [b.processor.id_to_piece(i) for i in range(len(b.pieces))]
+        later = [n.lstrip("▁") if n[0] == "▁" else n[1:] for n in names]
+        #: white space that pieces have after their first sign (a carriage return, say): texts with it are encoded as wholes
+        self.inner = {s for n in later for s in n if s.isspace() or s == "▁"}
+        self.by_chunks = a.encoder.fast is not None and "▁" not in self.inner
+
+    def learn(self, chunks: list[str]) -> None:
+        if len(self.known) > CHUNKS_KNOWN:
+            self.known.clear()
+        # a space before a text is its own; other white space is no part of a piece with it
+        own = [c[0] == " " for c in chunks]
+        pieces = self.b.processor.encode([c[1:] if s else c for c, s in zip(chunks, own, strict=True)], num_threads=1)
+        for c, s, b in zip(chunks, own, pieces, strict=True):
+            a, b, spelled = self.a.encoder.ids(c), b if s else b[1:], c.encode()
+            self.known[c] = (as_bytes(a), as_bytes(b)) if self.a.spells(a, spelled) and self.b.spells(b, spelled) else None
+
+    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        if self.by_chunks and not ODD.search(text) and not any(s in text for s in self.inner):
+            chunks = CHUNKS.findall(" " + text)
+            new = [c for c in set(chunks) if c not in self.known]
+            if new:
+                self.learn(new if len(self.known) <= CHUNKS_KNOWN else list(set(chunks)))
+            found = list(map(self.known.__getitem__, chunks))
+            if None not in found:
+                return tuple(np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in zip(*found, strict=True))
+        ids = self.a.ids(text), self.b.ids(text)
+        spelled = b" " + text.encode()
+        return tuple(np.array(x, np.int64) for x in ids) if self.a.spells(ids[0], spelled) and self.b.spells(ids[1], spelled) else None
+
+
 def irregular_groups(a: bytes, b: bytes) -> list[tuple[int, int, int, int]]:
     """Groups of more than a token to a token, as (from, from, to, to) of the two sides; all between them are one to one.
 
@@ -87,24 +135,30 @@ def irregular_groups(a: bytes, b: bytes) -> list[tuple[int, int, int, int]]:
     x, y = memoryview(a).cast("I"), memoryview(b).cast("I")
     i = j = 0
     found = []
-    while i < len(x):
-        step, growing = 1, True
-        while step:
-            p, q = a[4 * i : 4 * (i + step)], b[4 * j : 4 * (j + step)]
-            if p == q and len(p) == 4 * step:
-                i, j = i + step, j + step
-                step = 2 * step if growing else step // 2
-            else:
-                growing = False
-                step //= 2
-        if i == len(x):
-            break
+    n = len(x)
+    while i < n:
+        p, q = x[i], y[j]
+        if p == q:
+            step, growing = 1, True
+            while step:
+                u = 4 * (i + step)
+                if u <= 4 * n and a[4 * i : u] == b[4 * j : 4 * (j + step)]:
+                    i, j = i + step, j + step
+                    step = 2 * step if growing else step // 2
+                else:
+                    growing = False
+                    step //= 2
+            if i == n:
+                break
+            p, q = x[i], y[j]
         s, t = i, j
-        while x[i] != y[j]:
-            if x[i] < y[j]:
+        while p != q:
+            if p < q:
                 i += 1
+                p = x[i]
             else:
                 j += 1
+                q = y[j]
         i, j = i + 1, j + 1
         found.append((s, t, i, j))
     return found
@@ -154,7 +208,7 @@ class Aligner:
     """Tokens, groups and linked pairs of whole texts."""
 
     def __init__(self, a: Side, b: Side):
-        self.a, self.b = a, b
+        self.a, self.b, self.speller = a, b, Speller(a, b)
         # an id of A is followed by a comma or a bar, one of B by a comma or a semicolon
         self.written = [f"{i}{mark}" for side, marks in ((a, ",|"), (b, ",;")) for mark in marks for i in range(len(side.pieces))]
 
@@ -172,11 +226,10 @@ class Aligner:
         """(n_a, n_b, n_groups, n_links, digest of the groups), linked pairs and their links; None without tokens."""
         if not text:
             return None
-        spelled = b" " + text.encode()
-        ids_a, ids_b = self.a.ids(text), self.b.ids(text)
-        if not (self.a.spells(ids_a, spelled) and self.b.spells(ids_b, spelled)):
+        ids = self.speller.ids(text)
+        if ids is None:
             return None
-        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        a, b = ids
         spans = np.array(irregular_groups(self.a.ends(a).tobytes(), self.b.ends(b).tobytes()), np.int64).reshape(-1, 4)
         ends_a, ends_b = group_ends(len(a), spans[:, 0], spans[:, 2]), group_ends(len(b), spans[:, 1], spans[:, 3])
         pairs, times = linked_pairs(a, b, ends_a, ends_b)

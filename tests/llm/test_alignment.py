@@ -10,7 +10,7 @@ import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
 
-from auditlake.llm.alignment import align_documents, group_ends, irregular_groups
+from auditlake.llm.alignment import ByteSide, PieceSide, Speller, align_documents, group_ends, irregular_groups
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 PARTS = ["a", "the ", " é", "漢字", "🙂", "\n", "  ", "<|endoftext|>", "<s>", "▁", "tion", "1234", "\x00", "\t", "<0x41>", "Hello", "zzzz", "́", "ſ", "</s>"]
@@ -40,7 +40,7 @@ def plain(rows):
             continue
         ends = lambda ids, size: np.cumsum([len(size(i)) for i in ids]).tolist()
         end_a, end_b = ends(a, a_bytes), ends(b, b_bytes)
-        both = sorted(set(end_a) & set(end_b))
+        both = np.array(sorted(set(end_a) & set(end_b)))
         groups = [([], []) for _ in both]
         for side, ids, at in ((0, a, end_a), (1, b, end_b)):
             for i, e in zip(ids, at, strict=True):
@@ -66,7 +66,7 @@ def plain(rows):
 def test_alignment(spark):
     rnd = random.Random(8)
     rows = [(k, "".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 60)))) for k in range(150)]
-    rows += [(200, None), (201, ""), (202, " "), (203, "same text here"), (204, "same text here"), (204, "same text here"), (None, "no id"), (205, "🙂" * 3000), (206, "x" * 5000), (207, "word and more " * 8000)]
+    rows += [(200, None), (201, ""), (202, " "), (203, "same text here"), (204, "same text here"), (204, "same text here"), (None, "no id"), (205, "🙂" * 3000), (206, "x" * 5000), (207, "word and more " * 3000)]
     docs = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, block int, pairs string, at int").repartition(3)
     got = Counter(tuple(r) for r in align_documents(docs, BYTES, PIECES, block=2000).collect())
     assert got == plain(rows)
@@ -89,3 +89,16 @@ def test_stretches_are_jumped():
     start = time.perf_counter()
     assert irregular_groups(ends.tobytes(), other.tobytes()) == [(2_500_000, 2_500_000, 2_500_002, 2_500_001)]
     assert time.perf_counter() - start < 1
+
+
+def test_chunks_same_as_whole_texts():
+    rnd = random.Random(11)
+    speller = Speller(ByteSide(BYTES), PieceSide(PIECES))
+    assert speller.by_chunks
+    parts = [*PARTS, " ", " ", "\u3000", "\xa0", "\r\n", "'s", "don't", " a", "\n\n", "  \n ", "\u200b", "\u2028", "\x1d"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 25)))
+        got, whole = speller.ids(text), (speller.a.ids(text), speller.b.ids(text))
+        spelled = speller.a.spells(whole[0], (" " + text).encode()) and speller.b.spells(whole[1], (" " + text).encode())
+        assert (got is None) != spelled
+        assert got is None or (got[0].tolist(), got[1].tolist()) == whole
