@@ -76,6 +76,20 @@ def corpus_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def corpus_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later snapshot in which files are gone, moved, moved and edited, copied, copied and edited, or new."""
+    files, i = corpus_files(spark, sf_dir), F.col("doc_id")
+    kept = F.when(i % 7 == 3, F.concat(F.lit("moved/"), "path")).when(i % 7 == 4, F.concat(F.lit("edit/"), "path")).otherwise(F.col("path"))
+    text = F.when(i % 7 == 4, F.concat(F.lit("edited = "), i.cast("string"), F.lit("\n"), "content")).when(i % 13 == 0, F.lit("")).otherwise(F.col("content"))
+    one = files.where(i % 17 != 0).select("doc_id", "project", kept.alias("path"), text.alias("content"))
+    copies = files.where((i % 5 == 1) & (i % 3 != 0)).select("doc_id", "project", F.concat(F.lit("copy/"), "path").alias("path"), "content")
+    other = F.concat("content", F.lit("\nextra = 1\nextra = 2"))
+    edits = files.where(i % 5 == 2).select("doc_id", "project", F.concat(F.lit("also/"), "path").alias("path"), other.alias("content"))
+    lines = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: F.concat(F.lit("fresh "), i.cast("string"), F.lit(" "), k.cast("string"))), "\n")
+    fresh = files.where(i % 19 == 0).select("doc_id", "project", F.concat(F.lit("new/"), "path").alias("path"), lines.alias("content"))
+    return one.unionByName(copies).unionByName(edits).unionByName(fresh)
+
+
 # Directory names for documents whose id says they live under one; read as (directory, modulus).
 TREE_NAMES = ("main.py", "notes.md", "App.JSX", ".env.local", "data.bin", "conf.yml", "LICENSE", ".env", "a.b.ts")
 EXTRA_DIRS = ("src", "node_modules", "lib/dist", "tests", "env/bin", "docs", "vendor/a")
@@ -125,6 +139,16 @@ NEXT_SQL = f"""corpus_next AS (
   FROM corpus_files c JOIN documents d USING (doc_id) WHERE c.doc_id % 17 <> 0)"""
 
 
+MOVED_SQL = """corpus_moved AS (
+  SELECT project, CASE doc_id % 7 WHEN 3 THEN 'moved/' || path WHEN 4 THEN 'edit/' || path ELSE path END AS path,
+         CASE WHEN doc_id % 7 = 4 THEN 'edited = ' || doc_id || chr(10) || content WHEN doc_id % 13 = 0 THEN '' ELSE content END AS content
+  FROM corpus_files WHERE doc_id % 17 <> 0
+  UNION ALL SELECT project, 'copy/' || path, content FROM corpus_files WHERE doc_id % 5 = 1 AND doc_id % 3 <> 0
+  UNION ALL SELECT project, 'also/' || path, content || chr(10) || 'extra = 1' || chr(10) || 'extra = 2' FROM corpus_files WHERE doc_id % 5 = 2
+  UNION ALL SELECT project, 'new/' || path, array_to_string(list_transform(range(1, 10), lambda k: 'fresh ' || doc_id || ' ' || k), chr(10))
+  FROM corpus_files WHERE doc_id % 19 = 0)"""
+
+
 # --- commit logs -------------------------------------------------------------------------------
 
 LOG_FILES = 40

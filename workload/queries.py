@@ -28,6 +28,7 @@ from auditlake.operators.findings import (
     rule_catalog,
     with_place,
 )
+from auditlake.operators.renames import traced_changes
 from auditlake.operators.select import (
     SCANNABLE_EXTENSIONS,
     SKIP_DIRS,
@@ -107,6 +108,39 @@ def changed(spark, sf_dir):
     return changed_files(co.corpus_files(spark, sf_dir), co.corpus_next(spark, sf_dir))
 
 
+@query("traced_changes", f"""WITH {co.CORPUS_SQL},
+{co.MOVED_SQL},
+states AS (SELECT project, path, c.content AS old, n.content AS new, c.content IS NOT NULL AS in_old, n.content IS NOT NULL AS in_new
+  FROM (SELECT project, path, content FROM corpus_files) c
+  FULL JOIN (SELECT project, path, content FROM corpus_moved) n USING (project, path)),
+sources AS (SELECT project, path AS old_path, old AS content, NOT in_new AS gone FROM states WHERE in_old AND old <> ''),
+news AS (SELECT project, path, new AS content FROM states WHERE in_new AND NOT in_old),
+turns AS (SELECT *, row_number() OVER (PARTITION BY project, content ORDER BY path) AS turn FROM news WHERE content <> ''),
+lost AS (SELECT *, row_number() OVER (PARTITION BY project, content ORDER BY old_path) AS turn FROM sources WHERE gone),
+told AS (SELECT t.project, t.path, t.content, l.old_path, a.any_path FROM turns t LEFT JOIN lost l USING (project, content, turn)
+  LEFT JOIN (SELECT project, content, min(old_path) AS any_path FROM sources GROUP BY ALL) a USING (project, content)),
+free AS (SELECT l.project, l.old_path FROM lost l ANTI JOIN turns t USING (project, content, turn)),
+olds AS (SELECT s.project, s.content, min(s.old_path) AS path, min(f.old_path) AS free_path FROM sources s LEFT JOIN free f USING (project, old_path) GROUP BY ALL),
+left_over AS (SELECT project, path, content FROM told WHERE any_path IS NULL),
+sides AS (SELECT 'new' AS side, project, content, sha1(content) AS id FROM (SELECT DISTINCT project, content FROM left_over)
+  UNION ALL SELECT 'old', project, content, sha1(content) FROM olds),
+lines AS (SELECT side, project, id, line, count(*) AS c FROM (SELECT side, project, id, unnest(string_split(content, chr(10))) AS line FROM sides) GROUP BY ALL),
+sizes AS (SELECT side, project, id, sum(c) AS n FROM lines GROUP BY ALL),
+shared AS (SELECT a.project, a.id AS a, b.id AS b, sum(least(a.c, b.c)) AS shared FROM lines a JOIN lines b ON a.side = 'new' AND b.side = 'old' AND a.project = b.project AND a.line = b.line GROUP BY ALL),
+alike AS (SELECT s.project, a, b, shared / greatest(x.n, y.n) AS likeness FROM shared s JOIN sizes x ON x.side = 'new' AND x.project = s.project AND x.id = a
+  JOIN sizes y ON y.side = 'old' AND y.project = s.project AND y.id = b WHERE 100 * shared >= 50 * greatest(x.n, y.n)),
+best AS (SELECT l.project, l.path, k.likeness, o.free_path IS NOT NULL AS from_gone, coalesce(o.free_path, o.path) AS old_path
+  FROM left_over l LEFT JOIN alike k ON k.project = l.project AND k.a = sha1(l.content) LEFT JOIN olds o ON o.project = k.project AND sha1(o.content) = k.b
+  QUALIFY row_number() OVER (PARTITION BY l.project, l.path ORDER BY k.likeness DESC NULLS LAST, o.free_path IS NULL, coalesce(o.free_path, o.path)) = 1)
+SELECT project, path, 'modified' AS change, NULL AS old_path, NULL AS likeness FROM states WHERE in_old AND in_new AND old <> new
+UNION ALL SELECT project, path, 'added', NULL, NULL FROM news WHERE content = ''
+UNION ALL SELECT project, path, CASE WHEN old_path IS NOT NULL THEN 'renamed' ELSE 'copied' END, coalesce(old_path, any_path), 1.0 FROM told WHERE any_path IS NOT NULL
+UNION ALL SELECT project, path, CASE WHEN old_path IS NULL THEN 'added'
+  WHEN from_gone AND row_number() OVER (PARTITION BY project, old_path, from_gone ORDER BY likeness DESC, path) = 1 THEN 'renamed' ELSE 'copied' END, old_path, likeness FROM best""")
+def traced(spark, sf_dir):
+    return traced_changes(co.corpus_files(spark, sf_dir), co.corpus_moved(spark, sf_dir))
+
+
 @query("scan_changed", f"""WITH {co.CORPUS_SQL},
 {co.NEXT_SQL},
 changed AS (SELECT n.* FROM corpus_next n JOIN corpus_files c USING (project, path) WHERE c.content <> n.content),
