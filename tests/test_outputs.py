@@ -249,3 +249,97 @@ def test_queries_agree_with_sql(spark, name):
 
 def test_samples_are_fixed():
     assert len(RANDOM32) == 32 and "SEC-ENT" in POSITIVE
+
+
+def grow(root, files):
+    for name, data in files.items():
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        with open(f"{root}/new.tmp", "w") as f:
+            f.write(data)
+        os.rename(f"{root}/new.tmp", f"{root}/{name}")
+
+
+def test_tree_opens_only_what_is_asked_for(spark, folder, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, In, StringContains, StringStartsWith
+
+    from auditlake.sources import tree
+
+    grow(folder, {f"{p}/{d}/f{k}{e}": "x" for p in "abc" for d in ("src/in", "src", "doc") for k in range(3) for e in (".py", ".md")})
+    entered, scan = [], os.scandir
+    monkeypatch.setattr(os, "scandir", lambda path: (entered.append(os.path.relpath(path, folder)), scan(path))[1])
+    reader = tree.TreeReader({"path": folder})
+    rest = list(reader.pushFilters([EqualTo(("project",), "b"), StringStartsWith(("path",), "src/"), In(("ext",), (".py",)), StringContains(("name",), "1")]))
+    assert rest == [StringContains(("name",), "1")]
+    rows = sorted(r[1] for part in reader.partitions() for r in reader.read(part))
+    assert rows == [f"src/f{k}.py" for k in range(3)] + [f"src/in/f{k}.py" for k in range(3)]
+    assert set(entered) == {"b", "b/src", "b/src/in"}
+    monkeypatch.undo()
+    some = read_tree(spark, folder, where="project in ('a', 'b') and path like 'doc/%' and ext = '.md' and name <> 'f1.md'")
+    assert sorted((r.project, r.path) for r in some.collect()) == [(p, f"doc/f{k}.md") for p in "ab" for k in (0, 2)]
+    assert "f1.md" in (plan := some._jdf.queryExecution().executedPlan().toString()) and "(project" not in plan.split("BatchScan")[0].split("Filter")[-1]
+
+
+def test_wide_directories_are_shared(folder, monkeypatch):
+    from auditlake.sources import tree
+
+    grow(folder, {f"a/f{k}.py": "x" for k in range(60)} | {f"a/d{k}/g.py": "x" for k in range(30)})
+    monkeypatch.setattr(tree, "WIDE", 20)
+    reader = tree.TreeReader({"path": folder})
+    parts = reader.partitions()
+    assert sum(len(p.folders) for p in parts) == 1 + tree.LEAST_PARTITIONS
+    rows = [r[1] for part in parts for r in reader.read(part)]
+    assert len(rows) == len(set(rows)) == 90
+
+
+def test_stream_of_a_tree(spark, folder):
+    """What arrives between runs comes out once, also after a restart and after a mark that Spark never heard of."""
+    from auditlake.sources.tree import TreeStreamReader, stream_tree
+
+    root, own = f"{folder}/tree", f"{folder}/own"
+    grow(root, {"p/a.py": "one", "p/node_modules/x.py": "skipped"})
+
+    def arrived():
+        stream = stream_tree(spark, root, f"{own}/marks", skip=("node_modules",))
+        stream.writeStream.option("checkpointLocation", f"{own}/state").trigger(availableNow=True).format("parquet").start(f"{own}/out").awaitTermination()
+        return sorted((r.path, r.content) for r in spark.read.schema(stream.schema).parquet(f"{own}/out").collect())
+
+    assert arrived() == [("a.py", "one")]
+    assert arrived() == [("a.py", "one")]
+    grow(root, {"p/b.py": "two", "p/a.py": "one more"})
+    reader = TreeStreamReader({"path": root, "marks": f"{own}/marks", "skip": "node_modules"})
+    assert reader.latestOffset() == {"listing": 2}  # listed, then the driver is lost
+    grow(root, {"q/c.py": "three"})
+    assert arrived() == [("a.py", "one"), ("a.py", "one more"), ("b.py", "two"), ("c.py", "three")]
+
+
+def test_life_of_findings(spark, folder):
+    from auditlake.streaming.life import finding_life
+
+    layout = "project string, path string, content string, ts timestamp"
+
+    def arrive(n, rows):
+        df = spark.createDataFrame(rows, "project string, path string, content string, t string")
+        df.withColumn("ts", F.col("t").cast("timestamp")).drop("t").coalesce(1).write.mode("append").parquet(f"{folder}/in/b{n}")
+        stream = finding_life(spark.readStream.schema(layout).option("recursiveFileLookup", "true").parquet(f"{folder}/in"), forget="2 days")
+        return sorted((str(r.ts)[8:16], r.file_path, r.rule_id, r.life) for r in run(stream, f"{folder}/life"))
+
+    bad, worse = "os.system(x)", "os.system(x)\nDEBUG = True"
+    one = arrive(1, [("p", "a.py", bad, "2024-01-01 10:00:00"), ("p", "a.py", worse, "2024-01-01 10:10:00"), ("p", "b.py", "fine", "2024-01-01 10:00:00")])
+    assert one == [("01 10:00", "a.py", "INJ-010", "new"), ("01 10:10", "a.py", "DBG-002", "new"), ("01 10:10", "a.py", "INJ-010", "open")]
+    two = arrive(2, [("p", "a.py", None, "2024-01-01 10:20:00"), ("p", "a.py", worse, "2024-01-01 10:05:00"), ("p", "b.py", bad, "2024-01-01 10:20:00")])
+    assert [r for r in two if r not in one] == [("01 10:20", "a.py", "DBG-002", "fixed"), ("01 10:20", "a.py", "INJ-010", "fixed"), ("01 10:20", "b.py", "INJ-010", "new")]
+    three = arrive(3, [("p", "a.py", bad, "2024-01-01 10:30:00"), ("p", "c.py", "fine", "2024-01-05 00:00:00")])
+    assert [r for r in three if r not in two] == [("01 10:30", "a.py", "INJ-010", "reopened")]
+    # two days have passed without a version of a.py: it is forgotten
+    four = arrive(4, [("p", "a.py", bad, "2024-01-05 01:00:00"), ("p", "a.py", worse, "2024-01-01 10:40:00")])
+    assert [r for r in four if r not in three] == [("05 01:00", "a.py", "INJ-010", "new")]
+
+
+def test_closed_windows_leave_late_rows_out(spark, folder):
+    layout = "project string, path string, content string, ts timestamp"
+    for n, rows in enumerate([[("a.py", "2024-01-01 00:30:00"), ("b.py", "2024-01-01 03:10:00")], [("late.py", "2024-01-01 00:40:00"), ("c.py", "2024-01-01 03:20:00"), ("d.py", "2024-01-01 06:00:00")]]):
+        df = spark.createDataFrame([("p", path, "os.system(x)", t) for path, t in rows], "project string, path string, content string, t string")
+        df.withColumn("ts", F.col("t").cast("timestamp")).drop("t").coalesce(1).write.mode("append").parquet(f"{folder}/in/b{n}")
+        source = spark.readStream.schema(layout).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        counts = run(stream_severity_windows(stream_scan(source, ScanConfig(checks=("injection",)))), f"{folder}/w")
+    assert sorted((r.window_start.hour, r.findings) for r in counts) == [(0, 1), (3, 2)]

@@ -14,6 +14,8 @@ from auditlake.plans.audit import audit_dependencies, gate_by_project, report_fi
 from auditlake.sinks import documents as doc
 from auditlake.sinks import report as rp
 from auditlake.sources import settings as st
+from auditlake.sources.tree import read_tree, stream_tree
+from auditlake.streaming.life import finding_life
 from auditlake.streaming.scan import stream_new_findings, stream_scan, stream_severity_windows
 from workload import corpus as co
 from workload.oracle import findings_ctes
@@ -258,17 +260,47 @@ def gates(spark, sf_dir):
 # --- streams ------------------------------------------------------------------------------------
 
 
-def _file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arriving as file versions, at the time of the event of the same number."""
-    layout = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    d = spark.readStream.schema(layout).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+# The time of documents without an event.
+_NO_EVENT = "2024-01-01 00:00:00"
+
+
+def _versions(spark: SparkSession, sf_dir: str, d: DataFrame) -> DataFrame:
+    """Documents, of a table or a stream, as file versions at the time of the event of the same number."""
     times = co.read(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"))
     i = F.col("doc_id")
     files = d.select(
         "doc_id", F.concat(F.lit("p"), (i % co.PROJECTS).cast("string")).alias("project"), co.log_path().alias("path"),
         F.concat(F.col("text"), F.lit("\n"), co._pick(co.BLOCKS, i)).alias("content"),
     )
-    return files.join(times, "doc_id")
+    return files.join(times, "doc_id", "left").withColumn("ts", F.coalesce("ts", F.lit(_NO_EVENT).cast("timestamp")))
+
+
+def _file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layout = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    return _versions(spark, sf_dir, spark.readStream.schema(layout).option("pathGlobFilter", "documents.parquet").parquet(sf_dir))
+
+
+# Versions arrive in three parts, by time; every fiftieth comes with the last part, however old it is.
+_ARRIVALS = 3
+_LATE = "doc_id % 50 = 7"
+
+
+def _arriving(spark: SparkSession, sf_dir: str, late: bool, build) -> DataFrame:
+    """What a stream gives that starts anew, from its checkpoint, after each part has arrived."""
+    import uuid
+
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    versions = durable(_versions(spark, sf_dir, co.read(spark, sf_dir, "documents")))
+    ends = versions.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
+    part = F.least(F.floor((F.unix_micros("ts") - ends["a"]) * _ARRIVALS / F.greatest(F.lit(ends["b"] - ends["a"]), F.lit(1))), F.lit(_ARRIVALS - 1))
+    if late:
+        part = F.when(F.expr(_LATE), _ARRIVALS - 1).otherwise(part)
+    for number in range(_ARRIVALS):
+        versions.where(part == number).write.mode("append").parquet(f"{folder}/in/part{number}")
+        stream = build(spark.readStream.schema(versions.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in"))
+        writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        writer.format("parquet").start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def _run(stream: DataFrame, mode: str) -> DataFrame:
@@ -288,8 +320,8 @@ def _run(stream: DataFrame, mode: str) -> DataFrame:
 
 
 _STREAM_FOUND = f"""{co.CORPUS_SQL},
-versions AS (SELECT project, 'src/f' || CAST(doc_id % {co.LOG_FILES} AS VARCHAR) || raw_ext AS path, raw_ext, content, e.ts
-  FROM corpus_files c JOIN events e ON e.event_id = c.doc_id),
+versions AS (SELECT doc_id, project, 'src/f' || CAST(doc_id % {co.LOG_FILES} AS VARCHAR) || raw_ext AS path, raw_ext, content,
+  coalesce(CAST(e.ts AS TIMESTAMP), TIMESTAMP '{_NO_EVENT}') AS ts FROM corpus_files c LEFT JOIN events e ON e.event_id = c.doc_id),
 batch AS (SELECT * REPLACE (path || '@' || epoch_us(ts) AS path) FROM versions),
 {findings_ctes(entropy=True, files='batch')},
 arrived AS (SELECT f.* EXCLUDE (file_path, fingerprint), split_part(file_path, '@', 1) AS file_path,
@@ -320,3 +352,90 @@ SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window
 def streamed_windows(spark, sf_dir):
     counted = stream_severity_windows(stream_scan(_file_stream(spark, sf_dir)))
     return _run(counted, "complete").select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "severity", "findings")
+
+
+# Windows over late rows: a part's rows are dropped whose window was over, an hour before the newest time seen, when the part came.
+@query("stream_closed_windows", f"""WITH {_STREAM_FOUND},
+ends AS (SELECT min(ts) AS a, max(ts) AS b FROM versions),
+parts AS (SELECT project, path, ts, bool_or({_LATE}) AS late FROM versions GROUP BY ALL),
+placed AS (SELECT f.severity, f.ts, time_bucket(INTERVAL 1 HOUR, f.ts) AS window_start,
+  CASE WHEN late THEN {_ARRIVALS - 1} ELSE least((epoch_us(f.ts) - epoch_us(a)) * {_ARRIVALS} // greatest(epoch_us(b) - epoch_us(a), 1), {_ARRIVALS - 1}) END AS part
+  FROM arrived f JOIN parts p ON p.project = f.project AND p.path = f.file_path AND p.ts = f.ts, ends),
+marks AS (SELECT part, date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR AS mark FROM placed GROUP BY part),
+kept AS (SELECT *, window_start + INTERVAL 1 HOUR AS window_end FROM placed p
+  WHERE NOT EXISTS (SELECT 1 FROM marks m WHERE m.part < p.part AND p.window_start + INTERVAL 1 HOUR <= m.mark))
+SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, severity, count(*) AS findings FROM kept
+WHERE window_end <= (SELECT max(mark) FROM marks) GROUP BY ALL""")
+def streamed_closed_windows(spark, sf_dir):
+    """In append mode: late rows are left out, and windows come out when they are over."""
+    counted = _arriving(spark, sf_dir, True, lambda files: stream_severity_windows(stream_scan(files)))
+    return counted.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "severity", "findings")
+
+
+@query("finding_life", f"""WITH {_STREAM_FOUND},
+v AS (SELECT project, path, ts, row_number() OVER (PARTITION BY project, path ORDER BY ts) AS seq FROM (SELECT DISTINCT project, path, ts FROM versions)),
+f AS (SELECT DISTINCT a.project, a.file_path, a.fingerprint, a.rule_id, v.ts, v.seq FROM arrived a JOIN v ON v.project = a.project AND v.path = a.file_path AND v.ts = a.ts),
+n AS (SELECT *, lag(seq) OVER w AS before, lead(seq) OVER w AS after FROM f WINDOW w AS (PARTITION BY project, file_path, fingerprint ORDER BY seq)),
+lives AS (SELECT project, file_path, ts, fingerprint, rule_id, CASE WHEN before IS NULL THEN 'new' WHEN before = seq - 1 THEN 'open' ELSE 'reopened' END AS life FROM n
+  UNION ALL SELECT n.project, file_path, v.ts, fingerprint, rule_id, 'fixed' FROM n JOIN v ON v.project = n.project AND v.path = n.file_path AND v.seq = n.seq + 1
+  WHERE after IS NULL OR after > n.seq + 1)
+SELECT project, file_path, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, fingerprint, rule_id, life FROM lives""")
+def streamed_life(spark, sf_dir):
+    lives = _arriving(spark, sf_dir, False, lambda files: finding_life(files, forget="36500 days"))
+    return lives.select("project", "file_path", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "fingerprint", "rule_id", "life")
+
+
+# --- source trees ---------------------------------------------------------------------------------
+
+
+def _written(files: DataFrame, root: str) -> int:
+    """Write (project, path, content) as files below a mounted folder; each appears whole."""
+
+    def work(batches):
+        import os
+
+        import pandas as pd
+
+        for batch in batches:
+            for project, path, content in batch.itertuples(index=False):
+                target = os.path.join(root, project, path)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                hidden = os.path.join(root, f".{project}-{abs(hash(path))}.tmp")
+                with open(hidden, "w", encoding="utf-8", newline="") as f:
+                    f.write(content)
+                os.rename(hidden, target)
+            yield pd.DataFrame({"files": [len(batch)]})
+
+    return files.select("project", "path", "content").mapInPandas(work, "files long").agg(F.sum("files")).first()[0]
+
+
+def _mounted(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}".removeprefix("file:")
+
+
+@query("read_tree", f"""WITH {co.TREE_SQL}
+SELECT project, path, sha1(content) AS digest FROM corpus_tree
+WHERE project IN ('p0', 'p1', 'p2', 'p5') AND starts_with(path, 'src/') AND regexp_matches(name, '^.+\\.(py|yml|jsx)$', 'i') AND NOT starts_with(dir, 'vendor')""")
+def tree_read(spark, sf_dir):
+    root = _mounted(spark, "tree")
+    _written(co.corpus_tree(spark, sf_dir), root)
+    files = read_tree(spark, root, skip=("vendor",), where="project in ('p0', 'p1', 'p2', 'p5') and path like 'src/%' and ext in ('.py', '.yml', '.jsx')")
+    return files.select("project", "path", F.sha1("content").alias("digest"))
+
+
+@query("stream_tree", f"""WITH {co.TREE_SQL},
+waves AS (SELECT project, path, content FROM corpus_tree WHERE NOT starts_with(path, 'docs/')
+  UNION ALL SELECT project, path, content || chr(10) || 'changed' FROM corpus_tree WHERE starts_with(path, 'src/') OR starts_with(path, 'docs/'))
+SELECT project, path, sha1(content) AS digest, count(*) AS times FROM waves GROUP BY ALL""")
+def tree_streamed(spark, sf_dir):
+    """Files arrive in two waves, the second with changed files; the stream starts anew for it, and once more for nothing."""
+    root, own = _mounted(spark, "tree"), _mounted(spark, "tree-stream")
+    tree = co.corpus_tree(spark, sf_dir)
+    changed = F.concat("content", F.lit("\nchanged"))
+    for files in (tree.where("not startswith(path, 'docs/')"), tree.where("startswith(path, 'src/') or startswith(path, 'docs/')").withColumn("content", changed), tree.limit(0)):
+        _written(files, root)
+        stream = stream_tree(spark, root, f"{own}/marks").select("project", "path", F.sha1("content").alias("digest"))
+        stream.writeStream.option("checkpointLocation", f"{own}/state").trigger(availableNow=True).format("parquet").start(f"{own}/out").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{own}/out").groupBy("project", "path", "digest").agg(F.count("*").alias("times"))
