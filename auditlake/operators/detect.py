@@ -10,22 +10,29 @@ Two steps inside one stage, without a shuffle:
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditlake.catalog.rules import ENTROPY_RULE, Rule, select_rules
 from auditlake.config import CUSTOM_ORD, ScanConfig, custom_rule, jvm_pattern
 from auditlake.functions import text as tx
 from auditlake.functions.dialect import to_jvm
+from auditlake.functions.literals import Patterns
 from auditlake.functions.scoring import rank_of
 from auditlake.operators import entropy
 from auditlake.operators.findings import finding_row, jvm_catalog, rule_catalog, union_findings
-from auditlake.operators.joins import join_bounded
+from auditlake.operators.durable import durable
+from auditlake.operators.joins import BROADCAST_BYTES, skewed_join
 
-MATCHES = "array<struct<line:int,raw:string,n:bigint>>"
+MATCH = T.StructType([T.StructField("line", T.IntegerType()), T.StructField("raw", T.StringType()), T.StructField("n", T.LongType())])
+#: Custom patterns beyond which an automaton over texts they require says which are tried on a file.
+MANY = 64
+#: Projects whose automata a task keeps.
+PROJECTS_BUILT = 64
 
 
 def applies(rule: Rule) -> str:
@@ -88,29 +95,6 @@ def _to_findings(located: DataFrame, rows: Column, keep: tuple[str, ...] = ()) -
     )
 
 
-def _python_matches():
-    """Matches found by Python's own engine, for patterns the JVM cannot express."""
-
-    @F.pandas_udf(MATCHES)
-    def locate(content: pd.Series, pattern: pd.Series) -> pd.Series:
-        import re
-
-        def lines_of(text, source):
-            if text is None or source is None:
-                return []
-            lines = None
-            out: dict[int, int] = {}
-            for m in re.finditer(source, text, re.IGNORECASE | re.MULTILINE):
-                at = text.count("\n", 0, m.start())
-                out[at] = out.get(at, 0) + 1
-                lines = lines or text.split("\n")
-            return [{"line": at + 1, "raw": lines[at], "n": n} for at, n in out.items()]
-
-        return pd.Series([lines_of(t, p) for t, p in zip(content, pattern)])
-
-    return locate
-
-
 def detect_rules(
     files: DataFrame, rules: Iterable[Rule], marker: str = tx.DEFAULT_MARKER, keep: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -152,27 +136,36 @@ def _no_hits(files: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
 
 def _by_python(files: DataFrame, rules: tuple[Rule, ...], keep: tuple[str, ...]) -> DataFrame:
-    base = with_ext(files)
-    wanted = ", ".join(f"CASE WHEN {applies(r)} THEN {r.rule_ord} END" for r in rules)
-    pairs = base.select(
-        "project", "path", "content", *keep, F.expr(f"explode(array_compact(array({wanted})))").alias("rule_ord")
-    )
+    """Matches found by Python's own engine. Each file is sent to Python once, with all its patterns."""
+    base = with_ext(files).select("project", "path", "content", "ext", *keep)
+    sources, types = [r.pattern for r in rules], [set(r.extensions) if r.extensions else None for r in rules]
+    ords = [r.rule_ord for r in rules]
+    schema = T.StructType([*(base.schema[c] for c in ("project", "path", *keep)), T.StructField("rule_ord", T.IntegerType()), T.StructField("matches", T.ArrayType(MATCH))])
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        patterns = Patterns(sources)
+        for batch in batches:
+            rows = []
+            for project, path, content, ext, *kept in batch.itertuples(index=False, name=None):
+                for k, found in patterns.matches(content, types, ext) if isinstance(content, str) else ():
+                    rows.append((project, path, *kept, ords[k], [dict(zip(("line", "raw", "n"), f, strict=True)) for f in found]))
+            yield pd.DataFrame(rows, columns=schema.names)
+
     catalog = F.broadcast(rule_catalog(files.sparkSession, rules))
-    return (
-        pairs.join(catalog, "rule_ord")
-        .withColumn("matches", _python_matches()(F.col("content"), F.col("pattern")))
-        .drop("content", "pattern")
-    )
+    return base.mapInPandas(work, schema).join(catalog, "rule_ord").drop("pattern")
 
 
 def detect(files: DataFrame, config: ScanConfig | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Findings of every selected catalog rule, the entropy rule and the custom patterns, in one pass."""
     config = config or ScanConfig()
-    rules = select_rules(config.checks, config.exclude_rules)
+    rules, custom = select_rules(config.checks, config.exclude_rules), ()
     if not config.checks or "secrets" in config.checks:
-        extra = config.custom_rules() + (ENTROPY_RULE,)
-        rules += tuple(r for r in extra if r.rule_id not in config.exclude_rules)
-    return detect_rules(files, rules, config.marker, keep)
+        custom = tuple(r for r in config.custom_rules() if r.rule_id not in config.exclude_rules)
+        rules += tuple(r for r in (ENTROPY_RULE,) if r.rule_id not in config.exclude_rules)
+    if len(custom) <= MANY:
+        return detect_rules(files, rules + custom, config.marker, keep)
+    many = _to_findings(_by_python(files, custom, keep), first_and_count(config.marker), keep)
+    return union_findings(detect_rules(files, rules, config.marker, keep), many)
 
 
 def detect_family(files: DataFrame, family: str, marker: str = tx.DEFAULT_MARKER) -> DataFrame:
@@ -193,34 +186,77 @@ def detect_project_patterns(
 ) -> DataFrame:
     """Findings of patterns that differ by project: ``patterns`` is (project, custom_patterns array).
 
-    Each project's patterns travel as one array, so a file is joined once and only its hits become
-    rows. Patterns without a JVM form are matched by Python's engine.
+    A project's patterns are broadcast as one array, so no file moves, and only hits become rows. Where
+    a project has more than ``MANY``, Python tries those that an automaton lets through; otherwise the
+    JVM tries each, and Python those that have no JVM form. Patterns too large to send are joined,
+    and the JVM tries them.
     """
-    compiled = patterns.select("project", compile_patterns(compat)(F.col("custom_patterns")).alias("rules"))
-    base = join_bounded(files.select("project", "path", "content"), compiled, ["project"], "inner")
-    hits = base.select(
-        "project", "path", "content",
-        F.inline(F.expr("filter(rules, r -> r.by_python OR rlike(content, r.pattern))")),
-    )
+    rules = durable(patterns.select("project", compile_patterns(compat)(F.col("custom_patterns")).alias("rules")))
+    most, size = rules.agg(F.max(F.size("rules")), F.sum(F.octet_length(F.to_json("rules")))).first()
+    columns = files.select("project", "path", "content")
+    if (size or 0) > BROADCAST_BYTES:
+        hits = match_project_patterns(skewed_join(columns, rules, ["project"], "inner"))
+    elif (most or 0) > MANY:
+        hits = match_project_patterns(columns, rules.collect())
+    else:
+        only = rules.where("exists(rules, r -> r.by_python)").withColumn("rules", F.filter("rules", lambda r: r["by_python"]))
+        hits = jvm_project_matches(columns.join(F.broadcast(rules), "project"))
+        rest = only.collect()
+        hits = hits.unionByName(match_project_patterns(columns, rest)) if rest else hits
     described = hits.select(
         "*", F.lit("Secrets").alias("category"), rank_of(F.col("severity")).alias("severity_rank"),
         F.lit(0).alias("check_ord"), (F.col("i") + CUSTOM_ORD).alias("rule_ord"), F.lit("HIGH").alias("confidence"),
         *[F.lit("").alias(c) for c in ("cwe_id", "cwe_name", "owasp", "fix_hint")],
-        tx.sentinel(F.col("content")).alias("mark"),
-    )
-    # texts go to Python only for the patterns that need it
-    by_python = _python_matches()(F.when(F.col("by_python"), F.col("content")), F.col("pattern"))
-    located = described.withColumn("found", by_python).withColumn(
-        "matches", F.when(F.col("by_python"), F.col("found")).otherwise(tx.match_lines())
     )
-    return _to_findings(located.drop("content", "pattern", "mark", "found"), first_and_count(marker))
+    return _to_findings(described, first_and_count(marker))
+
+
+RULE_FIELDS = ("i", "rule_id", "severity", "description", "remediation")
+
+
+def jvm_project_matches(base: DataFrame) -> DataFrame:
+    """Matches of the patterns with a JVM form, over files that carry their project's rules."""
+    hits = base.select("project", "path", "content", F.inline(F.expr("filter(rules, r -> NOT r.by_python AND rlike(content, r.pattern))")))
+    located = hits.withColumn("mark", tx.sentinel(F.col("content"))).withColumn("matches", tx.match_lines())
+    return located.select("project", "path", *RULE_FIELDS, "matches")
+
+
+def match_project_patterns(files: DataFrame, rules: list | None = None) -> DataFrame:
+    """Matches of the rules of each file's project, found by Python's engine.
+
+    ``rules`` are rows (project, rules), known to be small, that every task gets; without them each
+    file carries its project's. A task builds a project's automaton when it meets its first file.
+    """
+    fields = ("source", *RULE_FIELDS)
+    known = files.sparkSession.sparkContext.broadcast({r["project"]: [tuple(x[f] for f in fields) for x in r["rules"]] for r in rules} if rules is not None else None)
+    schema = T.StructType([
+        T.StructField("project", T.StringType()), T.StructField("path", T.StringType()), T.StructField("i", T.IntegerType()),
+        *(T.StructField(c, T.StringType()) for c in RULE_FIELDS[1:]), T.StructField("matches", T.ArrayType(MATCH)),
+    ])
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        built: dict[str, tuple[list, Patterns]] = {}
+        for batch in batches:
+            rows = []
+            for project, path, content, *carried in batch.itertuples(index=False, name=None):
+                if project not in built:
+                    mine = [tuple(x[f] for f in fields) for x in carried[0]] if carried else known.value.get(project, [])
+                    if len(built) >= PROJECTS_BUILT:
+                        built.clear()
+                    built[project] = mine, Patterns([r[0] for r in mine])
+                mine, patterns = built[project]
+                for k, found in patterns.matches(content) if isinstance(content, str) else ():
+                    rows.append((project, path, *mine[k][1:], [dict(zip(("line", "raw", "n"), f, strict=True)) for f in found]))
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return files.mapInPandas(work, schema)
 
 
 def compile_patterns(compat: bool = False):
     """Settings' custom patterns with defaults filled in and patterns in JVM syntax; bad ones are dropped."""
 
     @F.pandas_udf(
-        "array<struct<i:int,rule_id:string,pattern:string,severity:string,description:string,remediation:string,"
+        "array<struct<i:int,rule_id:string,pattern:string,source:string,severity:string,description:string,remediation:string,"
         "by_python:boolean>>"
     )
     def compile_all(custom: pd.Series) -> pd.Series:
@@ -233,7 +269,7 @@ def compile_patterns(compat: bool = False):
                     continue
                 native = jvm_pattern(rule.pattern)
                 out.append({
-                    "i": len(out), "rule_id": rule.rule_id, "pattern": native or rule.pattern, "severity": rule.severity,
+                    "i": len(out), "rule_id": rule.rule_id, "pattern": native or rule.pattern, "source": rule.pattern, "severity": rule.severity,
                     "description": rule.description, "remediation": rule.remediation, "by_python": native is None,
                 })
             return out

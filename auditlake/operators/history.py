@@ -6,6 +6,9 @@ work out which commit and file each hit belongs to.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 from auditlake.catalog.rules import ENTROPY_RULE, RULES
 from auditlake.functions import text as tx
 from auditlake.functions.dialect import to_jvm
+from auditlake.functions.literals import Finder
 from auditlake.operators.detect import rule_test
 from auditlake.operators.durable import durable
 from auditlake.operators.entropy import is_random_sql
@@ -97,16 +101,27 @@ def mark_still_present(findings: DataFrame, head: DataFrame) -> DataFrame:
 
     ``head`` is (repo, path, content). Findings are few next to head files, so they are written to
     the checkpoint folder once. A head file meets the lines of its findings as one row of parts of
-    ``LINES_A_ROW`` lines at most, so its content is joined a few times and not once per finding;
-    only lines that are present come out and are joined to the findings.
+    ``LINES_A_ROW`` lines at most, so its content is joined a few times and not once per finding, and
+    is read once for all lines of a part by an automaton over them. Only lines that are present come
+    out and are joined to the findings.
     """
     findings = durable(findings)
     lines = findings.select("repo", F.col("file_path").alias("path"), "line_text").distinct()
     part = F.floor(F.row_number().over(W.partitionBy("repo", "path").orderBy("line_text")) / LINES_A_ROW)
     wanted = lines.withColumn("part", part).groupBy("repo", "path", "part").agg(F.collect_list("line_text").alias("lines"))
     joined = join_bounded(head.select("repo", "path", "content"), wanted.drop("part"), ["repo", "path"], "inner")
-    there = F.filter("lines", lambda line: F.contains(F.col("content"), line))
-    found = joined.select("repo", F.col("path").alias("file_path"), F.explode(there).alias("line_text")).distinct().withColumn("still_present", F.lit(True))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c) for c in ("repo", "path", "content", "lines")), strict=True)
+            for repo, path, content, own in rows:
+                if content.is_valid:
+                    words = own.as_py()
+                    there = [words[k] for k in sorted(Finder(words).found(content.as_py()))]
+                    yield pa.RecordBatch.from_arrays([pa.array([v.as_py()] * len(there), pa.string()) for v in (repo, path)] + [pa.array(there, pa.string())], ["repo", "file_path", "line_text"])
+
+    present = joined.mapInArrow(work, "repo string, file_path string, line_text string")
+    found = present.distinct().withColumn("still_present", F.lit(True))
     return findings.join(found, ["repo", "file_path", "line_text"], "left").select(
         *findings.columns, F.coalesce("still_present", F.lit(False)).alias("still_present")
     )

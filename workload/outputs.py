@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.config import ScanConfig
 from auditlake.operators import baseline as bl
 from auditlake.operators import history as hi
 from auditlake.operators import rollup as ro
-from auditlake.operators.detect import detect
+from auditlake.operators.detect import detect, detect_project_patterns
 from auditlake.operators.durable import checkpoint_folder, durable
-from auditlake.plans.audit import audit_dependencies, gate_by_project, report_findings, scan_by_project
+from auditlake.plans.audit import audit_dependencies, audit_history, gate_by_project, report_findings, scan_by_project
 from auditlake.sinks import documents as doc
 from auditlake.sinks import report as rp
 from auditlake.sources import settings as st
-from auditlake.sources.tree import read_tree, stream_tree
+from auditlake.sources.commit_log import read_logs
+from auditlake.sources.tree import read_corpus, read_tree, stream_tree
 from auditlake.streaming.life import finding_life
 from auditlake.streaming.scan import stream_new_findings, stream_scan, stream_severity_windows
 from workload import corpus as co
@@ -439,3 +441,96 @@ def tree_streamed(spark, sf_dir):
         stream = stream_tree(spark, root, f"{own}/marks").select("project", "path", F.sha1("content").alias("digest"))
         stream.writeStream.option("checkpointLocation", f"{own}/state").trigger(availableNow=True).format("parquet").start(f"{own}/out").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{own}/out").groupBy("project", "path", "digest").agg(F.count("*").alias("times"))
+
+
+# --- thousands of patterns ------------------------------------------------------------------------
+
+# Each document ends in two lines with marks of parts; each project has a pattern for each of its parts.
+_MARK_SQL = """marked_files AS (
+  SELECT doc_id, project, path, content || chr(10) || 'use(tok-' || k1 || '-x1)' || chr(10) || 'TOK-' || k2 || '-y2 tok-' || k2 || '-z3' AS content
+  FROM (SELECT *, doc_id * 7 % (SELECT count(*) FROM part) + 1 AS k1, doc_id * 13 % (SELECT count(*) FROM part) + 1 AS k2 FROM corpus_files)),
+mark_lines AS (SELECT doc_id, project, path, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS nth FROM marked_files)"""
+
+
+def _marked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = co.read(spark, sf_dir, "part").count()
+    i = F.col("doc_id")
+    k1, k2 = ((i * n % parts + 1).cast("string") for n in (7, 13))
+    lines = F.concat(F.lit("\nuse(tok-"), k1, F.lit("-x1)\nTOK-"), k2, F.lit("-y2 tok-"), k2, F.lit("-z3"))
+    return co.corpus_files(spark, sf_dir).withColumn("content", F.concat("content", lines))
+
+
+@query("many_patterns", f"""WITH {co.CORPUS_SQL}, {_MARK_SQL},
+hits AS (SELECT project, path, nth, unnest(regexp_extract_all(line, '(?i)tok-([0-9]+)-[a-z][0-9]', 1)) AS k FROM mark_lines)
+SELECT project, path AS file_path, 'TOK-' || k AS rule_id, CAST(min(nth) AS INT) AS line_number, count(*) AS match_count
+FROM hits JOIN part ON p_partkey = CAST(k AS BIGINT) AND 'p' || (p_partkey % {co.PROJECTS}) = project GROUP BY ALL""")
+def many_patterns(spark, sf_dir):
+    """A pattern for every part, in three forms, each for one project."""
+    k = F.col("p_partkey")
+    key = k.cast("string")
+    pattern = F.when(k % 3 == 0, F.concat(F.lit("tok-"), key, F.lit("-[a-z]\\d"))).when(
+        k % 3 == 1, F.concat(F.lit("(?:tok|key)-"), key, F.lit("-[a-z]\\d"))).otherwise(F.concat(F.lit("\\btok-"), key, F.lit("-(?P<x>[a-z])\\d")))
+    fields = {"pattern": pattern, "rule_id": F.concat(F.lit("TOK-"), key)} | {c: F.lit(None).cast("string") for c in ("severity", "description", "remediation")}
+    one = F.struct(*[v.alias(c) for c, v in fields.items()])
+    patterns = co.read(spark, sf_dir, "part").groupBy(F.concat(F.lit("p"), (k % co.PROJECTS).cast("string")).alias("project")).agg(F.collect_list(one).alias("custom_patterns"))
+    found = detect_project_patterns(_marked_files(spark, sf_dir), patterns)
+    return found.select("project", "file_path", "rule_id", "line_number", "match_count")
+
+
+@query("python_patterns", f"""WITH {co.CORPUS_SQL}, {_MARK_SQL},
+hits AS (SELECT project, path, nth, 'ODD-1' AS rule_id, len(regexp_extract_all(line, '(?i)tok-[0-9]+-y[0-9]|none[0-9]')) AS n FROM mark_lines
+  UNION ALL SELECT project, path, nth, 'ODD-2', len(regexp_extract_all(line, '(?i)use\\(tok-[0-9]*7-')) FROM mark_lines)
+SELECT project, path AS file_path, rule_id, CAST(min(nth) AS INT) AS line_number, CAST(sum(n) AS BIGINT) AS match_count FROM hits WHERE n > 0 GROUP BY ALL""")
+def python_patterns(spark, sf_dir):
+    """Patterns that the JVM refuses: a condition on a group, and a place that is left and taken again."""
+    odd = ({"pattern": r"(?P<t>tok-)?(?(t)\d+-y|none)\d", "rule_id": "ODD-1"}, {"pattern": r"(?P<u>use)?(?(u)\(tok-\d*7-|\Z\Bx)", "rule_id": "ODD-2"})
+    found = detect(_marked_files(spark, sf_dir), ScanConfig(checks=("secrets",), custom_patterns=odd))
+    return found.where(F.col("rule_id").startswith("ODD")).select("project", "file_path", "rule_id", "line_number", "match_count")
+
+
+# --- files read and read back ---------------------------------------------------------------------
+
+
+def _log_files(log: DataFrame, folder: str) -> int:
+    """Write (repo, seq, line) as a log file for each repository."""
+
+    def write(part):
+        import os
+
+        os.makedirs(folder, exist_ok=True)
+        with open(os.path.join(folder, f"{part['repo'].iloc[0]}.log"), "w", encoding="utf-8", newline="") as f:
+            f.writelines(f"{x}\n" for x in part.sort_values("seq")["line"])
+        return part[["repo"]].head(1)
+
+    return log.groupBy("repo").applyInPandas(write, "repo string").count()
+
+
+@query("audit_history", f"""WITH {_HISTORY_SQL}
+SELECT repo, fingerprint, rule_id, path AS file_path, sha1(CAST(doc_id AS VARCHAR)) AS commit_hash, lang AS commit_author,
+  CASE WHEN still_present THEN 'still present' ELSE 'removed' END AS status FROM marked""")
+def history_audit(spark, sf_dir):
+    """Log files, read in parallel, to findings that must be fixed or rotated."""
+    folder = _mounted(spark, "logs")
+    _log_files(co.commit_log(spark, sf_dir), folder)
+    found = hi.classify_changes(audit_history(read_logs(spark, f"file://{folder}"), co.head_files(spark, sf_dir)))
+    return found.select("repo", "fingerprint", "rule_id", "file_path", "commit_hash", "commit_author", "status")
+
+
+@query("baseline_read_back", f"""WITH {_NEXT_FOUND}
+SELECT {CORE_SQL} FROM found f WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.project = f.project AND k.fingerprint = f.fingerprint)""")
+def baseline_read_back(spark, sf_dir):
+    """A corpus of bytes and a baseline, both written as tables and read by the library."""
+    folder = _mounted(spark, "tables")
+    raw = co.corpus_files(spark, sf_dir).withColumn("content", F.encode("content", "utf-8"))
+    raw.write.parquet(f"file://{folder}/corpus")
+    doc.write_baseline(detect(co.corpus_next(spark, sf_dir)), f"file://{folder}/baseline")
+    found = detect(read_corpus(spark, f"file://{folder}/corpus"))
+    return bl.apply_baseline(found, st.load_baseline(spark, f"file://{folder}/baseline")).select(*CORE)
+
+
+@query("problem_lines_read_back", f"""WITH {_ALL_FOUND}
+SELECT project, file_path || ':' || CAST(line_number AS VARCHAR) || ': ' || {_LEVEL_SQL} || ': [' || rule_id || '] ' || description AS text FROM found""")
+def problem_lines_read_back(spark, sf_dir):
+    folder = _mounted(spark, "documents")
+    doc.write_documents(doc.problem_lines(all_findings(spark, sf_dir)), f"file://{folder}")
+    return spark.read.text(f"file://{folder}").select("project", F.col("value").alias("text"))
