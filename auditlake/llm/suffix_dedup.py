@@ -20,8 +20,8 @@ LENGTH, GRAM = 100, 24
 BLOCK, STRETCH = 4 << 20, 1 << 18
 #: Places of a gram in all texts from which on its strings are looked for one by one.
 HOT = 2048
-#: Windows whose suffixes are sorted at once, as far as groups allow.
-WINDOWS = 1 << 18
+#: Windows and bytes of spans that are compared at once, as far as groups allow.
+WINDOWS, BYTES = 1 << 18, 1 << 21
 #: Bytes of rows with blocks that go to a Python worker at once.
 BATCH = "16m"
 
@@ -49,11 +49,15 @@ def letters() -> np.ndarray:
     return np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@cache
+KNOWN_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, np.uint64)
-    out[0] = 1
-    return out.cumprod(dtype=np.uint64)
+    if len(KNOWN_POWERS.get(base, ())) < size:
+        out = np.full(1 << size.bit_length(), base, np.uint64)
+        out[0] = 1
+        KNOWN_POWERS[base] = out.cumprod(dtype=np.uint64)
+    return KNOWN_POWERS[base]
 
 
 class Prefixes:
@@ -61,9 +65,8 @@ class Prefixes:
 
     def __init__(self, data: np.ndarray):
         self.data = data
-        size = 1 << max(len(data), 1).bit_length()
-        self.back = powers(INVERSE, size)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), (letters()[data] * powers(BASE, size)[: len(data)]).cumsum(dtype=np.uint64)))
+        self.back = powers(INVERSE, len(data) + 1)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), (letters()[data] * powers(BASE, len(data) + 1)[: len(data)]).cumsum(dtype=np.uint64)))
 
     def hash(self, at: np.ndarray, length) -> np.ndarray:
         return (self.sums[at + length] - self.sums[at]) * self.back[at]
@@ -137,8 +140,8 @@ def sort_suffixes(text: Prefixes, start: np.ndarray, segment: np.ndarray, length
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Whether strings of one length are equal, and whether the first is not after the second: byte by byte."""
     equal, ordered = np.zeros(len(a), bool), np.zeros(len(a), bool)
-    for i in range(0, len(a), 1 << 15):
-        some = slice(i, i + (1 << 15))
+    for i in range(0, len(a), 1 << 13):
+        some = slice(i, i + (1 << 13))
         x, y = (data[p[some, None] + np.arange(length)] for p in (a, b))
         differ = x != y
         equal[some] = ~differ.any(axis=1)
@@ -179,9 +182,8 @@ def repeated(data: np.ndarray, spans: np.ndarray, begin: np.ndarray, length: int
     out = np.zeros(int(windows.sum()), bool)
     if not len(spans):
         return out
-    text = Prefixes(data)
     rank = ranks(spans["none"], spans["doc_id"], spans["tie"], spans["offset"])
-    whole = text.hash(begin, windows + length - 1)
+    whole = span_hashes(data, begin, windows + length - 1)
     order = np.lexsort((rank, whole, windows, spans["lead"], spans["key"]))
     kind = changes(*(v[order] for v in (whole, windows, spans["lead"], spans["key"])))
     first = np.empty(len(order), np.int64)
@@ -195,6 +197,10 @@ def repeated(data: np.ndarray, spans: np.ndarray, begin: np.ndarray, length: int
     single = single[np.lexsort((rank[single], spans["key"][single]))]
     group = changes(spans["key"][single])
     single = single[np.bincount(group)[group] > 1]
+    sizes = windows[single] + length - 1
+    text = Prefixes(cut_out(data, begin[single], sizes))
+    place_of = np.zeros(len(spans), np.int64)
+    place_of[single] = sizes.cumsum() - sizes
     which = np.repeat(single, windows[single])
     step = np.arange(len(which)) - np.repeat(windows[single].cumsum() - windows[single], windows[single])
     lead = spans["lead"][which] - step
@@ -203,7 +209,7 @@ def repeated(data: np.ndarray, spans: np.ndarray, begin: np.ndarray, length: int
     segment = changes(lead, spans["key"][which])
     many = np.bincount(segment)[segment] > 1 if len(segment) else np.zeros(0, bool)
     which, step, segment = which[many], step[many], segment[many]
-    order, classes = equal_windows(text, begin[which] + step, segment, length)
+    order, classes = equal_windows(text, place_of[which] + step, segment, length)
     own_rank = (rank[which] + step)[order]
     least = own_rank[np.flatnonzero(np.diff(classes, prepend=-1))][classes - classes[0]] if len(classes) else own_rank
     out[(starts[which] + step)[order]] = own_rank > least
@@ -215,6 +221,17 @@ def repeated(data: np.ndarray, spans: np.ndarray, begin: np.ndarray, length: int
     return out
 
 
+def span_hashes(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of whole spans, as many at once as BYTES allow."""
+    out, total, at = [np.zeros(0, np.uint64)], sizes.cumsum(), 0
+    while at < len(sizes):
+        to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + BYTES, "right")), at + 1)
+        own = sizes[at:to]
+        out.append(Prefixes(cut_out(data, begin[at:to], own)).hash(own.cumsum() - own, own))
+        at = to
+    return np.concatenate(out)
+
+
 def changes(*columns: np.ndarray) -> np.ndarray:
     """Numbers of the runs of equal rows, from 0."""
     if not len(columns[0]):
@@ -351,17 +368,22 @@ def cut_out(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarra
 
 
 def judged(data: np.ndarray, spans: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
-    """``repeated`` for spans sorted by key, some whole keys at a time."""
-    total = spans["windows"].astype(np.int64).cumsum()
+    """``repeated`` for spans sorted by key, some whole keys at a time. Keys of a single span need no comparison."""
+    windows = spans["windows"].astype(np.int64)
+    total = windows.cumsum()
     ends = np.append(np.flatnonzero(spans["key"][1:] != spans["key"][:-1]) + 1, len(spans)) if len(spans) else np.zeros(0, np.int64)
+    several = np.diff(ends, prepend=0) > 1
     out, at = [np.zeros(0, bool)], 0
     while at < len(spans):
-        reach = (total[at - 1] if at else 0) + WINDOWS
-        k = np.searchsorted(total[ends - 1], reach, "right")
+        k = np.searchsorted(total[ends - 1], (total[at - 1] if at else 0) + WINDOWS, "right")
         to = max(int(ends[k - 1]) if k else 0, int(ends[np.searchsorted(ends, at, "right")]))
-        own = spans[at:to]
-        sizes = own["windows"].astype(np.int64) + length - 1
-        out.append(repeated(cut_out(data, begin[at:to], sizes), own, sizes.cumsum() - sizes, length))
+        first, last = np.searchsorted(ends, (at, to), "right")
+        own = at + np.flatnonzero(np.repeat(several[first:last], np.diff(ends, prepend=0)[first:last]))
+        flags = np.zeros(int(windows[at:to].sum()), bool)
+        starts = windows[at:to].cumsum() - windows[at:to]
+        n = windows[own]
+        flags[np.repeat(starts[own - at] - (n.cumsum() - n), n) + np.arange(int(n.sum()))] = repeated(data, spans[own], begin[own], length)
+        out.append(flags)
         at = to
     return np.concatenate(out)
 
@@ -512,10 +534,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
                 np.add.at(gone, runs[:, 0], 1)
                 np.add.at(gone, runs[:, 1] + length, -1)
                 gone = gone.cumsum()[: len(data)] > 0
+                rows = []
                 for doc_id, a, b in zip(own["doc_id"], (ends - sizes).tolist(), ends.tolist(), strict=True):
                     mine = np.flatnonzero(np.diff(gone[a:b].view(np.int8), prepend=0, append=0))
                     spans = [{"begin": x, "end": y} for x, y in mine.reshape(-1, 2).tolist()]
-                    yield [(doc_id, b - a, spans, data[a:b][~gone[a:b]].tobytes())]
+                    rows.append((doc_id, b - a, spans, data[a:b][~gone[a:b]].tobytes() if spans else data[a:b].tobytes()))
+                yield rows
 
     small_batches(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
