@@ -17,6 +17,7 @@ from auditlake.operators import dependencies as dep
 from auditlake.operators import history as hi
 from auditlake.operators import profile as pf
 from auditlake.operators import rollup as ro
+from auditlake.operators.advisory_ranges import match_advisory_intervals
 from auditlake.operators.detect import applies, detect, detect_entropy, detect_family, detect_rules, with_ext
 from auditlake.operators.findings import (
     enrich_confidence,
@@ -643,6 +644,48 @@ def version_ranges(spark, sf_dir):
     return co.read(spark, sf_dir, "events").select("event_id", version.alias("version"), dep.in_ranges(version, ranges).alias("affected"))
 
 
+# Advisories made from the events, of six kinds of ranges; packages from the orders. A version's place is a number that sorts like it.
+_RANGE_KINDS = (
+    '{{"introduced":"{a}"}},{{"fixed":"{b}"}}', '{{"introduced":"0"}},{{"fixed":"{b}"}}', '{{"last_affected":"{b}"}},{{"introduced":"{a}"}}',
+    '{{"introduced":"{a}"}},{{"fixed":"{b}"}},{{"introduced":"{c}"}}', '{{"fixed":"{c}"}},{{"introduced":"{b}"}},{{"fixed":"{a}"}},{{"introduced":"0"}}',
+    '{{"introduced":"{a}"}},{{"fixed":"{b}"}}]}},{{"type":"SEMVER","events":[{{"introduced":"{a}"}},{{"last_affected":"{c}"}}',
+)
+_LIBS = 300
+
+
+@query("advisory_table", f"""WITH records AS (SELECT event_id AS i, 'lib' || (event_id % {_LIBS}) AS name, CASE WHEN event_id % 2 = 0 THEN 'python' ELSE 'npm' END AS ecosystem, event_id % 6 AS kind,
+    event_id % 3 AS a0, event_id % 7 AS a1, 3 + event_id % 4 AS b0, event_id % 11 AS b1, 7 + event_id % 2 AS c0, event_id % 5 AS c1 FROM events),
+advisory AS (SELECT *, a0 * 10000 + a1 * 100 AS a, b0 * 10000 + b1 * 100 AS b, c0 * 10000 + c1 * 100 AS c FROM records),
+asked AS (SELECT o_orderkey, o_orderkey % 97 AS p, 'lib' || (o_orderkey % {_LIBS * 2}) AS name, CASE WHEN o_orderkey % 4 < 2 THEN 'python' ELSE 'npm' END AS ecosystem, o_orderkey % 10 AS x, o_custkey % 12 AS y,
+    o_orderkey % 2 AS z, o_custkey % 5 = 0 AS early, o_orderkey % 40 = 3 AS none FROM orders),
+package AS (SELECT *, x * 10000 + y * 100 + z - CASE WHEN early THEN 0.5 ELSE 0 END AS place, x || '.' || y || CASE WHEN z > 0 THEN '.1' ELSE '' END || CASE WHEN early THEN '-rc.2' ELSE '' END AS version FROM asked)
+SELECT 's' || p AS project, p.name AS package, CASE WHEN none THEN NULL ELSE version END AS version, 'svc' || o_orderkey || '/requirements.txt' AS file_path, 'CVE-' || i AS cve_id, 'HIGH' AS severity
+FROM package p JOIN advisory v ON v.name = p.name AND v.ecosystem = p.ecosystem
+WHERE none OR (i % 50 = 0 AND version = '9.' || (i % 12)) OR CASE kind WHEN 0 THEN place >= a AND place < b WHEN 1 THEN place < b WHEN 2 THEN place >= a AND place <= b WHEN 3 THEN place >= a AND place < b OR place >= c
+  WHEN 4 THEN place < a OR place >= b AND place < c ELSE place >= a AND place <= c END""")
+def advisory_table(spark, sf_dir):
+    """Packages of the orders against an advisory for every event, as intervals."""
+    i, o, k = F.col("event_id"), F.col("o_orderkey"), F.col("o_custkey")
+    numbers = {"a": (i % 3, i % 7), "b": (3 + i % 4, i % 11), "c": (7 + i % 2, i % 5)}
+    events = F.element_at(F.array(*[F.lit(t.format(a="{a}", b="{b}", c="{c}")) for t in _RANGE_KINDS]), (i % 6 + 1).cast("int"))
+    for name, (major, minor) in numbers.items():
+        events = F.replace(events, F.lit("{" + name + "}"), F.concat_ws(".", major.cast("string"), minor.cast("string")))
+    listed = F.when(i % 50 == 0, F.concat(F.lit('"9.'), (i % 12).cast("string"), F.lit('"'))).otherwise("")
+    payload = F.concat(
+        F.lit('{"id":"A-'), i.cast("string"), F.lit('","aliases":["CVE-'), i.cast("string"), F.lit('"],"summary":"s","affected":[{"package":{"ecosystem":"'),
+        F.when(i % 2 == 0, "PyPI").otherwise("npm"), F.lit('","name":"Lib'), (i % _LIBS).cast("string"), F.lit('"},"versions":['), listed,
+        F.lit('],"ranges":[{"type":"ECOSYSTEM","events":['), events, F.lit("]}]}]}"),
+    )
+    advisories = adv.read_advisories(adv.advisories_from_json(co.read(spark, sf_dir, "events").select(payload.alias("payload"))))
+    version = F.concat((o % 10).cast("string"), F.lit("."), (k % 12).cast("string"), F.when(o % 2 > 0, ".1").otherwise(""), F.when(k % 5 == 0, "-rc.2").otherwise(""))
+    name = F.concat(F.lit("lib"), (o % (2 * _LIBS)).cast("string"))
+    packages = co.read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("s"), (o % 97).cast("string")).alias("project"), F.concat(F.lit("svc"), o.cast("string"), F.lit("/requirements.txt")).alias("path"),
+        F.when(o % 4 < 2, "python").otherwise("npm").alias("ecosystem"), name.alias("name"), name.alias("original"), F.when(o % 40 != 3, version).alias("version"),
+    )
+    return match_advisory_intervals(packages, advisories).select("project", "package", "version", "file_path", "cve_id", "severity")
+
+
 @query("advisory_severity", """SELECT event_id, CASE WHEN l = 'MODERATE' THEN 'MEDIUM' WHEN l = 'IMPORTANT' THEN 'HIGH' WHEN l = 'NEGLIGIBLE' THEN 'LOW'
   WHEN l IN ('CRITICAL', 'HIGH', 'MEDIUM', 'LOW') THEN l ELSE 'HIGH' END AS severity,
   CASE event_id % 3 WHEN 0 THEN 'CVE-' || CAST(event_id AS VARCHAR) WHEN 1 THEN 'A-' || CAST(event_id AS VARCHAR) ELSE 'UNKNOWN' END AS cve_id
