@@ -14,6 +14,7 @@ from auditlake.operators.durable import checkpoint_folder, durable
 from auditlake.plans.audit import audit_dependencies, audit_history, gate_by_project, report_findings, scan_by_project
 from auditlake.sinks import documents as doc
 from auditlake.sinks import report as rp
+from auditlake.sources import advisories as adv
 from auditlake.sources import settings as st
 from auditlake.sources.commit_log import read_logs
 from auditlake.sources.tree import read_corpus, read_tree, stream_tree
@@ -181,7 +182,7 @@ def profile_document(spark, sf_dir):
     return doc.profile_json(_profiles(spark, sf_dir))
 
 
-@query("report_sections", f"""WITH {_ALL_FOUND},
+_REPORT_SQL = f"""WITH {_ALL_FOUND},
 counts AS (SELECT project, count(*) AS total, {_COUNTS_SQL} FROM found GROUP BY project),
 {_PROFILE_SQL.replace('files AS (', 'pfiles AS (', 1).replace('FROM files', 'FROM pfiles')}
 SELECT project, 1 AS section, 0 AS ord, CASE WHEN critical > 0 THEN 'Deployment blocked, critical findings: ' || critical WHEN high > 0 THEN 'Action required, high findings: ' || high
@@ -199,7 +200,10 @@ UNION ALL SELECT project, 3, 5, 'Assistants: ' || array_to_string(tools, ', ') F
 UNION ALL SELECT project, 4, CAST(4 - severity_rank AS INT), '[' || rule_id || '] ' || severity || ' ' || description || ' | ' || file_path || ':' || line_number || ' | ' || cwe_id || ' ' || owasp
   || ' | ' || {_MASKED_SQL} || ' | ' || remediation FROM found
 UNION ALL SELECT project, 7, 0, '1: fix every critical finding before deployment' FROM counts WHERE critical > 0
-UNION ALL SELECT project, 7, 1, '2: schedule the high findings next' FROM counts WHERE high > 0""")
+UNION ALL SELECT project, 7, 1, '2: schedule the high findings next' FROM counts WHERE high > 0"""
+
+
+@query("report_sections", _REPORT_SQL)
 def report_sections(spark, sf_dir):
     files = co.corpus_files(spark, sf_dir)
     found = durable(detect(files))
@@ -208,6 +212,34 @@ def report_sections(spark, sf_dir):
     return sections.select("project", "section", "ord", "text")
 
 
+# Manifests and another scanner's reports of the same projects, by their numbers.
+_DEPENDENCY_CTES = _dependency_sql().removeprefix("WITH ").split(",\nplaced AS")[0]
+_COMPLETE_SQL = _REPORT_SQL.replace("WITH ", f"WITH {_DEPENDENCY_CTES},\n", 1).replace(
+    "UNION ALL SELECT project, 2, 5, 'Dependencies: 0' FROM counts",
+    f"""UNION ALL SELECT c.project, 2, 5, 'Dependencies: ' || count(e.project) FROM counts c LEFT JOIN (SELECT 'p' || (CAST(substr(project, 2) AS INT) % {co.PROJECTS}) AS project FROM every) e USING (project) GROUP BY 1
+UNION ALL SELECT 'p' || (CAST(substr(project, 2) AS INT) % {co.PROJECTS}), 5, 0, '[' || severity || '] ' || package || ' (' || issue_type || ') ' || coalesce(version, 'Unknown') || ' | ' || description || ' | ' || file_path || ' | ' || remediation FROM every
+UNION ALL SELECT 'p' || (s_suppkey % {co.PROJECTS}), 6, 0, '[ERROR] r.' || s_suppkey || ' | CWE-1, CWE-2 A1 | f' || s_suppkey || '.py:' || s_suppkey || ' | m' FROM supplier
+UNION ALL SELECT 'p' || (s_suppkey % {co.PROJECTS}), 6, 0, '[WARNING]  |   | :0 | ' FROM supplier""")
+
+
+@query("report_complete", _COMPLETE_SQL)
+def report_complete(spark, sf_dir):
+    """All seven sections: code, profile, dependencies and another scanner's findings of the same projects."""
+    files = co.corpus_files(spark, sf_dir)
+    found = durable(detect(files))
+    named = lambda key: F.concat(F.lit("p"), (key % co.PROJECTS).cast("string"))
+    manifests = co.manifests(spark, sf_dir).withColumn("project", named(F.substring("project", 2, 9).cast("int")))
+    dependencies = durable(audit_dependencies(manifests, co.advisory_rows(spark)))
+    k = F.col("s_suppkey").cast("string")
+    payload = F.concat(
+        F.lit('{"results":[{"check_id":"r.'), k, F.lit('","path":"f'), k, F.lit('.py","start":{"line":'), k,
+        F.lit('},"extra":{"severity":"error","message":"m","metadata":{"cwe":["CWE-1","CWE-2"],"owasp":"A1"}}},{}]}'),
+    )
+    external = adv.ingest_semgrep(co.read(spark, sf_dir, "supplier").select(named(F.col("s_suppkey")).alias("project"), payload.alias("payload")))
+    sections = rp.report_sections(found, ro.project_summary(found, files), dependencies, _profiles(spark, sf_dir), external)
+    return sections.select("project", "section", "ord", "text")
+
+
 @query("report_findings", f"""WITH {_NEXT_FOUND}
 SELECT {CORE_SQL} FROM found f WHERE severity_rank >= 3 AND NOT EXISTS (SELECT 1 FROM known k WHERE k.project = f.project AND k.fingerprint = f.fingerprint)""")
 def reported(spark, sf_dir):
