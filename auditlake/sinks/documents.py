@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import scoring as sc
 from auditlake.functions import text as tx
-from auditlake.operators.joins import skewed_join
+from auditlake.operators.joins import join_bounded
 
 TOOL_NAME = "auditlake"
 TOOL_VERSION = "1.0.0"
@@ -45,17 +45,20 @@ def _finding_key() -> Column:
 def _with_commas(items: DataFrame) -> DataFrame:
     """(project, part, key, text) rows as JSON array items: a comma before every item but the first.
 
-    The first item is found by a merged minimum per project, not by numbering the items. Equal rows
-    are counted, merged before the shuffle, and written out again, so that only one can be first.
+    Items are ordered by key and a hash of the text, so no text is shuffled: the first place of each
+    project is a merged minimum over keys and hashes, a row per project, measured and sent to the
+    items. Only the rows at that place move; of equal ones, which are counted, one is first.
     """
-    place = F.struct("key", "text")
-    first = items.groupBy("project").agg(F.min(place).alias("first"))
-    counted = items.groupBy("project", "part", "key", "text").agg(F.count("*").alias("copies"))
-    rows = skewed_join(counted, first, ["project"], "inner").select(
-        "*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
-    )
-    comma = F.when((place > F.col("first")) | (F.col("copy") > 1), F.lit(",")).otherwise(F.lit(""))
-    return rows.select("project", "part", "key", F.concat(comma, F.col("text")).alias("text"))
+    hashed = items.withColumn("place", F.struct("key", F.xxhash64("text").alias("h")))
+    counted = hashed.groupBy("project", "place").agg(F.count("*").alias("copies"))
+    first = counted.groupBy("project").agg(F.min(F.struct("place", "copies")).alias("first"))
+    rows = join_bounded(hashed, first, ["project"], "inner")
+    columns = ("project", "part", "key")
+    later = rows.where("place <> first.place").select(*columns, F.concat(F.lit(","), "text").alias("text"))
+    one = rows.where("place = first.place").dropDuplicates(["project"])
+    comma = F.when(F.col("copy") > 1, ",").otherwise("")
+    copies = one.select("*", F.explode(F.sequence(F.lit(1), F.col("first.copies").cast("int"))).alias("copy"))
+    return later.unionByName(copies.select(*columns, F.concat(comma, "text").alias("text")))
 
 
 def _line(projects: DataFrame, part: int, text: Column) -> DataFrame:

@@ -343,3 +343,20 @@ def test_closed_windows_leave_late_rows_out(spark, folder):
         source = spark.readStream.schema(layout).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
         counts = run(stream_severity_windows(stream_scan(source, ScanConfig(checks=("injection",)))), f"{folder}/w")
     assert sorted((r.window_start.hour, r.findings) for r in counts) == [(0, 1), (3, 2)]
+
+
+def test_commas_move_no_texts(spark):
+    """One item of each project is first, also of equal ones, and texts stay out of the exchanges by hash."""
+    from auditlake.sinks.documents import _with_commas
+
+    rows = [("a", 1, (k % 3, "x"), f"text {k % 2}") for k in range(12)] + [("b", 1, (0, "y"), "same")] * 3 + [("c", 1, (1, "z"), "one")]
+    items = spark.createDataFrame(rows, "project string, part int, key struct<n:int,s:string>, text string").repartition(3)
+    out = _with_commas(items)
+    got = sorted((r.project, r.text.lstrip(","), r.text.startswith(",")) for r in out.collect())
+    assert sorted((p, t) for p, t, _ in got) == sorted((r[0], r[3]) for r in rows)
+    assert sorted(p for p, _, comma in got if not comma) == ["a", "b", "c"]
+    least = min((k, "text 0") for k in [(0, "x")])
+    assert [r.key["n"] for r in out.collect() if r.project == "a" and not r.text.startswith(",")] == [least[0][0]]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("text" in line.split("hashpartitioning")[1].split(")")[0] for line in exchanges)
