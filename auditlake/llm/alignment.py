@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ BLOCK = 4 << 20
 LINKS, SINGLE = 1 << 20, 4096
 #: Chunks of text that a task remembers.
 CHUNKS_KNOWN = 300_000
+#: Ends that are compared one by one before stretches are.
+SINGLY = 4
 #: Bytes of rows with blocks that go to a Python worker at once.
 BATCH = "16m"
 
@@ -78,8 +81,10 @@ class PieceSide(Side):
         return self.processor.encode(text)
 
 
-#: What may be encoded otherwise in a chunk of its own than in its text: signs that libraries take for white space or not, and endless words.
-ODD = re.compile("[\x00\x1c-\x1f▁]|\\S{1000}|\\s{1000}")
+#: Signs that libraries take for white space or not, or that stand for another one: texts with them, or with endless words, are encoded as wholes.
+ODD, ENDLESS = "\x00\x1c\x1d\x1e\x1f▁", 1000
+#: A space, where both vocabularies begin anew, and a sign that texts with it (``ODD``) keep from being cut into chunks.
+BETWEEN = " \x1d"
 #: White space and the word after it. Both vocabularies begin anew there, so chunks repeat with the same ids.
 CHUNKS = re.compile(r"\s*\S+|\s+")
 
@@ -93,32 +98,56 @@ class Speller:
     """
 
     def __init__(self, a: ByteSide, b: PieceSide):
-        self.a, self.b, self.known = a, b, {}
+        self.a, self.b, self.bad = a, b, set()
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
         names = [b.processor.id_to_piece(i) for i in range(len(b.pieces))]
         later = [n.lstrip("▁") if n[0] == "▁" else n[1:] for n in names]
         #: white space that pieces have after their first sign (a carriage return, say): texts with it are encoded as wholes
         self.inner = {s for n in later for s in n if s.isspace() or s == "▁"}
-        self.by_chunks = a.encoder.fast is not None and "▁" not in self.inner
+        self.mark_a, self.mark_b = (side.ids("a" + BETWEEN)[len(side.ids("a")) :] for side in (a, b))
+        sign = BETWEEN[1].encode()
+        alone = all(p == sign for side in (a, b) for p in side.pieces if sign in p) and a.pieces[self.mark_a[-1]] == sign == b.pieces[self.mark_b[-1]]
+        self.by_chunks = a.encoder.fast is not None and "▁" not in self.inner and alone
 
     def learn(self, chunks: list[str]) -> None:
-        if len(self.known) > CHUNKS_KNOWN:
-            self.known.clear()
+        """Encode chunks as one text, with a sign between that no token of a chunk reaches over and that chunks don't have."""
+        words = [c for c in chunks if not c.isspace()]
+        text = BETWEEN + BETWEEN.join(words) + BETWEEN
+        parts = []
+        spelled = (" " + text).encode()
+        for side, drop in ((self.a, self.mark_a), (self.b, self.mark_b)):
+            ids = self.a.encoder.fast.encode_ordinary(" " + text) if side is self.a else side.ids(text)
+            if not side.spells(ids, spelled):
+                break
+            flat = np.array(ids, "<u4")
+            ends = np.flatnonzero(flat == drop[-1])
+            parts.append((flat.tobytes(), (ends[:-1] + 1).tolist(), (ends[1:] - len(drop) + 1).tolist()))
+        if len(parts) == 2 and all(len(x) == len(words) for _, *p in parts for x in p):
+            (a, *at_a), (b, *at_b) = parts
+            self.known[0].update((c, a[4 * i : 4 * j]) for c, i, j in zip(words, *at_a, strict=True))
+            self.known[1].update((c, b[4 * i : 4 * j]) for c, i, j in zip(words, *at_b, strict=True))
+        for c in chunks:
+            if c not in self.known[0]:
+                self.learn_alone(c)
+
+    def learn_alone(self, chunk: str) -> None:
+        a = self.a.encoder.ids(chunk)
         # a space before a text is its own; other white space is no part of a piece with it
-        own = [c[0] == " " for c in chunks]
-        pieces = self.b.processor.encode([c[1:] if s else c for c, s in zip(chunks, own, strict=True)], num_threads=1)
-        for c, s, b in zip(chunks, own, pieces, strict=True):
-            a, b, spelled = self.a.encoder.ids(c), b if s else b[1:], c.encode()
-            self.known[c] = (as_bytes(a), as_bytes(b)) if self.a.spells(a, spelled) and self.b.spells(b, spelled) else None
+        b = self.b.ids(chunk[1:]) if chunk[0] == " " else self.b.ids(chunk)[1:]
+        if not (self.a.spells(a, chunk.encode()) and self.b.spells(b, chunk.encode())):
+            self.bad.add(chunk)
+        self.known[0][chunk], self.known[1][chunk] = as_bytes(a), as_bytes(b)
 
     def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        if self.by_chunks and not ODD.search(text) and not any(s in text for s in self.inner):
-            chunks = CHUNKS.findall(" " + text)
-            new = [c for c in set(chunks) if c not in self.known]
+        chunks = CHUNKS.findall(" " + text) if self.by_chunks and not any(s in text for s in (*ODD, *self.inner)) else []
+        if chunks and max(map(len, chunks)) < ENDLESS:
+            if len(self.known[0]) > CHUNKS_KNOWN:
+                self.known[0].clear(), self.known[1].clear(), self.bad.clear()
+            new = set(chunks).difference(self.known[0])
             if new:
-                self.learn(new if len(self.known) <= CHUNKS_KNOWN else list(set(chunks)))
-            found = list(map(self.known.__getitem__, chunks))
-            if None not in found:
-                return tuple(np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in zip(*found, strict=True))
+                self.learn(list(new))
+            if self.bad.isdisjoint(chunks):
+                return tuple(np.frombuffer(b"".join(map(k.__getitem__, chunks)), "<u4").astype(np.int64) for k in self.known)
         ids = self.a.ids(text), self.b.ids(text)
         spelled = b" " + text.encode()
         return tuple(np.array(x, np.int64) for x in ids) if self.a.spells(ids[0], spelled) and self.b.spells(ids[1], spelled) else None
@@ -128,18 +157,21 @@ def irregular_groups(a: bytes, b: bytes) -> list[tuple[int, int, int, int]]:
     """Groups of more than a token to a token, as (from, from, to, to) of the two sides; all between them are one to one.
 
     ``a`` and ``b`` are token ends as unsigned 32-bit numbers, with the same last end. At the current
-    shift between the indices, stretches of both arrays are compared as wholes, each twice as long as
-    the last, until one differs; halving finds the place. There the side that is behind goes on, token
+    shift between the indices, a few ends are compared one by one, then stretches of both arrays as
+    wholes, each twice as long as the last, until one differs; halving finds the place. There the side that is behind goes on, token
     by token, until both end at the same byte, which gives the new shift.
     """
-    x, y = memoryview(a).cast("I"), memoryview(b).cast("I")
-    i = j = 0
+    n = len(a) // 4
+    x, y = (memoryview(v).cast("I") if n > BLOCK else array("I", v).tolist() for v in (a, b))
+    i = j = run = 0
     found = []
-    n = len(x)
     while i < n:
         p, q = x[i], y[j]
         if p == q:
-            step, growing = 1, True
+            i, j, run = i + 1, j + 1, run + 1
+            if run < SINGLY:
+                continue
+            step, growing = SINGLY, True
             while step:
                 u = 4 * (i + step)
                 if u <= 4 * n and a[4 * i : u] == b[4 * j : 4 * (j + step)]:
@@ -151,7 +183,7 @@ def irregular_groups(a: bytes, b: bytes) -> list[tuple[int, int, int, int]]:
             if i == n:
                 break
             p, q = x[i], y[j]
-        s, t = i, j
+        run, s, t = 0, i, j
         while p != q:
             if p < q:
                 i += 1
@@ -218,8 +250,10 @@ class Aligner:
         last_a[ends_a - 1] = last_b[ends_b - 1] = 1
         n_a, n_b = len(self.a.pieces), len(self.b.pieces)
         group_a, group_b = last_a.cumsum() - last_a, last_b.cumsum() - last_b
-        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
-        signs = np.concatenate((a + last_a * n_a, b + 2 * n_a + last_b * n_b))[order]
+        # before an id are those of its side, and those of the other up to its group
+        signs = np.empty(len(a) + len(b), np.int64)
+        signs[np.arange(len(a)) + (ends_b[group_a] - np.diff(ends_b, prepend=0)[group_a])] = a + last_a * n_a
+        signs[np.arange(len(b)) + ends_a[group_b]] = b + 2 * n_a + last_b * n_b
         return "".join(map(self.written.__getitem__, signs.tolist()))[:-1]
 
     def align(self, text: str | None) -> tuple[tuple, np.ndarray, np.ndarray] | None:
