@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from auditlake.llm.shared import map_rows, slices
-from auditlake.llm.tokens import WordEncoder
+from auditlake.llm.tokens import WordEncoder, load
 
 #: Texts with more characters are cut in halves until parts have no more.
 LEAF_CHARS = 1 << 15
@@ -172,8 +172,6 @@ def encode_documents(docs: DataFrame, tokenizer: str, leaf_chars: int = LEAF_CHA
 
     def meet(group: pa.Table) -> pa.Table:
         if not loaded:
-            from auditlake.llm.tokens import load
-
             loaded.append(Writer(load(tokenizer)))
         writer, group = loaded[0], group.sort_by("leaf")
         nodes = [Node(t, numbers(i)) for t, i in zip(group.column("text").to_pylist(), group.column("ids").to_pylist(), strict=True)]
