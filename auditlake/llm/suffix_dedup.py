@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,8 @@ WINDOWS, BYTES = 1 << 18, 1 << 21
 BATCH = "16m"
 
 BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+#: A number for every byte.
+LETTERS = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 PACKED = pa.list_(pa.struct([("bucket", pa.int32()), ("keys", pa.binary()), ("times", pa.binary())]))
 BLOCKS = pa.schema(
@@ -43,12 +44,6 @@ KEPT = pa.schema(
 )
 
 
-@cache
-def letters() -> np.ndarray:
-    """A number for every byte."""
-    return np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 KNOWN_POWERS: dict[int, np.ndarray] = {}
 
 
@@ -66,7 +61,7 @@ class Prefixes:
     def __init__(self, data: np.ndarray):
         self.data = data
         self.back = powers(INVERSE, len(data) + 1)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), (letters()[data] * powers(BASE, len(data) + 1)[: len(data)]).cumsum(dtype=np.uint64)))
+        self.sums = np.concatenate((np.zeros(1, np.uint64), (LETTERS[data] * powers(BASE, len(data) + 1)[: len(data)]).cumsum(dtype=np.uint64)))
 
     def hash(self, at: np.ndarray, length) -> np.ndarray:
         return (self.sums[at + length] - self.sums[at]) * self.back[at]
