@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,19 +71,33 @@ def count_sites(pairs: DataFrame, some: DataFrame, least_sites: int) -> DataFram
     return counted.groupBy("k0", "k1").agg(F.count("*").alias("sites")).where(F.col("sites") >= least_sites)
 
 
-def cut_text(text: str | None, flagged: set[tuple[int, int]], most_removed: float) -> tuple[str | None, int, int]:
-    """The text without flagged lines, its lines and those taken out; the whole text if more than ``most_removed`` of its line characters would go."""
-    import xxhash
+class Flagged:
+    """Flagged lines as two arrays of hashes, sorted by the first: 16 bytes a line, however many workers ask."""
+
+    def __init__(self, k0: np.ndarray, k1: np.ndarray):
+        self.k0, self.k1 = k0, k1
+
+    def holds(self, lines: list[str]) -> list[bool]:
+        """Which lines are flagged. The second hash is only made of lines whose first one is known."""
+        import xxhash
 
+        seeds = [xxhash.xxh64_intdigest(s.encode(), 42) for s in SALTS]
+        bare = [x.strip(SPACES).encode() for x in lines]
+        first = np.array([xxhash.xxh64_intdigest(b, seeds[0]) for b in bare], np.uint64).view(np.int64)
+        low, high = np.searchsorted(self.k0, first), np.searchsorted(self.k0, first, "right")
+        out = [False] * len(lines)
+        for k in np.flatnonzero(low < high).tolist():
+            second = np.uint64(xxhash.xxh64_intdigest(bare[k], seeds[1])).view(np.int64)
+            out[k] = bool((self.k1[low[k] : high[k]] == second).any())
+        return out
+
+
+def cut_text(text: str | None, flagged: Flagged, most_removed: float) -> tuple[str | None, int, int]:
+    """The text without flagged lines, its lines and those taken out; the whole text if more than ``most_removed`` of its line characters would go."""
     if text is None:
         return None, 0, 0
-    seeds = [xxhash.xxh64_intdigest(s.encode(), 42) for s in SALTS]
-    signed = lambda n: n - (1 << 64) if n >> 63 else n
     own = text.split("\n")
-    keep = []
-    for line in own:
-        bare = line.strip(SPACES).encode()
-        keep.append(tuple(signed(xxhash.xxh64_intdigest(bare, s)) for s in seeds) not in flagged)
+    keep = [not x for x in flagged.holds(own)]
     lost = sum(len(x) for x, k in zip(own, keep, strict=True) if not k)
     if lost > most_removed * sum(map(len, own)):
         return text, len(own), 0
@@ -93,11 +108,14 @@ def cut_in_place(docs: DataFrame, flagged: DataFrame, most_removed: float) -> Da
     """For few flagged lines, which every worker can hold: texts are cut where they are."""
     spark = docs.sparkSession
     small_batches(spark)
-    known = spark.sparkContext.broadcast([(r["k0"], r["k1"]) for r in flagged.select("k0", "k1").collect()])
+    keys = flagged.select("k0", "k1").toArrow()
+    k0, k1 = (keys.column(c).to_numpy() for c in ("k0", "k1"))
+    order = np.lexsort((k1, k0))
+    known = spark.sparkContext.broadcast((k0[order], k1[order]))
     kind = pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())])
 
     def work(texts: pa.Array) -> pa.Array:
-        lines = set(known.value)
+        lines = Flagged(*known.value)
         rows = [cut_text(t, lines, most_removed) for t in texts.to_pylist()]
         return pa.array([dict(zip(("text", "n_lines", "n_removed"), r, strict=True)) for r in rows], kind)
 

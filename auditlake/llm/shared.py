@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -45,11 +46,21 @@ def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[
             if rows:
                 columns = zip(zip(*rows, strict=True), schema.types, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], schema=schema)
+        give_back()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, from_arrow_schema(schema))
 
 
+def give_back() -> None:
+    """Return memory that a task no longer needs to the system: its worker lives on, next to others, and waits for a task."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Short runs of rows, so that what a task turns into Python objects stays small."""
     for batch in batches:

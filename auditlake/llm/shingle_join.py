@@ -19,6 +19,8 @@ from auditlake.operators.durable import durable
 GROWTH, PARTS = 1.25, 3
 #: Group hashes that are put together before the shuffle, and words and sets that a task remembers.
 BATCH, WORDS = 600_000, 150_000
+#: Sets whose counts are made at once.
+ROWS = 1024
 #: Counts of a document's point, points and shingles of a tile, and entries of a tree node.
 COUNTS, TILE_POINTS, TILE, FANOUT = 512, 8192, 2_000_000, 32
 
@@ -88,9 +90,13 @@ def shingle_sets(texts: list[str | None], n: int, known: Words) -> tuple[np.ndar
 
 def group_counts(h: np.ndarray, starts: np.ndarray, groups: int = COUNTS) -> np.ndarray:
     """For each set, how many of its shingles fall into each of ``groups`` hashed groups."""
-    part = ((h >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
-    sets = len(starts) - 1
-    return np.bincount(part + np.repeat(np.arange(sets), np.diff(starts)) * groups, minlength=sets * groups).reshape(sets, groups)
+    sets, sizes = len(starts) - 1, np.diff(starts)
+    out = np.empty((sets, groups), np.uint8 if sizes.max(initial=0) < 256 else np.uint32)
+    for k in range(0, sets, ROWS):  # counts are made as wide numbers, some sets at a time
+        own, n = h[starts[k] : starts[min(k + ROWS, sets)]], min(ROWS, sets - k)
+        part = ((own >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+        out[k : k + n] = np.bincount(part + np.repeat(np.arange(n), sizes[k : k + n]) * groups, minlength=n * groups).reshape(n, groups)
+    return out
 
 
 class Levels:
@@ -253,7 +259,10 @@ def join_bucket(group: pa.Table) -> pa.Table:
 
 
 class CountTree:
-    """A packed R-tree over count vectors. A box keeps the largest count of each group and the least and largest set size below it."""
+    """A packed R-tree over count vectors. A box keeps the largest count of each group and the least and largest set size below it.
+
+    Points can be marked with the component they are in (``mark``); boxes whose points are all in one component are then passed over for it.
+    """
 
     def __init__(self, counts: np.ndarray, sizes: np.ndarray, fanout: int = FANOUT):
         self.order = np.lexsort((counts.argmax(axis=1), sizes))
@@ -266,12 +275,24 @@ class CountTree:
             cuts = np.arange(0, len(high), fanout)
             high, low_size, high_size = np.maximum.reduceat(high, cuts), np.minimum.reduceat(low_size, cuts), np.maximum.reduceat(high_size, cuts)
 
-    def candidates(self, counts: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Points that may share enough with a point: the sum of the smaller counts bounds the overlap from above."""
+    def mark(self, root: np.ndarray) -> None:
+        """Note the component of every point, and the least and largest one of every box."""
+        low = high = root[self.order]
+        self.marks = [(low, high)]
+        for _ in self.levels[1:]:
+            cuts = np.arange(0, len(low), self.fanout)
+            low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
+            self.marks.append((low, high))
+
+    def candidates(self, counts: np.ndarray, size: int, percent: int, component: int | None = None) -> np.ndarray:
+        """Points that may share enough with a point: the sum of the smaller counts bounds the overlap from above. Those marked with ``component`` are left out."""
         at = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             high, low_size, high_size = self.levels[depth]
-            bound = np.minimum(high[at], counts).sum(axis=1)
+            if component is not None:
+                low, last = self.marks[depth]
+                at = at[(low[at] != component) | (last[at] != component)]
+            bound = np.minimum(high[at], counts).sum(axis=1, dtype=np.int64)
             fits = ((100 + percent) * bound >= percent * (size + low_size[at])) & (100 * high_size[at] >= percent * size) & (100 * size >= percent * low_size[at])
             at = at[fits]
             if depth:
@@ -296,12 +317,12 @@ def spanning_links(counts: np.ndarray, sizes: np.ndarray, sides: np.ndarray, per
     bound of the tree and that ``confirm`` (place, places) confirms. Points nearest to the middle come
     first, as the text that others were copied from tends to be there and its links leave little to do.
     """
-    counts = counts.astype(np.int32)
-    middle = np.abs(counts - np.median(counts, axis=0).astype(np.int32)).sum(axis=1)
+    usual = np.concatenate([np.median(counts[:, k : k + 32], axis=0) for k in range(0, counts.shape[1], 32)]).astype(np.int32)
+    middle = np.concatenate([np.abs(counts[k : k + ROWS].astype(np.int32) - usual).sum(axis=1) for k in range(0, len(counts), ROWS)])
     both = sides[0] == 2
     points = np.arange(len(counts)) if both else np.flatnonzero(sides == 1)
     tree = CountTree(counts[points], sizes[points])
-    root, done, links = np.arange(len(counts)), np.zeros(len(counts), bool), []
+    root, done, links, new = np.arange(len(counts)), np.zeros(len(counts), bool), [], True
 
     def find(k: int) -> int:
         while root[k] != k:
@@ -312,10 +333,15 @@ def spanning_links(counts: np.ndarray, sizes: np.ndarray, sides: np.ndarray, per
     asking = np.arange(len(counts)) if both else np.flatnonzero(sides == 0)
     for k in asking[np.argsort(middle[asking], kind="stable")].tolist():
         done[k] = True
-        near = points[tree.candidates(counts[k], int(sizes[k]), percent)]
-        while (root[root] != root).any():
-            root = root[root]
-        near = near[(root[near] != root[k]) & ~done[near]]
+        if new:
+            while (root[root] != root).any():
+                root = root[root]
+            if (root == root[0]).all():
+                break
+            tree.mark(root[points])
+            new = False
+        near = points[tree.candidates(counts[k], int(sizes[k]), percent, int(root[k]))]
+        near = near[~done[near]]
         for at in range(0, len(near), 1024):
             some = near[at : at + 1024]
             for j in (some[confirm(k, some)] if confirm else some).tolist():
@@ -323,6 +349,7 @@ def spanning_links(counts: np.ndarray, sizes: np.ndarray, sides: np.ndarray, per
                 if u != v:
                     root[max(u, v)] = min(u, v)
                     links.append((k, j))
+                    new = True
     return links
 
 
@@ -365,7 +392,10 @@ def link_groups(group: pa.Table, column: str, linked, percent: int) -> pa.Table:
 
 
 def tasks_of(members: DataFrame, weight: Column, most: int) -> DataFrame:
-    """Written members (node, super, ...) with their task: small groups share one, a group of more than ``most`` weight is cut into tiles."""
+    """Written members (node, super, ...) with their task: small groups share one, a group of more than ``most`` weight is cut into tiles.
+
+    What a task holds grows with shingles (8 bytes each) and with points (a byte a count), so a set of few shingles weighs as much as its counts.
+    """
     total = members.agg(F.sum(weight)).first()[0] or 0
     tiles = members.groupBy("super").agg(F.ceil(F.sum(weight) / F.lit(most)).cast("long").alias("tiles")).where("tiles > 1")
     together = F.pmod(F.xxhash64("super"), F.lit(total // most * 2 + 16))
@@ -431,7 +461,7 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, tile_points:
     members = durable(supers.withColumnRenamed("component", "super").join(points, "node"))
     near = staged(links_of(tasks_of(members, F.lit(1), tile_points), "counts", linked_points, percent), "near")
     groups = components(near).withColumnRenamed("component", "super")
-    tasks = durable(tasks_of(durable(groups.join(members.select("node", "n", "text_hash"), "node")), F.col("n"), tile_shingles))
+    tasks = durable(tasks_of(durable(groups.join(members.select("node", "n", "text_hash"), "node")), F.greatest("n", F.lit(COUNTS // 8)), tile_shingles))
     links = staged(links_of(candidate_sets(rows, tasks.drop("n"), n), "hashes", linked_sets, percent), "links")
     reached = durable(components(links))
     grouped = durable(small_or_salted(each, reached, ["node"], "left").withColumn("component", F.coalesce("component", "node")))

@@ -395,3 +395,35 @@ def test_pipeline(spark):
     assert dict(ids) == {r["doc_id"]: [*library.encode(r["text"], add_special_tokens=False).ids, 1] for r in before}
     assert corpus_pipeline.run(spark, SF).count() > 0
 
+
+
+def test_many_short_sets_take_little_memory():
+    """A tile of sets with few shingles: their counts are what takes memory."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(0)
+    base, sets = rnd.integers(0, 1 << 63, 20).astype(np.uint64), []
+    for other in rnd.integers(0, 1 << 63, 40_000).astype(np.uint64):
+        own = base.copy()
+        own[int(other) % 20] = other
+        sets.append(np.sort(own).tobytes())
+    tracemalloc.start()
+    links = shingle_join.linked_sets(sets, np.full(len(sets), 2), 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(links) == len(sets) - 1 and peak < 120 << 20
+
+
+def test_large_group_of_near_copies_takes_one_walk():
+    import time
+
+    rnd = np.random.default_rng(1)
+    base = rnd.integers(0, 1 << 63, 60).astype(np.uint64)
+    sets = []
+    for _ in range(6804):
+        own = base.copy()
+        own[rnd.integers(0, 60, 2)] = rnd.integers(0, 1 << 63, 2).astype(np.uint64)
+        sets.append(np.unique(own).tobytes())
+    start = time.perf_counter()
+    links = shingle_join.linked_sets(sets, np.full(len(sets), 2), 80)
+    assert len(links) == len(sets) - 1 and time.perf_counter() - start < 10
