@@ -360,3 +360,17 @@ def test_commas_move_no_texts(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert exchanges and not any("text" in line.split("hashpartitioning")[1].split(")")[0] for line in exchanges)
+
+
+def test_streams_read_a_table_of_several_files(spark, tmp_path):
+    from workload import outputs
+
+    rows = spark.range(6).selectExpr("id AS doc_id", "'text' AS text", "'en' AS lang", "'s' AS source", "4L AS n_chars")
+    rows.repartition(3).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    spark.createDataFrame(rows.toPandas()).toPandas().to_parquet((tmp_path / "documents.parquet"))
+    events = rows.selectExpr("doc_id AS event_id", "timestamp '2024-01-01 01:00:00' AS ts").toPandas()
+    for folder in (tmp_path, tmp_path / "folder"):
+        events.astype({"ts": "datetime64[us]"}).to_parquet(folder / "events.parquet")
+        assert outputs._run(outputs._file_stream(spark, str(folder)).select("doc_id"), "append").count() == 6
+        windows = outputs.streamed_windows(spark, str(folder)).collect()
+        assert windows and {r["window_start"] for r in windows} == {"2024-01-01 01:00:00"}
