@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import scoring as sc
 from auditlake.functions import text as tx
+from auditlake.operators.durable import durable
 from auditlake.operators.joins import join_bounded
 
 TOOL_NAME = "auditlake"
@@ -230,8 +231,11 @@ def profile_json(profiles: DataFrame) -> DataFrame:
 
 
 def write_documents(lines: DataFrame, path: str) -> None:
-    """Write each project's lines under ``project=...``; its files in name order are its document."""
-    ordered = lines.repartitionByRange("project", "part", "key").sortWithinPartitions("project", "part", "key")
+    """Write each project's lines under ``project=...``; its files in name order are its document.
+
+    The lines are written before they are dealt to ranges, which reads them twice.
+    """
+    ordered = durable(lines).repartitionByRange("project", "part", "key").sortWithinPartitions("project", "part", "key")
     ordered.select("project", "text").write.mode("overwrite").partitionBy("project").text(path)
 
 

@@ -374,3 +374,22 @@ def test_streams_read_a_table_of_several_files(spark, tmp_path):
         assert outputs._run(outputs._file_stream(spark, str(folder)).select("doc_id"), "append").count() == 6
         windows = outputs.streamed_windows(spark, str(folder)).collect()
         assert windows and {r["window_start"] for r in windows} == {"2024-01-01 01:00:00"}
+
+
+def test_sorts_read_their_input_once(spark, corpus, tmp_path):
+    from auditlake.operators.detect import detect
+    from auditlake.operators.findings import order_by_emission, order_by_severity, with_place
+    from auditlake.sinks.documents import problem_lines, write_documents
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    files = corpus({f"f{k:02d}.py": "password = 'abc'" for k in range(40)}).repartition(4)
+    outputs = [lambda x: with_place(order_by_severity(x)).collect(), lambda x: with_place(order_by_emission(x)).collect(), lambda x: write_documents(problem_lines(x), str(tmp_path / "out"))]
+    for k, output in enumerate(outputs, 1):
+        output(detect(files.mapInPandas(counted, files.schema)))
+        assert read.value == 40 * k
