@@ -393,3 +393,20 @@ def test_sorts_read_their_input_once(spark, corpus, tmp_path):
     for k, output in enumerate(outputs, 1):
         output(detect(files.mapInPandas(counted, files.schema)))
         assert read.value == 40 * k
+
+
+def test_log_files_are_written_in_batches(spark, tmp_path):
+    """Lines in order, whatever the number of batches and repositories of a task; nothing else is left in the folder."""
+    from workload.outputs import _log_files
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 7)
+    try:
+        log = spark.range(100).repartition(5).selectExpr("concat('r', id % 3) AS repo", "100 - id AS seq", "concat('line ', id) AS line")
+        assert _log_files(log, str(tmp_path / "logs")) == 3
+        assert "applyInPandas" not in _log_files.__code__.co_names
+    finally:
+        spark.conf.set(name, before)
+    found = {p.name: p.read_text() for p in (tmp_path / "logs").iterdir()}
+    assert found == {f"r{r}.log": "".join(f"line {k}\n" for k in range(99, -1, -1) if k % 3 == r) for r in range(3)}
