@@ -196,3 +196,15 @@ def test_js_types_are_all_scanned():
     from auditlake.operators.select import SCANNABLE_EXTENSIONS
 
     assert set(JS) <= set(SCANNABLE_EXTENSIONS)
+
+
+def test_a_pattern_runs_over_a_text_once(corpus):
+    """Gates let a file through; the pattern then finds, locates and counts in one run, and may find nothing."""
+    from auditlake.operators.detect import find_hits, may_match
+
+    gated = [r for r in RULES + (ENTROPY_RULE,) if r.gate or r.need or r.near]
+    assert len(gated) > 90 and not [r.rule_id for r in gated if "rlike(content" in may_match(r)]
+    files = corpus({"a.txt": "the password, a token = secret key\nno match", "b.txt": "x\npassword = 'abc'\n\n'password': 'd'", "c.txt": ""})
+    some = tuple(r for r in gated if r.rule_id in ("SEC-012", "SEC-021"))
+    assert {(r.path, r.rule_ord) for r in find_hits(files, some).collect()} > {("a.txt", r.rule_ord) for r in some}
+    assert found(detect_rules(files, some)) == {("b.txt", "SEC-012"): (2, 2, "password = 'abc'")}
