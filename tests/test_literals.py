@@ -97,3 +97,19 @@ def test_still_present_takes_one_pass(spark):
     marked = mark_still_present(findings, head)
     assert sorted(r.line_text for r in marked.where("still_present").collect()) == sorted(lines[::2])
     assert time.perf_counter() - start < 60
+
+
+def test_pattern_blocks(spark, corpus, monkeypatch):
+    """Patterns too large to send: pieces, blocks and parts of files smaller than a project give the same rows, and no file carries all patterns."""
+    files = {(p, f"f{k}.txt"): f"tok-{k}-a\nTOK-{k}-b tok-{k + 1}-c" for p in "ab" for k in range(30)}
+    entry = lambda k: {"pattern": f"tok-{k}-[a-z]" if k % 5 else "(", "rule_id": f"R-{k}"}
+    schema = "project string, custom_patterns array<struct<pattern:string,rule_id:string,severity:string,description:string,remediation:string>>"
+    patterns = spark.createDataFrame([("a", [entry(k) for k in range(40)]), ("b", [entry(k) for k in range(5)]), ("none", [])], schema)
+    columns = ("project", "file_path", "rule_id", "rule_ord", "line_number", "match_count")
+    wanted = sorted(map(tuple, de.detect_project_patterns(corpus(files), patterns).select(*columns).collect()))
+    for name, value in {"BROADCAST_BYTES": 10, "PIECE": 3, "BLOCK": 7, "PART_BYTES": 100}.items():
+        monkeypatch.setattr(de, name, value)
+    found = de.detect_project_patterns(corpus(files), patterns).select(*columns)
+    assert sorted(map(tuple, found.collect())) == wanted and len(wanted) > 40
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "MapInPandas" not in plan
