@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.operators.durable import durable
-from auditlake.operators.joins import join_bounded
+from auditlake.operators.joins import join_bounded, skewed_join
 
 #: Groups that lines are counted in for the bound on what two files share.
 GROUPS = 16
+#: Old contents of a line that new ones are compared with first.
+FIRST = 4
 CHANGES = ("added", "modified", "renamed", "copied")
 
 
@@ -29,10 +31,6 @@ def file_lines(files: DataFrame) -> DataFrame:
     return each.groupBy("project", "side", "id", F.xxhash64("line").alias("line")).agg(F.count("*").alias("c"))
 
 
-def needed(n: Column, percent: int) -> Column:
-    return F.ceil(n * percent / 100)
-
-
 def line_vectors(lines: DataFrame) -> DataFrame:
     """(project, side, id, n, counts, tokens) of each content: lines, counts by group of lines, and a hash for each occurrence of a line."""
     group = F.pmod("line", F.lit(GROUPS))
@@ -43,47 +41,74 @@ def line_vectors(lines: DataFrame) -> DataFrame:
     )
 
 
-def candidate_pairs(lines: DataFrame, percent: int) -> DataFrame:
-    """(project, a, b) of new and old contents that may share ``percent`` of the longer one's lines.
-
-    Lines are ranked by how many contents of the project have them. Two contents that share enough
-    share a line among their rarest ones: all but as many as they must share. So common lines bring
-    nobody together unless a content has few others.
-    """
+def placed_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``seen``, the contents of the project that have the line, ``n``, the lines of the content, and ``rarer``, those of them before this one by rarity."""
     seen = lines.groupBy("project", "line").agg(F.count("*").alias("seen"))
     own = Window.partitionBy("project", "id")
     ranked = own.orderBy("seen", "line").rowsBetween(Window.unboundedPreceding, -1)
-    placed = lines.join(seen, ["project", "line"]).select(
-        "project", "side", "id", "line", F.coalesce(F.sum("c").over(ranked), F.lit(0)).alias("rarer"), F.sum("c").over(own).alias("n")
+    return lines.join(seen, ["project", "line"]).select(
+        "project", "side", "id", "line", "seen", F.coalesce(F.sum("c").over(ranked), F.lit(0)).alias("rarer"), F.sum("c").over(own).alias("n")
     )
-    rare = placed.where(F.col("rarer") <= F.col("n") - needed(F.col("n"), percent))
-    new = rare.where("side = 'new'").select("project", "line", F.col("id").alias("a"), F.col("n").alias("n_a"))
-    old = rare.where("side = 'old'").select("project", "line", F.col("id").alias("b"), F.col("n").alias("n_b"))
-    close = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return new.join(old, ["project", "line"]).where(close).select("project", "a", "b").distinct()
 
 
-def similar_contents(lines: DataFrame, percent: int) -> DataFrame:
-    """(project, a, b, likeness) of new and old contents that share at least ``percent`` of the longer one's lines.
+def candidate_pairs(new: DataFrame, old: DataFrame, percent: int) -> DataFrame:
+    """(project, a, b) of placed lines of new and old contents that may share num / den of the longer one's lines.
 
-    Candidates first pass a bound, the sum of the smaller counts of each group of lines; only pairs
-    that do are compared line by line.
+    ``new`` says (num, den) of each content, ``percent`` or more. Lines are in the order of rarity. All
+    that two contents share comes from the rarest line they share on, so what either has left there
+    must do. So common lines bring nobody together unless a content has few others.
     """
-    lines = durable(lines)
-    vectors = durable(line_vectors(lines))
-    side = lambda name, key: vectors.where(F.col("side") == name).select(
-        "project", F.col("id").alias(key), F.col("n").alias(f"n_{key}"), F.col("counts").alias(f"counts_{key}")
-    )
-    pairs = candidate_pairs(lines, percent).join(side("new", "a"), ["project", "a"]).join(side("old", "b"), ["project", "b"])
+    left = lambda key: F.col(f"n_{key}") - F.col(f"rarer_{key}")
+    side = lambda df, key, *more: df.select("project", "line", F.col("id").alias(key), F.col("n").alias(f"n_{key}"), F.col("rarer").alias(f"rarer_{key}"), *more)
+    a = side(new, "a", "num", "den").where(left("a") * F.col("den") >= F.col("num") * F.col("n_a"))
+    b = side(old, "b").where(left("b") * 100 >= percent * F.col("n_b"))
+    enough = F.least(left("a"), left("b")) * F.col("den") >= F.col("num") * F.greatest("n_a", "n_b")
+    return a.join(b, ["project", "line"]).where(enough).select("project", "a", "b", "num", "den").distinct()
+
+
+def first_pairs(new: DataFrame, old: DataFrame) -> DataFrame:
+    """(project, a, b): for each new content that shares a line one old one that shares its rarest shared lines, of at most ``FIRST`` old ones a line."""
+    turn = F.row_number().over(Window.partitionBy("project", "line").orderBy("id"))
+    some = old.select("project", "line", F.col("id").alias("b"), turn.alias("turn")).where(F.col("turn") <= FIRST).drop("turn")
+    met = new.select("project", "line", "seen", F.col("id").alias("a")).join(some, ["project", "line"])
+    by_pair = met.groupBy("project", "a", "b").agg(F.min("seen").alias("seen"), F.count("*").alias("lines"))
+    return by_pair.groupBy("project", "a").agg(F.min_by("b", F.struct("seen", -F.col("lines"), "b")).alias("b"))
+
+
+def shared_lines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(project, a, b, shared, longer) of ``pairs`` (project, a, b, num, den) that share num / den of the longer one's lines.
+
+    Pairs first pass a bound, the sum of the smaller counts of each group of lines; only those that
+    do are compared line by line.
+    """
+    side = lambda name, key, *columns: vectors.where(F.col("side") == name).select("project", F.col("id").alias(key), *(F.col(c).alias(f"{c}_{key}") for c in columns))
+    known = pairs.join(side("new", "a", "n", "counts"), ["project", "a"]).join(side("old", "b", "n", "counts"), ["project", "b"]).withColumn("longer", F.greatest("n_a", "n_b"))
     bound = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    longer = F.greatest("n_a", "n_b")
-    passed = durable(pairs.where(bound >= needed(longer, percent)).select("project", "a", "b", longer.alias("longer")))
-    tokens = lambda name, key: vectors.where(F.col("side") == name).select("project", F.col("id").alias(key), F.col("tokens").alias(f"tokens_{key}"))
-    both = passed.join(tokens("new", "a"), ["project", "a"]).join(tokens("old", "b"), ["project", "b"])
+    passed = durable(known.where(bound * F.col("den") >= F.col("num") * F.col("longer")).select("project", "a", "b", "num", "den", "longer"))
+    both = passed.join(side("new", "a", "tokens"), ["project", "a"]).join(side("old", "b", "tokens"), ["project", "b"])
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return both.select("project", "a", "b", "longer", shared.alias("shared")).where(100 * F.col("shared") >= percent * F.col("longer")).select(
-        "project", "a", "b", (F.col("shared") / F.col("longer")).alias("likeness")
-    )
+    return both.select("project", "a", "b", "num", "den", "longer", shared.alias("shared")).where(F.col("shared") * F.col("den") >= F.col("num") * F.col("longer")).drop("num", "den")
+
+
+def similar_contents(lines: DataFrame, percent: int, closest: bool = False) -> DataFrame:
+    """(project, a, b, likeness) of new and old contents that share at least ``percent`` of the longer one's lines.
+
+    With ``closest`` only pairs that are at least as alike as one pair of the new content found
+    before: all of its most alike ones, few others. So where many contents share more than
+    ``percent`` and a source is closer, the many are not compared.
+    """
+    lines = durable(lines)
+    vectors, placed = durable(line_vectors(lines)), durable(placed_lines(lines))
+    new, old = (placed.where(F.col("side") == name) for name in ("new", "old"))
+    least = [F.lit(percent).cast("long").alias("num"), F.lit(100).cast("long").alias("den")]
+    if closest:
+        any_ = [F.lit(0).cast("long").alias("num"), F.lit(1).cast("long").alias("den")]
+        first = shared_lines(first_pairs(new, old).select("*", *any_), vectors).where(100 * F.col("shared") >= percent * F.col("longer"))
+        found = durable(first.select("project", F.col("a").alias("id"), "shared", "longer"))
+        new = skewed_join(new, found, ["project", "id"], "left")
+        least = [F.coalesce(F.col(c).cast("long"), none).alias(name) for c, none, name in zip(("shared", "longer"), least, ("num", "den"), strict=True)]
+    alike = shared_lines(candidate_pairs(new.select("project", "line", "id", "n", "rarer", *least), old, percent), vectors)
+    return alike.select("project", "a", "b", (F.col("shared") / F.col("longer")).alias("likeness"))
 
 
 def traced_changes(before: DataFrame, after: DataFrame, percent: int = 50) -> DataFrame:
@@ -127,7 +152,7 @@ def traced_changes(before: DataFrame, after: DataFrame, percent: int = 50) -> Da
         join_bounded(df.select("project", "path", "content"), rows.select("project", "path", F.col(key).alias("id")), ["project", "path"], "inner").withColumn("side", F.lit(side))
         for df, rows, key, side in ((after, news, "a", "new"), (before, olds, "b", "old"))
     ]
-    alike = similar_contents(file_lines(contents[0].unionByName(contents[1])), percent)
+    alike = similar_contents(file_lines(contents[0].unionByName(contents[1])), percent, closest=True)
     choice = F.struct((-F.col("likeness")).alias("unlike"), F.col("free_path").isNull().alias("kept"), F.coalesce("free_path", "path").alias("old_path"))
     best = alike.join(olds.select("project", "b", "path", "free_path"), ["project", "b"]).groupBy("project", "a").agg(F.min(choice).alias("best"))
     claims = durable(left.join(best, ["project", "a"], "left").select("project", "path", "best.*"))

@@ -95,3 +95,23 @@ def test_contents_stay_out_of_the_exchange(corpus):
     after = {("p", f"g{k}"): f"text {k}" for k in range(20)}
     changes = traced_changes(corpus(before), corpus(after))
     assert changes.groupBy("change").agg(F.count("*")).collect() == [("renamed", 20)]
+
+
+def test_contents_with_a_close_source_do_not_meet_all_that_share_a_block(spark):
+    """All contents share 12 of 15 lines or more; each new one has one closest source, some two equal ones."""
+    block = [f"block {k}" for k in range(12)]
+    old = {k: "\n".join([f"own {k}", f"more {k}", *block]) for k in range(40)}
+    new = {100 + k: f"edited {k}\n{old[k]}" for k in range(40)}
+    new[200] = "\n".join(["other", "text", *block])  # as close to all of them
+    new[201] = "\n".join(f"fresh {k}" for k in range(9))
+    old[40] = old[0].replace("block 0", "changed")
+    new[300] = old[0].replace("block 0", "altered")
+    rows = [("p", side, k, t) for side, texts in (("old", old), ("new", new)) for k, t in texts.items()]
+    lines = file_lines(spark.createDataFrame(rows, "project string, side string, id long, content string"))
+    found = {(r["a"], r["b"]): r["likeness"] for r in similar_contents(lines, 50, closest=True).collect()}
+    every = {(r["a"], r["b"]): r["likeness"] for r in similar_contents(lines, 50).collect()}
+    best = {a: max(x for (c, _), x in every.items() if c == a) for a, _ in every}
+    closest = {(a, b): x for (a, b), x in every.items() if x == best[a]}
+    assert closest.items() <= found.items() <= every.items() and len(every) > 1600
+    assert {b for a, b in found if a == 200} == set(range(40)) and not any(a == 201 for a, _ in found)
+    assert {a: b for a, b in found if a < 200} == {100 + k: k for k in range(40)} and len(found) < 90
