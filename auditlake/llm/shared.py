@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from auditlake.operators.durable import checkpoint_folder, durable
+from auditlake.operators.durable import checkpoint_folder, durable, shuffles_removed
 
 #: A table may be sent to every executor up to this many rows of a few numbers.
 BROADCAST_ROWS = 500_000
@@ -27,7 +27,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: columns can be pruned, lost executors don't matter."""
     path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -74,7 +75,9 @@ def small_or_salted(big: DataFrame, small: DataFrame, on: list[str], how: str, r
     Its rows are counted: up to ``rows`` it is sent to all executors, beyond that both sides are
     shuffled and adaptive execution splits what is skewed.
     """
-    if small.limit(rows + 1).count() <= rows:
+    with shuffles_removed(small.sparkSession):
+        few = small.limit(rows + 1).count() <= rows
+    if few:
         return big.join(F.broadcast(small), on, how)
     return big.join(small.hint("merge"), on, how)
 
@@ -93,7 +96,8 @@ def components(edges: DataFrame) -> DataFrame:
     )
     before = None
     while True:
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
+        with shuffles_removed(edges.sparkSession):
+            state = pairs.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if state[0] == 0 or state == before:
             break
         before = state

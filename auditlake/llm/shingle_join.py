@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from auditlake.llm.shared import components, map_rows, slices, small_or_salted, staged
-from auditlake.operators.durable import durable
+from auditlake.operators.durable import durable, shuffles_removed
 
 #: Growth of the size classes, and parts of a group (see ``Levels``).
 GROWTH, PARTS = 1.25, 3
@@ -396,7 +396,8 @@ def tasks_of(members: DataFrame, weight: Column, most: int) -> DataFrame:
 
     What a task holds grows with shingles (8 bytes each) and with points (a byte a count), so a set of few shingles weighs as much as its counts.
     """
-    total = members.agg(F.sum(weight)).first()[0] or 0
+    with shuffles_removed(members.sparkSession):
+        total = members.agg(F.sum(weight)).first()[0] or 0
     tiles = members.groupBy("super").agg(F.ceil(F.sum(weight) / F.lit(most)).cast("long").alias("tiles")).where("tiles > 1")
     together = F.pmod(F.xxhash64("super"), F.lit(total // most * 2 + 16))
     return small_or_salted(members, durable(tiles), ["super"], "left").withColumns({"whole": F.when(F.col("tiles").isNull(), together), "tiles": F.coalesce("tiles", F.lit(1))})
