@@ -67,7 +67,9 @@ class Tree:
 
     def names(self, file: str) -> tuple[str, str] | None:
         """Project and path of a file or directory; none for files beside the projects."""
-        inner = os.path.relpath(file, self.root).replace(os.sep, "/")
+        below = f"{self.root}/"
+        # a listing asks twice for every file; ``relpath`` would ask for the working directory each time
+        inner = os.path.normpath(file[len(below) :]) if file.startswith(below) else os.path.relpath(file, self.root)
         if not self.by_project:
             return os.path.basename(self.root), "" if inner == "." else inner
         project, _, path = inner.partition("/")
@@ -201,7 +203,7 @@ class TreeStreamReader(Tree, DataSourceStreamReader):
         if new:
             target = os.path.join(self.marks, f"{self.last + 1:09d}.json")
             with open(f"{target}.tmp", "w", encoding="utf-8") as f:
-                json.dump(new, f)
+                f.write(json.dumps(new))
                 f.flush()
                 os.fsync(f.fileno())
             os.rename(f"{target}.tmp", target)

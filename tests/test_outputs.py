@@ -410,3 +410,26 @@ def test_log_files_are_written_in_batches(spark, tmp_path):
         spark.conf.set(name, before)
     found = {p.name: p.read_text() for p in (tmp_path / "logs").iterdir()}
     assert found == {f"r{r}.log": "".join(f"line {k}\n" for k in range(99, -1, -1) if k % 3 == r) for r in range(3)}
+
+
+def test_tree_listing_takes_names_as_text(tmp_path, monkeypatch):
+    """Names are cut off the root's, and mean what ``relpath`` says they do."""
+    from auditlake.sources.tree import Tree, TreeStreamReader
+
+    root = str(tmp_path / "tree")
+    tree = Tree({"path": f"{root}/"})
+    for inner in ("p/a.py", "p", "", ".", "..", "./p/a.py", "p/../q/b.py", "p//a.py", "p/", ".p/..a/ x .py"):
+        project, _, path = os.path.relpath(f"{root}/{inner}", root).partition("/")
+        assert tree.names(f"{root}/{inner}") == (project, path), inner
+    assert tree.names(root) == (".", "") and tree.names(f"{root}s/p/a.py")[0] == ".."
+    single = Tree({"path": root, "layout": "single"})
+    assert single.names(f"{root}/") == ("tree", "") and single.names(f"{root}/p/a.py") == ("tree", "p/a.py")
+
+    for k in range(20):
+        os.makedirs(f"{root}/p{k % 3}/src/d{k}")
+        open(f"{root}/p{k % 3}/src/d{k}/.env", "w").close()
+    monkeypatch.setattr(os.path, "relpath", None)
+    reader = TreeStreamReader({"path": root, "marks": str(tmp_path / "marks")})
+    assert reader.latestOffset() == {"listing": 1}
+    rows = [r for p in reader.partitions({"listing": 0}, {"listing": 1}) for r in reader.read(p)]
+    assert sorted(r[:2] for r in rows) == sorted((f"p{k % 3}", f"src/d{k}/.env") for k in range(20))
