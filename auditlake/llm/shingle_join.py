@@ -18,7 +18,7 @@ from auditlake.operators.durable import durable, shuffles_removed
 #: Growth of the size classes, and parts of a group (see ``Levels``).
 GROWTH, PARTS = 1.25, 3
 #: Group hashes that are put together before the shuffle, and words and sets that a task remembers.
-BATCH, WORDS = 600_000, 150_000
+BATCH, WORDS = 300_000, 50_000
 #: Sets whose counts are made at once.
 ROWS = 1024
 #: Counts of a document's point, points and shingles of a tile, and entries of a tree node.

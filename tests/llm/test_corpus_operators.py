@@ -427,3 +427,18 @@ def test_large_group_of_near_copies_takes_one_walk():
     start = time.perf_counter()
     links = shingle_join.linked_sets(sets, np.full(len(sets), 2), 80)
     assert len(links) == len(sets) - 1 and time.perf_counter() - start < 10
+
+
+def test_hashing_documents_holds_little(monkeypatch):
+    """A task remembers so many words, and packs group hashes once it has so many, however many documents it reads."""
+    import pyarrow as pa
+
+    held, most = [], []
+    stars, shingle_sets = shingle_join.stars, shingle_join.shingle_sets
+    monkeypatch.setattr(shingle_join, "stars", lambda h, n: held.append(len(h)) or stars(h, n))
+    monkeypatch.setattr(shingle_join, "shingle_sets", lambda t, n, known: (shingle_sets(t, n, known), most.append(len(known)))[0])
+    texts = [" ".join(f"w{k * 300 + i}" for i in range(300)) for k in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(3000)), "text": texts, "text_hash": list(range(3000))})
+    rows = [r for part in shingle_join.hash_documents(iter([batch]), 5, 80, 16) for r in part]
+    assert sum(r[1] == shingle_join.DOCUMENT for r in rows) == 3000
+    assert len(held) > 1 and max(held) < 500_000 and max(most) <= 50_001
