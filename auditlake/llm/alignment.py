@@ -21,8 +21,10 @@ from auditlake.llm.tokens import ByteEncoder, as_bytes
 BLOCK = 4 << 20
 #: Links made at once, and the most of a group that are made one by one; larger groups are counted by distinct ids.
 LINKS, SINGLE = 1 << 20, 4096
-#: Chunks of text that a task remembers.
-CHUNKS_KNOWN = 300_000
+#: Chunks of text that a task remembers, and bytes of their groups and links; the most links of a chunk that is remembered.
+CHUNKS_KNOWN, BYTES_KNOWN, CHUNK_LINKS = 450_000, 96 << 20, 1024
+#: Characters of texts whose chunks are learnt together, chunks that are learnt at once, and chunks of a text whose links are counted at once.
+CHARS_TOGETHER, CHUNKS_TOGETHER, CHUNKS_LINKED = 1 << 19, 2048, 1 << 13
 #: Ends that are compared one by one before stretches are.
 SINGLY = 4
 #: Bytes of rows with blocks that go to a Python worker at once.
@@ -94,12 +96,11 @@ class Speller:
 
     The byte-level pattern never joins other signs with white space after them, and pieces have none
     after their first sign (texts with what some have are encoded as wholes), so the ids of a text are
-    those of its chunks. Chunks repeat; each is encoded, and its bytes compared, once and then remembered.
+    those of its chunks. Chunks repeat; ``spell`` encodes, and compares the bytes of, many at once.
     """
 
     def __init__(self, a: ByteSide, b: PieceSide):
-        self.a, self.b, self.bad = a, b, set()
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.a, self.b = a, b
         names = [b.processor.id_to_piece(i) for i in range(len(b.pieces))]
         later = [n.lstrip("▁") if n[0] == "▁" else n[1:] for n in names]
         #: white space that pieces have after their first sign (a carriage return, say): texts with it are encoded as wholes
@@ -109,11 +110,19 @@ class Speller:
         alone = all(p == sign for side in (a, b) for p in side.pieces if sign in p) and a.pieces[self.mark_a[-1]] == sign == b.pieces[self.mark_b[-1]]
         self.by_chunks = a.encoder.fast is not None and "▁" not in self.inner and alone
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encode chunks as one text, with a sign between that no token of a chunk reaches over and that chunks don't have."""
+    def chunks(self, text: str) -> list[str]:
+        """The chunks of a space and a text; none where the text is to be encoded as a whole."""
+        chunks = CHUNKS.findall(" " + text) if self.by_chunks and not any(s in text for s in (*ODD, *self.inner)) else []
+        return chunks if chunks and max(map(len, chunks)) < ENDLESS else []
+
+    def spell(self, chunks: list[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Ids of different chunks, four bytes each, but for chunks that a side doesn't spell.
+
+        They are encoded as one text, with a sign between that no token of a chunk reaches over and that chunks don't have.
+        """
         words = [c for c in chunks if not c.isspace()]
         text = BETWEEN + BETWEEN.join(words) + BETWEEN
-        parts = []
+        parts, found = [], {}
         spelled = (" " + text).encode()
         for side, drop in ((self.a, self.mark_a), (self.b, self.mark_b)):
             ids = self.a.encoder.fast.encode_ordinary(" " + text) if side is self.a else side.ids(text)
@@ -121,33 +130,26 @@ class Speller:
                 break
             flat = np.array(ids, "<u4")
             ends = np.flatnonzero(flat == drop[-1])
-            parts.append((flat.tobytes(), (ends[:-1] + 1).tolist(), (ends[1:] - len(drop) + 1).tolist()))
+            parts.append((flat.tobytes(), (4 * ends[:-1] + 4).tolist(), (4 * (ends[1:] - len(drop) + 1)).tolist()))
         if len(parts) == 2 and all(len(x) == len(words) for _, *p in parts for x in p):
             (a, *at_a), (b, *at_b) = parts
-            self.known[0].update((c, a[4 * i : 4 * j]) for c, i, j in zip(words, *at_a, strict=True))
-            self.known[1].update((c, b[4 * i : 4 * j]) for c, i, j in zip(words, *at_b, strict=True))
+            found = {c: (a[i:j], b[k:m]) for c, i, j, k, m in zip(words, *at_a, *at_b, strict=True)}
         for c in chunks:
-            if c not in self.known[0]:
-                self.learn_alone(c)
+            if c not in found and (alone := self.spell_alone(c)):
+                found[c] = alone
+        return found
 
-    def learn_alone(self, chunk: str) -> None:
+    def spell_alone(self, chunk: str) -> tuple[bytes, bytes] | None:
         a = self.a.encoder.ids(chunk)
         # a space before a text is its own; other white space is no part of a piece with it
         b = self.b.ids(chunk[1:]) if chunk[0] == " " else self.b.ids(chunk)[1:]
-        if not (self.a.spells(a, chunk.encode()) and self.b.spells(b, chunk.encode())):
-            self.bad.add(chunk)
-        self.known[0][chunk], self.known[1][chunk] = as_bytes(a), as_bytes(b)
+        return (as_bytes(a), as_bytes(b)) if self.a.spells(a, chunk.encode()) and self.b.spells(b, chunk.encode()) else None
 
     def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        chunks = CHUNKS.findall(" " + text) if self.by_chunks and not any(s in text for s in (*ODD, *self.inner)) else []
-        if chunks and max(map(len, chunks)) < ENDLESS:
-            if len(self.known[0]) > CHUNKS_KNOWN:
-                self.known[0].clear(), self.known[1].clear(), self.bad.clear()
-            new = set(chunks).difference(self.known[0])
-            if new:
-                self.learn(list(new))
-            if self.bad.isdisjoint(chunks):
-                return tuple(np.frombuffer(b"".join(map(k.__getitem__, chunks)), "<u4").astype(np.int64) for k in self.known)
+        chunks = self.chunks(text)
+        known = self.spell(list(set(chunks))) if chunks else {}
+        if chunks and len(known) == len(set(chunks)):
+            return tuple(np.frombuffer(b"".join(known[c][k] for c in chunks), "<u4").astype(np.int64) for k in (0, 1))
         ids = self.a.ids(text), self.b.ids(text)
         spelled = b" " + text.encode()
         return tuple(np.array(x, np.int64) for x in ids) if self.a.spells(ids[0], spelled) and self.b.spells(ids[1], spelled) else None
@@ -220,14 +222,23 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.nd
     at = 0
     while at < len(small):
         to = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + LINKS, "right")), at + 1)
-        some = small[at:to]
-        which = np.repeat(np.arange(len(some)), links[some])
-        place = np.arange(len(which)) - np.repeat(links[some].cumsum() - links[some], links[some])
-        group = some[which]
-        k, n = np.unique(a[begin_a[group] + place // size_b[group]] << 32 | b[begin_b[group] + place % size_b[group]], return_counts=True)
+        k, n = np.unique(links_of(small[at:to], a, b, begin_a, begin_b, size_b, links), return_counts=True)
         keys.append(k)
         times.append(n)
         at = to
+    return merged_pairs(keys, times)
+
+
+def links_of(some: np.ndarray, a: np.ndarray, b: np.ndarray, begin_a: np.ndarray, begin_b: np.ndarray, size_b: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """All links of some groups, one by one, in the order of the groups."""
+    which = np.repeat(np.arange(len(some)), links[some])
+    place = np.arange(len(which)) - np.repeat(links[some].cumsum() - links[some], links[some])
+    group = some[which]
+    return a[begin_a[group] + place // size_b[group]] << 32 | b[begin_b[group] + place % size_b[group]]
+
+
+def merged_pairs(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of several lists of distinct pairs, and the sums of their links."""
     if len(keys) == 1:
         return keys[0], times[0]
     keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -237,15 +248,32 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.nd
 
 
 class Aligner:
-    """Tokens, groups and linked pairs of whole texts."""
+    """Tokens, groups and linked pairs of whole texts.
+
+    Tokens of both sides end where a chunk ends, so the groups of a text are those of its chunks. They
+    are found, written and linked once for a chunk and then remembered. Texts that are not cut, or
+    with a chunk of many links or one that a side doesn't spell, are aligned as wholes.
+    """
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b, self.speller = a, b, Speller(a, b)
-        # an id of A is followed by a comma or a bar, one of B by a comma or a semicolon
-        self.written = [f"{i}{mark}" for side, marks in ((a, ",|"), (b, ",;")) for mark in marks for i in range(len(side.pieces))]
+        # an id of A is followed by a comma or a bar, one of B by a point (a comma in the end) or a semicolon
+        self.written = [f"{i}{mark}".encode() for side, marks in ((a, ",|"), (b, ".;")) for mark in marks for i in range(len(side.pieces))]
+        self.forget()
+
+    def forget(self) -> None:
+        self.groups: dict[str, bytes] = {}
+        self.links: dict[str, bytes] = {}
+        self.whole: set[str] = set()
+        self.size = 0
+
+    def group(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index after the last token of every group, by side."""
+        spans = np.array(irregular_groups(self.a.ends(a).tobytes(), self.b.ends(b).tobytes()), np.int64).reshape(-1, 4)
+        return group_ends(len(a), spans[:, 0], spans[:, 2]), group_ends(len(b), spans[:, 1], spans[:, 3])
 
-    def write(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> str:
-        """All groups as ``a1,a2|b1;a3|b2,b3``."""
+    def signs(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> list[bytes]:
+        """All ids by group as ``a1,a2|b1;a3|b2.b3;``, one by one."""
         last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         last_a[ends_a - 1] = last_b[ends_b - 1] = 1
         n_a, n_b = len(self.a.pieces), len(self.b.pieces)
@@ -254,21 +282,81 @@ class Aligner:
         signs = np.empty(len(a) + len(b), np.int64)
         signs[np.arange(len(a)) + (ends_b[group_a] - np.diff(ends_b, prepend=0)[group_a])] = a + last_a * n_a
         signs[np.arange(len(b)) + ends_a[group_b]] = b + 2 * n_a + last_b * n_b
-        return "".join(map(self.written.__getitem__, signs.tolist()))[:-1]
+        return [self.written[i] for i in signs.tolist()]
 
-    def align(self, text: str | None) -> tuple[tuple, np.ndarray, np.ndarray] | None:
-        """(n_a, n_b, n_groups, n_links, digest of the groups), linked pairs and their links; None without tokens."""
-        if not text:
-            return None
+    def learn(self, chunks: list[str]) -> None:
+        """Groups and links of different chunks, found as those of one text."""
+        spelled = self.speller.spell(chunks)
+        self.whole.update(c for c in chunks if c not in spelled)
+        if not spelled:
+            return
+        a, b = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in zip(*spelled.values(), strict=True))
+        to_a, to_b = (np.array([len(x[k]) // 4 for x in spelled.values()]).cumsum() for k in (0, 1))
+        ends_a, ends_b = self.group(a, b)
+        begin_a, begin_b = np.concatenate(([0], ends_a[:-1])), np.concatenate(([0], ends_b[:-1]))
+        size_b = ends_b - begin_b
+        links = (ends_a - begin_a) * size_b
+        to = np.searchsorted(ends_a, to_a) + 1  # groups up to the end of each chunk
+        each = np.diff(links.cumsum()[to - 1], prepend=0)
+        kept = each <= CHUNK_LINKS
+        some = np.flatnonzero(np.repeat(kept, np.diff(to, prepend=0)))
+        data = links_of(some, a, b, begin_a, begin_b, size_b, links).astype("<i8").tobytes()
+        signs = self.signs(a, b, ends_a, ends_b)
+        at = place = 0
+        for chunk, good, sign, n in zip(spelled, kept.tolist(), (to_a + to_b).tolist(), (8 * each).tolist(), strict=True):
+            if good:
+                self.groups[chunk], self.links[chunk] = b"".join(signs[at:sign]), data[place : place + n]
+                place += n
+            else:
+                self.whole.add(chunk)
+            at = sign
+        self.size += len(data) + 6 * len(signs)
+
+    def align_all(self, texts: list[str | None]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray] | None]:
+        """For each text (n_a, n_b, n_groups, n_links, digest of the groups), linked pairs and their links; None without tokens.
+
+        New chunks of neighbouring texts are learnt together.
+        """
+        at = 0
+        while at < len(texts):
+            cut, chars = [], 0
+            while at < len(texts) and chars < CHARS_TOGETHER:
+                cut.append((texts[at], self.speller.chunks(texts[at]) if texts[at] else []))
+                chars += len(texts[at] or "")
+                at += 1
+            if len(self.groups) + len(self.whole) > CHUNKS_KNOWN or self.size > BYTES_KNOWN:
+                self.forget()
+            every = set().union(*(chunks for _, chunks in cut))
+            new = list(every.difference(self.groups, self.whole))
+            for k in range(0, len(new), CHUNKS_TOGETHER):
+                self.learn(new[k : k + CHUNKS_TOGETHER])
+            for text, chunks in cut:
+                if not text:
+                    yield None
+                elif chunks and self.whole.isdisjoint(chunks):
+                    yield self.align_chunks(chunks)
+                else:
+                    yield self.align_whole(text)
+
+    def align_whole(self, text: str) -> tuple[tuple, np.ndarray, np.ndarray] | None:
         ids = self.speller.ids(text)
         if ids is None:
             return None
-        a, b = ids
-        spans = np.array(irregular_groups(self.a.ends(a).tobytes(), self.b.ends(b).tobytes()), np.int64).reshape(-1, 4)
-        ends_a, ends_b = group_ends(len(a), spans[:, 0], spans[:, 2]), group_ends(len(b), spans[:, 1], spans[:, 3])
-        pairs, times = linked_pairs(a, b, ends_a, ends_b)
-        digest = hashlib.sha256(self.write(a, b, ends_a, ends_b).encode()).hexdigest()
-        return (len(a), len(b), len(ends_a), int(times.sum()), digest), pairs, times
+        ends = self.group(*ids)
+        return self.told(b"".join(self.signs(*ids, *ends)), *linked_pairs(*ids, *ends))
+
+    def align_chunks(self, chunks: list[str]) -> tuple[tuple, np.ndarray, np.ndarray]:
+        found = []
+        for k in range(0, len(chunks), CHUNKS_LINKED):
+            links = b"".join(map(self.links.__getitem__, chunks[k : k + CHUNKS_LINKED]))
+            found.append(np.unique(np.frombuffer(links, "<i8"), return_counts=True))
+        return self.told(b"".join(map(self.groups.__getitem__, chunks)), *merged_pairs(*map(list, zip(*found, strict=True))))
+
+    @staticmethod
+    def told(groups: bytes, pairs: np.ndarray, times: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray]:
+        n = {mark: groups.count(mark) for mark in (b",", b"|", b".", b";")}
+        digest = hashlib.sha256(groups[:-1].replace(b".", b",")).hexdigest()
+        return (n[b","] + n[b"|"], n[b"."] + n[b";"], n[b"|"], int(times.sum()), digest), pairs, times
 
 
 class Block:
@@ -327,8 +415,9 @@ def align_documents(docs: DataFrame, bytes_path: str, pieces_path: str, block: i
         part = TaskContext.get().partitionId()
         own = Block(part << 40)
         for rows in slices(batches):
-            for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
-                own.add(doc_id, text, aligner.align(text))
+            texts = rows.column("text").to_pylist()
+            for doc_id, text, found in zip(rows.column("doc_id").to_pylist(), texts, aligner.align_all(texts), strict=True):
+                own.add(doc_id, text, found)
                 if own.chars >= block:
                     yield [own.row()]
                     own = Block(own.key + 1)

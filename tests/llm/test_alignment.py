@@ -10,7 +10,8 @@ import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
 
-from auditlake.llm.alignment import ByteSide, PieceSide, Speller, align_documents, group_ends, irregular_groups
+from auditlake.llm import alignment
+from auditlake.llm.alignment import Aligner, ByteSide, PieceSide, Speller, align_documents, group_ends, irregular_groups
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 PARTS = ["a", "the ", " é", "漢字", "🙂", "\n", "  ", "<|endoftext|>", "<s>", "▁", "tion", "1234", "\x00", "\t", "<0x41>", "Hello", "zzzz", "́", "ſ", "</s>"]
@@ -102,3 +103,29 @@ def test_chunks_same_as_whole_texts():
         spelled = speller.a.spells(whole[0], (" " + text).encode()) and speller.b.spells(whole[1], (" " + text).encode())
         assert (got is None) != spelled
         assert got is None or (got[0].tolist(), got[1].tolist()) == whole
+
+
+def told(found):
+    return found and (found[0], found[1].tolist(), found[2].tolist())
+
+
+def test_groups_of_chunks_same_as_of_whole_texts(monkeypatch):
+    """Groups of a chunk are found once, whatever chunks are remembered, learnt or linked together."""
+    rnd = random.Random(12)
+    parts = [*PARTS, " ", " ", " ", "\xa0", "\n\n", " 漢字漢字🙂🙂é", "don't", "\x1d"]
+    texts = [None, "", *("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 40))) for _ in range(300))] * 2
+    aligner = Aligner(ByteSide(BYTES), PieceSide(PIECES))
+    whole = [told(aligner.align_whole(t)) if t else None for t in texts]
+    searched = []
+    monkeypatch.setattr(alignment, "irregular_groups", lambda a, b: searched.append(len(a)) or irregular_groups(a, b))
+    for limits in ({}, {"CHUNK_LINKS": 6}, {"CHUNKS_KNOWN": 20, "CHARS_TOGETHER": 300}, {"CHUNKS_TOGETHER": 3, "CHUNKS_LINKED": 2}):
+        with monkeypatch.context() as patch:
+            for name, value in limits.items():
+                patch.setattr(alignment, name, value)
+            aligner.forget()
+            assert list(map(told, aligner.align_all(texts))) == whole
+    aligner.forget()
+    plain = ["the same words, and again"] * 500
+    list(aligner.align_all(plain))
+    searched.clear()
+    assert len(list(aligner.align_all(plain))) == 500 and not searched
