@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 
-from auditlake.llm.shared import small_batches
+from auditlake.llm.shared import give_back, small_batches
 
 #: Bounds of the training sample of a language: rows, characters of a row, characters of all rows together.
 SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 64, 512, 1 << 15
@@ -103,22 +103,23 @@ class CrossParser:
     def __init__(self, samples: dict[str, str], automata: list[np.ndarray] | None = None):
         self.names = list(samples)
         self.classes = Classes(list(samples.values()))
-        width, steps, roots, sizes, base = self.classes.count, [], [], [], 0
+        width = self.classes.count
         known = [self.classes.of(text) for text in samples.values()]
         self.automata = automata or [automaton([c for c in k.tolist() if c != 1], width) for k in known]
-        for k, found in zip(known, self.automata, strict=True):
-            states, (at, to) = int(found[0]), found[1:].reshape(2, -1)
+        sizes = [int(found[0]) for found in self.automata]
+        bases = np.cumsum([0, *sizes]).tolist()
+        # filled in place: a worker holds the table once, also while it is made
+        self.step = np.empty(bases[-1] * width, np.int32)
+        for found, states, base in zip(self.automata, sizes, bases, strict=False):
+            at, to = found[1:].reshape(2, -1)
             # a walk that can't go on starts a phrase with the character at hand; at the root every character does
             root = np.zeros(width, np.int32)
             root[at[at < width]] = to[at < width]
-            step = np.tile((root + base) * width << 1 | 1, states)
+            step = self.step[base * width : (base + states) * width]
+            step.reshape(states, width)[:] = (root + base) * width << 1 | 1
             step[at] = (to + base) * width << 1 | (at < width)
-            steps.append(step)
-            roots.append(base * width)
-            sizes.append(max(2, len(k)))
-            base += states
-        self.step = np.concatenate(steps) if steps else np.zeros(0, np.int32)
-        self.roots, self.bits = np.array(roots, np.int32), np.log2(np.array(sizes, float))
+        self.roots = np.array(bases[:-1], np.int32) * width
+        self.bits = np.log2(np.array([max(2, len(k)) for k in known], float))
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases by text and language."""
@@ -208,6 +209,8 @@ def predict_language(text: Column, samples: dict[str, str]) -> Column:
         parser = Parsers(samples)
         for texts in batches:
             yield pa.array([{"lang_pred": a, "score": b} for a, b in parser.predict(texts)], kind)
+        del parser
+        give_back()
 
     return F.arrow_udf(work, "struct<lang_pred: string, score: double>", ArrowUDFType.SCALAR_ITER)(text.cast("string"))
 
@@ -239,5 +242,7 @@ def filter_language(docs: DataFrame) -> DataFrame:
         parser = Parsers(samples)
         for texts in batches:
             yield pa.array(parser.tell(texts), pa.bool_())
+        del parser
+        give_back()
 
     return docs.where(F.arrow_udf(work, "boolean", ArrowUDFType.SCALAR_ITER)(F.col("text").cast("string")))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
-from auditlake.llm.shared import BROADCAST_ROWS, small_batches, small_or_salted, staged
+from auditlake.llm.shared import BROADCAST_ROWS, give_back, small_batches, small_or_salted, staged
 from auditlake.llm.shingle_join import link_documents
 from auditlake.operators.durable import durable
 
@@ -114,12 +117,14 @@ def cut_in_place(docs: DataFrame, flagged: DataFrame, most_removed: float) -> Da
     known = spark.sparkContext.broadcast((k0[order], k1[order]))
     kind = pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())])
 
-    def work(texts: pa.Array) -> pa.Array:
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lines = Flagged(*known.value)
-        rows = [cut_text(t, lines, most_removed) for t in texts.to_pylist()]
-        return pa.array([dict(zip(("text", "n_lines", "n_removed"), r, strict=True)) for r in rows], kind)
+        for texts in batches:
+            rows = [cut_text(t, lines, most_removed) for t in texts.to_pylist()]
+            yield pa.array([dict(zip(("text", "n_lines", "n_removed"), r, strict=True)) for r in rows], kind)
+        give_back()
 
-    cut = F.arrow_udf(work, "struct<text: string, n_lines: bigint, n_removed: bigint>")
+    cut = F.arrow_udf(work, "struct<text: string, n_lines: bigint, n_removed: bigint>", ArrowUDFType.SCALAR_ITER)
     return docs.select(F.struct("*").alias("_doc"), cut(F.col("text").cast("string")).alias("_cut"))
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
-from auditlake.llm.shared import small_batches, small_or_salted
+from auditlake.llm.shared import give_back, small_batches, small_or_salted
 from auditlake.operators.durable import durable
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -66,11 +69,13 @@ def text_counts(text: Column) -> Column:
     """COUNTS of a text column as a struct of longs."""
     kind = pa.struct([(c, pa.int64()) for c in COUNTS])
 
-    def work(texts: pa.Array) -> pa.Array:
-        rows = [count_text(t) for at in range(0, len(texts), 256) for t in texts.slice(at, 256).to_pylist()]
-        return pa.array([dict(zip(COUNTS, r, strict=True)) for r in rows], kind)
+    def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = [count_text(t) for at in range(0, len(texts), 256) for t in texts.slice(at, 256).to_pylist()]
+            yield pa.array([dict(zip(COUNTS, r, strict=True)) for r in rows], kind)
+        give_back()
 
-    return F.arrow_udf(work, "struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ">")(text.cast("string"))
+    return F.arrow_udf(work, "struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ">", ArrowUDFType.SCALAR_ITER)(text.cast("string"))
 
 
 def base_failed(counts: Column) -> Column:

@@ -442,3 +442,19 @@ def test_hashing_documents_holds_little(monkeypatch):
     rows = [r for part in shingle_join.hash_documents(iter([batch]), 5, 80, 16) for r in part]
     assert sum(r[1] == shingle_join.DOCUMENT for r in rows) == 3000
     assert len(held) > 1 and max(held) < 500_000 and max(most) <= 50_001
+
+
+def test_language_table_is_held_once():
+    """While a worker makes the table of its languages, it takes little more than the table."""
+    import tracemalloc
+
+    letters = "".join(map(chr, [*range(0x61, 0x7B), *range(0x3B1, 0x3CA), *range(0x430, 0x450)]))
+    samples = {str(k): "".join(random.Random(k).choices(letters + " ", k=16000)) for k in range(3)}
+    automata = language.CrossParser(samples).automata
+    tracemalloc.start()
+    try:
+        parser = language.CrossParser(samples, automata)
+        least, most = parser.step.nbytes, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < least + (6 << 20) < 2 * least
