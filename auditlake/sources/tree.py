@@ -12,6 +12,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from functools import partial
 from itertools import islice
 
 import pandas as pd
@@ -104,7 +105,7 @@ class Tree:
             if e.is_dir(follow_symlinks=False):
                 if recursive and self.enters(e.path):
                     yield from self.files(e.path, True)
-            elif self.takes(e.path):
+            elif self.takes(e.path) and not e.is_dir():  # a link to a directory is no file and not entered
                 yield e.path
 
     def row(self, file: str, changed: int | None = None) -> tuple:
@@ -245,16 +246,16 @@ class SourceTree(DataSource):
         return TreeStreamReader(self.options)
 
 
-def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds the bytes of each listed file, in batches of bounded size. A file that cannot be read is empty."""
+def _read_files(batches: Iterator[pd.DataFrame], leave_out: type[OSError] | tuple = ()) -> Iterator[pd.DataFrame]:
+    """Adds the bytes of each listed file, in batches of bounded size. A file that cannot be read fails the task: an empty one would pass for clean."""
     for listed in batches:
         rows, size, columns = [], 0, [*listed.columns, "raw"]
         for row in listed.itertuples(index=False):
             try:
                 with open(row.file, "rb") as f:
                     raw = f.read()
-            except OSError:
-                raw = b""
+            except leave_out:
+                continue
             rows.append((*row, raw))
             size += len(raw)
             if size >= BATCH_BYTES:
@@ -264,6 +265,11 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=columns)
 
 
+def _reader(spark: SparkSession):
+    """``_read_files``; files that are gone are left out only if the session says so, as for Spark's own sources."""
+    return partial(_read_files, leave_out=FileNotFoundError if spark.conf.get("spark.sql.files.ignoreMissingFiles") == "true" else ())
+
+
 def read_tree(
     spark: SparkSession, root: str, layout: str = "projects", skip: tuple[str, ...] = (), partitions: int | None = None, where: Column | str | None = None
 ) -> DataFrame:
@@ -273,6 +279,8 @@ def read_tree(
     project and ext and prefixes of path are handed to the source, which does not enter other
     directories; all of it is applied before a file is opened. Names of what is left are hashed over
     ``partitions`` tasks that read them, so that one project with most of the files is read by many tasks.
+    A file that cannot be read fails the job, and so does one that is gone since it was listed, unless
+    ``spark.sql.files.ignoreMissingFiles`` is set.
     """
     spark.dataSource.register(SourceTree)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -280,18 +288,20 @@ def read_tree(
     if where is not None:
         listed = listed.where(where)
     tasks = partitions or 8 * spark.sparkContext.defaultParallelism
-    raw = listed.select("project", "path", "file").repartition(tasks, "file").mapInPandas(_read_files, "project string, path string, file string, raw binary")
+    raw = listed.select("project", "path", "file").repartition(tasks, "file").mapInPandas(_reader(spark), "project string, path string, file string, raw binary")
     return raw.select("project", "path", tx.decode_text(F.col("raw")).alias("content"))
 
 
 def stream_tree(spark: SparkSession, root: str, marks: str, layout: str = "projects", skip: tuple[str, ...] = ()) -> DataFrame:
     """Stream (project, path, content, modified) of the files that arrive in a mounted source tree or change there, each version once.
 
-    ``marks`` is a folder that belongs to the stream like its checkpoint, and outlives it.
+    ``marks`` is a folder that belongs to the stream like its checkpoint, and outlives it. A file that cannot
+    be read fails the batch, which a new start runs again, and so does one that is gone since it was listed,
+    unless ``spark.sql.files.ignoreMissingFiles`` is set.
     """
     spark.dataSource.register(SourceTree)
     listed = spark.readStream.format("source_tree").option("layout", layout).option("skip", ",".join(skip)).option("marks", marks).load(root)
-    raw = listed.select("project", "path", "modified", "file").mapInPandas(_read_files, "project string, path string, modified timestamp, file string, raw binary")
+    raw = listed.select("project", "path", "modified", "file").mapInPandas(_reader(spark), "project string, path string, modified timestamp, file string, raw binary")
     return raw.select("project", "path", tx.decode_text(F.col("raw")).alias("content"), "modified")
 
 

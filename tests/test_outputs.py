@@ -312,6 +312,42 @@ def test_stream_of_a_tree(spark, folder):
     assert arrived() == [("a.py", "one"), ("a.py", "one more"), ("b.py", "two"), ("c.py", "three")]
 
 
+def test_files_that_cannot_be_read_are_no_empty_files(spark, folder):
+    """A file that is listed but can't be opened fails the batch; it comes out whole once it can. Links to directories are no files."""
+    import pandas as pd
+
+    from auditlake.sources.tree import Tree, _read_files, _reader, stream_tree
+
+    root, own = f"{folder}/tree", f"{folder}/own"
+    grow(root, {"p/a.py": "one", "p/empty.py": "", "q/b.py": "two"})
+    os.symlink(f"{root}/q", f"{root}/p/link")
+    assert sorted(Tree({"path": root}).files(root, True)) == [f"{root}/p/a.py", f"{root}/p/empty.py", f"{root}/q/b.py"]
+    assert sorted((r.path, r.content) for r in read_tree(spark, root).collect()) == [("a.py", "one"), ("b.py", "two"), ("empty.py", "")]
+    for bad in (f"{root}/p/gone.py", f"{root}/q"):
+        with pytest.raises(OSError):
+            list(_read_files(iter([pd.DataFrame({"project": ["p"], "path": ["x"], "file": [bad]})])))
+
+    def arrived():
+        stream = stream_tree(spark, root, f"{own}/marks")
+        stream.writeStream.option("checkpointLocation", f"{own}/state").trigger(availableNow=True).format("parquet").start(f"{own}/out").awaitTermination()
+        return sorted((r.path, r.content) for r in spark.read.schema(stream.schema).parquet(f"{own}/out").collect())
+
+    os.makedirs(f"{own}/marks")
+    with open(f"{own}/marks/000000001.json", "w") as f:  # listed before, gone when it is read
+        json.dump({f"{root}/p/late.py": [1_000_000_000, 4]}, f)
+    with pytest.raises(Exception, match="late.py"):
+        arrived()
+    spark.conf.set("spark.sql.files.ignoreMissingFiles", "true")
+    try:
+        left = read_tree(spark, root).collect()
+        assert [tuple(r) for r in _reader(spark)(iter([pd.DataFrame({"file": [f"{root}/p/a.py", f"{root}/p/gone.py"]})])).__next__().itertuples(index=False)] == [(f"{root}/p/a.py", b"one")]
+    finally:
+        spark.conf.unset("spark.sql.files.ignoreMissingFiles")
+    assert len(left) == 3
+    grow(root, {"p/late.py": "late"})
+    assert [r for r in arrived() if r[0] == "late.py"] and ("late.py", "") not in arrived()
+
+
 def test_life_of_findings(spark, folder):
     from auditlake.streaming.life import finding_life
 
