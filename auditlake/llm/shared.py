@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from auditlake.operators.durable import checkpoint_folder, durable, shuffles_removed
+from auditlake.operators.durable import checkpoint_folder, durable, shared_folder, shuffles_removed, staged  # noqa: F401
 
 #: A table may be sent to every executor up to this many rows of a few numbers.
 BROADCAST_ROWS = 500_000
@@ -19,19 +18,6 @@ BROADCAST_ROWS = 500_000
 TEXT_ROWS = 1000
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: columns can be pruned, lost executors don't matter."""
-    path = shared_folder(df.sparkSession, name)
-    with shuffles_removed(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Let Arrow batches of this session hold TEXT_ROWS rows at most: a batch of whole texts is held several times over, by the JVM and by its Python worker."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
