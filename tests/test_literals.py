@@ -113,3 +113,50 @@ def test_pattern_blocks(spark, corpus, monkeypatch):
     assert sorted(map(tuple, found.collect())) == wanted and len(wanted) > 40
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInPandas" in plan and "MapInPandas" not in plan
+
+
+def test_filter_of_blocks_leaves_nothing_out():
+    """Blocks of all literals in a text are found, across pieces of long texts and next to other texts; few others."""
+    import numpy as np
+
+    from auditlake.functions.literals import CHUNK, START_BITS, BlockFilter, filter_bits, literal_places, stretches, width_of
+
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abk-\n 7") for _ in range(n))
+    words = [(word(rnd.choice((3, 4, 5, 8, 9, 12, 40))), rnd.randrange(3), rnd.randrange(7)) for _ in range(300)]
+    salts = np.array([11, 1 << 63, 3], np.uint64)
+    bits = filter_bits(len(words))
+    table = np.zeros((1 << bits) + (1 << START_BITS), np.uint8)
+    table[literal_places([w for w, _, _ in words], salts[[p for _, p, _ in words]], np.array([b for _, _, b in words], np.uint64), bits)] = 1
+    blocks = BlockFilter(np.packbits(table, bitorder="little"), bits, sorted({width_of(len(w)) for w, _, _ in words}))
+    hold = lambda k: "".join(rnd.choice((words[rnd.randrange(300)][0].upper(), "\u017f\u212aé\U0001f600", "zz")) for _ in range(k))
+    far = next(w for w, p, b in words if len(w) == 40 and p == 1)
+    texts = ["", "x", *(hold(rnd.randrange(12)) for _ in range(200)), "q" * (CHUNK // 2 - 20) + far + "q" * CHUNK, "q" * (3 * CHUNK)]
+    owners = [k % 3 for k in range(len(texts))]
+    owners[-2] = 1
+    found = blocks.blocks(texts, salts[owners], np.array([6] * len(texts)))
+    needed = [{b for w, p, b in words if p == own and w in folded(t)} for t, own in zip(texts, owners)]
+    assert all(n <= f for n, f in zip(needed, found)) and needed[-2] and not found[-1] and not found[0]
+    some = [{b for (w, p, b), x in zip(words, stretches([w for w, _, _ in words])) if p == own and x in folded(t)} for t, own in zip(texts, owners)]
+    assert sum(len(f - s) for f, s in zip(found, some)) <= 5
+
+
+def test_files_go_only_to_blocks_that_may_match(spark, corpus, monkeypatch):
+    """Each file goes to the block of its mark, and to that of the pattern that requires no text; others stay."""
+    monkeypatch.setattr(de, "BLOCK", 10)
+    schema = "project string, custom_patterns array<struct<pattern:string,rule_id:string,severity:string,description:string,remediation:string>>"
+    entries = {"a": [rf"token-{k:04d}-[a-z]" for k in range(60)], "b": [r"(?:secret|hidden)-[0-9]"] * 10 + [r"\d+x"]}
+    patterns = spark.createDataFrame([(p, [{"pattern": x, "rule_id": f"R-{k}"} for k, x in enumerate(own)]) for p, own in entries.items()], schema)
+    numbered = de.compiled_pieces(patterns).select("project", F.inline("rules")).withColumn("block", F.floor(F.col("i") / 10))
+    files = corpus({("a", "1"): "TOKEN-0042-x", ("a", "2"): "token-42-x", ("a", "3"): "token-0003-x\ntoken-0059-y", ("b", "1"): "Hidden-1", ("b", "2"): "-", ("b", "3"): None, ("c", "1"): "token-0042-x"})
+    rows = {(r.project, r.path): r.blocks for r in de.may_match_blocks(files, numbered).collect()}
+    assert rows == {("a", "1"): [4], ("a", "3"): [0, 5], ("b", "1"): [0, 1], ("b", "2"): [1]}
+
+
+def test_few_good_patterns_of_many(spark, corpus):
+    """More than MANY patterns of which few are good take the JVM's way: of a project in two rows both count, as with few patterns."""
+    schema = "project string, custom_patterns array<struct<pattern:string,rule_id:string,severity:string,description:string,remediation:string>>"
+    entries = [{"pattern": "(", "rule_id": "BAD"}] * (de.MANY + 1) + [{"pattern": r"tok_\d+", "rule_id": "R-1"}, {"pattern": "(?P<n>q)?(?(n)w|v)x", "rule_id": "R-2"}]
+    for own in (entries, entries[-2:]):
+        found = de.detect_project_patterns(corpus({"a": "tok_1 vx", "b": "x"}), spark.createDataFrame([("p", own), ("p", [{"pattern": "x", "rule_id": "R-3"}])], schema))
+        assert sorted((r.file_path, r.rule_id) for r in found.collect()) == [("a", "R-1"), ("a", "R-2"), ("a", "R-3"), ("b", "R-3")]
