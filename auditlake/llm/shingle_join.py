@@ -8,7 +8,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -391,23 +391,39 @@ def link_groups(group: pa.Table, column: str, linked, percent: int) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=LINKS)
 
 
-def tasks_of(members: DataFrame, weight: Column, most: int) -> DataFrame:
-    """Written members (node, super, ...) with their task: small groups share one, a group of more than ``most`` weight is cut into tiles.
+def tasks_of(members: DataFrame, weight: Column, most: int, percent: int) -> DataFrame:
+    """Written members (node, super, n, ...) with their task: small groups share one, a group of more than ``most`` weight is cut into tiles.
 
     What a task holds grows with shingles (8 bytes each) and with points (a byte a count), so a set of few shingles weighs as much as its counts.
+    A tile holds sets of neighbouring sizes ``n`` (or, of a size that many have, a part), so that a set meets only the tiles of
+    sizes that it may link with: the larger a group, the fewer of its tiles. ``ks`` are those tiles.
     """
     with shuffles_removed(members.sparkSession):
         total = members.agg(F.sum(weight)).first()[0] or 0
-    tiles = members.groupBy("super").agg(F.ceil(F.sum(weight) / F.lit(most)).cast("long").alias("tiles")).where("tiles > 1")
     together = F.pmod(F.xxhash64("super"), F.lit(total // most * 2 + 16))
-    return small_or_salted(members, durable(tiles), ["super"], "left").withColumns({"whole": F.when(F.col("tiles").isNull(), together), "tiles": F.coalesce("tiles", F.lit(1))})
+    large = durable(members.groupBy("super").agg(F.sum(weight).alias("all")).where(F.col("all") > most).select("super"))
+    sizes = small_or_salted(members, large, ["super"], "inner").groupBy("super", "n").agg(F.sum(weight).alias("weight"))
+    # sizes of much weight have tiles of their own, numbered downwards from -1; the others share tiles from 0 on
+    sizes = sizes.withColumn("own", F.when(F.col("weight") * 4 >= most, F.ceil(F.col("weight") / F.lit(most)).cast("long")))
+    smaller = Window.partitionBy("super").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda x: F.coalesce(F.sum(x).over(smaller), F.lit(0))
+    first = F.when(F.col("own").isNotNull(), -1 - before(F.col("own"))).otherwise(F.floor(before(F.when(F.col("own").isNull(), F.col("weight"))) / F.lit(most)))
+    cut = durable(sizes.select("super", "n", first.cast("long").alias("first"), F.coalesce("own", F.lit(1)).cast("long").alias("own")))
+    tiles = cut.select("super", "n", F.explode(F.sequence(F.col("first") - F.col("own") + 1, "first")).alias("tile")).groupBy("super", "tile")
+    tiles = durable(tiles.agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    others = tiles.select("super", F.col("tile").alias("k"), F.col("low").alias("k_low"), F.col("high").alias("k_high"))
+    near = tiles.join(others, "super").where(f"100 * high >= {percent} * k_low and 100 * k_high >= {percent} * low")
+    ks = durable(near.groupBy("super", "tile").agg(F.collect_list("k").alias("ks")))
+    tile = F.coalesce(F.col("first") - F.pmod(F.xxhash64("node"), F.col("own")), F.lit(0).cast("long"))
+    placed = small_or_salted(members, cut, ["super", "n"], "left").withColumns({"whole": F.when(F.col("first").isNull(), together), "tile": tile}).drop("first", "own")
+    alone = F.array(F.lit(0).cast("long"))
+    return small_or_salted(placed, ks, ["super", "tile"], "left").withColumn("ks", F.when(F.col("whole").isNull(), F.col("ks")).otherwise(alone))
 
 
 def links_of(rows: DataFrame, column: str, linked, percent: int) -> DataFrame:
-    """Spanning links of rows with the columns of ``tasks_of`` and one to compare by. Every two tiles of a group meet in one task."""
-    tile = F.pmod(F.xxhash64("node"), F.col("tiles"))
+    """Spanning links of rows with the columns of ``tasks_of`` and one to compare by. Every two tiles of a group that may hold a link meet in one task."""
     step = F.struct(F.least(F.col("tile"), F.col("k")).alias("i"), F.greatest(F.col("tile"), F.col("k")).alias("j"))
-    dealt = rows.withColumn("tile", tile).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).withColumn("t", step)
+    dealt = rows.withColumn("k", F.explode("ks")).withColumn("t", step)
     side = F.when(F.col("t.i") == F.col("t.j"), 2).when(F.col("tile") == F.col("t.i"), 0).otherwise(1)
     dealt = dealt.select(F.coalesce("whole", "super").alias("task"), F.col("whole").isNull().alias("tiled"), "t.i", "t.j", side.alias("side"), "super", "node", column)
     return dealt.groupBy("task", "tiled", "i", "j").applyInArrow(lambda group: link_groups(group, column, linked, percent), from_arrow_schema(LINKS))
@@ -415,7 +431,7 @@ def links_of(rows: DataFrame, column: str, linked, percent: int) -> DataFrame:
 
 def candidate_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """Shingle sets of the nodes (node, text_hash, ...): their texts are found by hash and shingled again, a copy once per task."""
-    known = ("node", "super", "whole", "tiles")
+    known = ("node", "super", "whole", "tile", "ks")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         words, seen = Words(), set()
@@ -428,7 +444,7 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
             sets = [h[i:j].tobytes() for i, j in zip(starts, starts[1:], strict=False)]
             yield list(zip(*(part.column(c).to_pylist() for c in known), sets, strict=True))
 
-    schema = pa.schema([("node", pa.int64()), ("super", pa.int64()), ("whole", pa.int64()), ("tiles", pa.int64()), ("hashes", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("super", pa.int64()), ("whole", pa.int64()), ("tile", pa.int64()), ("ks", pa.list_(pa.int64())), ("hashes", pa.binary())])
     return map_rows(small_or_salted(docs.select("text", "text_hash"), nodes, ["text_hash"], "inner").select("text", *known), work, schema)
 
 
@@ -460,9 +476,9 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85, tile_points:
     supers = components(found.where(F.col("kind") == EDGES).select(F.col("node").alias("a"), F.col("other").alias("b")))
     points = found.where("counts is not null").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.max("n_shingles").alias("n"), F.max("counts").alias("counts"))
     members = durable(supers.withColumnRenamed("component", "super").join(points, "node"))
-    near = staged(links_of(tasks_of(members, F.lit(1), tile_points), "counts", linked_points, percent), "near")
+    near = staged(links_of(tasks_of(members, F.lit(1), tile_points, percent), "counts", linked_points, percent), "near")
     groups = components(near).withColumnRenamed("component", "super")
-    tasks = durable(tasks_of(durable(groups.join(members.select("node", "n", "text_hash"), "node")), F.greatest("n", F.lit(COUNTS // 8)), tile_shingles))
+    tasks = durable(tasks_of(durable(groups.join(members.select("node", "n", "text_hash"), "node")), F.greatest("n", F.lit(COUNTS // 8)), tile_shingles, percent))
     links = staged(links_of(candidate_sets(rows, tasks.drop("n"), n), "hashes", linked_sets, percent), "links")
     reached = durable(components(links))
     grouped = durable(small_or_salted(each, reached, ["node"], "left").withColumn("component", F.coalesce("component", "node")))

@@ -458,3 +458,24 @@ def test_language_table_is_held_once():
     finally:
         tracemalloc.stop()
     assert most < least + (6 << 20) < 2 * least
+
+
+def test_large_groups_are_cut_by_size(spark):
+    """Every two sets whose sizes allow a link meet, in few tiles of a bounded number of sets; other groups stay whole."""
+    sizes = [10 + k % 800 for k in range(1600)] + [100] * 400
+    rows = [(k, 7, n) for k, n in enumerate(sizes)] + [(5000 + k, 8, 50) for k in range(20)]
+    members = spark.createDataFrame(rows, "node long, super long, n long")
+    placed = shingle_join.tasks_of(members, F.lit(1), 40, 80).collect()
+    assert len(placed) == len(rows) and all((r["whole"] is None) == (r["super"] == 7) for r in placed)
+    assert all(r["tile"] == 0 and r["ks"] == [0] for r in placed if r["super"] == 8)
+    large = [r for r in placed if r["super"] == 7]
+    held = Counter(r["tile"] for r in large)
+    assert max(held.values()) <= 80 and len(held) > 40
+    ks, low, high = {}, {}, {}
+    for r in large:
+        ks[r["tile"]] = set(r["ks"])
+        low[r["tile"]], high[r["tile"]] = min(low.get(r["tile"], r["n"]), r["n"]), max(high.get(r["tile"], 0), r["n"])
+    for a in ks:
+        for b in ks:
+            assert (b in ks[a]) == (100 * high[a] >= 80 * low[b] and 100 * high[b] >= 80 * low[a]) == (a in ks[b])
+    assert sum(len(r["ks"]) for r in large) < len(large) * len(held) / 2
